@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from corpusloom.llm.byte_bpe import op8_byte_bpe
 from corpusloom.llm.packing import op2_sum_of_squares_packing
+from corpusloom.llm.pii import op4_pii
+from corpusloom.llm.substring import op7_substring_dedup
 
 QUERIES = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op4_pii": op4_pii,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
 }
 

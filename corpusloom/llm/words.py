@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _table(lane: int) -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * lane) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.arange(256, dtype=np.uint64) + np.uint64((1 + 1000 * lane) * 0x9E3779B97F4A7C15 % 2**64))
 
 
 TABLES = [_table(1), _table(2)]
