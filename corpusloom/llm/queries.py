@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.byte_bpe import op8_byte_bpe
+from corpusloom.llm.minhash import op9_minhash_near_dedup
 from corpusloom.llm.packing import op2_sum_of_squares_packing
 from corpusloom.llm.pii import op4_pii
 from corpusloom.llm.substring import op7_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
