@@ -6,6 +6,7 @@ from corpusloom.llm.byte_bpe import op8_byte_bpe
 from corpusloom.llm.minhash import op9_minhash_near_dedup
 from corpusloom.llm.packing import op2_sum_of_squares_packing
 from corpusloom.llm.pii import op4_pii
+from corpusloom.llm.quality import op10_cotraining_quality
 from corpusloom.llm.substring import op7_substring_dedup
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_cotraining_quality": op10_cotraining_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import mix, slices, texts_of, words_of
+from corpusloom.llm.words import Words, mix, slices, texts_of, words_of
 
 MESSAGE = "g long, kind int, part long, keys binary, more binary, mins binary"
 SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)]
@@ -167,7 +167,24 @@ def _merge_shard(table: pa.Table) -> pa.Table:
     return _messages(out)
 
 
-def _remove(group: Group, answers: dict, depth: int, bits: int, shard_bits: int) -> pa.Table:
+def _cut(words: Words, gone: np.ndarray) -> list[bytes]:
+    """The texts without the words that are gone and the white space after each."""
+    n = len(words.starts)
+    bounds = words.bounds
+    last = np.zeros(n, bool)
+    last[words.first[1:][words.first[1:] > words.first[:-1]] - 1] = True
+    stops = np.append(words.starts[1:], len(words.data))
+    stops[last] = bounds[1:][words.first[1:] > words.first[:-1]]
+    change = np.zeros(len(words.data) + 1, np.int32)
+    np.add.at(change, words.starts[gone], 1)
+    np.add.at(change, stops[gone], -1)
+    keep = np.cumsum(change[:-1]) == 0
+    raw = words.data[keep].tobytes()
+    ends = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    return [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _remove(group: Group, table: pa.Table, answers: dict, depth: int, bits: int, shard_bits: int, carry: list[str] | None) -> pa.Table:
     found = Candidates(group, answers, depth, bits)
     flags = np.zeros(len(found.a), bool)
     sent = np.nonzero(found.elsewhere)[0]
@@ -185,6 +202,13 @@ def _remove(group: Group, answers: dict, depth: int, bits: int, shard_bits: int)
     for _, _, words in group.words:
         n = len(words.starts)
         keep = ~gone[base : base + n]
+        total = np.concatenate([[0], np.cumsum(~keep)])
+        n_words.append(np.diff(words.first))
+        n_removed.append(total[words.first[1:]] - total[words.first[:-1]])
+        base += n
+        if carry is not None:
+            kept += _cut(words, ~keep)
+            continue
         sizes = np.where(keep, words.ends - words.starts + 1, 0)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         picked = words.starts[keep]
@@ -194,17 +218,17 @@ def _remove(group: Group, answers: dict, depth: int, bits: int, shard_bits: int)
         out[np.cumsum(lengths) - 1] = 32
         raw, bounds = out.tobytes(), ends[words.first]
         kept += [raw[i : max(i, j - 1)] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        n_words.append(np.diff(words.first))
-        total = np.concatenate([[0], np.cumsum(~keep)])
-        n_removed.append(total[words.first[1:]] - total[words.first[:-1]])
-        base += n
     counts = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (n_words, n_removed)]
-    return pa.table([group.ids, *counts, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+    extra = [table.column(c) for c in carry or []]
+    return pa.table([group.ids, *counts, pa.array(kept, pa.binary()).cast(pa.string()), *extra], names=["doc_id", "n_words", "n_removed", "kept", *(carry or [])])
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20, cells_per_window: int = 4, depth: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20, cells_per_window: int = 4, depth: int = 2, carry: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
+    With a list ``carry``, ``kept`` is the text itself without the words that go, white
+    space otherwise as it was, and the columns named are passed on.
+
     A word ``[^\\x20\\x09-\\x0D]+`` goes if a window of ``window`` words of its document
     covers it whose words also start, somewhere, in a document with a smaller doc_id.
     All windows are judged on the input. ``cells_per_window`` and ``depth`` set the
@@ -223,7 +247,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20
     bits = BLOCK_BITS + max(0, ceil(log2(max(1, cells_per_window * total / 6 / (1 << BLOCK_BITS)))))
     shard_bits = max(0, ceil(log2(max(1, total / 6 / 1.5e6))))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")).repartition(partitions, "g")
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), *(carry or [])).repartition(partitions, "g")
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in (carry or []))
+    carry = [f.name for f in docs.schema if f.name in carry] if carry is not None else None
 
     def answers_of(table: pa.Table) -> dict:
         rows = table.to_pydict()
@@ -239,11 +265,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20
         return _exact(Group(left, window), answers_of(right), number(left), depth, bits, shard_bits)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _remove(Group(left, window), answers_of(right), depth, bits, shard_bits)
+        return _remove(Group(left, window), left, answers_of(right), depth, bits, shard_bits, carry)
 
     blocks = dealt.groupBy("g").applyInArrow(sketch, MESSAGE).groupBy("part").applyInArrow(_merge_block, MESSAGE)
     shards = dealt.groupBy("g").cogroup(blocks.groupBy("g")).applyInArrow(exact, MESSAGE).groupBy("part").applyInArrow(_merge_shard, MESSAGE)
-    return dealt.groupBy("g").cogroup(blocks.union(shards).groupBy("g")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return dealt.groupBy("g").cogroup(blocks.union(shards).groupBy("g")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string" + extra)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

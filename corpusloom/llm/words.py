@@ -46,12 +46,13 @@ def powers(lane: int, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """``data[starts[i]:ends[i]]`` is word i; document d has the words ``first[d]:first[d + 1]``."""
+    """``data[starts[i]:ends[i]]`` is word i; document d has the words ``first[d]:first[d + 1]`` and the bytes ``bounds[d]:bounds[d + 1]``."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    bounds: np.ndarray
 
     def hashes(self, lane: int = 0, fold: np.ndarray = KEEP_CASE) -> np.ndarray:
         """A 64-bit hash of each word's bytes, folded by a table first."""
@@ -94,7 +95,7 @@ def slices(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
 def words_of(texts: pa.Array) -> Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text of a large_string array without nulls."""
     if not len(texts):
-        return Words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        return Words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))
     _, at, data = texts.buffers()
     offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -107,4 +108,4 @@ def words_of(texts: pa.Array) -> Words:
     begin[edges] = solid[edges]
     end[edges - 1] = solid[edges - 1]
     starts, ends = np.nonzero(begin)[0], np.nonzero(end)[0] + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from corpusloom.llm.pii import KINDS, detect, find_pii, luhn, op4_pii, redacted, spans_of
+from corpusloom.llm.pii import KINDS, detect, find_pii, luhn, op4_pii, redact, redacted, spans_of
 
 
 def brute(text):
@@ -67,4 +67,6 @@ def test_query_and_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.cd", None), (3, "a@b.cd", None), (None, "a@b.cd", "x")]
     out = sorted((r.doc_id or 0, r.spans, r.redacted) for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string, spans string"), with_text=True).collect())
     assert out == [(0, "email:0:6", "<EMAIL>"), (1, "", None), (2, "", ""), (3, "email:0:6", "<EMAIL>"), (3, "email:0:6", "<EMAIL>")]
+    again = redact(spark.createDataFrame(rows, "doc_id long, text string, spans string"))
+    assert again.columns == ["doc_id", "text", "spans"] and sorted((r.doc_id or 0, r.text or "") for r in again.collect()) == [(i, t or "") for i, _, t in out]
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -39,6 +39,14 @@ def test_equals_brute_force_in_one_or_many_groups(spark, size):
     assert got(remove_repeats(df, window=3, group_bytes=size, cells_per_window=1, depth=3)) == brute(rows, 3)
 
 
+def test_texts_keep_their_white_space_and_other_columns(spark):
+    share = "\n".join(f"s{i}" for i in range(14))
+    rows = [(1, f"a\n{share}\tend", "k"), (2, f" x\ty\n{share}  z\n\nw ", None), (3, share, "m"), (4, None, "n"), (5, " keep\n me ", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumnRenamed("n_words", "lang")
+    out = {r.doc_id: (r.kept, r.lang, r.n_removed) for r in remove_repeats(df, carry=["lang"]).collect()}
+    assert out == {1: (rows[0][1], "k", 0), 2: (" x\ty\nz\n\nw ", None, 14), 3: ("", "m", 14), 4: ("", "n", 0), 5: (" keep\n me ", "o", 0)}
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).collect() == []
     assert got(remove_repeats(spark.createDataFrame([(1, None, None)], DOCS))) == [(1, 0, 0, "")]
