@@ -87,25 +87,25 @@ def _profiles(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, mark binary, keys array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets have 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``pairs(a, b)`` with the sizes of the intersection and the union of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keep = []
+                both, either = [], []
                 sets = [shingle_sets(texts_of(batch.column(c)), size) for c in (2, 3)]
                 for one, other in zip(*sets, strict=True):
-                    both = len(np.intersect1d(one, other, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(one) + len(other) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    both.append(len(np.intersect1d(one, other, assume_unique=True)))
+                    either.append(len(one) + len(other) - both[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
     side = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, first_pivots: int = 1, more_pivots: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, small_bucket: int = 16, block_rows: int = 128) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets
@@ -113,11 +113,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     that links reach; ``kept`` marks that document. A pair at the threshold shares no
     band with probability (1 - 0.8 ** rows) ** bands, about 1e-7 by default.
 
-    Within a bucket all members are first compared to ``first_pivots`` of them. Where
-    more than one component is left, the members of different components are compared
-    to ``more_pivots`` times as many, and so on until every pair of the bucket is
-    compared or connected: no link is lost, and a large group of copies costs about
-    one comparison a member.
+    Within a bucket all members are first compared to the one with the smallest doc_id.
+    Where more than one component is left, pairs of different components are compared,
+    in buckets of up to ``small_bucket`` documents pair by pair, in larger ones in
+    blocks of about ``block_rows``: no link is lost, and a large group of copies costs
+    about one comparison a member.
 
     A null or empty text, or one without words, has no shingles, is linked with nothing
     and kept. A null doc_id is kept alone with a null component. Rows that repeat a
@@ -129,52 +129,98 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = known.groupBy("mark").agg(F.min("doc_id").alias("class_id"))
     heads = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["mark", "doc_id"], "left_semi")
     entries = heads.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    shared = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n_shingles")).alias("p")).where("size > 1")
+    shared = shared.select("band", "key", "size", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("n_pivot"))
     members = materialize(entries.join(shared, ["band", "key"]), "members")
     near = docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     near = materialize(near.dropDuplicates(["doc_id", "text"]), "texts")
-    labels = known.sparkSession.createDataFrame([], "id long, component long")
-    tried, pivots = 0, first_pivots
-    while True:
-        pairs = materialize(_pairs(members, labels, tried, pivots, percent), "pairs")
-        if pairs.isEmpty() and tried and _open_buckets(members, labels, pivots).isEmpty():
-            break
-        found = _linked(pairs, near, shingle_words, percent)
-        found = materialize(pairs.join(found, ["a", "b"], "left_semi").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), "links")
-        merged = connected_components(found)
-        renamed = labels.join(merged.withColumnRenamed("id", "was").withColumnRenamed("component", "new"), F.col("component") == F.col("was"), "left")
-        renamed = renamed.select("id", F.coalesce("new", "component").alias("component"))
-        fresh = merged.join(labels, "id", "left_anti")
-        labels = materialize(renamed.union(fresh), "labels")
-        tried, pivots = pivots, pivots * more_pivots
+    alike = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    first = members.where(alike(F.col("n_shingles"), F.col("n_pivot"))).where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = materialize(_compared(first, near, shingle_words), "stars")
+    linked = F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either")
+    labels = materialize(connected_components(stars.where(linked)), "labels")
+    far = stars.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("either")).alias("away"))
+    left = _still_open(members, labels).join(far, ["pivot", "doc_id"], "left")
+    left = materialize(left.withColumn("away", F.when(F.col("pivot") == F.col("doc_id"), F.lit(0.0)).otherwise(F.col("away"))), "open")
+    pairs = materialize(_pairs(left.where(F.col("size") <= small_bucket), alike, 1 - percent / 100), "pairs")
+    found = pairs.join(_compared(pairs.select("a", "b"), near, shingle_words).where(linked), ["a", "b"], "left_semi").select("label_a", "label_b")
+    found = found.union(_block_links(left.where(F.col("size") > small_bucket), near, shingle_words, percent, block_rows))
+    merged = connected_components(found.toDF("a", "b"))
+    merged = merged.select(F.col("id").alias("label"), F.col("component").alias("new"))
+    mine = known.select(F.col("doc_id").alias("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    labels = mine.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("component"))
     own = profiles.select("doc_id", "n_shingles", "mark").join(classes, "mark", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = own.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "size", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets of more than two whose members are not one component yet, with their labels."""
+    now = members.where("size > 2").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    open_ = now.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
+    return now.join(open_, ["band", "key"], "left_semi")
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame, tried: int) -> DataFrame:
-    """Buckets with members that are neither connected nor all compared by ``tried`` pivots."""
-    left = _labelled(members.where(F.col("size") > tried + 1), labels)
-    return left.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
+def _pairs(members: DataFrame, alike, reach: float) -> DataFrame:
+    """Every pair of a bucket for which a link is still possible and of use.
+
+    Labels must differ, the sizes of the sets must be close, and so must the distances
+    to the bucket's pivot: Jaccard distance keeps the triangle inequality, so a pair
+    whose distances to it differ by more than ``reach`` has no link.
+    """
+    b = members.select("band", "key", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "label", "away")))
+    close = F.coalesce(F.abs(F.col("away") - F.col("away_b")) <= reach + 1e-9, F.lit(True))
+    both = members.join(b, ["band", "key"]).where("label <> label_b AND doc_id < doc_id_b").where(close & alike(F.col("n_shingles"), F.col("n_shingles_b")))
+    return both.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"), F.col("label").alias("label_a"), "label_b").distinct()
 
 
-def _pairs(members: DataFrame, labels: DataFrame, tried: int, pivots: int, percent: int) -> DataFrame:
-    """Each open bucket's members with its pivots number ``tried`` + 1 to ``pivots`` by doc_id, where labels differ and the sizes of the sets allow a link."""
-    if tried:
-        now = _labelled(members, labels).join(_open_buckets(members, labels, tried), ["band", "key"], "left_semi")
-    else:
-        now = members.withColumn("label", F.col("doc_id"))
-    order = Window.partitionBy("band", "key").orderBy("doc_id")
-    heads = now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).where(F.col("rank") > tried)
-    heads = heads.select("band", "key", *(F.col(c).alias(f"{c}_p") for c in ("doc_id", "n_shingles", "label")))
-    both = now.join(heads, ["band", "key"]).where("label <> label_p AND doc_id <> doc_id_p")
-    both = both.where(F.lit(100) * F.least("n_shingles", "n_shingles_p") >= F.lit(percent) * F.greatest("n_shingles", "n_shingles_p"))
-    ordered = lambda c, a: F.when(F.col("doc_id") < F.col("doc_id_p"), F.col(c if a else f"{c}_p")).otherwise(F.col(f"{c}_p" if a else c))
-    return both.select(ordered("doc_id", True).alias("a"), ordered("doc_id", False).alias("b"), ordered("label", True).alias("label_a"), ordered("label", False).alias("label_b")).distinct()
+def _block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
+    """Links between components within large buckets, as pairs of labels.
+
+    Documents are dealt into blocks by their largest bucket and by whether they belong to
+    its pivot's component; blocks that share a bucket are compared as wholes, so that
+    neither pairs of documents nor a whole bucket are ever in one place. Blocks of one
+    and the same component are not compared.
+    """
+    owner = members.where("doc_id = pivot").select("band", "key", F.col("label").alias("owner"))
+    home = members.groupBy("doc_id", "label").agg(F.max(F.struct("size", "band", "key")).alias("home")).select("doc_id", "label", "home.*")
+    home = home.join(owner, ["band", "key"], "left")
+    inner = F.when(F.col("label") == F.col("owner"), F.col("label"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / block_rows))
+    home = materialize(home.select("doc_id", "label", inner.alias("inner"), F.xxhash64("band", "key", F.coalesce(inner, F.lit(-1)), salt).alias("block")), "blocks")
+    held = members.select("band", "key", "doc_id").join(home, "doc_id").select("band", "key", "block", "inner").distinct()
+    other = held.select("band", "key", F.col("block").alias("block_b"), F.col("inner").alias("inner_b"))
+    grid = held.join(other, ["band", "key"]).where("block <= block_b AND NOT coalesce(inner = inner_b, false)").select("block", "block_b").distinct()
+    sides = grid.select("block", "block_b", F.explode(F.array_distinct(F.array("block", "block_b"))).alias("side"))
+    filled = home.select(F.col("block").alias("side"), "doc_id", "label").join(texts, "doc_id")
+    dealt = sides.join(filled, "side")
+
+    def compare(table: pa.Table) -> pa.Table:
+        one, label = np.asarray(table["side"]), np.asarray(table["label"])
+        first = one == table["block"][0].as_py()
+        sets = list(shingle_sets(texts_of(table["text"]), size))
+        sizes = np.array([len(x) for x in sets])
+        keys = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, row = keys[order], row[order]
+        column = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        at = 0
+        while at < len(keys):
+            stop = int(np.searchsorted(column, column[at] + 8192))
+            part = np.zeros((len(sets), column[stop - 1] - column[at] + 1), np.float32)
+            part[row[at:stop], column[at:stop] - column[at]] = 1
+            both += part @ part.T
+            at = stop
+        near = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+        if not first.all():
+            near &= first[:, None] & ~first[None, :]
+        i, j = np.nonzero(near & (label[:, None] != label[None, :]))
+        found = np.unique(np.stack([label[i], label[j]], 1), axis=0)
+        return pa.table({"label_a": pa.array(found[:, 0]), "label_b": pa.array(found[:, 1])})
+
+    return dealt.groupBy("block", "block_b").applyInArrow(compare, "label_a long, label_b long")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

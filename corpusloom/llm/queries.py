@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from corpusloom.llm.byte_bpe import op8_byte_bpe
+from corpusloom.llm.hamming import OP1_SQL, op1_multi_index_hamming
 from corpusloom.llm.minhash import op9_minhash_near_dedup
 from corpusloom.llm.packing import op2_sum_of_squares_packing
 from corpusloom.llm.pii import op4_pii
 from corpusloom.llm.quality import op10_cotraining_quality
+from corpusloom.llm.rpforest import op5_rp_forest_near_dedup
 from corpusloom.llm.substring import op7_substring_dedup
+from corpusloom.llm.urls import op6_url_association_rules
 
 QUERIES = {
+    "op1_multi_index_hamming": op1_multi_index_hamming,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op4_pii": op4_pii,
+    "op5_rp_forest_near_dedup": op5_rp_forest_near_dedup,
+    "op6_url_association_rules": op6_url_association_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_cotraining_quality": op10_cotraining_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_multi_index_hamming": OP1_SQL,
+}

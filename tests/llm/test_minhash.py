@@ -51,15 +51,15 @@ def varied(rng, words, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("pivots", [(1, 16), (1, 2)])
-def test_equals_brute_force(spark, pivots):
+@pytest.mark.parametrize(("small", "block"), [(16, 128), (2, 4)])
+def test_equals_brute_force(spark, small, block):
     rng = random.Random(4)
     base = [f"b{i}" for i in range(60)]
     rows = [(i, varied(rng, base, rng.randrange(0, 8))) for i in range(40)]
     rows += [(100 + i, " ".join(f"x{rng.randrange(30)}" for _ in range(rng.randrange(0, 6)))) for i in range(60)]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "One"), (204, "one"), (205, "a b"), (206, "A\tB"), (207, "a b c"), (208, " ".join(base) * 3), (209, "É b"), (210, "é b"), (211, "w" * 100_000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS).repartition(3)
-    assert got(near_duplicates(df, 2, 80, first_pivots=pivots[0], more_pivots=pivots[1])) == brute(rows, 2)
+    assert got(near_duplicates(df, 2, 80, small_bucket=small, block_rows=block)) == brute(rows, 2)
 
 
 def test_empty_null_and_repeated_rows(spark):
