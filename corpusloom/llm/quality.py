@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import SPACE, mix, slices, texts_of, words_of
+from corpusloom.llm.words import SPACE, distinct, mix, slices, texts_of, words_of
 
 MARKS = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
 N_TEXT = len(MARKS) + 12
@@ -52,7 +52,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
             counts = np.bincount(raw, minlength=256) @ CLASSES
             own = lengths[w0:w1]
             lines = raw.tobytes().split(b"\n") if n else []
-            out.append([*(counts / max(1, size)), np.log1p(n), own.mean() / 16 if n else 0, min(own.max(), 200) / 64 if n else 0, len(np.unique(h[w0:w1])) / n if n else 0, len(set(lines)) / len(lines) if n else 0, np.log1p(len(lines))])
+            out.append([*(counts / max(1, size)), np.log1p(n), own.mean() / 16 if n else 0, min(own.max(), 200) / 64 if n else 0, len(distinct(h[w0:w1])) / n if n else 0, len(set(lines)) / len(lines) if n else 0, np.log1p(len(lines))])
     return np.array(out, np.float64).reshape(len(texts), N_TEXT)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import Words, mix, slices, texts_of, words_of
+from corpusloom.llm.words import Words, distinct, mix, numbered, slices, texts_of, words_of
 
 MESSAGE = "g long, kind int, part long, keys binary, more binary, mins binary"
 SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)]
@@ -95,9 +95,8 @@ def _split(values: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
 
 def _sketch(group: Group, g: int, depth: int, bits: int) -> pa.Table:
     rows, low = [], np.uint64((1 << BLOCK_BITS) - 1)
-    keys = np.unique(group.a)
     for row in range(depth):
-        cells = np.unique(group.cells(keys, row, bits))
+        cells = distinct(group.cells(group.a, row, bits))
         for block, a, b in _split(cells, BLOCK_BITS):
             rows.append((g, 0, (row << 48) | block, *_packed(cells[a:b] & low), b""))
     return _messages(rows)
@@ -120,15 +119,15 @@ class Candidates:
     """The windows of a group that may repeat: their distinct keys, and the smallest document of the group for each."""
 
     def __init__(self, group: Group, answers: dict, depth: int, bits: int):
-        keys, inverse, counts = np.unique(group.a, return_inverse=True, return_counts=True)
+        keys, inverse = numbered(group.a)
+        counts = np.bincount(inverse, minlength=len(keys))
         elsewhere = np.ones(len(keys), bool)
         for row in range(depth):
-            cells = group.cells(keys, row, bits)
-            distinct = np.unique(cells)
-            held = np.zeros(len(distinct), bool)
-            for block, a, b in _split(distinct, BLOCK_BITS):
+            cells, number = numbered(group.cells(keys, row, bits))
+            held = np.zeros(len(cells), bool)
+            for block, a, b in _split(cells, BLOCK_BITS):
                 held[a:b] = np.unpackbits(np.frombuffer(answers[(0, (row << 48) | block)], np.uint8), count=b - a)
-            elsewhere &= held[np.searchsorted(distinct, cells)]
+            elsewhere &= held[number]
         self.rows = np.nonzero((elsewhere | (counts > 1))[inverse])[0]
         a, b, doc = group.a[self.rows], group.b[self.rows], group.doc[self.rows]
         order = np.lexsort((doc, b, a))
