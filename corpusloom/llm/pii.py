@@ -83,11 +83,12 @@ SPELLED = {
 }
 AT_WORDS = "at|arobase|arroba|chez|klammeraffe|ät"
 DOT_WORDS = "dot|point|punto|punkt"
+_DOTS = tuple(DOT_WORDS.split("|"))
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, str], re.Pattern]:
-    """Every character with one plain ASCII look, and a pattern for them and for invisible ones."""
+def _looks() -> dict[str, str]:
+    """Every character with one plain ASCII look, and invisible ones, which look like nothing."""
     table = dict(LOOKS_LIKE)
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
@@ -98,11 +99,10 @@ def _tables() -> tuple[dict[str, str], re.Pattern]:
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and plain.isascii():
                 table[c] = plain
-    return table, re.compile("[" + "".join(map(re.escape, sorted(table))) + INVISIBLE + "]")
+    return table | dict.fromkeys(INVISIBLE, "")
 
 
 _TOKEN = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")"
-_SPELLED_TRIGGER = re.compile(rf"\b{_TOKEN}[ ,-]+{_TOKEN}\b|\b{_TOKEN} (?:{DOT_WORDS})\b", re.IGNORECASE)
 _RUN = re.compile(rf"\b(?:{_TOKEN}|[0-9]+)(?:[ ,-]{{1,3}}(?:{_TOKEN}|[0-9]+))*\b", re.IGNORECASE)
 _PART = re.compile(rf"{_TOKEN}|[0-9]+", re.IGNORECASE)
 _WORD_TRIGGER = re.compile(rf"\b(?:{DOT_WORDS})\b|[\[({{<]\s{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s{{0,3}}[\])}}>]", re.IGNORECASE)
@@ -146,6 +146,15 @@ class Tape:
         self.starts, self.ends, self.edited = map(np.concatenate, (starts, ends, edited))
 
 
+def _counts(text: str) -> bool:
+    """Whether a spelled digit stands next to another one, to digits or to a spelled dot: else no transducer for them can matter."""
+    words = text.replace("-", " ").replace(",", " ").split()
+    for i in [i for i, w in enumerate(words) if w in SPELLED]:
+        if any(w in SPELLED or w in _DOTS or w[0].isdigit() for w in words[max(0, i - 1) : i] + words[i + 1 : i + 2]):
+            return True
+    return False
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for run in _RUN.finditer(text):
@@ -163,13 +172,15 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 def deobfuscate(text: str) -> Tape | None:
     """The tape after all transducers, or None where no trigger of any of them occurs."""
-    table, odd = _tables()
-    looks = not text.isascii() and odd.search(text) is not None
-    if not looks and not _WORD_TRIGGER.search(text) and not _SPELLED_TRIGGER.search(text):
+    table = _looks()
+    looks = not text.isascii() and not table.keys().isdisjoint(text)
+    small = text.lower()
+    dots = any(w in small for w in _DOTS) or any(c in text for c in "[({<")
+    if not looks and not (dots and _WORD_TRIGGER.search(text)) and not _counts(small):
         return None
     tape = Tape(text)
     if looks:
-        tape.rewrite([(m.start(), m.end(), table.get(m[0], "")) for m in odd.finditer(text)])
+        tape.rewrite([(i, i + 1, table[c]) for i, c in enumerate(text) if c in table])
     tape.rewrite(_spelled(tape.text))
     tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
     for pattern, new in ((_AT_BRACKET, "@"), (_AT_WORD, "@"), (_DOT_BRACKET, "."), (_DOT_WORD, ".")):
