@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusloom.llm.byte_bpe import op8_byte_bpe
 from corpusloom.llm.hamming import OP1_SQL, op1_multi_index_hamming
+from corpusloom.llm.licences import op3_licence_scan
 from corpusloom.llm.minhash import op9_minhash_near_dedup
 from corpusloom.llm.packing import op2_sum_of_squares_packing
 from corpusloom.llm.pii import op4_pii
@@ -15,6 +16,7 @@ from corpusloom.llm.urls import op6_url_association_rules
 QUERIES = {
     "op1_multi_index_hamming": op1_multi_index_hamming,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_licence_scan": op3_licence_scan,
     "op4_pii": op4_pii,
     "op5_rp_forest_near_dedup": op5_rp_forest_near_dedup,
     "op6_url_association_rules": op6_url_association_rules,
