@@ -70,10 +70,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self._pieces(text) for text in texts]
-        fresh = list({p for pieces in split for p in pieces if p not in self.known})
+        fresh = list(set().union(*split).difference(self.known))
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-            fresh = list({p for pieces in split for p in pieces})
+            fresh = list(set().union(*split))
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)

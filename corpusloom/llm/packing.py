@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: A character that parts words in one call; words that hold it are encoded one by one.
+MARK = "\x01"
 
 
 @lru_cache(maxsize=2)
@@ -30,6 +32,44 @@ def _tokenizer(path: str):
 _known: dict[str, dict[bytes, bytes]] = {}
 
 
+def _encoded(words: list[str], path: str) -> list[bytes]:
+    """The ids of each word, in one call: the words are joined by a mark, whose one id then parts them."""
+    tokenizer = _tokenizer(path)
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    text = f" {MARK} ".join(words)
+    if len(mark) != 1 or text.count(MARK) != len(words) - 1:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    cuts = np.nonzero(ids == mark[0])[0]
+    if len(cuts) != len(words) - 1:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+    return [raw[4 * i : 4 * j] for i, j in zip(starts, ends, strict=True)]
+
+
+def _plain(words: list[bytes], known: dict[bytes, bytes], path: str) -> list[bytes]:
+    """Looks up or encodes ASCII words with at most a full stop or comma after them; returns the others.
+
+    Such a word passes the normaliser and the splitter as its lower-cased letters and its
+    mark, so its letters go straight to the library's model.
+    """
+    tokenizer, others = _tokenizer(path), []
+    model = tokenizer.model
+    ends = {c: array("I", tokenizer.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in b".,"}
+    for word in words:
+        end = ends.get(word[-1], b"")
+        letters = word[:-1] if end else word
+        if not letters.isalpha():
+            others.append(word)
+            continue
+        letters = letters.lower()
+        ids = known.get(letters)
+        if ids is None:
+            ids = known[letters] = array("I", [t.id for t in model.tokenize(letters.decode())]).tobytes()
+        known[word] = ids + end
+    return others
+
+
 def word_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
@@ -38,14 +78,14 @@ def word_ids(texts: list[str], path: str) -> list[bytes]:
     """
     known = _known.setdefault(path, {})
     split = [text.encode("utf-8", "replace").split() for text in texts]
-    fresh = list({word for words in split for word in words if word not in known})
+    fresh = list(set().union(*split).difference(known))
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
-        fresh = list({word for words in split for word in words})
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at : at + 4096]
-        encoded = _tokenizer(path).encode_batch_fast([word.decode() for word in part], add_special_tokens=False)
-        known.update((word, array("I", e.ids).tobytes()) for word, e in zip(part, encoded, strict=True))
+        fresh = list(set().union(*split))
+    fresh = _plain(fresh, known, path)
+    for at in range(0, len(fresh), 512):
+        part = fresh[at : at + 512]
+        known.update(zip(part, _encoded([word.decode() for word in part], path), strict=True))
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from corpusloom.llm.packing import Packer, pack, word_ids
 from tokenizers import Tokenizer
 
@@ -18,6 +19,7 @@ def plain(text):
 
 def test_word_ids_equal_the_library_on_whole_texts():
     texts = ["Hello,  World's\tend\n", "", " été ́x  y 　 z", "<|endoftext|> a", "don't I'LL 12,5", "ΣΑΣ Σ ﬁ İstanbul", "x y\x85z"]
+    texts += ["Foo foo. FOO, foo., foo.. ,. , . a.b I. x' 'tis can't. x", *(t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist())]
     assert [np.frombuffer(b, "<u4").tolist() for b in word_ids(texts, PATH)] == [plain(t) for t in texts]
 
 
