@@ -1,4 +1,419 @@
-"""The registered queries of the library's own operators and their SQL, by name."""
+"""The registered queries of the library's own operators over the given tables, and their SQL, by name.
+
+The tables hold no code, so documents stand for files (project = source), embeddings and
+parts for chunks, orders for runs, conversations for chats and events for generations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import scalar as S
+from corpusloom.operators import budgets, catalog, chunks, context, conversations, files, graph, paths, search
+from corpusloom.streaming import events as ev
 
 QUERIES = {}
-ORACLE_SQL = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+ENDINGS = ["ts", "py", "md", "go", "txt", "TSX"]
+
+
+def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    path = F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending)
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select(F.col("source").alias("project_id"), path.alias("path"), F.col("text").cast("binary").alias("content"), "text", "doc_id", F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+FILES_SQL = """
+files AS (
+  SELECT source AS project_id, source || '/' || CAST(doc_id AS VARCHAR) || '.' || (['ts', 'py', 'md', 'go', 'txt', 'TSX'])[CAST(doc_id % 6 + 1 AS INTEGER)] AS path,
+         (['typescript', 'python', 'markdown', 'go', 'plaintext', 'typescriptreact'])[CAST(doc_id % 6 + 1 AS INTEGER)] AS language,
+         text, doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS content_hash
+  FROM documents WHERE text IS NOT NULL
+)"""
+
+INDEXED_SQL = f"""WITH {FILES_SQL}, checked AS (
+  SELECT *, CASE WHEN size_bytes > 16000 THEN 'too_large' WHEN contains(text, chr(0)) THEN 'binary_content' END AS reason FROM files
+), run AS (
+  SELECT *, sum(CASE WHEN reason IS NULL THEN size_bytes ELSE 0 END) OVER (PARTITION BY project_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM checked
+), cut AS (
+  SELECT *, max(CASE WHEN reason IS NULL AND total > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS over FROM run
+), indexed AS (
+  SELECT project_id, path, language, size_bytes, CASE WHEN over = 1 THEN 'run_limit' ELSE reason END AS skip_reason,
+         CASE WHEN over = 1 OR reason IS NOT NULL THEN 'skipped' ELSE 'ready' END AS status, CASE WHEN over = 0 AND reason IS NULL THEN content_hash END AS content_hash
+  FROM cut
+)"""
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = files.fingerprint(file_table(spark, sf_dir), 16_000).select("project_id", "path", "language", "size_bytes", "status", "skip_reason", "content_hash")
+    return budgets.byte_budget(done, 60_000).withColumn("content_hash", F.when(F.col("status") == "ready", F.col("content_hash")))
+
+
+@register("job1_index_sources", INDEXED_SQL + " SELECT project_id, path, language, size_bytes, skip_reason, status, content_hash FROM indexed")
+def job1(spark, sf_dir):
+    return indexed(spark, sf_dir)
+
+
+@register(
+    "ag2_source_summary",
+    INDEXED_SQL
+    + """ SELECT project_id, CAST(count(*) FILTER (status = 'ready') AS BIGINT) AS ready_files, CAST(count(*) FILTER (status <> 'ready') AS BIGINT) AS skipped_files,
+    CAST(sum(size_bytes) AS BIGINT) AS inspected_bytes, CAST(coalesce(sum(size_bytes) FILTER (status = 'ready'), 0) AS BIGINT) AS ready_bytes FROM indexed GROUP BY project_id""",
+)
+def ag2(spark, sf_dir):
+    return catalog.source_summary(indexed(spark, sf_dir))
+
+
+@register("set4_first_of_equal_files", f"WITH {FILES_SQL} SELECT project_id, content_hash, min(doc_id) AS doc_id, arg_min(path, doc_id) AS path FROM files GROUP BY project_id, content_hash")
+def set4(spark, sf_dir):
+    rows = file_table(spark, sf_dir).select("project_id", F.sha2("content", 256).alias("content_hash"), "doc_id", "path")
+    return files.dedupe_by_key(rows, ["project_id", "content_hash"], [F.col("doc_id")])
+
+
+@register(
+    "jn1_reuse_split",
+    f"""WITH {FILES_SQL} SELECT project_id, path, (doc_id % 3 = 0 AND doc_id % 4 <> 0 AND doc_id % 7 <> 0) AS reused FROM files""",
+)
+def jn1(spark, sf_dir):
+    now = file_table(spark, sf_dir).select("project_id", "path", F.sha2("content", 256).alias("content_hash"), files.classify_language("path").alias("language"), F.lit("extractor-1:500").alias("extractor"), "doc_id")
+    before = now.where("doc_id % 3 = 0").withColumn("status", F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("parsed")).withColumn("extractor", F.when(F.col("doc_id") % 7 == 0, "extractor-1:400").otherwise(F.col("extractor")))
+    reused, rest = catalog.reuse_split(now, before, ["project_id", "path", "content_hash", "language", "extractor"], ["parsed"])
+    return reused.select("project_id", "path", F.lit(True).alias("reused")).union(rest.select("project_id", "path", F.lit(False).alias("reused")))
+
+
+@register(
+    "snk4_catalog_diff",
+    f"""WITH {FILES_SQL} SELECT project_id, path, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 11 = 0 THEN 'changed' ELSE 'unchanged' END AS change
+    FROM files WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0""",
+)
+def snk4(spark, sf_dir):
+    rows = file_table(spark, sf_dir).select("project_id", "path", "doc_id", F.sha2("content", 256).alias("h"))
+    new = rows.where("doc_id % 7 <> 0").withColumn("h", F.when(F.col("doc_id") % 11 == 0, F.sha2("h", 256)).otherwise(F.col("h")))
+    return catalog.catalog_diff(rows.where("doc_id % 5 <> 0"), new, ["project_id", "path"], "h")
+
+
+@register("ag11_context_hash", f"WITH {FILES_SQL} SELECT project_id, sha256(array_to_string(list_sort(list(sha256(path || chr(0) || content_hash))), '')) AS context_hash FROM files GROUP BY project_id")
+def ag11(spark, sf_dir):
+    return catalog.context_hash(file_table(spark, sf_dir).withColumn("h", F.sha2("content", 256)), ["path", "h"])
+
+
+def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.concat(F.lit("label"), F.col("label").cast("string")), F.col("vec_id").cast("string"))
+    return table(spark, sf_dir, "embeddings").select(F.lit("p").alias("project_id"), F.col("vec_id").cast("string").alias("chunk_id"), path.alias("path"), F.col("vec_id").alias("start_byte"), F.lit("text").alias("language"), "embedding", "vec_id", "label")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = vector_chunks(spark, sf_dir).where("vec_id % 50 = 0")
+    prefix = F.when(F.col("vec_id") % 100 == 0, F.concat(F.lit("label"), F.col("label").cast("string")))
+    return rows.select(F.col("vec_id").alias("query_id"), "project_id", F.col("embedding").alias("vector"), prefix.alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(k).alias("k"), "vec_id")
+
+
+DENSE_SQL = """
+v AS (
+  SELECT vec_id, 'label' || CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR) AS path, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, c.path, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 <> 0 OR q.label = c.label WHERE q.vec_id % 50 = 0
+), dense AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, vec_id) AS INTEGER) AS dense_rank FROM scored
+)"""
+
+
+@register("tk1_dense_topk", f"WITH {DENSE_SQL} SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, dense_rank, round(score, 6) AS score FROM dense WHERE dense_rank <= 21")
+def tk1(spark, sf_dir):
+    return search.dense_topk(vector_queries(spark, sf_dir, 5), vector_chunks(spark, sf_dir)).select("query_id", "chunk_id", "dense_rank", F.round("score", 6).alias("score"))
+
+
+def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = S.weighted_document(["p_name"], ["p_brand", "p_type"])
+    return table(spark, sf_dir, "part").select(F.lit("p").alias("project_id"), F.col("p_partkey").cast("string").alias("chunk_id"), F.lit("chunk").alias("source"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("start_byte"), F.lower("p_type").alias("language"), terms.alias("terms"), "p_partkey", "p_name", "p_type")
+
+
+def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws(" ", "p_name", "p_type")
+    return part_documents(spark, sf_dir).where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), "project_id", text.alias("text"), F.lit(None).cast("string").alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(6).alias("k"))
+
+
+LEXICAL_SQL = r"""
+t AS (
+  SELECT p_partkey, p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path, term, max(weight) AS weight FROM (
+    SELECT p_partkey, p_brand, unnest(string_split_regex(lower(regexp_replace(p_name, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term, 1.0::DOUBLE AS weight FROM part
+    UNION ALL
+    SELECT p_partkey, p_brand, unnest(string_split_regex(lower(regexp_replace(p_brand || ' ' || p_type, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')), 0.4::DOUBLE FROM part
+  ) WHERE term <> '' GROUP BY ALL
+), asked AS (
+  SELECT DISTINCT p_partkey AS query_id, unnest(string_split_regex(lower(regexp_replace(p_name || ' ' || p_type, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term FROM part WHERE p_partkey % 40 = 0
+), n AS (SELECT query_id, count(*) AS n FROM asked WHERE term <> '' GROUP BY query_id),
+whole AS (
+  SELECT a.query_id, t.p_partkey, t.path, sum(t.weight) AS score FROM asked a JOIN t ON a.term = t.term JOIN n ON n.query_id = a.query_id GROUP BY a.query_id, t.p_partkey, t.path, n.n HAVING count(*) = n.n
+), lexical AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, p_partkey) AS INTEGER) AS lexical_rank FROM whole
+)"""
+
+
+@register("tk2_lexical_topk", f"WITH {LEXICAL_SQL} SELECT query_id, CAST(p_partkey AS VARCHAR) AS chunk_id, lexical_rank, round(score, 6) AS score FROM lexical WHERE lexical_rank <= 25")
+def tk2(spark, sf_dir):
+    return search.lexical_topk(part_queries(spark, sf_dir), part_documents(spark, sf_dir)).select("query_id", "chunk_id", "lexical_rank", F.round("score", 6).alias("score"))
+
+
+HYBRID_SQL = f"""WITH {DENSE_SQL}, names AS (
+  SELECT v.vec_id, v.path, v.label, p.p_name, p.p_type FROM v LEFT JOIN part p ON p.p_partkey = v.vec_id
+), lex AS (
+  SELECT q.vec_id AS query_id, c.vec_id, c.path, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY c.path, c.vec_id) AS INTEGER) AS lexical_rank
+  FROM names q JOIN names c ON lower(q.p_name) = lower(c.p_name) WHERE q.vec_id % 50 = 0 AND (q.vec_id % 100 <> 0 OR q.label = c.label)
+), fused AS (
+  SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.vec_id, l.vec_id) AS vec_id, coalesce(d.path, l.path) AS path, d.dense_rank, l.lexical_rank,
+         coalesce(1.0::DOUBLE / (60 + d.dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + l.lexical_rank), 0) AS score
+  FROM (SELECT * FROM dense WHERE dense_rank <= 20) d FULL JOIN (SELECT * FROM lex WHERE lexical_rank <= 20) l ON d.query_id = l.query_id AND d.vec_id = l.vec_id
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, vec_id) AS INTEGER) AS rank FROM fused)
+SELECT query_id, rank, CAST(vec_id AS VARCHAR) AS chunk_id, dense_rank, lexical_rank, round(score, 9) AS score FROM ranked WHERE rank <= 5"""
+
+
+@register("job14_hybrid_search", HYBRID_SQL)
+def job14(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.lower("p_name").alias("text"))
+    chunk = vector_chunks(spark, sf_dir).join(names, "vec_id", "left")
+    asked = vector_queries(spark, sf_dir, 5).join(names, "vec_id", "left")
+    terms = F.transform(S.lexical_terms(F.coalesce("text", F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight")))
+    documents = chunk.select("project_id", "chunk_id", F.lit("chunk").alias("source"), "path", "start_byte", "language", terms.alias("terms"))
+    return search.hybrid_search(asked, chunk, documents).select("query_id", "rank", "chunk_id", "dense_rank", "lexical_rank", F.round("score", 9).alias("score"))
+
+
+@register(
+    "wn1_current_run",
+    """WITH r AS (SELECT o_custkey AS project_id, o_orderkey AS run_id, o_orderstatus, o_orderdate AS completed_at FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY completed_at DESC, run_id DESC) AS n FROM r)
+    SELECT project_id, run_id, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'limited' END AS status FROM n WHERE n = 1""",
+)
+def wn1(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "limited").otherwise("failed")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.lit("source").alias("stage"), F.col("o_orderkey").alias("run_id"), status.alias("status"), F.col("o_orderdate").alias("completed_at"))
+    return catalog.current_run(runs).select("project_id", "run_id", "status")
+
+
+@register(
+    "flt12_catalog_violations",
+    """SELECT rule, o_orderkey FROM (
+      SELECT CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'known_status' END AS rule, o_orderkey FROM orders
+      UNION ALL SELECT CASE WHEN o_totalprice > 400000 THEN 'price_limit' END, o_orderkey FROM orders) WHERE rule IS NOT NULL""",
+)
+def flt12(spark, sf_dir):
+    return catalog.catalog_violations(table(spark, sf_dir, "orders"), {"known_status": F.col("o_orderstatus").isin("F", "O"), "price_limit": F.col("o_totalprice") <= 400_000}, ["o_orderkey"])
+
+
+def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("ordinal"), "role", F.col("text").alias("content"), F.lit("completed").alias("status"))
+
+
+TOKENS = "(CAST(ceil((length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) / 4.0) AS INTEGER) + 4)"
+
+
+@register(
+    "wn11_complete_turns",
+    f"""WITH m AS (SELECT conv_id, turn, role, lag(role) OVER w AS last_role, lag(turn) OVER w AS last_turn, {TOKENS.format("coalesce(text, '')")} AS t, lag({TOKENS.format("coalesce(text, '')")}) OVER w AS last_t
+      FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    p AS (SELECT conv_id AS session_id, CAST(last_turn AS BIGINT) AS user_ordinal, CAST(turn AS BIGINT) AS assistant_ordinal, CAST(last_t + t AS INTEGER) AS tokens FROM m WHERE role = 'assistant' AND last_role = 'user'),
+    s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY session_id ORDER BY user_ordinal DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM p)
+    SELECT * FROM s WHERE spent <= 300""",
+)
+def wn11(spark, sf_dir):
+    rows = message_table(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    return conversations.complete_turns(rows, 300).select("session_id", "user_ordinal", "assistant_ordinal", "tokens", "spent")
+
+
+@register(
+    "job19_model_context",
+    """WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
+    b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS m FROM a WHERE n <= 6 AND text <> ''),
+    c AS (SELECT *, first(role) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS last_role FROM b WHERE m <= 4)
+    SELECT conv_id AS session_id, CAST(turn AS BIGINT) AS ordinal, role FROM c WHERE last_role = 'user'""",
+)
+def job19(spark, sf_dir):
+    return conversations.model_context(message_table(spark, sf_dir), 6, 4).select("session_id", "ordinal", "role")
+
+
+@register("ag6_session_summaries", "SELECT conv_id AS session_id, max(turn) AS updated_at, count(*) AS message_count FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, session_id DESC LIMIT 50")
+def ag6(spark, sf_dir):
+    messages = message_table(spark, sf_dir)
+    sessions = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.max("turn").alias("updated_at"))
+    return conversations.session_summaries(sessions, messages, 50)
+
+
+@register("job17_build_prompts")
+def job17(spark, sf_dir):
+    rows = message_table(spark, sf_dir)
+    asked = rows.where("role = 'user'").groupBy("session_id").agg(F.max_by("content", "ordinal").alias("text")).select(F.col("session_id").alias("query_id"), "session_id", F.coalesce("text", F.lit("")).alias("text"))
+    context_ = rows.groupBy(F.col("session_id").alias("query_id")).agg(F.min_by("content", "ordinal").alias("context"))
+    return context.build_prompts(asked, context_, rows, "You answer questions about a code base.")
+
+
+def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "error").otherwise("delta")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("request_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_ts"), kind.alias("type"), F.concat(F.substring("event_type", 1, 1), F.lit(" ")).alias("content"))
+
+
+EVENTS_SQL = """
+e AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS request_id, event_id AS seq, ts AS event_ts,
+         CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'delta' END AS type, substr(event_type, 1, 1) || ' ' AS content FROM events
+), ends AS (SELECT session_id, request_id, min(seq) AS last FROM e WHERE type <> 'delta' GROUP BY ALL),
+kept AS (SELECT e.* FROM e LEFT JOIN ends USING (session_id, request_id) WHERE last IS NULL OR seq <= last)"""
+
+
+@register(
+    "str1_fold_deltas",
+    f"""WITH {EVENTS_SQL} SELECT session_id, request_id, coalesce(string_agg(content, '' ORDER BY seq) FILTER (type = 'delta'), '') AS content,
+    CASE max(type) FILTER (type <> 'delta') WHEN 'error' THEN 'failed' WHEN 'completed' THEN 'completed' ELSE CASE WHEN count(*) FILTER (type = 'delta') > 0 THEN 'streaming' ELSE 'pending' END END AS status,
+    count(*) FILTER (type = 'delta') AS deltas FROM kept GROUP BY session_id, request_id""",
+)
+def str1(spark, sf_dir):
+    return ev.fold_deltas(generation_events(spark, sf_dir))
+
+
+@register(
+    "str5_detect_stalled",
+    f"""WITH {EVENTS_SQL}, n AS (SELECT *, lead(event_ts) OVER (PARTITION BY session_id, request_id ORDER BY seq) AS next_ts FROM kept)
+    SELECT session_id, request_id, epoch_us(min(event_ts)) AS stalled_after FROM n WHERE type = 'delta' AND epoch_us(next_ts) - epoch_us(event_ts) > 330000000 GROUP BY ALL""",
+)
+def str5(spark, sf_dir):
+    return ev.detect_stalled(generation_events(spark, sf_dir)).withColumn("stalled_after", F.unix_micros("stalled_after"))
+
+
+@register("str3_dedupe_requests", f"WITH {EVENTS_SQL} SELECT session_id, request_id, min(seq) AS seq FROM e GROUP BY ALL")
+def str3(spark, sf_dir):
+    return ev.dedupe_requests(generation_events(spark, sf_dir).withColumn("event_ts", F.lit(0))).select("session_id", "request_id", "seq")
+
+
+@register(
+    "wn5_per_group_limit",
+    """WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CAST(greatest(c - 3, 0) AS BIGINT) AS omitted FROM n WHERE n <= 3""",
+)
+def wn5(spark, sf_dir):
+    return budgets.per_group_limit(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 3).select("l_orderkey", "l_linenumber", "omitted")
+
+
+@register("wn6_occurrence_number", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS occurrence FROM lineitem")
+def wn6(spark, sf_dir):
+    out = budgets.occurrence_number(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("occurrence").cast("int").alias("occurrence"))
+
+
+RANGES = "SELECT l_orderkey, l_linenumber, CAST(l_linenumber / 3 AS BIGINT) * 100 AS start_byte, CAST(l_linenumber / 3 AS BIGINT) * 100 + 60 + l_partkey % 40 AS end_byte, CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS identity_key FROM lineitem"
+
+
+def range_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.floor(F.col("l_linenumber") / 3 + F.lit(0.5)).cast("long") * 100
+    key = F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("start_byte"), (start + 60 + F.col("l_partkey") % 40).alias("end_byte"), key.alias("identity_key"))
+
+
+@register(
+    "wn7_outermost_ranges",
+    f"""WITH r AS ({RANGES}), c AS (SELECT *, coalesce(max(end_byte) OVER (PARTITION BY l_orderkey ORDER BY start_byte, end_byte DESC, identity_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM r)
+    SELECT l_orderkey, identity_key, start_byte, end_byte FROM c WHERE start_byte >= covered""",
+)
+def wn7(spark, sf_dir):
+    return budgets.outermost_ranges(range_table(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "identity_key", "start_byte", "end_byte")
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(by).alias("target")).where("target IS NOT NULL").distinct()
+    return pairs.withColumn("edge_key", F.concat_ws(">", F.col("source").cast("string"), F.col("target").cast("string")))
+
+
+EDGES_SQL = """
+pairs AS (
+  SELECT DISTINCT source, target FROM (SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS target FROM lineitem) WHERE target IS NOT NULL
+)"""
+
+
+@register(
+    "job5_traverse",
+    f"""WITH RECURSIVE {EDGES_SQL}, walk AS (
+      SELECT DISTINCT source AS start_id, source AS node, 0 AS level FROM pairs WHERE source % 500 = 0
+      UNION SELECT w.start_id, p.target, w.level + 1 FROM walk w JOIN pairs p ON p.source = w.node WHERE w.level < 2
+    ), reached AS (SELECT start_id, node, min(level) AS level FROM walk GROUP BY ALL)
+    SELECT r.start_id, CAST(r.level + 1 AS INTEGER) AS level, CAST(p.source AS VARCHAR) || '>' || CAST(p.target AS VARCHAR) AS edge_key FROM reached r JOIN pairs p ON p.source = r.node WHERE r.level < 2""",
+)
+def job5(spark, sf_dir):
+    edges = part_edges(spark, sf_dir)
+    starts = edges.where("source % 500 = 0").select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
+    return graph.traverse(edges, starts, "outgoing", 2).select("start_id", "level", "edge_key")
+
+
+@register(
+    "ag4_edge_summary",
+    f"""WITH {EDGES_SQL} SELECT CAST(source % 10 AS BIGINT) AS project_id, count(*) AS edges, CAST(sum(target % 3) AS BIGINT) AS bindings, count(*) FILTER (target % 5 < 2) AS local, count(*) FILTER (target % 5 = 2) AS external,
+    count(*) FILTER (target % 5 = 3) AS builtin, count(*) FILTER (target % 5 = 4) AS unresolved FROM pairs GROUP BY 1""",
+)
+def ag4(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("local", "local", "external", "builtin", "unresolved"))), (F.col("target") % 5 + 1).cast("int"))
+    edges = part_edges(spark, sf_dir).select((F.col("source") % 10).alias("project_id"), kind.alias("resolution_kind"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("target") % 3).cast("int")).alias("bindings"))
+    return catalog.edge_summary(edges)
+
+
+@register("flt1_normalize_path", r"SELECT page_id, array_to_string(list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda s: s <> '' AND s <> '.'), '/') AS path FROM pages WHERE url IS NOT NULL")
+def flt1(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", paths.normalize_path(F.regexp_extract("url", r"://([^?#]*)", 1)).alias("path"))
+
+
+@register(
+    "jn6_nearest_package",
+    f"""WITH {FILES_SQL} SELECT f.project_id, f.path, CASE WHEN CAST(substr(f.project_id, 4) AS INTEGER) % 2 = 0 THEN f.project_id ELSE '.' END AS root FROM files f""",
+)
+def jn6(spark, sf_dir):
+    rows = file_table(spark, sf_dir).select("project_id", "path")
+    packages = rows.where(F.regexp_extract("project_id", "[0-9]+$", 0).try_cast("int") % 2 == 0).select("project_id", F.col("project_id").alias("root")).distinct()
+    return paths.nearest_package(rows, packages)
+
+
+@register(
+    "jn4_resolve_imports",
+    """WITH f AS (SELECT source AS project_id, doc_id, 'src/' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS stem, (['.ts', '.tsx', '/index.js'])[CAST(doc_id % 3 + 1 AS INTEGER)] AS ending FROM documents),
+    e AS (SELECT *, CAST(doc_id % 5 AS INTEGER) AS way FROM f),
+    t AS (SELECT project_id, doc_id, stem || ending AS path FROM f)
+    SELECT e.project_id, e.doc_id, CASE e.way WHEN 0 THEN CASE WHEN t.path IS NULL THEN 'unresolved' ELSE 'local' END WHEN 1 THEN 'external' WHEN 2 THEN 'builtin' WHEN 3 THEN 'unresolved' ELSE 'external' END AS resolution_kind,
+      CASE WHEN e.way = 0 THEN t.path END AS target_path, CASE e.way WHEN 1 THEN '@scope/name' WHEN 2 THEN 'node:fs/promises' WHEN 4 THEN 'react' END AS external_package,
+      CASE e.way WHEN 0 THEN CASE WHEN t.path IS NULL THEN 'not_found' END WHEN 3 THEN 'outside_project' END AS unresolved_reason
+    FROM e LEFT JOIN t ON t.project_id = e.project_id AND t.doc_id = e.doc_id - e.doc_id % 20 + (e.doc_id + 20) % 20""",
+)
+def jn4(spark, sf_dir):
+    ending = F.element_at(F.array(F.lit(".ts"), F.lit(".tsx"), F.lit("/index.js")), (F.col("doc_id") % 3 + 1).cast("int"))
+    stem = F.concat(F.lit("src/"), (F.col("doc_id") % 3).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), "doc_id", F.concat(stem, ending).alias("path"))
+    other = F.col("doc_id") - F.col("doc_id") % 20 + (F.col("doc_id") + 20) % 20
+    near = F.concat(F.when(F.endswith("path", F.lit("/index.js")), "../../").otherwise("../"), (other % 3).cast("string"), F.lit("/"), other.cast("string"), F.when(other % 3 == 0, ".js").when(other % 3 == 1, ".jsx").otherwise(""))
+    specifier = F.element_at(F.array(near, F.lit("@scope/name/deep/x"), F.lit("fs/promises"), F.lit("../../../../x"), F.lit("react/jsx-runtime")), (F.col("doc_id") % 5 + 1).cast("int"))
+    edges = rows.select("project_id", "doc_id", F.col("path").alias("source_path"), specifier.alias("specifier"))
+    return graph.resolve_imports(edges, rows).select("project_id", "doc_id", "resolution_kind", "target_path", "external_package", "unresolved_reason")
+
+
+@register("job12_chunk_sources")
+def job12(spark, sf_dir):
+    rows = file_table(spark, sf_dir).select("project_id", "path", files.classify_language("path").alias("language"), "text")
+    return chunks.chunk_sources(rows, max_bytes=2048).drop("content")
+
+
+@register("sc9_term_counts", r"""SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(regexp_replace(text, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term FROM benchmark) WHERE term <> '' GROUP BY term""")
+def sc9(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.explode(S.lexical_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
