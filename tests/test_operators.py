@@ -162,3 +162,56 @@ def test_stream_equals_batch(spark, tmp_path, late):
     got = {r.request_id: (r.content, r.status, r.deltas) for r in spark.table(f"folded{late}").collect()}
     batch = {r.request_id: (r.content, r.status, r.deltas) for r in ev.fold_deltas(df).collect()}
     assert got == batch == {"a": ("xy", "completed", 2), "b": ("z", "failed", 1)}
+
+
+def test_ignore_rules(spark):
+    from corpusloom.operators.ignore import classify_ignored, prune_ignored
+
+    paths_ = [".env.local", "certificates/local.key", ".env.example", "packages/api/node_modules/x.js", "coverage/report.json", "debug.log", "packages/api/keep.log", "packages/api/artifacts/a/b.txt", "packages/web/main.ts", "fixtures/data.json", "fixtures/keep.ts", "private/deep/main.ts", "docs/a/b/c.md"]
+    files_ = spark.createDataFrame([("p", p) for p in paths_], "project_id string, path string")
+    rules = [(".", 0, "*.log"), (".", 1, "private/"), (".", 2, "# note"), (".", 3, "docs/**/c.md"), ("packages/api", 0, "!keep.log"), ("packages/api", 1, "artifacts/"), ("private", 0, "!main.ts")]
+    table = spark.createDataFrame([("p", *r) for r in rules], "project_id string, base_path string, rule_no int, pattern string")
+    tool = spark.createDataFrame([("p", ".", 0, "fixtures/**"), ("p", ".", 1, "!fixtures/keep.ts"), ("p", ".", 2, "!.env.local")], "project_id string, base_path string, rule_no int, pattern string")
+    out = classify_ignored(files_, table, tool)
+    got = {r.path: r.source for r in out.collect()}
+    assert got == {".env.local": "built_in_safety", "certificates/local.key": "built_in_safety", ".env.example": "none", "packages/api/node_modules/x.js": "built_in_generated", "coverage/report.json": "built_in_generated", "debug.log": "gitignore", "packages/api/keep.log": "none", "packages/api/artifacts/a/b.txt": "gitignore", "packages/web/main.ts": "none", "fixtures/data.json": "tool_ignore", "fixtures/keep.ts": "none", "private/deep/main.ts": "gitignore", "docs/a/b/c.md": "gitignore"}
+    kept, counts = prune_ignored(files_, out)
+    assert kept.count() == 4 and counts.first().ignored_paths == 9
+
+
+def test_symbols(spark):
+    from corpusloom.operators.symbols import build_symbols, range_contains_join
+
+    rows = [("class", "A", 0, 100), ("method", "m", 10, 20), ("method", "m", 30, 40), ("function", "f", 12, 18), ("function", "g", 200, 210), ("method", "m", 10, 20), ("class", "B" * 2000, 300, 400), ("method", "lost", 310, 320)]
+    df = spark.createDataFrame([("p", "a.ts", "typescript", k, n, True, a, b) for k, n, a, b in rows], "project_id string, path string, language string, kind string, name string, exported boolean, start_byte long, end_byte long")
+    out = build_symbols(df).collect()
+    assert sorted((r.qualified_name, r.occurrence) for r in out) == [("A", 0), ("A.m", 0), ("A.m", 1), ("A.m.f", 0), ("g", 0)]
+    keys = {r.identity_key: r.qualified_name for r in out}
+    assert {r.qualified_name: keys.get(r.parent_key) for r in out if r.occurrence == 0} == {"A": None, "A.m": "A", "A.m.f": "A.m", "g": None}
+    inner = spark.createDataFrame([("p", "a.ts", 13, 14), ("p", "a.ts", 150, 160)], "project_id string, path string, start_byte long, end_byte long")
+    joined = range_contains_join(spark.createDataFrame(out), inner, ["project_id", "path"]).collect()
+    assert [(r.start_byte, keys[r.owner_key]) for r in joined] == [(13, "A")]
+
+
+def test_framework_scopes_and_facts(spark):
+    from corpusloom.operators.frameworks import bind_evidence, detect_scopes, framework_imports, next_facts, react_facts
+
+    packages = spark.createDataFrame([("p", "package.json", '{"dependencies":{"express":"1"}}'), ("p", "apps/web/package.json", '{"dependencies":{"next":"1"}}'), ("p", "packages/data/package.json", "{}"), ("p", "bad/package.json", "{")], "project_id string, path string, text string")
+    edge = "project_id string, source_path string, edge_key string, external_package string, type_only boolean, bindings array<struct<kind:string,imported_name:string,local_name:string,exported_name:string,type_only:boolean>>"
+    edges = spark.createDataFrame([("p", "packages/data/a.ts", "e1", "sequelize", False, [("named", "Model", "M", None, False), ("namespace", None, "S", None, False)]), ("p", "x.ts", "e2", "@nestjs/common", True, [])], edge)
+    scopes = detect_scopes(packages, edges)
+    assert sorted((r.root_path, r.framework) for r in scopes.collect()) == [(".", "express"), ("apps/web", "nextjs"), ("apps/web", "react"), ("packages/data", "sequelize")]
+    imports = framework_imports(edges)
+    assert sorted((r.local_name, r.imported_name) for r in imports.collect()) == [("M", "Model"), ("S", "*")]
+    evidence = spark.createDataFrame([("p", "packages/data/a.ts", ["S", "Model"]), ("p", "packages/data/a.ts", ["M", "init"]), ("p", "packages/data/a.ts", ["Other"])], "project_id string, path string, reference array<string>")
+    assert sorted(r.bound_name for r in bind_evidence(evidence, imports, "sequelize").collect()) == ["Model", "Model"]
+    listing = spark.createDataFrame([("p", "apps/web/app/blog/[id]/page.tsx"), ("p", "apps/web/app/api/route.ts"), ("p", "app/page.tsx")], "project_id string, path string")
+    symbol = "project_id string, path string, identity_key string, name string, exported boolean, start_byte long, end_byte long"
+    symbols = spark.createDataFrame([("p", "apps/web/app/api/route.ts", "k", "GET", True, 0, 9)], symbol)
+    facts = next_facts(listing, scopes.where("framework = 'nextjs'"), symbols).collect()
+    assert sorted((r.entity_kind, r.name, r.route_pattern) for r in facts) == [("page", "page", "/blog/:id"), ("route_handler", "GET", "/api")]
+    ui = spark.createDataFrame([("p", "u.tsx", "d", "Dashboard", True, 0, 50), ("p", "u.tsx", "l", "LocalCard", True, 60, 90), ("p", "u.tsx", "m", "Memo", True, 95, 99), ("p", "u.tsx", "h", "helper", True, 100, 120)], symbol)
+    jsx = spark.createDataFrame([("p", "u.tsx", "LocalCard", 10, 20), ("p", "u.tsx", "Card", 21, 30), ("p", "u.tsx", "div", 65, 70), ("p", "u.tsx", "div", 101, 110)], "project_id string, path string, name string, start_byte long, end_byte long")
+    components, renders = react_facts(ui, jsx, spark.createDataFrame([("p", "u.tsx", "Memo")], "project_id string, path string, assigned_name string"))
+    assert sorted(r.name for r in components.collect()) == ["Dashboard", "LocalCard", "Memo"]
+    assert sorted((r.target_name, r.certainty) for r in renders.collect()) == [("Card", "declared"), ("LocalCard", "linked")]
