@@ -215,3 +215,49 @@ def test_framework_scopes_and_facts(spark):
     components, renders = react_facts(ui, jsx, spark.createDataFrame([("p", "u.tsx", "Memo")], "project_id string, path string, assigned_name string"))
     assert sorted(r.name for r in components.collect()) == ["Dashboard", "LocalCard", "Memo"]
     assert sorted((r.target_name, r.certainty) for r in renders.collect()) == [("Card", "declared"), ("LocalCard", "linked")]
+
+
+def test_import_scanner(spark):
+    from corpusloom.operators.imports import extract_dependencies, scan_imports
+
+    text = """import def, { a as b, type T } from './x.js';
+import * as ns from "pkg/sub";
+import type { Only } from 'types';
+import 'side';
+export { q as r } from './y';
+export * from './z';
+// import no from 'comment'
+const s = "import no from 'string'";
+const { j, k: l } = require('path');
+const whole = require("fs");
+const lazy = () => import('./lazy');
+"""
+    got = [(e["kind"], e["specifier"], e["type_only"], [(b["kind"], b["imported_name"], b["local_name"], b["exported_name"]) for b in e["bindings"]]) for e in scan_imports("typescript", text)]
+    assert got == [
+        ("import", "./x.js", False, [("default", "default", "def", None), ("named", "a", "b", None), ("named", "T", "T", None)]),
+        ("import", "pkg/sub", False, [("namespace", "*", "ns", None)]),
+        ("import", "types", True, [("named", "Only", "Only", None)]),
+        ("side_effect", "side", False, []),
+        ("re_export", "./y", False, [("named", "q", None, "r")]),
+        ("re_export", "./z", False, [("namespace", "*", None, "*")]),
+        ("require", "path", False, [("commonjs_named", "j", "j", None), ("commonjs_named", "k", "l", None)]),
+        ("require", "fs", False, [("commonjs_default", None, "whole", None)]),
+        ("dynamic_import", "./lazy", False, []),
+    ]
+    df = spark.createDataFrame([("p", "a.ts", "typescript", text), ("p", "b.py", "python", "import os"), ("p", "c.ts", "typescript", None)], "project_id string, path string, language string, text string")
+    out = extract_dependencies(df, max_edges=5).collect()
+    assert len(out) == 5 and {r.omitted for r in out} == {4} and len({r.edge_key for r in out}) == 5
+
+
+def test_pipeline_of_all_stages(spark):
+    from corpusloom.plans.jobs import index_dependencies, index_sources, run_pipeline
+
+    rows = [("p", "src/a.ts", b"import { x } from './b.js';\nlet y = x;\n"), ("p", "src/b.ts", b"export const x = 1;\n"), ("p", "c.bin", b"\0"), ("q", "d.py", b"import os\n")]
+    df = spark.createDataFrame(rows, "project_id string, path string, content binary").withColumn("size_bytes", F.octet_length("content").cast("long"))
+    out = run_pipeline(df, chunks.hashing_embedder(8), 8, "m1")
+    assert [(r.source_path, r.target_path) for r in out["edges"].collect()] == [("src/a.ts", "src/b.ts")]
+    assert {(r.project_id, r.stage): r.rows for r in out["runs"].collect()} == {("p", "source"): 3, ("p", "dependencies"): 1, ("p", "chunks"): 2, ("p", "embeddings"): 2, ("q", "source"): 1, ("q", "dependencies"): 0, ("q", "chunks"): 1, ("q", "embeddings"): 1}
+    again = run_pipeline(df, chunks.hashing_embedder(8), 8, "m1", out["vectors"])
+    assert all(r.reused for r in again["vectors"].collect())
+    reused = index_dependencies(index_sources(df), df, lambda *_: [], out["edges"].drop("resolution_kind", "target_path", "external_package", "unresolved_reason"))
+    assert [(r.source_path, r.target_path) for r in reused.collect()] == [("src/a.ts", "src/b.ts")]
