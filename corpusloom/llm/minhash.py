@@ -15,11 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import connected_components, materialize
-from corpusloom.llm.words import LOWER, mix, slices, texts_of, words_of
+from corpusloom.llm.words import LOWER, distinct, mix, slices, texts_of, words_of
 
 PLACES_BITS = 20
 
@@ -54,7 +54,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             runs[: max(0, n)] = mix(runs[: max(0, n)] * np.uint64(0x9FB21C651E98DF25) + h[j : j + max(0, n)])
         for i, j in zip(words.first[:-1], words.first[1:], strict=True):
             if j - i >= size:
-                yield np.unique(runs[i : j - size + 1])
+                yield distinct(runs[i : j - size + 1])
             else:
                 run = h[i : min(j, i + 1)].copy()
                 for k in range(i + 1, j):
@@ -105,7 +105,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, small_bucket: int = 16, block_rows: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, small_bucket: int = 16, block_rows: int = 256) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets
