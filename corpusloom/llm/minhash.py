@@ -105,7 +105,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, small_bucket: int = 16, block_rows: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, small_bucket: int = 16, block_rows: int = 512) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets
