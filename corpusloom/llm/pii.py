@@ -102,6 +102,9 @@ def _looks() -> dict[str, str]:
     return table | dict.fromkeys(INVISIBLE, "")
 
 
+#: After a dot that is spelled as a bare word, or an at word before a dotted domain, only these end a mail address.
+TLDS = frozenset("com org net edu gov mil int info biz io co dev app ai me tv uk fr de es eu ch nl pl se ca au jp cn ru br".split())
+
 _TOKEN = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")"
 _RUN = re.compile(rf"\b(?:{_TOKEN}|[0-9]+)(?:[ ,-]{{1,3}}(?:{_TOKEN}|[0-9]+))*\b", re.IGNORECASE)
 _PART = re.compile(rf"{_TOKEN}|[0-9]+", re.IGNORECASE)
@@ -110,12 +113,15 @@ _OPEN, _SHUT, _GAP = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]", r"[ \t]{0,3}"
 _AT_BRACKET = re.compile(rf"{_GAP}{_OPEN}(?:{AT_WORDS}|@){_SHUT}{_GAP}", re.IGNORECASE)
 _DOT_BRACKET = re.compile(rf"{_GAP}{_OPEN}(?:{DOT_WORDS}|\.){_SHUT}{_GAP}", re.IGNORECASE)
 _DOT_WORD = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{DOT_WORDS})[ \t]{{1,3}}(?=[A-Za-z0-9])", re.IGNORECASE)
-_AT_WORD = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{AT_WORDS})[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[ \t]{{1,3}}(?:{DOT_WORDS})[ \t]|{_GAP}{_OPEN}(?:{DOT_WORDS}|\.){_SHUT}))", re.IGNORECASE)
+_LABEL = r"[A-Za-z0-9-]{1,63}"
+_DOMAIN_AHEAD = rf"{_LABEL}(?:\.{_LABEL})*(?:[ \t]{{1,3}}(?:{DOT_WORDS})[ \t]|{_GAP}{_OPEN}(?:{DOT_WORDS}|\.){_SHUT})|(?:{_LABEL}\.)+(?:{'|'.join(sorted(TLDS))})(?!\.?[A-Za-z0-9-])"
+_AT_WORD = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{AT_WORDS})[ \t]{{1,3}}(?={_DOMAIN_AHEAD})", re.IGNORECASE)
+_AT_TRIGGER = re.compile(rf"\b(?:{AT_WORDS})[ \t]{{1,3}}[\w-]+\.\w", re.IGNORECASE)
+_WORD = re.compile(r"\w+")
 _AT_LOOSE = re.compile(r"(?<=[A-Za-z0-9])[ \t]{0,3}@[ \t]{0,3}(?=[A-Za-z0-9])")
-_PLUS = re.compile(r"\b(?:plus|más|mas)\s{1,3}(?=[0-9])", re.IGNORECASE)
+_PLUS_WORDS = ("plus", "más", "mas")
+_PLUS = re.compile(rf"\b(?:{'|'.join(_PLUS_WORDS)})\s{{1,3}}(?=[0-9])", re.IGNORECASE)
 _TLD = re.compile(r"\.([A-Za-z]{2,24})$")
-#: After a dot that is spelled as a bare word, only these end a mail address.
-TLDS = frozenset("com org net edu gov mil int info biz io co dev app ai me tv uk fr de es eu ch nl pl se ca au jp cn ru br".split())
 
 
 class Tape:
@@ -146,15 +152,31 @@ class Tape:
         self.starts, self.ends, self.edited = map(np.concatenate, (starts, ends, edited))
 
 
-def _counts(text: str) -> bool:
-    """Whether a spelled digit stands next to another one, to digits or to a spelled dot: else no transducer for them can matter."""
-    words = text.replace("-", " ").replace(",", " ").split()
+def _folded(text: str) -> str:
+    """Lower case as IGNORECASE sees it, where long s and dotted capital I are letters of a word too."""
+    return text.lower() if text.isascii() else text.casefold().replace("i\u0307", "i")
+
+
+def _counts(small: str) -> bool:
+    """Whether a spelled digit stands, but for white space and signs, next to another one, to digits or to a spelled dot, or anywhere beside an @.
+
+    Addresses, cards and phones hold no other words between their digits, so else no transducer for spelled digits can matter.
+    """
+    words = _WORD.findall(small)
     for i in [i for i, w in enumerate(words) if w in SPELLED]:
-        if any(w in SPELLED or w in _DOTS or w[0].isdigit() for w in words[max(0, i - 1) : i] + words[i + 1 : i + 2]):
+        if "@" in small or any(w in SPELLED or w in _DOTS or w[0].isdigit() for w in words[max(0, i - 1) : i] + words[i + 1 : i + 2]):
             return True
     return False
 
 
+def _triggered(text: str) -> bool:
+    """Whether any transducer but that for look-alikes can lead to a span: true wherever one of their patterns can matter."""
+    small = _folded(text)
+    if (any(w in small for w in _DOTS) or any(c in text for c in "[({<")) and _WORD_TRIGGER.search(text):
+        return True
+    return _counts(small) or any(w in small for w in _PLUS_WORDS) and bool(_PLUS.search(text)) or "." in text and bool(_AT_TRIGGER.search(text))
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for run in _RUN.finditer(text):
@@ -164,7 +186,7 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
             continue
         for i, (a, b, token) in enumerate(parts):
             if words[i]:
-                edits.append((a, b, SPELLED[token.lower()]))
+                edits.append((a, b, SPELLED[_folded(token)]))
             if i + 1 < len(parts) and (words[i] or words[i + 1]):
                 edits.append((b, parts[i + 1][0], ""))
     return edits
@@ -174,12 +196,14 @@ def deobfuscate(text: str) -> Tape | None:
     """The tape after all transducers, or None where no trigger of any of them occurs."""
     table = _looks()
     looks = not text.isascii() and not table.keys().isdisjoint(text)
-    small = text.lower()
-    dots = any(w in small for w in _DOTS) or any(c in text for c in "[({<")
-    if not looks and not (dots and _WORD_TRIGGER.search(text)) and not _counts(small):
-        return None
+    return rewritten(text) if looks or _triggered(text) else None
+
+
+def rewritten(text: str) -> Tape:
+    """The tape after all transducers, whether or not they find anything."""
+    table = _looks()
     tape = Tape(text)
-    if looks:
+    if not text.isascii():
         tape.rewrite([(i, i + 1, table[c]) for i, c in enumerate(text) if c in table])
     tape.rewrite(_spelled(tape.text))
     tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
@@ -195,6 +219,11 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     tape = deobfuscate(text)
     if tape is None:
         return base, base
+    return base, with_added(text, base, tape)
+
+
+def with_added(text: str, base: list[tuple[int, int, int]], tape: Tape) -> list[tuple[int, int, int]]:
+    """The plain spans and those that only the tape shows."""
     added = []
     for kind, a, b in detect(tape.text):
         if not tape.edited[a:b].any():
@@ -206,7 +235,7 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
                 continue
         if not any(k == kind and s <= start and end <= e for k, s, e in base):
             added.append((kind, start, end))
-    return base, sorted({*base, *added})
+    return sorted({*base, *added})
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from corpusloom.llm.pii import KINDS, detect, find_pii, luhn, op4_pii, redact, redacted, spans_of
+from corpusloom.llm.pii import KINDS, detect, find_pii, luhn, op4_pii, redact, redacted, rewritten, spans_of, with_added
 
 
 def brute(text):
@@ -43,6 +43,30 @@ def test_disguises_map_back_to_the_source():
             assert [(k, text[a:b]) for k, a, b in added] == [(kind, source)], (text, added)
 
 
+def test_gate_lets_every_disguise_through():
+    for text, kind, source in [
+        ("ip one.two.three.four.", 1, "one.two.three.four"),
+        ("“10.zero.zero.1”", 1, "10.zero.zero.1"),
+        ("call plus 49 30 1234567 now", 3, "plus 49 30 1234567"),
+        ("call +1 (five) 5512345678", 3, "+1 (five) 5512345678"),
+        ("write jane at mail.example dot org now", 0, "jane at mail.example dot org"),
+        ("write jane at mail.example [dot] org now", 0, "jane at mail.example [dot] org"),
+        ("write jane at mail.example.org.", 0, "jane at mail.example.org"),
+        ("ip ſix.sİx.six.1", 1, "ſix.sİx.six.1"),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in spans_of(text)[1]] == [(kind, source)], text
+    for text in ("He looked at node.js", "at 9.30 they met at home. Com is short", "one. un (plus"):
+        assert spans_of(text) == ([], [])
+
+
+def test_gate_equals_the_ungated_tape():
+    rng = random.Random(5)
+    parts = "one two seven zéro fünf ſix sİx dot point (dot) [at] at chez plus más @ jane mail com org . . . , - ( ) + 1 49 192 5551234567 é “ _ x а".split() + [" "] * 6 + ["\n", "\t"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 22)))
+        assert spans_of(text)[1] == with_added(text, detect(text), rewritten(text)), text
+
+
 def test_clean_text_gets_no_spans():
     for text in ("meet at noon dot the i", "un deux trois", "one two three four", "He was at home. A point of order at sea", "1990–2000, 12·5", "", "Привет мир"):
         assert spans_of(text) == ([], [])
