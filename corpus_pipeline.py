@@ -6,7 +6,7 @@ read again as the next stage's docs. All but the last return the columns of docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.minhash import near_duplicates
@@ -29,10 +29,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; documents without an id stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near duplicates, that with the smallest doc_id; documents without an id stay.
+
+    An id may repeat: rows equal in id and text are one, the first by their other
+    columns, and rows that share an id but not the text are documents of their own.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
+        one = docs.join(kept, "doc_id", "left_semi")
+    else:
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        same = Window.partitionBy("doc_id", "text_hash").orderBy(*others)
+        rows = known.withColumn("text_hash", F.sha2("text", 256)).withColumn("place", F.row_number().over(same)).where("place = 1")
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+        first = rows.select("row", "doc_id", "text_hash").join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("first"))
+        one = rows.join(first.select("first.row"), "row", "left_semi")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,34 +41,65 @@ def _masks(width: int, part: list[int], radii: list[int]) -> list[int]:
     return [(s << 56) | m for s in part for m in flips]
 
 
+def _nearest(rows: DataFrame, k: int) -> DataFrame:
+    """``rows(q, distance, id, code, n)`` -> q, best, ids, far: what k rows of other ids than one can need.
+
+    ``n`` counts equal rows. Of an id the first k rows stay, and of ids the k + 1 that
+    come first; ``ids`` is their number and ``far`` the distance at which the last of them comes in.
+    """
+    rows = rows.repartition("q").groupBy("q", "distance", "id", "code").agg(F.first("n").alias("n"))
+    own = Window.partitionBy("q", "id").orderBy("distance", "code")
+    rows = rows.withColumn("before", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1))).where("coalesce(before, 0) < %d" % k)
+    rows = rows.withColumn("first", F.min("distance").over(Window.partitionBy("q", "id")))
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("q").orderBy("first", "id"))).where(F.col("place") <= k + 1)
+    best = F.sort_array(F.collect_list(F.struct("distance", "id", "code", "n")))
+    return rows.groupBy("q").agg(best.alias("best"), F.max("place").alias("ids"), F.max("first").alias("far"))
+
+
 def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
     """``queries(id, code)`` against ``index(id, code)`` -> query_id, rank, id, distance.
 
-    The k codes of smallest Hamming distance, smaller ids first on ties, without the row
-    of the query's own id. Equal codes are one entry with its k + 1 smallest ids, so a
-    large group of copies costs one probe. ``segments`` (2, 4 or 8) should be near
-    64 / log2(rows).
+    The k codes of smallest Hamming distance, smaller ids first on ties, without the rows
+    of the query's own id. Equal codes are one entry with its k + 1 smallest ids and how
+    often each is there, so a large group of copies costs one probe. ``segments`` (2, 4
+    or 8) should be near 64 / log2(rows).
 
     Null ids and codes are left out on both sides. Rows that repeat an id in the index
     count each; repeated queries give repeated results. With fewer than k other rows
-    all of them are returned. Empty tables give no rows. Other columns are not read.
+    all of them are returned; an index of at most k ids is compared as a whole. Empty
+    tables give no rows. Other columns are not read.
     """
     width = BITS // segments
     low = (1 << width) - 1
     queries = queries.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries = index.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL").withColumn("n", rank).where(F.col("n") <= k + 1)
-    entries = materialize(entries.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    rows = entries.select(F.sum(F.size("ids"))).first()[0] or 0
-    need = min(k + 1, rows)
+    copies = index.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL").groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    entries = copies.withColumn("place", rank).where(F.col("place") <= k + 1)
+    entries = materialize(entries.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")), "codes")
+    few = entries.select(F.explode("ids.id").alias("id")).distinct().limit(k + 1).count() <= k
+    asked = queries.select(F.col("code").alias("q")).distinct()
+    if few:
+        pairs = asked.crossJoin(entries).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e"))
+        done = _nearest(pairs.select("q", "distance", "e.id", "code", "e.n"), k).select("q", "best")
+    else:
+        done = _probed(asked, entries, k, segments, width, low)
+    others = F.filter("best", lambda b: b["id"] != F.col("query_id"))
+    others = F.slice(F.flatten(F.transform(others, lambda b: F.array_repeat(F.struct(b["distance"].alias("distance"), b["id"].alias("id")), b["n"]))), 1, k)
+    found = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(done, "q").select("query_id", F.posexplode(others).alias("at", "b"))
+    return found.select("query_id", (F.col("at") + 1).alias("rank"), "b.id", "b.distance")
+
+
+def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, width: int, low: int) -> DataFrame:
+    """The rounds of multi-index hashing over an index of more than k ids: q, best."""
+    need = k + 1
     segment = lambda c, s: F.shiftrightunsigned(F.col(c), width * s).bitwiseAND(F.lit(low))
     keyed = entries.select("code", "ids", F.explode(F.array(*(segment("code", s).bitwiseOR(F.lit(s << 56)) for s in range(segments)))).alias("key"))
     keyed = materialize(keyed, "segments")
-    none = F.array().cast("array<struct<distance:int,id:bigint>>")
-    state = queries.select(F.col("code").alias("q")).distinct().select("q", none.alias("best"))
+    none = F.array().cast("array<struct<distance:int,id:bigint,code:bigint,n:int>>")
+    state = asked.select("q", none.alias("best"), F.lit(0).alias("ids"), F.lit(BITS).alias("far"))
     done, radii = None, [0, 1]
     for radius, part, reach in _steps(segments):
-        bound = F.when(F.size("best") >= need, F.try_element_at("best", F.lit(-1))["distance"]).otherwise(BITS)
+        bound = F.when(F.col("ids") >= need, F.col("far")).otherwise(BITS)
         masks = F.array(*map(F.lit, _masks(width, part, radii if radius == 1 else [radius])))
         probes = state.select("q", bound.alias("bound"), F.explode(masks).alias("mask"))
         of = F.shiftrightunsigned("mask", 56)
@@ -76,23 +107,18 @@ def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: i
         probes = probes.select("q", "bound", value.bitwiseXOR(F.col("mask").bitwiseAND(F.lit(low))).bitwiseOR(F.call_function("shiftleft", of, F.lit(56))).alias("key"))
         seen = probes.join(keyed, (probes.key == keyed.key) & (F.bit_count(F.col("q").bitwiseXOR(F.col("code"))) <= F.col("bound")))
         seen = seen.groupBy("q", "code").agg(F.first("ids").alias("ids"))
-        fresh = seen.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("id"))
-        old = state.select("q", F.explode("best").alias("b")).select("q", "b.distance", "b.id")
-        both = fresh.union(old).groupBy("q", "distance", "id").count() if radius > 1 else fresh.groupBy("q", "distance", "id").count()
-        best = both.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("n") <= k + 1)
-        best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("new"))
-        state = state.join(best, "q", "left").select("q", F.coalesce("new", "best").alias("best"))
+        fresh = seen.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e")).select("q", "distance", "e.id", "code", "e.n")
+        old = state.select("q", F.explode("best").alias("b")).select("q", "b.distance", "b.id", "b.code", "b.n")
+        best = _nearest(fresh.union(old) if radius > 1 else fresh, k).toDF("q", "new", "new_ids", "new_far")
+        state = state.join(best, "q", "left").select("q", F.coalesce("new", "best").alias("best"), F.coalesce("new_ids", "ids").alias("ids"), F.coalesce("new_far", "far").alias("far"))
         state = materialize(state, "nearest")
-        ready = (F.size("best") >= need) & (F.try_element_at("best", F.lit(-1))["distance"] <= reach)
-        ready = F.coalesce(ready, F.lit(need == 0))
+        ready = (F.col("ids") >= need) & (F.col("far") <= reach)
         part_done = state.where(ready)
         done = part_done if done is None else done.union(part_done)
         state = state.where(~ready)
         if state.isEmpty():
             break
-    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
-    found = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(done, "q").select("query_id", F.posexplode(others).alias("at", "b"))
-    return found.select("query_id", (F.col("at") + 1).alias("rank"), "b.id", "b.distance")
+    return done.union(state).select("q", "best")
 
 
 def op1_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,12 @@ def test_query_equals_its_sql(spark):
     duckdb.sql("CREATE OR REPLACE VIEW embeddings AS FROM '/root/testdata/sf0.001/embeddings.parquet'")
     want = sorted(duckdb.sql(OP1_SQL).fetchall())
     assert got(op1_multi_index_hamming(spark, "/root/testdata/sf0.001")) == want and len(want) > 100
+
+
+def test_repeated_ids_count_each(spark):
+    df = lambda rows: spark.createDataFrame([(i, c, "x") for i, c in rows], CODES)
+    many = [(1, 5)] * 12 + [(i, 5) for i in range(2, 8)] + [(i, 2**40 - i) for i in range(20, 40)]
+    queries = [(1, 5), (3, 5), (25, 2**40 - 25), (99, -1)]
+    assert got(nearest_codes(df(queries), df(many), 5)) == brute(queries, many, 5)
+    few = [(1, 5)] * 4 + [(1, 6), (2, 5), (2, -1)] + [(2, 7)] * 3
+    assert got(nearest_codes(df(queries), df(few), 10)) == brute(queries, few, 10)

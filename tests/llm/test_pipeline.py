@@ -92,3 +92,12 @@ def test_run_equals_its_stages_and_takes_odd_rows(spark, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns[:3] == ["doc_id", "start", "length"] and got.count() > 0
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(1, text(1), "b"), (1, text(1), "a"), (1, text(2), "c"), (2, text(2), "d"), (3, text(3), "e"), (3, text(1), "f"), (None, text(1), "g"), (3, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(r.lang for r in out.collect()) == ["a", "c", "e", "g", "h"]
