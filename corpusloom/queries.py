@@ -411,7 +411,7 @@ def jn4(spark, sf_dir):
 @register("job12_chunk_sources")
 def job12(spark, sf_dir):
     rows = file_table(spark, sf_dir).select("project_id", "path", files.classify_language("path").alias("language"), "text")
-    return chunks.chunk_sources(rows, max_bytes=2048).drop("content")
+    return chunks.chunk_sources(rows).drop("content")
 
 
 @register("sc9_term_counts", r"""SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(regexp_replace(text, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term FROM benchmark) WHERE term <> '' GROUP BY term""")

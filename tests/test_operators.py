@@ -4,6 +4,7 @@ import hashlib
 from datetime import datetime
 
 import pytest
+from corpusloom import queries
 from corpusloom.functions import scalar as S
 from corpusloom.operators import budgets, catalog, chunks, context, conversations, files, graph, paths, search
 from corpusloom.streaming import events as ev
@@ -261,3 +262,10 @@ def test_pipeline_of_all_stages(spark):
     assert all(r.reused for r in again["vectors"].collect())
     reused = index_dependencies(index_sources(df), df, lambda *_: [], out["edges"].drop("resolution_kind", "target_path", "external_package", "unresolved_reason"))
     assert [(r.source_path, r.target_path) for r in reused.collect()] == [("src/a.ts", "src/b.ts")]
+
+
+def test_job12_keeps_texts_that_fit_the_default_limits(spark, tmp_path):
+    text = "x" * 99 + "\n"
+    spark.createDataFrame([(1, text * 15_000, "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    parts = queries.QUERIES["job12_chunk_sources"](spark, str(tmp_path)).collect()
+    assert max(r.end_byte for r in parts) == 1_500_000 and max(r.end_byte - r.start_byte for r in parts) > 2048 and not any(r.truncated for r in parts)
