@@ -1,14 +1,14 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into segments, each with an index from its value to the codes that
-hold it. Rounds probe one more bit of difference in one or more segments: after radius r
-in j segments and r - 1 in the rest, no code within ``segments * r + j - 1`` bits is
-unseen. A query is done once its k-th verified distance is within that reach.
+hold it. Rounds probe one more bit of difference in one or more segments: with radius
+r[s] probed in segment s, no code within ``sum(r[s] + 1) - 1`` bits is unseen. A query is
+done once its k-th verified distance is within that reach.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import comb, log2
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,29 +16,45 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import materialize
 
 BITS = 64
+#: Codes under one segment value above which the value's entries are dealt out over several join keys.
+BUCKET = 4096
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """``vectors(vec_id, embedding)`` -> id, code: bit i is set where component i is above zero; null vectors and components give a null code."""
-    bits = F.transform(F.slice("embedding", 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).when(x.isNotNull(), F.lit(0).cast("long")))
-    code = F.when(~F.exists(bits, lambda b: b.isNull()), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    """``vectors(vec_id, embedding)`` -> id, code: bit i is set where component i is above zero.
+
+    A null vector, one with a null component and one of more than 64 components have a null code.
+    """
+    bits = F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).when(x.isNotNull(), F.lit(0).cast("long")))
+    code = F.when((F.size("embedding") <= BITS) & ~F.exists(bits, lambda b: b.isNull()), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
     return vectors.select(F.col("vec_id").alias("id"), code.alias("code"))
 
 
+def _spans(segments: int) -> list[tuple[int, int]]:
+    """(lowest bit, number of bits) of each segment; numbers differ by one at most."""
+    cuts = [BITS * s // segments for s in range(segments + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _steps(segments: int) -> list[tuple[int, list[int], int]]:
     """(radius, segments probed at it, reach afterwards): whole rounds while balls are small, then half rounds."""
-    width, out = BITS // segments, []
-    for r in range(1, width + 1):
-        halves = [list(range(segments))] if r < 4 else [list(range(segments // 2)), list(range(segments // 2, segments))]
-        for part in halves:
-            out.append((r, part, segments * r + part[-1]))
+    widths, done, out = [w for _, w in _spans(segments)], [0] * segments, []
+    for r in range(1, max(widths) + 1):
+        whole = list(range(segments))
+        for part in [whole] if comb(max(widths), r) <= 600 else [whole[: segments // 2], whole[segments // 2 :]]:
+            for s in part:
+                done[s] = min(r, widths[s])
+            out.append((r, part, sum(d + 1 for d in done) - 1))
     return out
 
 
-def _masks(width: int, part: list[int], radii: list[int]) -> list[int]:
-    """Bits to flip, shifted to their segment, with the segment's number above bit 56."""
-    flips = [sum(1 << b for b in bits) for r in radii for bits in combinations(range(width), r)]
-    return [(s << 56) | m for s in part for m in flips]
+def _masks(spark: SparkSession, widths: set[int], low: int, high: int) -> DataFrame:
+    """bits, flips: for each segment width the masks of ``low`` to ``high`` set bits, at most 2 ** width rows a width."""
+    out = None
+    for width in sorted(widths):
+        one = spark.range(1 << width).where(F.bit_count("id").between(low, high)).select(F.lit(width).alias("bits"), F.col("id").alias("flips"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _nearest(rows: DataFrame, k: int) -> DataFrame:
@@ -56,61 +72,75 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("q").agg(best.alias("best"), F.max("place").alias("ids"), F.max("first").alias("far"))
 
 
-def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
+def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """``queries(id, code)`` against ``index(id, code)`` -> query_id, rank, id, distance.
 
     The k codes of smallest Hamming distance, smaller ids first on ties, without the rows
     of the query's own id. Equal codes are one entry with its k + 1 smallest ids and how
-    often each is there, so a large group of copies costs one probe. ``segments`` (2, 4
-    or 8) should be near 64 / log2(rows).
+    often each is there, so a large group of copies costs one probe. ``segments`` (3 to
+    8) is 64 / log2(number of codes), rounded, unless given: a segment value then holds a
+    few codes. Values that hold more than ``bucket`` codes are dealt out over several keys.
 
     Null ids and codes are left out on both sides. Rows that repeat an id in the index
     count each; repeated queries give repeated results. With fewer than k other rows
-    all of them are returned; an index of at most k ids is compared as a whole. Empty
-    tables give no rows. Other columns are not read.
+    all of them are returned. Empty tables give no rows. Other columns are not read.
     """
-    width = BITS // segments
-    low = (1 << width) - 1
     queries = queries.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     copies = index.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL").groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
     entries = copies.withColumn("place", rank).where(F.col("place") <= k + 1)
     entries = materialize(entries.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")), "codes")
-    few = entries.select(F.explode("ids.id").alias("id")).distinct().limit(k + 1).count() <= k
-    asked = queries.select(F.col("code").alias("q")).distinct()
-    if few:
-        pairs = asked.crossJoin(entries).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e"))
-        done = _nearest(pairs.select("q", "distance", "e.id", "code", "e.n"), k).select("q", "best")
-    else:
-        done = _probed(asked, entries, k, segments, width, low)
+    n = entries.count()
+    segments = segments or min(8, max(3, round(BITS / log2(max(2, n)))))
+    asked = queries.select(F.col("code").alias("q")).distinct().where(F.lit(n > 0))
+    done = _probed(asked, entries, k, segments, bucket)
     others = F.filter("best", lambda b: b["id"] != F.col("query_id"))
     others = F.slice(F.flatten(F.transform(others, lambda b: F.array_repeat(F.struct(b["distance"].alias("distance"), b["id"].alias("id")), b["n"]))), 1, k)
-    found = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(done, "q").select("query_id", F.posexplode(others).alias("at", "b"))
+    found = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(done.hint("merge"), "q").select("query_id", F.posexplode(others).alias("at", "b"))
     return found.select("query_id", (F.col("at") + 1).alias("rank"), "b.id", "b.distance")
 
 
-def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, width: int, low: int) -> DataFrame:
-    """The rounds of multi-index hashing over an index of more than k ids: q, best."""
-    need = k + 1
-    segment = lambda c, s: F.shiftrightunsigned(F.col(c), width * s).bitwiseAND(F.lit(low))
-    keyed = entries.select("code", "ids", F.explode(F.array(*(segment("code", s).bitwiseOR(F.lit(s << 56)) for s in range(segments)))).alias("key"))
-    keyed = materialize(keyed, "segments")
+def _keyed(entries: DataFrame, spans: list[tuple[int, int]], bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """The index: key (segment and value), sub, code, ids; and the keys of more than ``bucket`` codes with their number of subs, if there are any."""
+    keyed = entries.select("code", "ids", F.explode(F.array(*(_value("code", s, span) for s, span in enumerate(spans)))).alias("key"))
+    hot = keyed.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(F.col("count") / bucket).cast("int").alias("subs"))
+    hot = materialize(hot, "hot-values")
+    if hot.isEmpty():
+        return materialize(keyed.withColumn("sub", F.lit(0)), "segments"), None
+    keyed = keyed.join(hot, "key", "left").withColumn("sub", F.pmod(F.xxhash64("code"), F.coalesce("subs", F.lit(1))).cast("int"))
+    return materialize(keyed.drop("subs"), "segments"), hot
+
+
+def _value(code: str, s: int, span: tuple[int, int]):
+    """A code's value in segment s, with the segment's number above bit 56."""
+    at, width = span
+    return F.shiftrightunsigned(F.col(code), at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56))
+
+
+def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, bucket: int) -> DataFrame:
+    """The rounds of multi-index hashing: q, best. Of an index of k ids or fewer every code is seen. The masks of a radius are a table of bounded size, the index is never broadcast."""
+    spark, spans, need = asked.sparkSession, _spans(segments), k + 1
+    keyed, hot = _keyed(entries, spans, bucket)
     none = F.array().cast("array<struct<distance:int,id:bigint,code:bigint,n:int>>")
     state = asked.select("q", none.alias("best"), F.lit(0).alias("ids"), F.lit(BITS).alias("far"))
-    done, radii = None, [0, 1]
+    done = None
     for radius, part, reach in _steps(segments):
         bound = F.when(F.col("ids") >= need, F.col("far")).otherwise(BITS)
-        masks = F.array(*map(F.lit, _masks(width, part, radii if radius == 1 else [radius])))
-        probes = state.select("q", bound.alias("bound"), F.explode(masks).alias("mask"))
-        of = F.shiftrightunsigned("mask", 56)
-        value = F.call_function("shiftright", F.col("q"), (of * width).cast("int")).bitwiseAND(F.lit(low))
-        probes = probes.select("q", "bound", value.bitwiseXOR(F.col("mask").bitwiseAND(F.lit(low))).bitwiseOR(F.call_function("shiftleft", of, F.lit(56))).alias("key"))
-        seen = probes.join(keyed, (probes.key == keyed.key) & (F.bit_count(F.col("q").bitwiseXOR(F.col("code"))) <= F.col("bound")))
+        values = F.array(*(F.struct(_value("q", s, spans[s]).alias("value"), F.lit(spans[s][1]).alias("bits")) for s in part))
+        masks = _masks(spark, {spans[s][1] for s in part}, 0 if radius == 1 else radius, radius)
+        probes = state.select("q", bound.alias("bound"), F.explode(values).alias("v")).select("q", "bound", "v.*")
+        probes = probes.join(F.broadcast(masks), "bits").select("q", "bound", F.col("value").bitwiseXOR(F.col("flips")).alias("key"))
+        if hot is None:
+            probes = probes.withColumn("sub", F.lit(0))
+        else:
+            probes = probes.join(hot, "key", "left").withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("subs", F.lit(1)) - 1)))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        seen = probes.join(keyed.hint("merge"), ["key", "sub"]).where(distance <= F.col("bound"))
         seen = seen.groupBy("q", "code").agg(F.first("ids").alias("ids"))
-        fresh = seen.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e")).select("q", "distance", "e.id", "code", "e.n")
+        fresh = seen.select("q", distance.alias("distance"), "code", F.explode("ids").alias("e")).select("q", "distance", "e.id", "code", "e.n")
         old = state.select("q", F.explode("best").alias("b")).select("q", "b.distance", "b.id", "b.code", "b.n")
         best = _nearest(fresh.union(old) if radius > 1 else fresh, k).toDF("q", "new", "new_ids", "new_far")
-        state = state.join(best, "q", "left").select("q", F.coalesce("new", "best").alias("best"), F.coalesce("new_ids", "ids").alias("ids"), F.coalesce("new_far", "far").alias("far"))
+        state = state.join(best.hint("merge"), "q", "left").select("q", F.coalesce("new", "best").alias("best"), F.coalesce("new_ids", "ids").alias("ids"), F.coalesce("new_far", "far").alias("far"))
         state = materialize(state, "nearest")
         ready = (F.col("ids") >= need) & (F.col("far") <= reach)
         part_done = state.where(ready)
@@ -129,7 +159,7 @@ def op1_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH codes AS (
   SELECT vec_id AS id, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS HUGEINT) AS code
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) <= 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
 ), pairs AS (
   SELECT q.id AS query_id, c.id, CAST(bit_count(xor(q.code, c.code)) AS INTEGER) AS distance
   FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 20 = 0

@@ -19,16 +19,16 @@ def got(df):
     return sorted((r.query_id, r.rank, r.id, r.distance) for r in df.collect())
 
 
-@pytest.mark.parametrize("segments", [4, 8])
-def test_equals_brute_force(spark, segments):
-    rng = random.Random(segments)
+@pytest.mark.parametrize(("segments", "bucket"), [(4, 4096), (8, 4096), (5, 16), (None, 16)])
+def test_equals_brute_force(spark, segments, bucket):
+    rng = random.Random(segments or 1)
     signed = lambda: rng.getrandbits(64) - 2**63
     centre = [signed() for _ in range(4)]
     near = lambda c, n: ((c ^ sum(1 << b for b in rng.sample(range(64), n))) + 2**63) % 2**64 - 2**63
     index = [(i, near(centre[i % 4], rng.randrange(0, 12))) for i in range(300)] + [(1000 + i, centre[0]) for i in range(40)] + [(2000, -1), (2001, 0), (2002, -(2**63))]
     queries = index[::25] + [(1005, centre[0]), (5000, centre[1])]
     df = lambda rows: spark.createDataFrame([(i, c, "x") for i, c in rows], CODES)
-    assert got(nearest_codes(df(queries), df(index), 5, segments)) == brute(queries, index, 5)
+    assert got(nearest_codes(df(queries), df(index), 5, segments, bucket)) == brute(queries, index, 5)
 
 
 def test_odd_tables(spark):
@@ -36,8 +36,8 @@ def test_odd_tables(spark):
     some = df([(1, 5, ""), (2, 5, ""), (3, None, ""), (None, 5, "")])
     assert got(nearest_codes(some, some, 10)) == [(1, 1, 2, 0), (2, 1, 1, 0)]
     assert got(nearest_codes(some, df([]), 3)) == [] and got(nearest_codes(df([]), some, 3)) == []
-    vectors = spark.createDataFrame([(1, [1.0, -1.0, 0.0, 2.0]), (2, None), (3, [1.0, None])], "vec_id long, embedding array<double>")
-    assert {r.id: r.code for r in sign_codes(vectors).collect()} == {1: 9, 2: None, 3: None}
+    vectors = spark.createDataFrame([(1, [1.0, -1.0, 0.0, 2.0]), (2, None), (3, [1.0, None]), (4, [1.0] * 65), (5, [-1.0] * 63 + [1.0])], "vec_id long, embedding array<double>")
+    assert {r.id: r.code for r in sign_codes(vectors).collect()} == {1: 9, 2: None, 3: None, 4: None, 5: -(2**63)}
 
 
 def test_query_equals_its_sql(spark):
