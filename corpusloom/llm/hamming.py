@@ -48,11 +48,12 @@ def _steps(segments: int) -> list[tuple[int, list[int], int]]:
     return out
 
 
-def _masks(spark: SparkSession, widths: set[int], low: int, high: int) -> DataFrame:
-    """bits, flips: for each segment width the masks of ``low`` to ``high`` set bits, at most 2 ** width rows a width."""
+def _masks(spark: SparkSession, widths: dict[int, int], low: int, high: int) -> DataFrame:
+    """s, flips: for each segment of ``widths`` the masks of ``low`` to ``high`` set bits, at most 2 ** width rows a segment."""
     out = None
-    for width in sorted(widths):
-        one = spark.range(1 << width).where(F.bit_count("id").between(low, high)).select(F.lit(width).alias("bits"), F.col("id").alias("flips"))
+    for width in sorted(set(widths.values())):
+        own = F.explode(F.array(*(F.lit(s) for s, w in widths.items() if w == width)))
+        one = spark.range(1 << width).where(F.bit_count("id").between(low, high)).select(own.alias("s"), F.col("id").alias("flips"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -126,10 +127,10 @@ def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, bucket:
     done = None
     for radius, part, reach in _steps(segments):
         bound = F.when(F.col("ids") >= need, F.col("far")).otherwise(BITS)
-        values = F.array(*(F.struct(_value("q", s, spans[s]).alias("value"), F.lit(spans[s][1]).alias("bits")) for s in part))
-        masks = _masks(spark, {spans[s][1] for s in part}, 0 if radius == 1 else radius, radius)
+        values = F.array(*(F.struct(_value("q", s, spans[s]).alias("value"), F.lit(s).alias("s")) for s in part))
+        masks = _masks(spark, {s: spans[s][1] for s in part}, 0 if radius == 1 else radius, radius)
         probes = state.select("q", bound.alias("bound"), F.explode(values).alias("v")).select("q", "bound", "v.*")
-        probes = probes.join(F.broadcast(masks), "bits").select("q", "bound", F.col("value").bitwiseXOR(F.col("flips")).alias("key"))
+        probes = probes.join(F.broadcast(masks), "s").select("q", "bound", F.col("value").bitwiseXOR(F.col("flips")).alias("key"))
         if hot is None:
             probes = probes.withColumn("sub", F.lit(0))
         else:
