@@ -13,9 +13,11 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.byte_bpe import byte_characters
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 700_000
+#: Words whose ids a worker remembers, of the newest and of the last generation each: some 40 MB a generation.
+REMEMBERED = 200_000
 #: A character that parts words in one call; words that hold it are encoded one by one.
 MARK = "\x01"
 
@@ -29,7 +31,8 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-_known: dict[str, dict[bytes, bytes]] = {}
+_known: dict[str, list[dict[bytes, bytes]]] = {}
+BYTES = {b: c for b, c in enumerate(byte_characters())}
 
 
 def _encoded(words: list[str], path: str) -> list[bytes]:
@@ -47,8 +50,20 @@ def _encoded(words: list[str], path: str) -> list[bytes]:
     return [raw[4 * i : 4 * j] for i, j in zip(starts, ends, strict=True)]
 
 
+def _latin(letters: bytes) -> str | None:
+    """The word lower-cased, one character a byte as the model wants it, if all of it is Latin-1 letters; normal forms leave those alone."""
+    if letters.isalpha():
+        return letters.lower().decode()
+    try:
+        word = letters.decode()
+        word.encode("latin-1")
+    except UnicodeError:
+        return None
+    return word.lower().encode().decode("latin-1").translate(BYTES) if word.isalpha() else None
+
+
 def _plain(words: list[bytes], known: dict[bytes, bytes], path: str) -> list[bytes]:
-    """Looks up or encodes ASCII words with at most a full stop or comma after them; returns the others.
+    """Encodes Latin-1 words with at most a full stop or comma after them; returns the others.
 
     Such a word passes the normaliser and the splitter as its lower-cased letters and its
     mark, so its letters go straight to the library's model.
@@ -58,14 +73,14 @@ def _plain(words: list[bytes], known: dict[bytes, bytes], path: str) -> list[byt
     ends = {c: array("I", tokenizer.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in b".,"}
     for word in words:
         end = ends.get(word[-1], b"")
-        letters = word[:-1] if end else word
-        if not letters.isalpha():
-            others.append(word)
-            continue
-        letters = letters.lower()
-        ids = known.get(letters)
+        bare = word[:-1] if end else word
+        ids = known.get(bare.lower()) if bare.isalpha() else None
         if ids is None:
-            ids = known[letters] = array("I", [t.id for t in model.tokenize(letters.decode())]).tobytes()
+            letters = _latin(bare)
+            if not letters:
+                others.append(word)
+                continue
+            ids = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
         known[word] = ids + end
     return others
 
@@ -74,15 +89,20 @@ def word_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer never joins characters across ASCII white space, so each distinct
-    word goes through the tokenizers library once and its ids are then looked up.
+    word goes through the tokenizers library once and its ids are then looked up. When
+    the memory is full, words that are still met move on and the others are forgotten.
     """
-    known = _known.setdefault(path, {})
+    memory = _known.setdefault(path, [{}, {}])
     split = [text.encode("utf-8", "replace").split() for text in texts]
-    fresh = list(set().union(*split).difference(known))
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list(set().union(*split))
-    fresh = _plain(fresh, known, path)
+    met = set().union(*split)
+    fresh = met.difference(memory[0])
+    if len(memory[0]) + len(fresh) > REMEMBERED:
+        memory[:] = {}, memory[0]
+        fresh = met
+    known, old = memory
+    again = fresh.intersection(old)
+    known.update((word, old[word]) for word in again)
+    fresh = _plain(list(fresh - again), known, path)
     for at in range(0, len(fresh), 512):
         part = fresh[at : at + 512]
         known.update(zip(part, _encoded([word.decode() for word in part], path), strict=True))
@@ -96,9 +116,10 @@ class Packer:
     smallest (h = 0: a new window), the fullest such level on a tie. Windows that are
     still open at the end are merged by cutting pieces of the emptiest into the fullest;
     the ids of the last one are laid out in sequences whose lengths are powers of two.
+    The same is done to all open windows whenever there are more than ``max_open``.
     """
 
-    def __init__(self, size: int, first_id: int, max_open: int = 2048):
+    def __init__(self, size: int, first_id: int, max_open: int):
         self.size, self.next_id, self.max_open = size, first_id, max_open
         self.levels = np.zeros(size + 1)
         self.levels[size] = -0.5  # a full window leaves the sum
@@ -186,23 +207,25 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, max_open: int = 8192) -> DataFrame:
     """Pack every document of ``docs(doc_id, text)`` into sequences of at most ``size`` ids.
 
     One row a piece: doc_id, start (ids of its document before it), length, ids_crc32,
     doc_tokens, sequence_id, offset. Each task packs the rows that it reads, online and
     without a shuffle; sequence ids hold the task's number. No sequence needs padding:
-    it is full, or its length is a power of two.
+    it is full, or its length is a power of two. A task holds at most ``max_open`` windows
+    open (4 * ``size`` bytes each); beyond that it merges them as at its end and goes on
+    with empty levels. Ids are those of the public word_bpe_49k vocabulary.
 
     A null or empty text is the one id ``end_id``. A null doc_id stays null. Repeated
     rows are packed as often as they occur. Texts of any length are cut into windows.
     An empty table gives no rows; other columns of ``docs`` are not read.
     """
-    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(size, TaskContext.get().partitionId() << 40)
+        packer = Packer(size, TaskContext.get().partitionId() << 40, max_open)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):

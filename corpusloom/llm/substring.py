@@ -1,9 +1,10 @@
 """Substring dedup: a count-min sketch picks the word windows that may repeat, a second pass groups exactly those.
 
 Documents are dealt once into groups of bounded size. Each group sends a sparse sketch of
-its windows, cut into blocks of cells; each block adds up the sketches of all groups and
-answers, to each group, which of its cells are held more than once. Windows whose every
-cell is held more than once are then grouped exactly, by 128-bit hashes, in shards that
+its windows, cut into blocks of cells; each block adds up the sketches of all groups, a
+group counting once a cell and sums stopping at two, for "repeated" is all that is asked
+of them, and answers, to each group, which of its cells others hold too. Windows whose
+every cell others hold, or that the group holds twice, are then grouped exactly, by 128-bit hashes, in shards that
 answer which windows start in an earlier document of another group. Answers are bit
 arrays, so that neither windows nor sketches ever meet in one place, and the sketch
 grows with the corpus.
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.words import Words, distinct, mix, numbered, slices, texts_of, words_of
 
@@ -28,24 +30,22 @@ TURN = [np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)]
 
 
 class Group:
-    """The windows of one group's documents: two hash lanes, and the number of the document that each starts in."""
+    """The windows of one group's documents that have an id: two hash lanes, and the row of the document that each starts in."""
 
     def __init__(self, table: pa.Table, window: int):
         ids = table.column("doc_id").combine_chunks()
         self.ids, self.window = ids, window
+        known = np.asarray(ids.is_valid())
         self.id_values = np.asarray(ids.fill_null(0), np.int64)
         self.texts = texts_of(table.column("text"))
-        lanes, docs, firsts, self.words, base = [[], []], [], [], [], 0
-        for a, b in slices(self.texts):
-            words = words_of(self.texts.slice(a, b - a))
-            self.words.append((a, b, words))
-            firsts.append(words.first[:-1] + base)
-            doc_of = np.repeat(np.arange(a, b), np.diff(words.first))
+        lanes, docs, ats, base = [[], []], [], [], 0
+        for a, b, words in self.words():
+            doc_of = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(words.first))
             n = len(words.starts) - window + 1
             docs.append(doc_of)
             inside = np.zeros(len(doc_of), bool)
             if n > 0:
-                inside[:n] = doc_of[:n] == doc_of[window - 1 :]
+                inside[:n] = (doc_of[:n] == doc_of[window - 1 :]) & known[doc_of[:n]]
             for lane in (0, 1):
                 h = words.hashes(lane)
                 key = np.zeros(len(doc_of), np.uint64)
@@ -53,13 +53,20 @@ class Group:
                     for j in range(window):
                         key[:n] = key[:n] * TURN[lane] + h[j : j + n]
                 lanes[lane].append(mix(key)[inside])
-            docs[-1] = (docs[-1], np.nonzero(inside)[0] + base)
+            ats.append((np.nonzero(inside)[0] + base).astype(np.int32))
             base += len(doc_of)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.word_doc = join([d for d, _ in docs], np.int64)
-        self.at = join([w for _, w in docs], np.int64)
+        self.word_doc, self.at = join(docs, np.int32), join(ats, np.int32)
         self.a, self.b = (join(lane, np.uint64) for lane in lanes)
-        self.doc = self.id_values[self.word_doc[self.at]]
+
+    def words(self) -> Iterator[tuple[int, int, Words]]:
+        """The words of a slice of rows at a time; found anew each time, so that they are never all in memory."""
+        for a, b in slices(self.texts):
+            yield a, b, words_of(self.texts.slice(a, b - a))
+
+    def doc(self, rows: np.ndarray) -> np.ndarray:
+        """The doc_id in which each of some windows starts."""
+        return self.id_values[self.word_doc[self.at[rows]]]
 
     def cells(self, keys: np.ndarray, row: int, bits: int) -> np.ndarray:
         return mix(keys * SEEDS[row]) >> np.uint64(64 - bits)
@@ -129,7 +136,7 @@ class Candidates:
                 held[a:b] = np.unpackbits(np.frombuffer(answers[(0, (row << 48) | block)], np.uint8), count=b - a)
             elsewhere &= held[number]
         self.rows = np.nonzero((elsewhere | (counts > 1))[inverse])[0]
-        a, b, doc = group.a[self.rows], group.b[self.rows], group.doc[self.rows]
+        a, b, doc = group.a[self.rows], group.b[self.rows], group.doc(self.rows)
         order = np.lexsort((doc, b, a))
         a, b, doc = a[order], b[order], doc[order]
         new = np.ones(len(a), bool)
@@ -183,7 +190,7 @@ def _cut(words: Words, gone: np.ndarray) -> list[bytes]:
     return [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _remove(group: Group, table: pa.Table, answers: dict, depth: int, bits: int, shard_bits: int, carry: list[str] | None) -> pa.Table:
+def _remove(group: Group, table: pa.Table, answers: dict, depth: int, bits: int, shard_bits: int, whole: bool) -> pa.Table:
     found = Candidates(group, answers, depth, bits)
     flags = np.zeros(len(found.a), bool)
     sent = np.nonzero(found.elsewhere)[0]
@@ -191,21 +198,21 @@ def _remove(group: Group, table: pa.Table, answers: dict, depth: int, bits: int,
     cuts = _split(keys, 64 - shard_bits) if shard_bits else ([(0, 0, len(keys))] if len(keys) else [])
     for part, i, j in cuts:
         flags[sent[i:j]] = np.unpackbits(np.frombuffer(answers[(1, part)], np.uint8), count=j - i)
-    again = flags[found.number] | (group.doc[found.rows] > found.least[found.number])
+    again = flags[found.number] | (group.doc(found.rows) > found.least[found.number])
     at = group.at[found.rows[again]]
-    depth_at = np.zeros(len(group.word_doc) + 1, np.int64)
+    depth_at = np.zeros(len(group.word_doc) + 1, np.int32)
     np.add.at(depth_at, at, 1)
     np.add.at(depth_at, at + group.window, -1)
     gone = np.cumsum(depth_at[:-1]) > 0
     n_words, n_removed, kept, base = [], [], [], 0
-    for _, _, words in group.words:
+    for _, _, words in group.words():
         n = len(words.starts)
         keep = ~gone[base : base + n]
         total = np.concatenate([[0], np.cumsum(~keep)])
         n_words.append(np.diff(words.first))
         n_removed.append(total[words.first[1:]] - total[words.first[:-1]])
         base += n
-        if carry is not None:
+        if whole:
             kept += _cut(words, ~keep)
             continue
         sizes = np.where(keep, words.ends - words.starts + 1, 0)
@@ -218,26 +225,30 @@ def _remove(group: Group, table: pa.Table, answers: dict, depth: int, bits: int,
         raw, bounds = out.tobytes(), ends[words.first]
         kept += [raw[i : max(i, j - 1)] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     counts = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (n_words, n_removed)]
-    extra = [table.column(c) for c in carry or []]
-    return pa.table([group.ids, *counts, pa.array(kept, pa.binary()).cast(pa.string()), *extra], names=["doc_id", "n_words", "n_removed", "kept", *(carry or [])])
+    columns = {"doc_id": group.ids, "n_words": counts[0], "n_removed": counts[1], "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+    if "carried" in table.column_names:
+        columns["carried"] = table.column("carried")
+    return pa.table(columns)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20, cells_per_window: int = 4, depth: int = 2, carry: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     With a list ``carry``, ``kept`` is the text itself without the words that go, white
-    space otherwise as it was, and the columns named are passed on.
+    space otherwise as it was, and a struct ``carried`` (if any are named) holds the
+    columns named, whatever their names.
 
     A word ``[^\\x20\\x09-\\x0D]+`` goes if a window of ``window`` words of its document
     covers it whose words also start, somewhere, in a document with a smaller doc_id.
     All windows are judged on the input. ``cells_per_window`` and ``depth`` set the
     count-min sketch: its estimates are never too low, so no window is lost, and a
     smaller sketch only sends more windows to the exact pass. One aggregate over the
-    text sizes first sets the numbers of groups, cells and shards.
+    text sizes first sets the numbers of groups, cells, shards and partitions. What a
+    block or shard gets grows, for a window that every group holds, by a row a group.
 
-    A null or empty text has no words. A document shorter than a window stays. A null
-    doc_id counts as 0 in comparisons and stays null. Rows that repeat a doc_id are
-    each judged against smaller ids only. Texts of any length stay whole. Other columns
+    A null or empty text has no words. A document shorter than a window stays. A row
+    without a doc_id keeps its words and takes none from others. Rows that repeat a
+    doc_id are each judged against smaller ids only. Texts of any length stay whole. Other columns
     are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -245,10 +256,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20
     groups = max(1, ceil(total / group_bytes))
     bits = BLOCK_BITS + max(0, ceil(log2(max(1, cells_per_window * total / 6 / (1 << BLOCK_BITS)))))
     shard_bits = max(0, ceil(log2(max(1, total / 6 / 1.5e6))))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), *(carry or [])).repartition(partitions, "g")
-    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in (carry or []))
-    carry = [f.name for f in docs.schema if f.name in carry] if carry is not None else None
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(groups / 64))
+    carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), *carried).repartition(partitions, "g")
+    out = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+    if carry:
+        out.add(dealt.schema["carried"])
 
     def answers_of(table: pa.Table) -> dict:
         rows = table.to_pydict()
@@ -264,11 +277,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, group_bytes: int = 6 << 20
         return _exact(Group(left, window), answers_of(right), number(left), depth, bits, shard_bits)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _remove(Group(left, window), left, answers_of(right), depth, bits, shard_bits, carry)
+        return _remove(Group(left, window), left, answers_of(right), depth, bits, shard_bits, carry is not None)
 
     blocks = dealt.groupBy("g").applyInArrow(sketch, MESSAGE).groupBy("part").applyInArrow(_merge_block, MESSAGE)
     shards = dealt.groupBy("g").cogroup(blocks.groupBy("g")).applyInArrow(exact, MESSAGE).groupBy("part").applyInArrow(_merge_shard, MESSAGE)
-    return dealt.groupBy("g").cogroup(blocks.union(shards).groupBy("g")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string" + extra)
+    return dealt.groupBy("g").cogroup(blocks.union(shards).groupBy("g")).applyInArrow(remove, out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 KEEP_CASE = np.arange(256, dtype=np.uint8)
 LOWER = KEEP_CASE.copy()
 LOWER[ord("A") : ord("Z") + 1] += 32
-BLOCK = 4 << 20
+#: Bytes of text that are worked on at once; arrays of eight bytes a byte of text exist for one such block.
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,16 +49,20 @@ def _table(lane: int) -> np.ndarray:
 
 TABLES = [_table(1), _table(2)]
 STEPS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
-_powers: dict[int, np.ndarray] = {}
+
+
+def _powers(lane: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.full(n - 1, STEPS[lane]), out=out[1:])
+    return out
+
+
+POWERS = [_powers(0, 1024), _powers(1, 1024)]
 
 
 def powers(lane: int, n: int) -> np.ndarray:
-    have = _powers.get(lane)
-    if have is None or len(have) < n:
-        have = np.ones(max(n, 1024), np.uint64)
-        np.multiply.accumulate(np.full(len(have) - 1, STEPS[lane]), out=have[1:])
-        _powers[lane] = have
-    return have
+    """The first n powers of a lane's step; those for very long words are made anew each time."""
+    return POWERS[lane] if n <= len(POWERS[lane]) else _powers(lane, n)
 
 
 @dataclass

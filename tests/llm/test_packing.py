@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 import pyarrow.parquet as pq
 from corpusloom.llm.packing import Packer, pack, word_ids
@@ -11,23 +12,26 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, start string"
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+LIBRARY.encode_special_tokens = True
+
+
 def plain(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_ids_equal_the_library_on_whole_texts():
-    texts = ["Hello,  World's\tend\n", "", " été ́x  y 　 z", "<|endoftext|> a", "don't I'LL 12,5", "ΣΑΣ Σ ﬁ İstanbul", "x y\x85z"]
+    texts = ["x. x.. x... X. É. é É, éé.. ªº. µ, ×÷ ÜßÿŸ, naïve naïve. \u00e9\u0301 caf\u00e9 cafe\u0301.", "Hello,  World's\tend\n", "", " été ́x  y 　 z", "<|endoftext|> a", "don't I'LL 12,5", "ΣΑΣ Σ ﬁ İstanbul", "x y\x85z"]
     texts += ["Foo foo. FOO, foo., foo.. ,. , . a.b I. x' 'tis can't. x", *(t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist())]
     assert [np.frombuffer(b, "<u4").tolist() for b in word_ids(texts, PATH)] == [plain(t) for t in texts]
 
 
-def test_every_id_is_in_one_piece_and_nothing_is_padded(spark):
+@pytest.mark.parametrize("max_open", [8192, 3])
+def test_every_id_is_in_one_piece_and_nothing_is_padded(spark, max_open):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["word"] * int(n)), "x") for i, n in enumerate(rng.integers(0, 700, 60))]
     rows += [(100, None, "x"), (101, "", "x"), (102, "a b " * 9000, "x"), (103, "same", "x"), (103, "same", "x"), (104, "x" * 50_000, "x")]
-    out = pack(spark.createDataFrame(rows, DOCS).repartition(3), size=256).collect()
+    out = pack(spark.createDataFrame(rows, DOCS).repartition(3), size=256, max_open=max_open).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in out:
         by_doc[r.doc_id].append(r)
@@ -53,7 +57,7 @@ def test_every_id_is_in_one_piece_and_nothing_is_padded(spark):
 
 def test_levels_follow_the_sum_of_squares():
     rng = np.random.default_rng(5)
-    packer, counts = Packer(32, 0), [0] * 33
+    packer, counts = Packer(32, 0, 8192), [0] * 33
     for doc_id in range(400):
         s = int(rng.integers(1, 32))
         best = []
@@ -69,3 +73,9 @@ def test_levels_follow_the_sum_of_squares():
         counts = min(best)[2]
         packer.add(doc_id, b"\1\0\0\0" * s)
         assert [int(c) for c in packer.levels[1:32]] == counts[1:32]
+
+
+def test_words_that_are_still_met_stay_in_memory(monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.packing.REMEMBERED", 40)
+    texts = [" ".join(f"word{i + j} often É{i}." for j in range(12)) for i in range(0, 400, 7)]
+    assert [np.frombuffer(word_ids([t], PATH)[0], "<u4").tolist() for t in texts] == [plain(t) for t in texts]

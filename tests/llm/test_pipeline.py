@@ -9,6 +9,8 @@ import corpus_pipeline
 from corpusloom.llm.pii import redacted, spans_of
 
 SF = "/root/testdata/sf0.001"
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+LIBRARY.encode_special_tokens = True
 
 
 def rows(df):
@@ -87,11 +89,29 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 def test_run_equals_its_stages_and_takes_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(10_000, None, None, None, None), (10_001, "", "en", "s", 0), (None, "some words here", "en", "s", 15), (10_002, "same text twice", "en", "s", 15), (10_002, "same text twice", "en", "s", 15)], docs.schema)
-    docs.where("doc_id < 80").union(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    odd = [(10_000, None, None, None, None), (10_001, "", "en", "s", 0), (None, "some words here", "en", "s", 15), (10_002, "same text twice", "en", "s", 15), (10_002, "same text twice", "en", "s", 15), (10_002, "other text", "en", "s", 10)]
+    some = docs.where("doc_id < 80").union(spark.createDataFrame(odd, docs.schema))
+    some.selectExpr("*", "1 AS g", "2 AS kept", "3 AS row", "4 AS place", "5 AS n_words", "6 AS start").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns[:3] == ["doc_id", "start", "length"] and got.count() > 0
+    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = step.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, step, str(tmp_path)).write.parquet(str(tmp_path / name))
+        step = spark.read.parquet(str(tmp_path / name))
+        assert step.columns == columns
+    left = step.collect()
+    assert sum(r.doc_id == 10_002 for r in left) <= 2
+    sizes = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens, r.start == 0) for r in rows if r.start == 0)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = sorted((r.doc_id is None, r.doc_id or 0, len(LIBRARY.encode(r.text or "", add_special_tokens=False).ids) + 1, True) for r in left)
+    assert sizes(got) == want and len(want) > 20
+    assert sum(r.length for r in got) == sum(w[2] for w in want)
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_near_dedup_of_repeated_ids(spark):

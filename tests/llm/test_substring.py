@@ -42,9 +42,17 @@ def test_equals_brute_force_in_one_or_many_groups(spark, size):
 def test_texts_keep_their_white_space_and_other_columns(spark):
     share = "\n".join(f"s{i}" for i in range(14))
     rows = [(1, f"a\n{share}\tend", "k"), (2, f" x\ty\n{share}  z\n\nw ", None), (3, share, "m"), (4, None, "n"), (5, " keep\n me ", "o")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumnRenamed("n_words", "lang")
-    out = {r.doc_id: (r.kept, r.lang, r.n_removed) for r in remove_repeats(df, carry=["lang"]).collect()}
+    names = ["g", "kept", "n_words", "carried", "a b.c"]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, g string, kept int, n_words int, carried int, `a b.c` int")
+    out = {r.doc_id: (r.kept, r.carried.g, r.n_removed) for r in remove_repeats(df, carry=names).collect()}
     assert out == {1: (rows[0][1], "k", 0), 2: (" x\ty\nz\n\nw ", None, 14), 3: ("", "m", 14), 4: ("", "n", 0), 5: (" keep\n me ", "o", 0)}
+    assert list(remove_repeats(df, carry=names).schema["carried"].dataType.names) == names
+
+
+def test_rows_without_an_id_keep_their_words(spark):
+    share = " ".join(f"s{i}" for i in range(14))
+    df = spark.createDataFrame([(None, share), (3, share), (4, share), (None, f"{share} x")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(df).collect()) == [(0, 0), (0, 0), (3, 0), (4, 14)]
 
 
 def test_empty_table(spark):
