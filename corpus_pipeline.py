@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences in five stages, each one of the operators in corpusloom.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
-read again as the next stage's docs. All but the last return the columns of documents.
+read again as the next stage's docs. All but the last return the columns of documents,
+whatever else those hold. Null and empty texts, null ids and an empty table pass through
+every stage; without usable labels nothing is rejected.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from corpusloom.llm.substring import remove_repeats
 def _with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
     """n_chars of the text as it is now, in the columns and types of ``like``."""
     now = docs.withColumn("n_chars", F.char_length("text"))
-    return now.select(*(F.col(f.name).cast(f.dataType) for f in like.schema))
+    return now.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in like.schema))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject; a null text is judged as an empty one, equal rows alike."""
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -37,32 +39,35 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     if known.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
-        one = docs.join(kept, "doc_id", "left_semi")
+        one = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     else:
-        others = [c for c in docs.columns if c not in ("doc_id", "text")]
-        same = Window.partitionBy("doc_id", "text_hash").orderBy(*others)
-        rows = known.withColumn("text_hash", F.sha2("text", 256)).withColumn("place", F.row_number().over(same)).where("place = 1")
+        whole = known.select("doc_id", F.sha2("text", 256).alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+        same = Window.partitionBy("doc_id", "hash").orderBy(F.to_json("whole"))
+        rows = whole.withColumn("place", F.row_number().over(same)).where("place = 1")
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
-        first = rows.select("row", "doc_id", "text_hash").join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("first"))
-        one = rows.join(first.select("first.row"), "row", "left_semi")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+        groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "whole.text")).select(F.col("doc_id").alias("row"), "component_id")
+        first = rows.select("row", "doc_id", "hash").join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", "row")).alias("first"))
+        one = rows.join(first.select("first.row"), "row", "left_semi").select("whole.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds too; white space stays as it was."""
+    """Texts without the passages that an earlier document holds too; white space stays as it was.
+
+    Null texts become empty. Rows without an id, and rows that share an id, take no words from each other.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = remove_repeats(docs, carry=others)
-    return _with_length(cut.select("doc_id", F.col("kept").alias("text"), *others), docs)
+    return _with_length(cut.select("doc_id", F.col("kept").alias("text"), *(["carried.*"] if others else [])), docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind, equal rows alike; a null text is empty by now."""
     return _with_length(redact(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 ids."""
+    """Pieces of documents in sequences of at most 2048 ids; an empty text is one end mark, equal rows are packed each."""
     return pack(docs)
 
 
