@@ -177,17 +177,27 @@ def _pairs(members: DataFrame, alike, reach: float) -> DataFrame:
 def _block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
     """Links between components within large buckets, as pairs of labels.
 
-    Documents are dealt into blocks by their largest bucket and by whether they belong to
-    its pivot's component; blocks that share a bucket are compared as wholes, so that
-    neither pairs of documents nor a whole bucket are ever in one place. Blocks of one
-    and the same component are not compared.
+    Documents are dealt into blocks of about ``block_rows`` documents, one of w thousand
+    shingles counting as w: by their largest bucket, where that fills a block, else with
+    other such buckets of the same cluster, that is of the buckets that share documents.
+    Blocks that share a bucket are compared as wholes, so that neither pairs of documents
+    nor a whole bucket are ever in one place. The documents of a component that could
+    fill a block have blocks of their own, which are not compared with each other.
     """
-    owner = members.where("doc_id = pivot").select("band", "key", F.col("label").alias("owner"))
-    home = members.groupBy("doc_id", "label").agg(F.max(F.struct("size", "band", "key")).alias("home")).select("doc_id", "label", "home.*")
-    home = home.join(owner, ["band", "key"], "left")
-    inner = F.when(F.col("label") == F.col("owner"), F.col("label"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / block_rows))
-    home = materialize(home.select("doc_id", "label", inner.alias("inner"), F.xxhash64("band", "key", F.coalesce(inner, F.lit(-1)), salt).alias("block")), "blocks")
+    cluster = connected_components(members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "clusters").toDF("doc_id", "cluster")
+    home = members.groupBy("doc_id", "label", "n_shingles").agg(F.max(F.struct("size", "band", "key")).alias("home"))
+    home = home.select("doc_id", "label", "home.band", "home.key", F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / 1000)).alias("w")).join(cluster, "doc_id")
+    large = home.groupBy("label").agg(F.sum("w").alias("all")).where(F.col("all") >= block_rows // 2).select("label", F.col("label").alias("inner"))
+    home = materialize(home.join(large, "label", "left"), "homes")
+    homes = home.groupBy("cluster", "inner", "band", "key").agg(F.sum("w").alias("all")).withColumn("small", F.col("all") < block_rows // 2)
+    shared = homes.where("small").groupBy("cluster", "inner").agg(F.sum("all").alias("most"))
+    homes = homes.join(shared.select(F.col("cluster").alias("c"), F.col("inner").alias("i"), "most"), F.expr("cluster = c AND inner <=> i"), "left")
+    bins = F.when(F.col("small"), F.pmod(F.xxhash64("band", "key"), F.ceil(F.col("most") / block_rows)))
+    homes = homes.select("band", "key", F.col("inner").alias("i"), F.col("cluster").alias("c"), bins.alias("bin"), F.ceil(F.col("all") / block_rows).alias("parts"))
+    home = home.join(homes, ["band", "key"]).where("cluster = c AND inner <=> i")
+    apart = F.xxhash64("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    block = F.xxhash64("cluster", F.coalesce("inner", F.lit(-1)), F.coalesce("bin", apart), F.col("bin").isNull())
+    home = materialize(home.select("doc_id", "label", "inner", block.alias("block")), "blocks")
     held = members.select("band", "key", "doc_id").join(home, "doc_id").select("band", "key", "block", "inner").distinct()
     other = held.select("band", "key", F.col("block").alias("block_b"), F.col("inner").alias("inner_b"))
     grid = held.join(other, ["band", "key"]).where("block <= block_b AND NOT coalesce(inner = inner_b, false)").select("block", "block_b").distinct()
