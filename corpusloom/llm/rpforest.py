@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import connected_components, materialize
 
 
+#: Leaves of vectors of unusual length are numbered from here on.
+OTHER = 1 << 40
+
+
 class Tree:
     """Splits as (direction, threshold, left, right); a negative child is leaf -1 - child."""
 
@@ -70,7 +74,9 @@ def grow_forest(sample: np.ndarray, total: int, trees: int, leaf_rows: int, marg
 
 
 def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of length one; each is divided by its largest component first, so that no square is too large or too small."""
     x = np.asarray(column.flatten(), np.float64).reshape(len(column), dim)
+    x = x / np.abs(x).max(1, initial=0)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -86,14 +92,24 @@ def _leaf_lists(forest: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], leaves[order]
 
 
-def _owned(table: pa.Table, threshold: float, dim: int) -> pa.Table:
+def _dealt(forest: list, column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, leaf) by row and leaf; a vector of another length than ``dim`` is in one leaf, that of its length."""
+    lengths = np.asarray(column.value_lengths(), np.int64)
+    usual, other = np.nonzero(lengths == dim)[0], np.nonzero(lengths != dim)[0]
+    rows, leaves = _leaf_lists(forest, unit(column.take(pa.array(usual)), dim))
+    rows, leaves = np.concatenate([usual[rows], other]), np.concatenate([leaves, OTHER + lengths[other]])
+    order = np.lexsort((leaves, rows))
+    return rows[order], leaves[order]
+
+
+def _owned(table: pa.Table, threshold: float) -> pa.Table:
     """Of one leaf, or one pair of its blocks: each vector's owned links, counted with copies, and the smallest vector that it reaches here."""
     leaf, low, high = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
     table = table.combine_chunks()
     one = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
     reps, copies, block = (np.asarray(one(c), np.int64) for c in ("rep", "copies", "block"))
     order = np.argsort(reps, kind="stable")
-    x = unit(one("embedding"), dim)[order]
+    x = unit(one("embedding"), len(one("embedding")[0]))[order]
     lists = one("leaves")
     sizes, flat = np.asarray(lists.value_lengths(), np.int64), np.asarray(lists.flatten(), np.int64)
     earlier = np.unique(flat[flat < leaf])
@@ -138,9 +154,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, trees: int = 8, le
     sample_rows / 16 leaves at most; leaves above ``max_leaf`` rows are compared in
     pairs of blocks. Equal vectors are one class, compared once and counted in full.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite
-    components link with nothing, as do rows without a vec_id. Rows that repeat a vec_id
-    count as that many vectors. Other columns are not read. An empty table gives no rows.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing,
+    as do rows without a vec_id. Vectors of different lengths do not link; those of
+    another length than most form one leaf a length, compared whole in blocks. Rows that
+    repeat a vec_id count as that many vectors, each with the links of its own values.
+    Other columns are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -149,27 +167,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, trees: int = 8, le
     good = rows.where("fine")
     usual = good.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = usual["dim"] if usual else 1
-    good = good.where(F.size("embedding") == dim)
-    classes = materialize(good.groupBy("m1", "m2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
+    classes = good.groupBy("m1", "m2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("embedding").toArrow()
+    sample = classes.where(F.size("embedding") == dim).orderBy("m1", "m2").limit(sample_rows).select("embedding").toArrow()
     margin = spill * float(np.sqrt(2 * (1 - threshold) / dim))
     known = unit(sample["embedding"].combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim))
     forest = spark.sparkContext.broadcast(grow_forest(known, total, trees, leaf_rows, margin, seed))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves, n = np.unique(_leaf_lists(forest.value, unit(batch.column(0), dim))[1], return_counts=True)
+            leaves, n = np.unique(_dealt(forest.value, batch.column(0), dim)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(n)], ["leaf", "n"])
 
     sizes = classes.select("embedding").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > max_leaf)
-    blocks = {r.leaf: -(-2 * r.n // max_leaf) for r in sizes.collect()}  # no more rows than the forest has leaves
+    blocks = {r.leaf: -(-2 * r.n // max_leaf) for r in sizes.collect()}  # at most a row a leaf or length of more than max_leaf vectors
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                rows, leaves = _leaf_lists(forest.value, unit(batch.column(2), dim))
+                rows, leaves = _dealt(forest.value, batch.column(2), dim)
                 n = np.array([blocks.get(leaf, 1) for leaf in leaves.tolist()], np.int64)
                 draw = (np.asarray(batch.column(0), np.int64)[rows] * 0x9E3779B1 >> 8) % n
                 cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
@@ -184,14 +202,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, trees: int = 8, le
 
     kind = dict(vectors.dtypes)["embedding"]
     dealt = classes.select("rep", "copies", "embedding").mapInArrow(deal, f"leaf long, low long, high long, block long, rep long, copies long, embedding {kind}, leaves array<long>")
-    owned = dealt.groupBy("leaf", "low", "high").applyInArrow(lambda table: _owned(table, threshold, dim), "rep long, links long, root long")
+    owned = dealt.groupBy("leaf", "low", "high").applyInArrow(lambda table: _owned(table, threshold), "rep long, links long, root long")
     owned = materialize(owned, "owned")
     links = owned.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(owned.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.select("m1", "m2", "rep", "copies").join(links, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("m1", "m2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    usable = F.col("fine") & (F.size("embedding") == dim)
-    out = rows.select("vec_id", F.when(usable, F.col("m1")).alias("m1"), F.when(usable, F.col("m2")).alias("m2")).join(known, ["m1", "m2"], "left")
+    components = classes.select("rep", "least").join(components.withColumnRenamed("id", "rep"), "rep")
+    least = components.groupBy("component").agg(F.min("least").alias("first"))
+    first = materialize(components.select("rep", "component").join(least, "component").select("rep", "first"), "firsts")
+    known = classes.select("m1", "m2", "rep", "copies", "least").join(links, "rep", "left").join(first, "rep", "left")
+    known = known.select("m1", "m2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("first", "least").alias("component"))
+    out = rows.select("vec_id", F.when(F.col("fine"), F.col("m1")).alias("m1"), F.when(F.col("fine"), F.col("m2")).alias("m2")).join(known, ["m1", "m2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

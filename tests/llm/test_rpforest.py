@@ -42,6 +42,13 @@ def test_empty_and_repeated(spark):
     assert sorted(((r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()) == [(0, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
 
 
+def test_repeated_ids_odd_lengths_and_sizes(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 2.0, 0.0]), (4, [0.0, 1e-200, 0.0]), (5, [0.0, 1e300, 1e299]), (6, [1.0, 1.0]), (7, [2.0, 2.0]), (8, [1.0])]
+    df = spark.createDataFrame([(i, v, "") for i, v in rows], VECTORS)
+    got = sorted(tuple(r) for r in near_vectors(df, leaf_rows=2, max_leaf=2).collect())
+    assert got == [(1, 1, 1, True), (1, 3, 1, True), (2, 1, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 3, 1, False), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True)]
+
+
 def test_recall_of_the_query(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
     n = len(table)
