@@ -39,8 +39,8 @@ def chunk_sources(files: DataFrame, symbols: DataFrame | None = None, max_bytes:
     The outermost ``symbols(project_id, path, identity_key, start_byte, end_byte, name, kind)``
     and the gaps between them are split on their own. Blank chunks are dropped; of a
     file's others the first ``max_chunks`` stay and ``truncated`` tells whether there
-    were more. A leading byte-order mark does not count. Only ranges are shuffled by
-    file and joined to the text once.
+    were more. A leading byte-order mark does not count. A file is one row, so its texts
+    are never shuffled; only ranges of symbols are, to be joined to the text once.
     """
     keys = ["project_id", "path"]
     body = files.select(*keys, "language", F.regexp_replace("text", "^﻿", "").alias("text"))
@@ -56,7 +56,7 @@ def chunk_sources(files: DataFrame, symbols: DataFrame | None = None, max_bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, out = (row["text"] or "").encode(), []
+                data, out, met = (row["text"] or "").encode(), [], {}
                 lines = np.frombuffer(data, np.uint8)
                 ends = np.nonzero(lines == 10)[0]
                 for r in row["ranges"]:
@@ -65,20 +65,19 @@ def chunk_sources(files: DataFrame, symbols: DataFrame | None = None, max_bytes:
                         if text.strip():
                             first, last = int(np.searchsorted(ends, a)), int(np.searchsorted(ends, b))
                             column = lambda at, line: at - (int(ends[line - 1]) + 1 if line else 0)
-                            out.append((a, b, first, last, column(a, first), column(b, last), r["identity_key"], text))
-                columns = list(zip(*out[:max_chunks], strict=True)) if out else [()] * 8
+                            again = met[text, r["identity_key"]] = met.get((text, r["identity_key"]), -1) + 1
+                            out.append((a, b, first, last, column(a, first), column(b, last), r["identity_key"], text, again))
+                columns = list(zip(*out[:max_chunks], strict=True)) if out else [()] * 9
                 n = min(len(out), max_chunks)
-                kinds = [pa.int64()] * 6 + [pa.string()] * 2
+                kinds = [pa.int64()] * 6 + [pa.string()] * 2 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([row[c]] * n, pa.string()) for c in ("project_id", "path", "language")), pa.array(range(n), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([len(out) > max_chunks] * n, pa.bool_())],
-                    ["project_id", "path", "language", "ordinal", "start_byte", "end_byte", "start_line", "end_line", "start_col", "end_col", "owner_key", "content", "truncated"],
+                    ["project_id", "path", "language", "ordinal", "start_byte", "end_byte", "start_line", "end_line", "start_col", "end_col", "owner_key", "content", "occurrence", "truncated"],
                 )
 
-    schema = "project_id string, path string, language string, ordinal int, start_byte long, end_byte long, start_line long, end_line long, start_col long, end_col long, owner_key string, content string, truncated boolean"
+    schema = "project_id string, path string, language string, ordinal int, start_byte long, end_byte long, start_line long, end_line long, start_col long, end_col long, owner_key string, content string, occurrence int, truncated boolean"
     rows = cut.select(*keys, "language", "text", "ranges").mapInArrow(run, schema)
     rows = rows.withColumn("content_hash", sha256_hex("content"))
-    again = Window.partitionBy(*keys, "content_hash", "owner_key").orderBy("start_byte")
-    rows = rows.withColumn("occurrence", F.row_number().over(again) - 1)
     rows = rows.withColumn("identity_key", chunk_key("path", "content_hash", "owner_key", "occurrence"))
     if symbols is None:
         named = rows.withColumn("symbol_name", F.lit(None).cast("string")).withColumn("symbol_kind", F.lit(None).cast("string"))

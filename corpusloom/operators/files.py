@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Languages by extension and by whole file name.
-EXTENSIONS = {
-    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "css": "css", "go": "go", "html": "html", "java": "java", "js": "javascript", "cjs": "javascript", "mjs": "javascript", "jsx": "javascriptreact",
-    "json": "json", "kt": "kotlin", "lua": "lua", "md": "markdown", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "scss": "scss", "sh": "shellscript", "sql": "sql", "swift": "swift", "toml": "toml", "ts": "typescript", "cts": "typescript", "mts": "typescript",
-    "tsx": "typescriptreact", "vue": "vue", "xml": "xml", "yaml": "yaml", "yml": "yaml",
+# Languages by whole file name and by ending.
+NAMES = {"dockerfile": "dockerfile", "gemfile": "ruby", "makefile": "makefile", "procfile": "plaintext"}
+ENDINGS = {
+    "bash": "shell", "c": "c", "cc": "cpp", "cjs": "javascript", "cpp": "cpp", "cs": "csharp", "css": "css", "csv": "csv", "go": "go", "gql": "graphql", "graphql": "graphql", "h": "c", "hpp": "cpp", "html": "html", "java": "java", "js": "javascript",
+    "json": "json", "jsx": "javascriptreact", "kt": "kotlin", "kts": "kotlin", "md": "markdown", "mdx": "mdx", "mjs": "javascript", "php": "php", "prisma": "prisma", "py": "python", "rb": "ruby", "rs": "rust", "scss": "scss", "sh": "shell", "sql": "sql",
+    "svelte": "svelte", "swift": "swift", "toml": "toml", "ts": "typescript", "tsx": "typescriptreact", "txt": "plaintext", "vue": "vue", "yaml": "yaml", "yml": "yaml", "zsh": "shell",
 }
-NAMES = {"dockerfile": "dockerfile", "gemfile": "ruby", "makefile": "makefile", "procfile": "procfile"}
 
 
 def classify_language(path: str | Column) -> Column:
-    """By the lower-cased file name, then its extension, else plaintext."""
+    """By the lower-cased file name, then its ending, else plaintext; a leading dot begins no ending."""
     name = F.lower(F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1))
     table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
-    ending = F.regexp_extract(name, r"\.([^.]*)$", 1)
-    return F.coalesce(F.try_element_at(table(NAMES), name), F.try_element_at(table(EXTENSIONS), ending), F.lit("plaintext"))
+    ending = F.regexp_extract(name, r"(?s).\.([^.]*)$", 1)
+    return F.coalesce(F.try_element_at(table(NAMES), name), F.try_element_at(table(ENDINGS), ending), F.lit("plaintext"))
 
 
 def fingerprint(files: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:

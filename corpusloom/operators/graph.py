@@ -9,8 +9,9 @@ from corpusloom.functions.scalar import external_package, node_id
 from corpusloom.operators.paths import parent
 from corpusloom.plans.tables import materialize
 
-# Modules of the runtime itself.
-BUILTINS = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+# Modules of the runtime itself, and those that are only known by the prefix node:.
+BUILTINS = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib assert/strict dns/promises fs/promises inspector/promises path/posix path/win32 readline/promises stream/consumers stream/promises stream/web timers/promises util/types".split()
+PREFIXED = "sea sqlite test test/reporters".split()
 ENDINGS = [".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 SWAPS = {".js": [".ts", ".tsx", ".d.ts"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
 
@@ -28,20 +29,21 @@ def resolve_imports(edges: DataFrame, files: DataFrame, aliases: DataFrame | Non
     ``files(project_id, path)`` is the catalog; ``aliases(project_id, pattern, target)``
     are path aliases with at most one ``*``. Distinct (directory, specifier) pairs are
     resolved once: candidate paths are exploded with their priority and met with the
-    catalog by one equi-join.
+    catalog by one equi-join. An edge whose own file is not in the catalog is
+    unresolved, not_in_source_catalog.
     """
     asked = edges.select("project_id", parent(F.col("source_path")).alias("dir"), "specifier").distinct()
     s = F.col("specifier")
     bare = F.regexp_replace(s, "^node:", "")
     relative = s.rlike(r"^\.{1,2}(/|$)")
     local = _joined(F.col("dir"), s)
-    early = F.when((s == "") | F.contains(s, F.lit("\0")), "unresolved:invalid_specifier").when(F.startswith(s, F.lit("node:")) | F.substring_index(bare, "/", 1).isin(*BUILTINS), "builtin").when(F.startswith(s, F.lit("/")), "unresolved:outside_project").when(F.contains(s, F.lit("\\")), "unresolved:invalid_specifier").when(s.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "unresolved:unsupported_scheme").when((s == "#") | F.startswith(s, F.lit("#/")), "unresolved:invalid_specifier").when(relative & local.isNull(), "unresolved:outside_project")
+    early = F.when((s == "") | F.contains(s, F.lit("\0")), "unresolved:invalid_specifier").when(bare.isin(*BUILTINS) | (F.startswith(s, F.lit("node:")) & bare.isin(*PREFIXED)), "builtin").when(F.startswith(s, F.lit("/")) | F.startswith(s, F.lit("\\\\")) | s.rlike(r"^[A-Za-z]:[\\/]"), "unresolved:outside_project").when(F.contains(s, F.lit("\\")), "unresolved:invalid_specifier").when(s.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "unresolved:unsupported_scheme").when((s == "#") | F.startswith(s, F.lit("#/")), "unresolved:invalid_specifier").when(relative & local.isNull(), "unresolved:outside_project")
     asked = asked.withColumn("early", early).withColumn("relative", relative)
     bases = asked.where("early IS NULL AND relative").select("project_id", "dir", "specifier", local.alias("base"), F.lit(0).alias("way"))
     claimed = None
     if aliases is not None:
         head, tail = F.substring_index("pattern", "*", 1), F.when(F.contains("pattern", F.lit("*")), F.element_at(F.split("pattern", r"\*"), -1)).otherwise("")
-        fits = F.when(F.contains("pattern", F.lit("*")), F.startswith("specifier", head) & F.endswith("specifier", tail)).otherwise(F.col("specifier") == F.col("pattern"))
+        fits = F.when(F.contains("pattern", F.lit("*")), F.startswith("specifier", head) & F.endswith("specifier", tail) & (F.length("specifier") >= F.length(head) + F.length(tail))).otherwise(F.col("specifier") == F.col("pattern"))
         inner = F.substring("specifier", F.length(head) + 1, F.length("specifier") - F.length(head) - F.length(tail))
         named = asked.where("early IS NULL AND NOT relative").join(aliases, "project_id").where(fits)
         bases = bases.unionByName(named.select("project_id", "dir", "specifier", _joined(F.lit("."), F.replace("target", F.lit("*"), inner)).alias("base"), (1 + F.lit(1000) - F.length(head)).alias("way")))
@@ -57,7 +59,11 @@ def resolve_imports(edges: DataFrame, files: DataFrame, aliases: DataFrame | Non
     kind = F.when(F.col("early") == "builtin", "builtin").when(F.col("early").isNotNull(), "unresolved").when(F.col("target_path").isNotNull(), "local").when(F.col("relative") | F.startswith(s, F.lit("#")) | F.coalesce("claimed", F.lit(False)) | package.isNull(), "unresolved").otherwise("external")
     reason = F.when(F.col("early") != "builtin", F.substring_index("early", ":", -1)).when(kind == "unresolved", F.when(package.isNull() & ~F.col("relative") & ~F.startswith(s, F.lit("#")), "invalid_specifier").otherwise("not_found"))
     out = out.select("project_id", "dir", "specifier", kind.alias("resolution_kind"), "target_path", F.when(kind == "external", package).when(kind == "builtin", F.concat(F.lit("node:"), bare)).alias("external_package"), reason.alias("unresolved_reason"))
-    return edges.withColumn("dir", parent(F.col("source_path"))).join(out, ["project_id", "dir", "specifier"], "left").drop("dir")
+    found = edges.withColumn("dir", parent(F.col("source_path"))).join(out, ["project_id", "dir", "specifier"], "left").drop("dir")
+    listed = files.select("project_id", F.col("path").alias("source_path"), F.lit(True).alias("listed")).distinct()
+    found = found.join(listed, ["project_id", "source_path"], "left")
+    known = lambda c, other=None: F.when(F.col("listed"), F.col(c)).otherwise(other).alias(c)
+    return found.select(*edges.columns, known("resolution_kind", "unresolved"), known("target_path"), known("external_package"), known("unresolved_reason", "not_in_source_catalog"))
 
 
 def traverse(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", depth: int = 2, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:

@@ -25,18 +25,24 @@ def _ranked(df: DataFrame, score: str, name: str, limit: Column) -> DataFrame:
     return df.withColumn(name, F.row_number().over(order)).where(F.col(name) <= limit)
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 512) -> DataFrame:
+def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 512, part_chunks: int = 4096) -> DataFrame:
     """Exact cosine top list of each ``queries(query_id, project_id, vector, path_prefix, languages, k)``.
 
-    Queries are packed into blocks of ``block_queries`` of one project and joined to the
-    project's chunks through Arrow batches: each batch is one matrix product and passes
-    on only its own best rows of each query. Null and zero vectors match nothing.
+    Queries are packed into blocks of about ``block_queries``, chunks into parts of about
+    ``part_chunks`` of one project; each block meets each part of its project, dealt by
+    project and part, in one matrix product that passes on only its own best rows of
+    each query. Null and zero vectors match nothing.
     """
-    n = F.floor((F.row_number().over(Window.partitionBy("project_id").orderBy("query_id")) - 1) / block_queries)
-    wanted = queries.where("vector IS NOT NULL").select("project_id", "query_id", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "path_prefix", "languages", candidate_limit("k").alias("want"), n.alias("block"))
+    dealt = lambda key, most: F.pmod(F.xxhash64(key), F.ceil(F.col("all") / most))
+    sized = lambda rows: rows.join(rows.groupBy("project_id").agg(F.count("*").alias("all")), "project_id")
+    wanted = queries.where("vector IS NOT NULL").select("project_id", "query_id", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "path_prefix", "languages", candidate_limit("k").alias("want"))
+    wanted = sized(wanted).withColumn("block", dealt("query_id", block_queries))
     blocks = wanted.groupBy("project_id", "block").agg(F.collect_list(F.struct("query_id", "vector", "path_prefix", "languages", "want")).alias("qs"))
-    packed = chunks.where("embedding IS NOT NULL").select("project_id", "chunk_id", "path", "start_byte", "language", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)).alias("draw"))
-    packed = packed.groupBy("project_id", F.floor(F.col("draw") / 4096).alias("part")).agg(F.collect_list(F.struct("chunk_id", "path", "start_byte", "language", "embedding")).alias("cs"))
+    packed = chunks.where("embedding IS NOT NULL").select("project_id", "chunk_id", "path", "start_byte", "language", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+    packed = sized(packed).withColumn("part", dealt("chunk_id", part_chunks))
+    packed = packed.groupBy("project_id", "part").agg(F.collect_list(F.struct("chunk_id", "path", "start_byte", "language", "embedding")).alias("cs"))
+    parts = packed.select("project_id", "part")
+    blocks = parts.join(blocks, "project_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +65,7 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 512)
                 columns = list(zip(*out, strict=True)) if out else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "chunk_id", "path", "start_byte", "score", "want"])
 
-    best = packed.join(blocks, "project_id").select("qs", "cs").mapInArrow(run, "query_id long, chunk_id string, path string, start_byte long, score double, want long")
+    best = packed.join(blocks, ["project_id", "part"]).select("qs", "cs").mapInArrow(run, "query_id long, chunk_id string, path string, start_byte long, score double, want long")
     return _ranked(best, "score", "dense_rank", F.col("want") + 1).drop("want")
 
 
@@ -67,15 +73,20 @@ def lexical_topk(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Rows of ``documents(project_id, chunk_id, source, path, start_byte, language, terms)`` that hold all terms of a query.
 
     ``terms`` are (term, weight) structs; a document's score is the sum over the query's
-    terms of the best weight, a chunk's score that of its best document. One equi-join
-    on project and term.
+    terms of the best weight, a chunk's score that of its best document. A query meets
+    only the documents that hold the rarest of its terms, by one equi-join on project
+    and term, and the others are then looked up in the row.
     """
-    asked = queries.select("project_id", "query_id", "path_prefix", "languages", candidate_limit("k").alias("want"), F.array_distinct(lexical_terms("text")).alias("asked"))
-    asked = asked.withColumn("n", F.size("asked")).select("*", F.explode("asked").alias("term")).drop("asked")
-    postings = documents.select("project_id", "chunk_id", "source", "path", "start_byte", "language", F.explode("terms").alias("t")).select("*", "t.term", "t.weight").drop("t")
-    postings = postings.groupBy("project_id", "chunk_id", "source", "path", "start_byte", "language", "term").agg(F.max("weight").alias("weight"))
-    hits = postings.join(asked, ["project_id", "term"]).where(allowed())
-    whole = hits.groupBy("query_id", "chunk_id", "source", "path", "start_byte", "n", "want").agg(F.sum("weight").alias("score"), F.count("*").alias("found")).where("found = n")
+    asked = queries.select("project_id", "query_id", "path_prefix", "languages", candidate_limit("k").alias("want"), F.array_distinct(lexical_terms("text")).alias("asked")).where(F.size("asked") > 0)
+    held = documents.select("project_id", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+    often = held.groupBy("project_id", "term").agg(F.count("*").alias("often"))
+    rarest = asked.select("project_id", "query_id", F.explode("asked").alias("term")).join(often, ["project_id", "term"])
+    rarest = rarest.groupBy("project_id", "query_id").agg(F.min(F.struct("often", "term")).alias("r")).select("project_id", "query_id", F.col("r.term").alias("term"))
+    asked = asked.join(rarest, ["project_id", "query_id"])
+    postings = documents.select("project_id", "chunk_id", "source", "path", "start_byte", "language", "terms", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+    hits = postings.join(asked, ["project_id", "term"]).where(allowed() & (F.size(F.array_except("asked", F.col("terms.term"))) == 0))
+    weight = lambda a: F.array_max(F.transform(F.filter("terms", lambda t: t["term"] == a), lambda t: t["weight"].cast("double")))
+    whole = hits.select("query_id", "chunk_id", "path", "start_byte", "want", F.aggregate("asked", F.lit(0.0), lambda sum_, a: sum_ + weight(a)).alias("score"))
     best = whole.groupBy("query_id", "chunk_id", "path", "start_byte", "want").agg(F.max("score").alias("score"))
     return _ranked(best, "score", "lexical_rank", F.col("want") + 1).drop("want")
 

@@ -50,11 +50,11 @@ files AS (
 )"""
 
 INDEXED_SQL = f"""WITH {FILES_SQL}, checked AS (
-  SELECT *, CASE WHEN size_bytes > 16000 THEN 'too_large' WHEN contains(text, chr(0)) THEN 'binary_content' END AS reason FROM files
+  SELECT *, CASE WHEN size_bytes > 1048576 THEN 'too_large' WHEN contains(text, chr(0)) THEN 'binary_content' END AS reason FROM files
 ), run AS (
   SELECT *, sum(CASE WHEN reason IS NULL THEN size_bytes ELSE 0 END) OVER (PARTITION BY project_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM checked
 ), cut AS (
-  SELECT *, max(CASE WHEN reason IS NULL AND total > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS over FROM run
+  SELECT *, max(CASE WHEN reason IS NULL AND total > 268435456 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY path ROWS UNBOUNDED PRECEDING) AS over FROM run
 ), indexed AS (
   SELECT project_id, path, language, size_bytes, CASE WHEN over = 1 THEN 'run_limit' ELSE reason END AS skip_reason,
          CASE WHEN over = 1 OR reason IS NOT NULL THEN 'skipped' ELSE 'ready' END AS status, CASE WHEN over = 0 AND reason IS NULL THEN content_hash END AS content_hash
@@ -63,8 +63,8 @@ INDEXED_SQL = f"""WITH {FILES_SQL}, checked AS (
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = files.fingerprint(file_table(spark, sf_dir), 16_000).select("project_id", "path", "language", "size_bytes", "status", "skip_reason", "content_hash")
-    return budgets.byte_budget(done, 60_000).withColumn("content_hash", F.when(F.col("status") == "ready", F.col("content_hash")))
+    done = files.fingerprint(file_table(spark, sf_dir)).select("project_id", "path", "language", "size_bytes", "status", "skip_reason", "content_hash")
+    return budgets.byte_budget(done, 256 << 20).withColumn("content_hash", F.when(F.col("status") == "ready", F.col("content_hash")))
 
 
 @register("job1_index_sources", INDEXED_SQL + " SELECT project_id, path, language, size_bytes, skip_reason, status, content_hash FROM indexed")
@@ -121,7 +121,7 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    rows = vector_chunks(spark, sf_dir).where("vec_id % 50 = 0")
+    rows = vector_chunks(spark, sf_dir).where("vec_id % 20 = 0")
     prefix = F.when(F.col("vec_id") % 100 == 0, F.concat(F.lit("label"), F.col("label").cast("string")))
     return rows.select(F.col("vec_id").alias("query_id"), "project_id", F.col("embedding").alias("vector"), prefix.alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(k).alias("k"), "vec_id")
 
@@ -131,7 +131,7 @@ v AS (
   SELECT vec_id, 'label' || CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR) AS path, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, c.path, list_cosine_similarity(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 <> 0 OR q.label = c.label WHERE q.vec_id % 50 = 0
+  FROM v q JOIN v c ON q.vec_id % 100 <> 0 OR q.label = c.label WHERE q.vec_id % 20 = 0
 ), dense AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, vec_id) AS INTEGER) AS dense_rank FROM scored
 )"""
@@ -149,7 +149,7 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", "p_name", "p_type")
-    return part_documents(spark, sf_dir).where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), "project_id", text.alias("text"), F.lit(None).cast("string").alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(6).alias("k"))
+    return part_documents(spark, sf_dir).where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), "project_id", text.alias("text"), F.lit(None).cast("string").alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(6).alias("k"))
 
 
 LEXICAL_SQL = r"""
@@ -160,7 +160,7 @@ t AS (
     SELECT p_partkey, p_brand, unnest(string_split_regex(lower(regexp_replace(p_brand || ' ' || p_type, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')), 0.4::DOUBLE FROM part
   ) WHERE term <> '' GROUP BY ALL
 ), asked AS (
-  SELECT DISTINCT p_partkey AS query_id, unnest(string_split_regex(lower(regexp_replace(p_name || ' ' || p_type, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term FROM part WHERE p_partkey % 40 = 0
+  SELECT DISTINCT p_partkey AS query_id, unnest(string_split_regex(lower(regexp_replace(p_name || ' ' || p_type, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term FROM part WHERE p_partkey % 20 = 0
 ), n AS (SELECT query_id, count(*) AS n FROM asked WHERE term <> '' GROUP BY query_id),
 whole AS (
   SELECT a.query_id, t.p_partkey, t.path, sum(t.weight) AS score FROM asked a JOIN t ON a.term = t.term JOIN n ON n.query_id = a.query_id GROUP BY a.query_id, t.p_partkey, t.path, n.n HAVING count(*) = n.n
@@ -178,7 +178,7 @@ HYBRID_SQL = f"""WITH {DENSE_SQL}, names AS (
   SELECT v.vec_id, v.path, v.label, p.p_name, p.p_type FROM v LEFT JOIN part p ON p.p_partkey = v.vec_id
 ), lex AS (
   SELECT q.vec_id AS query_id, c.vec_id, c.path, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY c.path, c.vec_id) AS INTEGER) AS lexical_rank
-  FROM names q JOIN names c ON lower(q.p_name) = lower(c.p_name) WHERE q.vec_id % 50 = 0 AND (q.vec_id % 100 <> 0 OR q.label = c.label)
+  FROM names q JOIN names c ON lower(q.p_name) = lower(c.p_name) WHERE q.vec_id % 20 = 0 AND (q.vec_id % 100 <> 0 OR q.label = c.label)
 ), fused AS (
   SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.vec_id, l.vec_id) AS vec_id, coalesce(d.path, l.path) AS path, d.dense_rank, l.lexical_rank,
          coalesce(1.0::DOUBLE / (60 + d.dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + l.lexical_rank), 0) AS score
@@ -232,22 +232,22 @@ TOKENS = "(CAST(ceil((length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\
       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     p AS (SELECT conv_id AS session_id, CAST(last_turn AS BIGINT) AS user_ordinal, CAST(turn AS BIGINT) AS assistant_ordinal, CAST(last_t + t AS INTEGER) AS tokens FROM m WHERE role = 'assistant' AND last_role = 'user'),
     s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY session_id ORDER BY user_ordinal DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM p)
-    SELECT * FROM s WHERE spent <= 300""",
+    SELECT * FROM s WHERE spent <= 2560""",
 )
 def wn11(spark, sf_dir):
     rows = message_table(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
-    return conversations.complete_turns(rows, 300).select("session_id", "user_ordinal", "assistant_ordinal", "tokens", "spent")
+    return conversations.complete_turns(rows, 2560).select("session_id", "user_ordinal", "assistant_ordinal", "tokens", "spent")
 
 
 @register(
     "job19_model_context",
     """WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations),
-    b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS m FROM a WHERE n <= 6 AND text <> ''),
-    c AS (SELECT *, first(role) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS last_role FROM b WHERE m <= 4)
+    b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS m FROM a WHERE n <= 200 AND text <> ''),
+    c AS (SELECT *, first(role) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS last_role FROM b WHERE m <= 40)
     SELECT conv_id AS session_id, CAST(turn AS BIGINT) AS ordinal, role FROM c WHERE last_role = 'user'""",
 )
 def job19(spark, sf_dir):
-    return conversations.model_context(message_table(spark, sf_dir), 6, 4).select("session_id", "ordinal", "role")
+    return conversations.model_context(message_table(spark, sf_dir), 200, 40).select("session_id", "ordinal", "role")
 
 
 @register("ag6_session_summaries", "SELECT conv_id AS session_id, max(turn) AS updated_at, count(*) AS message_count FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, session_id DESC LIMIT 50")
@@ -290,7 +290,7 @@ def str1(spark, sf_dir):
 
 @register(
     "str5_detect_stalled",
-    f"""WITH {EVENTS_SQL}, n AS (SELECT *, lead(event_ts) OVER (PARTITION BY session_id, request_id ORDER BY seq) AS next_ts FROM kept)
+    f"""WITH {EVENTS_SQL}, n AS (SELECT *, coalesce(lead(event_ts) OVER (PARTITION BY session_id, request_id ORDER BY seq), (SELECT max(event_ts) FROM e)) AS next_ts FROM kept)
     SELECT session_id, request_id, epoch_us(min(event_ts)) AS stalled_after FROM n WHERE type = 'delta' AND epoch_us(next_ts) - epoch_us(event_ts) > 330000000 GROUP BY ALL""",
 )
 def str5(spark, sf_dir):
@@ -350,14 +350,14 @@ pairs AS (
 @register(
     "job5_traverse",
     f"""WITH RECURSIVE {EDGES_SQL}, walk AS (
-      SELECT DISTINCT source AS start_id, source AS node, 0 AS level FROM pairs WHERE source % 500 = 0
+      SELECT DISTINCT source AS start_id, source AS node, 0 AS level FROM pairs WHERE source % 20 = 0
       UNION SELECT w.start_id, p.target, w.level + 1 FROM walk w JOIN pairs p ON p.source = w.node WHERE w.level < 2
     ), reached AS (SELECT start_id, node, min(level) AS level FROM walk GROUP BY ALL)
     SELECT r.start_id, CAST(r.level + 1 AS INTEGER) AS level, CAST(p.source AS VARCHAR) || '>' || CAST(p.target AS VARCHAR) AS edge_key FROM reached r JOIN pairs p ON p.source = r.node WHERE r.level < 2""",
 )
 def job5(spark, sf_dir):
     edges = part_edges(spark, sf_dir)
-    starts = edges.where("source % 500 = 0").select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
+    starts = edges.where("source % 20 = 0").select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
     return graph.traverse(edges, starts, "outgoing", 2).select("start_id", "level", "edge_key")
 
 

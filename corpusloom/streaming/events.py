@@ -59,7 +59,9 @@ def fold_deltas(events: DataFrame, require_accepted: bool = False) -> DataFrame:
 def fold_deltas_stream(events: DataFrame, timeout: str = "330 seconds") -> DataFrame:
     """The same as a stream over ``events(session_id, request_id, seq, event_ts, type, content)``: a row when a request ends, or is silent for ``timeout``.
 
-    The state keeps a list of deltas and joins it once, at the end.
+    The state keeps a list of deltas and joins it once, at the end. That of an ended or
+    stalled request stays, empty, until the watermark has passed its last event by
+    ``timeout``, so that a late delta starts no second row, and is then removed.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,9 +70,13 @@ def fold_deltas_stream(events: DataFrame, timeout: str = "330 seconds") -> DataF
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts, status, last = state.get if state.exists else ([], "pending", 0)
         parts, ended = list(parts), status in ("completed", "cancelled", "failed", "stalled")
+        if state.hasTimedOut and ended:
+            state.remove()
+            return
         if state.hasTimedOut:
             yield pd.DataFrame({"session_id": [key[0]], "request_id": [key[1]], "content": ["".join(c for _, c in sorted(map(tuple, parts)))], "status": ["stalled"], "deltas": [len(parts)]})
-            state.remove()
+            state.update(([], "stalled", state.getCurrentWatermarkMs()))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + limit)
             return
         for pdf in batches:
             for r in pdf.sort_values("seq").itertuples():
@@ -84,8 +90,7 @@ def fold_deltas_stream(events: DataFrame, timeout: str = "330 seconds") -> DataF
                     status, ended = ("failed" if r.type == "error" else r.type), True
                     yield pd.DataFrame({"session_id": [key[0]], "request_id": [key[1]], "content": ["".join(c for _, c in sorted(parts))], "status": [status], "deltas": [len(parts)]})
         state.update(([] if ended else parts, status, last))
-        if not ended:
-            state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
 
     return (
         events.withWatermark("event_ts", "10 minutes")
@@ -97,7 +102,8 @@ def fold_deltas_stream(events: DataFrame, timeout: str = "330 seconds") -> DataF
 def detect_stalled(events: DataFrame, gap_seconds: int = 330) -> DataFrame:
     """Requests with a silence longer than the gap before their next event, or an open end before the newest event of all."""
     order = Window.partitionBy(*KEYS).orderBy("seq")
-    kept = terminal_wins(events).withColumn("next_ts", F.lead("event_ts").over(order))
+    newest = events.select(F.max("event_ts")).scalar()
+    kept = terminal_wins(events).withColumn("next_ts", F.coalesce(F.lead("event_ts").over(order), newest))
     silent = F.unix_micros("next_ts") - F.unix_micros("event_ts") > gap_seconds * 1_000_000
     return kept.where(~F.col("type").isin(*TERMINAL) & silent).groupBy(*KEYS).agg(F.min("event_ts").alias("stalled_after"))
 
