@@ -1,7 +1,7 @@
 """Golden cases of the library's operators."""
 
 import hashlib
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pytest
 from corpusloom import queries
@@ -269,3 +269,35 @@ def test_job12_keeps_texts_that_fit_the_default_limits(spark, tmp_path):
     spark.createDataFrame([(1, text * 15_000, "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     parts = queries.QUERIES["job12_chunk_sources"](spark, str(tmp_path)).collect()
     assert max(r.end_byte for r in parts) == 1_500_000 and max(r.end_byte - r.start_byte for r in parts) > 2048 and not any(r.truncated for r in parts)
+
+
+def test_languages_by_name_and_ending(spark):
+    want = {"a/Procfile": "plaintext", "x.sh": "shell", "b.ZSH": "shell", "c.gql": "graphql", "d.mdx": "mdx", "e.xml": "plaintext", "src/.ts": "plaintext", "a.b.tsx": "typescriptreact", "Gemfile": "ruby"}
+    rows = spark.createDataFrame([(p,) for p in want], "path string").select("path", files.classify_language("path").alias("l")).collect()
+    assert {r.path: r.l for r in rows} == want
+
+
+def test_import_specifiers_outside_the_catalog(spark):
+    catalog = spark.createDataFrame([("p", "src/a.ts"), ("p", "src/lib/ab.ts")], "project_id string, path string")
+    aliases = spark.createDataFrame([("p", "@a*a", "src/lib/*b")], "project_id string, pattern string, target string")
+    asked = ["fs/anything", "node:x", "node:test", "test", "fs/promises", "C:\\x", "C:/x", "\\\\host\\x", "a\\b", "https://x", "/abs", "@a", "@aaa", "./lib/ab"]
+    edges = spark.createDataFrame([("p", "src/a.ts", s) for s in asked] + [("p", "gone.ts", "./a")], "project_id string, source_path string, specifier string")
+    got = {(r.source_path, r.specifier): (r.resolution_kind, r.target_path, r.external_package, r.unresolved_reason) for r in graph.resolve_imports(edges, catalog, aliases).collect()}
+    out = lambda reason: ("unresolved", None, None, reason)
+    want = [("external", None, "fs", None), out("unsupported_scheme"), ("builtin", None, "node:test", None), ("external", None, "test", None), ("builtin", None, "node:fs/promises", None), out("outside_project"), out("outside_project"), out("outside_project"), out("invalid_specifier"), out("unsupported_scheme"), out("outside_project"), out("invalid_specifier"), ("local", "src/lib/ab.ts", None, None), ("local", "src/lib/ab.ts", None, None)]
+    assert {k[1]: v for k, v in got.items() if k[0] == "src/a.ts"} == dict(zip(asked, want, strict=True))
+    assert got["gone.ts", "./a"] == out("not_in_source_catalog")
+
+
+def test_a_request_that_falls_silent_is_stalled(spark):
+    rows = [("s", "a", 1, 0, "delta"), ("s", "a", 2, 100, "completed"), ("s", "b", 3, 200, "delta"), ("s", "c", 4, 900, "delta"), ("s", "d", 5, 10, "delta"), ("s", "d", 6, 20, "completed")]
+    events = spark.createDataFrame([(*r[:3], datetime.fromtimestamp(r[3], UTC), r[4], "x") for r in rows], "session_id string, request_id string, seq long, event_ts timestamp, type string, content string")
+    assert [(r.request_id, r.at) for r in ev.detect_stalled(events).select("request_id", F.unix_seconds("stalled_after").alias("at")).collect()] == [("b", 200)]
+
+
+def test_dense_search_in_parts_equals_the_whole(spark):
+    rows = [("p" if i % 3 else "q", str(i), f"d{i % 2}/{i}", i, "text", [float((i * 7 + j * 3) % 11 - 5) for j in range(6)]) for i in range(90)]
+    chunks = spark.createDataFrame(rows, "project_id string, chunk_id string, path string, start_byte long, language string, embedding array<double>")
+    asked = chunks.where("start_byte < 30").select(F.col("start_byte").alias("query_id"), "project_id", F.col("embedding").alias("vector"), F.lit("d1").alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(3).alias("k"))
+    found = lambda **more: sorted((r.query_id, r.dense_rank, r.chunk_id) for r in search.dense_topk(asked, chunks, **more).collect())
+    assert found(block_queries=4, part_chunks=8) == found() and len(found()) > 30
