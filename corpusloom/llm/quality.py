@@ -1,16 +1,23 @@
-"""Document quality by co-training: a text-content view and a page-metadata view teach each other."""
+"""Document quality by co-training: a text-content view and a page-metadata view teach each other.
+
+A bounded sample of labelled documents starts both views. Then, in rounds, every other
+document is judged by both; each view learns from all documents that the other one is
+sure of, by sums of gradients and Hessians that Spark adds up over the corpus.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import SPACE, distinct, mix, slices, texts_of, words_of
+from corpusloom.llm.shared import materialize
+from corpusloom.llm.words import SPACE, distinct, slices, texts_of, words_of
 
 MARKS = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
 N_TEXT = len(MARKS) + 12
@@ -57,21 +64,25 @@ def text_features(texts: pa.Array) -> np.ndarray:
 
 
 def _bucket(values: list, n: int) -> np.ndarray:
-    numbers = [int.from_bytes(str(v).encode()[:64].ljust(8, b"\0")[:8], "little") ^ sum(str(v).encode()) if v is not None else 0 for v in values]
-    return (mix(np.array(numbers, np.uint64)) % np.uint64(n)).astype(np.int64)
+    known = {v: xxhash.xxh64_intdigest(str(v).encode("utf-8", "replace")) % n for v in set(values)}
+    return np.array([known[v] for v in values], np.int64)
+
+
+def meta_numbers(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """One row a document from its metadata alone: source and language by hash of the whole string, stated length, and what is missing."""
+    size = [float(c) if c is not None and c >= 0 else 0.0 for c in n_chars]
+    return np.c_[_bucket(source, SOURCES), _bucket(lang, LANGS), size, [c is None for c in n_chars], [s is None for s in source]].reshape(-1, 5).astype(np.float64)
 
 
-def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """One row a document from its metadata alone: source and language by hash, stated length."""
-    n = len(source)
+def meta_features(numbers: np.ndarray) -> np.ndarray:
+    """Features from ``meta_numbers``, one column a bucket."""
+    n, size = len(numbers), numbers[:, 2]
     out = np.zeros((n, N_META))
-    out[np.arange(n), _bucket(source, SOURCES)] = 1
-    out[np.arange(n), SOURCES + _bucket(lang, LANGS)] = 1
-    size = np.array([float(c) if c is not None and c >= 0 else 0.0 for c in n_chars]) if n else np.zeros(0)
+    out[np.arange(n), numbers[:, 0].astype(int)] = 1
+    out[np.arange(n), SOURCES + numbers[:, 1].astype(int)] = 1
     out[:, -4] = np.log1p(size) / 8
     out[:, -3] = size < 100
-    out[:, -2] = [c is None for c in n_chars]
-    out[:, -1] = [s is None for s in source]
+    out[:, -2:] = numbers[:, 3:]
     return out
 
 
@@ -83,23 +94,34 @@ class Linear:
     scale: np.ndarray
     weights: np.ndarray
 
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)]
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[1:] + self.weights[0]
+        return self.design(x) @ self.weights
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the log loss over some rows."""
+        z = self.design(x)
+        p = _sigmoid(z @ self.weights)
+        return z.T @ (p - y), (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
 
+    def step(self, gradient: np.ndarray, hessian: np.ndarray, ridge: float = 1.0) -> float:
+        """One Newton step on sums over all rows; the largest change."""
+        penalty = np.full(len(self.weights), ridge)
+        penalty[0] = 1e-6
+        change = np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * self.weights)
+        self.weights = self.weights - change
+        return float(np.abs(change).max())
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Linear:
+
+def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 25) -> Linear:
     mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale < 1e-9, 1.0, scale)
-    z = np.c_[np.ones(len(x)), np.clip((x - mean) / scale, -8, 8)]
-    w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
-    penalty[0] = 1e-6
+    out = Linear(mean, np.where(scale < 1e-9, 1.0, scale), np.zeros(x.shape[1] + 1))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        if out.step(*out.sums(x, y)) < 1e-6:
             break
-    return Linear(mean, scale, w)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,72 +142,115 @@ class CoTrained:
         if self.text is None:
             ones = np.ones(len(texts))
             return ones, ones, ones
-        a, b = self.text.logit(text_features(texts)), self.meta.logit(meta_features(source, lang, n_chars))
+        a, b = self.text.logit(text_features(texts)), self.meta.logit(meta_features(meta_numbers(source, lang, n_chars)))
         return _sigmoid(self.text_scale.logit(a[:, None])), _sigmoid(self.meta_scale.logit(b[:, None])), _sigmoid(self.both.logit(np.c_[a, b]))
 
 
-def cotrain(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int, confident: float, each: int) -> CoTrained:
+def taught_sums(x: tuple[np.ndarray, np.ndarray], judges: list[Linear], scales: list[Linear], pupils: list[Linear], confident: float) -> np.ndarray:
+    """What each view learns from the rows that the other one is sure of: for each view and class their number, gradient and Hessian, in one row of numbers."""
+    out = []
+    for pupil in (0, 1):
+        p = _sigmoid(scales[1 - pupil].logit(judges[1 - pupil].logit(x[1 - pupil])[:, None]))
+        for label, sure in ((1.0, p >= confident), (0.0, p <= 1 - confident)):
+            gradient, hessian = pupils[pupil].sums(x[pupil][sure], np.full(int(sure.sum()), label))
+            out += [[sure.sum()], gradient, hessian.ravel()]
+    return np.concatenate(out)
+
+
+def learn(pupils: list[Linear], teach: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray) -> None:
+    """One step of each view on its labelled rows and on ``taught_sums`` over all others, which weigh as much, class by class, as the labelled ones at most."""
+    at = 0
+    for v, n in enumerate(len(pupil.weights) for pupil in pupils):
+        x, y = teach[v]
+        gradient, hessian = pupils[v].sums(x, y)
+        for label in (1.0, 0.0):
+            rows = total[at]
+            weight = min(1.0, float((y == label).sum()) / rows) if rows else 0.0
+            gradient = gradient + weight * total[at + 1 : at + 1 + n]
+            hessian = hessian + weight * total[at + 1 + n : at + 1 + n + n * n].reshape(n, n)
+            at += 1 + n + n * n
+        pupils[v].step(gradient, hessian)
+        pupils[v].weights = np.round(pupils[v].weights, 7)  # sums may come in another order in another run
+
+
+def cotrain(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, sums_over_pool: Callable, rounds: int, steps: int) -> CoTrained:
     """Three quarters of the labelled rows teach; the last quarter calibrates the views and their combination.
 
-    In each round each view labels, for the other one, up to ``each`` pool rows of each
-    class, the surest first, as long as its calibrated probability is ``confident``.
+    ``sums_over_pool(judges, scales, pupils)`` adds up ``taught_sums`` over all other
+    documents. In a round the judges stay as they were at its start.
     """
     if min(y.sum(), len(y) - y.sum()) < 10:
         return CoTrained(None, None)
     held = np.arange(len(y)) % 4 == 3
-    teach = [(xa[~held], y[~held]), (xb[~held], y[~held])]
-    pools, free = (pool_a, pool_b), [np.ones(len(pool_a), bool), np.ones(len(pool_a), bool)]
-    held_x = (xa[held], xb[held])
-    scale = lambda v: fit_linear(views[v].logit(held_x[v])[:, None], y[held])
+    teach, held_x = [(xa[~held], y[~held]), (xb[~held], y[~held])], (xa[held], xb[held])
     views = [fit_linear(*teach[0]), fit_linear(*teach[1])]
+    scales = lambda: [fit_linear(views[v].logit(held_x[v])[:, None], y[held]) for v in (0, 1)]
     for _ in range(rounds):
-        taught = False
-        for v, other in ((0, 1), (1, 0)):
-            p = _sigmoid(scale(v).logit(views[v].logit(pools[v])[:, None])) if len(pool_a) else np.zeros(0)
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                rank = np.nonzero(free[other] & (sure >= confident))[0]
-                rank = rank[np.argsort(-sure[rank], kind="stable")][:each]
-                if len(rank):
-                    taught = True
-                    free[other][rank] = False
-                    x, t = teach[other]
-                    teach[other] = (np.r_[x, pools[other][rank]], np.r_[t, np.full(len(rank), label)])
-        if not taught:
-            break
-        views = [fit_linear(*teach[0]), fit_linear(*teach[1])]
+        judges, sure = [replace(v) for v in views], scales()
+        for _ in range(steps):
+            learn(views, teach, sums_over_pool(judges, sure, views))
     both = fit_linear(np.c_[views[0].logit(held_x[0]), views[1].logit(held_x[1])], y[held])
-    return CoTrained(views[0], views[1], scale(0), scale(1), both)
+    return CoTrained(*views, *scales(), both)
 
 
 COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6000, pool_rows: int = 6000, rounds: int = 5, confident: float = 0.95, each: int = 500) -> CoTrained:
-    """Fits both views on bounded samples.
+def _features(docs: DataFrame, *more: str) -> DataFrame:
+    """x (text features), m (``meta_numbers``) and some columns of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, source, lang, n_chars, *others = batch.columns
+            x, m = text_features(texts_of(text)), meta_numbers(source.to_pylist(), lang.to_pylist(), n_chars.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(m), pa.list_(pa.float64())), *others], ["x", "m", *more])
+
+    kinds = dict(docs.dtypes)
+    return docs.select(*COLUMNS[1:], *more).mapInArrow(run, ", ".join(["x array<float>", "m array<double>", *(f"{c} {kinds[c]}" for c in more)]))
+
+
+def _matrices(x: pa.Array, m: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(x.flatten(), np.float64).reshape(-1, N_TEXT), meta_features(np.asarray(m.flatten(), np.float64).reshape(-1, 5))
 
-    ``labelled_rows`` bounds the rows of ``labels(doc_id, quality)`` that teach and
-    ``pool_rows`` the unlabelled documents that the views label for each other; both are
-    the smallest by a hash of doc_id. The samples' features come to the driver (about 1 kB a row);
-    everything after the fit covers all documents. Null labels are left out.
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 6000, rounds: int = 2, steps: int = 3, confident: float = 0.99) -> CoTrained:
+    """Fits both views on a bounded sample of labelled documents and on all others.
+
+    ``labelled_rows`` bounds the rows of ``labels(doc_id, quality)`` that teach, the
+    smallest by a hash of doc_id; their features come to the driver (about 300 bytes a
+    row). Features of all other documents are written once; each of ``rounds`` times
+    ``steps`` passes over them returns some 19,000 sums. A view learns from the
+    documents for which the other one's calibrated probability of a class is
+    ``confident``. Null labels are left out. With fewer than ten labels of either class
+    the model keeps everything.
     """
     draw = F.xxhash64(F.lit("quality"), F.col("doc_id"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = known.orderBy(draw, "doc_id").limit(labelled_rows)
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(draw, "doc_id").limit(pool_rows)
-    wanted = chosen.union(pool.select("doc_id", F.lit(None).cast("int")))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, text, source, lang, n_chars, quality = batch.columns
-            x = np.c_[text_features(texts_of(text)), meta_features(source.to_pylist(), lang.to_pylist(), n_chars.to_pylist())]
-            yield pa.RecordBatch.from_arrays([ids, quality, pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
-
-    rows = docs.select(*COLUMNS).join(F.broadcast(wanted), "doc_id").mapInArrow(features, "doc_id long, quality int, x array<double>").toArrow()
+    chosen = materialize(known.orderBy(draw, "doc_id").limit(labelled_rows), "labelled")
+    rows = _features(docs.select(*COLUMNS).join(F.broadcast(chosen), "doc_id"), "doc_id", "quality").toArrow()
     order = np.argsort(np.array(rows["doc_id"]), kind="stable") if rows.num_rows else np.zeros(0, np.int64)
-    x = np.array(rows["x"].combine_chunks().flatten() if rows.num_rows else [], np.float64).reshape(-1, N_TEXT + N_META)[order]
-    quality = np.array([np.nan if q is None else q for q in rows["quality"].to_pylist()], np.float64)[order]
-    taught = ~np.isnan(quality)
-    return cotrain(x[taught, :N_TEXT], x[taught, N_TEXT:], quality[taught], x[~taught, :N_TEXT], x[~taught, N_TEXT:], rounds, confident, each)
+    x, m = (rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())) for c in ("x", "m"))
+    xa, xb = (v[order] for v in _matrices(x, m))
+    others = docs.select(*COLUMNS).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    pool: list[DataFrame] = []
+
+    def sums_over_pool(judges: list[Linear], scales: list[Linear], pupils: list[Linear]) -> np.ndarray:
+        size = sum(2 * (1 + n + n * n) for n in (len(pupil.weights) for pupil in pupils))
+        if not pool:
+            pool.append(materialize(_features(others), "features"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                total += taught_sums(_matrices(*batch.columns), judges, scales, pupils, confident)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
+
+        added = pool[0].mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(size)
+        out[np.array(added["i"], np.int64)] = np.array(added["v"])
+        return out
+
+    return cotrain(xa, xb, np.array(rows["quality"], np.float64)[order], sums_over_pool, rounds, steps)
 
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
