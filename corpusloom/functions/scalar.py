@@ -184,6 +184,13 @@ def byte_slice(content: str | Column, start, end) -> Column:
     return F.when(F.is_valid_utf8(part), part.cast("string"))
 
 
+def line_col(content: str | Column, offset) -> Column:
+    """0-based line and byte column of a byte offset in a text, as a struct; null inside a character."""
+    before = byte_slice(as_column(content).cast("binary"), F.lit(0), offset)
+    lines = F.split(before, "\n")
+    return F.struct((F.size(lines) - 1).alias("line"), F.octet_length(F.element_at(lines, -1)).alias("col"))
+
+
 def millis_between(start: str | Column, end: str | Column) -> Column:
     return F.unix_millis(as_column(end)) - F.unix_millis(as_column(start))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalar import entity_key, file_route, package_facts, relationship_key
@@ -94,3 +94,49 @@ def react_facts(symbols: DataFrame, jsx: DataFrame, wrappers: DataFrame) -> tupl
     known = components.select("project_id", "path", F.col("name").alias("target_name"), F.col("identity_key").alias("target_key"))
     linked = used.join(known, ["project_id", "path", "target_name"], "left").withColumn("certainty", F.when(F.col("target_key").isNotNull(), "linked").otherwise("declared"))
     return components, linked.withColumn("identity_key", relationship_key("project_id", F.lit("renders"), "source_key", "target_name", F.lit(0)))
+
+
+def framework_catalog(entities: DataFrame, relationships: DataFrame, scopes: DataFrame, framework: str | None = None, kind: str | None = None, path: str | None = None, root: str | None = None, max_entities: int = 100, max_relationships: int = 200) -> dict[str, DataFrame]:
+    """One page of each project's facts: its first entities that pass the filters, their relationships, and the scopes they lie in.
+
+    ``entities(project_id, id, root_path, framework, path, start_byte, entity_kind)``,
+    ``relationships(project_id, id, source_id, target_id, relationship_kind)``,
+    ``scopes(project_id, root_path, framework)``. Both ends of a relationship must be
+    on the page, unless its target is unknown. Each list has ``more``, true where the
+    limit left rows out.
+    """
+    wanted = entities
+    for column, value in (("framework", framework), ("entity_kind", kind), ("path", path), ("root_path", root)):
+        if value is not None:
+            wanted = wanted.where(F.col(column) == value)
+    place = [F.col("root_path"), F.col("framework"), F.col("path"), F.coalesce("start_byte", F.lit(-1)), F.col("entity_kind"), F.col("id")]
+    page = _first_rows(wanted, place, max_entities)
+    ids = page.select("project_id", "id")
+    own = relationships.join(ids.withColumnRenamed("id", "source_id"), ["project_id", "source_id"], "left_semi")
+    both = own.join(ids.withColumnRenamed("id", "target_id").withColumn("there", F.lit(True)), ["project_id", "target_id"], "left").where("target_id IS NULL OR there").drop("there")
+    links = _first_rows(both, [F.col("source_id"), F.col("relationship_kind"), F.col("id")], max_relationships)
+    return {"entities": page, "relationships": links, "scopes": scopes.join(page.select("project_id", "root_path", "framework"), ["project_id", "root_path", "framework"], "left_semi")}
+
+
+def _first_rows(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    own = Window.partitionBy("project_id").orderBy(*order)
+    numbered = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= limit + 1)
+    more = F.max(F.col("place") > limit).over(Window.partitionBy("project_id"))
+    return numbered.withColumn("more", more).where(F.col("place") <= limit)
+
+
+#: The stable order of each kind of result, by columns of the facts; null text counts as empty and a null offset as -1.
+ORDERS = {
+    "edges": ["source_path", "start_byte", "id"],
+    "entities": ["start_byte", "entity_kind", "identity_key"],
+    "relationships": ["source_key", "relationship_kind", "target", "identity_key"],
+    "omissions": ["reason", "evidence_key"],
+}
+
+
+def canonical_order(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` of a kind of ``ORDERS``, project by project, in its stable order."""
+    by = [F.coalesce(F.col(c), F.lit(-1) if c == "start_byte" else F.lit("")) for c in ORDERS[kind] if c != "target"]
+    if kind == "relationships":
+        by.insert(2, F.coalesce("target_key", "target_name", F.lit("")))
+    return rows.orderBy("project_id", *by)

@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from corpusloom import queries
 from corpusloom.functions import scalar as S
-from corpusloom.operators import budgets, catalog, chunks, context, conversations, files, graph, paths, search
+from corpusloom.operators import budgets, catalog, chunks, context, conversations, files, frameworks, graph, paths, search
 from corpusloom.streaming import events as ev
 from pyspark.sql import functions as F
 
@@ -301,3 +301,25 @@ def test_dense_search_in_parts_equals_the_whole(spark):
     asked = chunks.where("start_byte < 30").select(F.col("start_byte").alias("query_id"), "project_id", F.col("embedding").alias("vector"), F.lit("d1").alias("path_prefix"), F.lit(None).cast("array<string>").alias("languages"), F.lit(3).alias("k"))
     found = lambda **more: sorted((r.query_id, r.dense_rank, r.chunk_id) for r in search.dense_topk(asked, chunks, **more).collect())
     assert found(block_queries=4, part_chunks=8) == found() and len(found()) > 30
+
+
+def test_lines_and_columns_count_bytes(spark):
+    rows = spark.createDataFrame([("aé\nb\n", i) for i in (0, 1, 3, 4, 5, 6)], "text string, at int")
+    assert [tuple(r.p) for r in rows.select(S.line_col("text", F.col("at")).alias("p")).collect()] == [(0, 0), (0, 1), (0, 3), (1, 0), (1, 1), (2, 0)]
+
+
+def test_framework_catalog_pages_and_orders(spark):
+    rows = [("p", f"e{i}", "." if i % 2 else "web", "react" if i % 3 else "nextjs", f"f{i % 4}.tsx", None if i == 5 else i, "component") for i in range(10)] + [("q", "z", ".", "react", "a.tsx", 1, "page")]
+    entities = spark.createDataFrame(rows, "project_id string, id string, root_path string, framework string, path string, start_byte long, entity_kind string")
+    links = spark.createDataFrame([("p", f"r{i}", f"e{i}", f"e{i + 3}" if i != 1 else None, "renders") for i in range(8)], "project_id string, id string, source_id string, target_id string, relationship_kind string")
+    scopes = spark.createDataFrame([("p", ".", "react"), ("p", "web", "react"), ("p", "web", "nextjs"), ("q", ".", "react")], "project_id string, root_path string, framework string")
+    page = frameworks.framework_catalog(entities, links, scopes, framework="react", max_entities=4, max_relationships=1)
+    mine = sorted((r for r in rows if r[3] == "react" and r[0] == "p"), key=lambda r: (r[2], r[3], r[4], -1 if r[5] is None else r[5], r[6], r[1]))[:4]
+    got = page["entities"].collect()
+    assert sorted((r.project_id, r.place, r.id, r.more) for r in got) == [("p", n + 1, r[1], True) for n, r in enumerate(mine)] + [("q", 1, "z", False)]
+    ids = {r[1] for r in mine}
+    fit = sorted((r.source_id, r.id) for r in links.collect() if r.source_id in ids and (r.target_id is None or r.target_id in ids))
+    assert [(r.source_id, r.id, r.more) for r in page["relationships"].collect()] == [(*fit[0], len(fit) > 1)]
+    assert {(r.project_id, r.root_path) for r in page["scopes"].collect()} == {("p", r[2]) for r in mine} | {("q", ".")}
+    facts = entities.withColumnRenamed("id", "identity_key")
+    assert [r.identity_key for r in frameworks.canonical_order(facts, "entities").collect()][:2] == ["e5", "e0"]
