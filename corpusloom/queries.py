@@ -6,11 +6,11 @@ parts for chunks, orders for runs, conversations for chats and events for genera
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar as S
-from corpusloom.operators import budgets, catalog, chunks, context, conversations, files, graph, paths, search
+from corpusloom.operators import budgets, catalog, chunks, context, conversations, facts, files, graph, paths, search
 from corpusloom.streaming import events as ev
 
 QUERIES = {}
@@ -350,14 +350,14 @@ pairs AS (
 @register(
     "job5_traverse",
     f"""WITH RECURSIVE {EDGES_SQL}, walk AS (
-      SELECT DISTINCT source AS start_id, source AS node, 0 AS level FROM pairs WHERE source % 20 = 0
+      SELECT DISTINCT source AS start_id, source AS node, 0 AS level FROM pairs
       UNION SELECT w.start_id, p.target, w.level + 1 FROM walk w JOIN pairs p ON p.source = w.node WHERE w.level < 2
     ), reached AS (SELECT start_id, node, min(level) AS level FROM walk GROUP BY ALL)
     SELECT r.start_id, CAST(r.level + 1 AS INTEGER) AS level, CAST(p.source AS VARCHAR) || '>' || CAST(p.target AS VARCHAR) AS edge_key FROM reached r JOIN pairs p ON p.source = r.node WHERE r.level < 2""",
 )
 def job5(spark, sf_dir):
     edges = part_edges(spark, sf_dir)
-    starts = edges.where("source % 20 = 0").select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
+    starts = edges.select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
     return graph.traverse(edges, starts, "outgoing", 2).select("start_id", "level", "edge_key")
 
 
@@ -417,3 +417,119 @@ def job12(spark, sf_dir):
 @register("sc9_term_counts", r"""SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(regexp_replace(text, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+')) AS term FROM benchmark) WHERE term <> '' GROUP BY term""")
 def sc9(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.explode(S.lexical_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def static(kind: str, **parts) -> Column:
+    """A static value as JSON text; ``parts`` are columns, JSON text where they hold values."""
+    return F.to_json(F.struct(F.lit(kind).alias("kind"), *(c.alias(name) for name, c in parts.items())))
+
+
+def static_name(*segments) -> Column:
+    return static("identifier", reference=F.struct(F.array(*segments).alias("segments")))
+
+
+def listed(values) -> Column:
+    """A static array of a column of JSON texts."""
+    return F.concat(F.lit('{"kind":"array","items":['), F.array_join(values, ","), F.lit("]}"))
+
+
+UNKNOWN = '{"kind":"unknown"}'
+
+
+def evidence_rows(rows: DataFrame, **given) -> DataFrame:
+    """Evidence with the columns that are ``given``, all others null."""
+    names = [c.split() for c in facts.EVIDENCE.split(", ")]
+    defaults = {"project_id": F.col("project_id"), "path": F.col("path"), "scope_key": F.col("project_id"), "evidence_key": F.concat_ws(":", "kind_", "id_"), "start_byte": F.col("at_")}
+    rows = rows.withColumns({"kind_": given.pop("tag"), "id_": given.pop("id").cast("string"), "at_": given.pop("at").cast("long")})
+    return rows.select(*((given.get(n, defaults.get(n, F.lit(None)))).cast(t).alias(n) for n, t in names))
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A file a customer, and its orders with that file."""
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("project_id"), F.concat(F.lit("c/"), F.col("c_custkey").cast("string"), F.lit(".ts")).alias("path"), "c_custkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    return own, orders.join(own, "c_custkey")
+
+
+def file_edges(own: DataFrame, package: str | None, key: str, *bindings: tuple[str, str | None, str]) -> DataFrame:
+    names = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).cast("string").alias("imported_name"), F.lit(n).alias("local_name"), F.lit(False).alias("type_only")) for k, i, n in bindings))
+    return own.select("project_id", F.col("path").alias("source_path"), F.lit(key).alias("edge_key"), F.lit(package).cast("string").alias("external_package"), F.lit(False).alias("type_only"), names.alias("bindings"))
+
+
+def named_links(found: facts.Facts) -> DataFrame:
+    names = found.entities.select("project_id", "path", F.col("identity_key").alias("source_key"), F.col("name").alias("source_name"))
+    return found.relationships.join(names, ["project_id", "path", "source_key"]).select("project_id", "path", "relationship_kind", "source_name", "target_name", "certainty")
+
+
+CUSTOMER_SQL = """
+own AS (SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS project_id, 'c/' || CAST(c_custkey AS VARCHAR) || '.ts' AS path, c_custkey FROM customer),
+o AS (SELECT own.*, CAST(o_orderkey AS VARCHAR) AS k, o_orderkey, o_orderstatus FROM orders JOIN own ON o_custkey = c_custkey)"""
+
+
+@register(
+    "job6_nest_facts",
+    f"""WITH {CUSTOMER_SQL}
+    SELECT project_id, path, 'registers_provider' AS relationship_kind, 'Mod' AS source_name, 'S' || k AS target_name, 'linked' AS certainty FROM o
+    UNION ALL SELECT project_id, path, 'registers_controller', 'Mod', 'Ctl', 'linked' FROM own
+    UNION ALL SELECT project_id, path, 'imports_module', 'Mod', 'Shared.Lib', 'declared' FROM own
+    UNION ALL SELECT project_id, path, 'exports_provider', 'Mod', NULL, 'unresolved' FROM own
+    UNION ALL SELECT project_id, path, 'injects', 'Ctl', 'S' || k, 'linked' FROM o WHERE o_orderstatus = 'O'
+    UNION ALL SELECT project_id, path, 'handles_route', 'Ctl', 'Ctl.h' || k || ' GET', 'linked' FROM o WHERE o_orderstatus = 'P'""",
+)
+def job6(spark, sf_dir):
+    own, orders = customer_files(spark, sf_dir)
+    k = F.col("o_orderkey").cast("string")
+    served = orders.groupBy("c_custkey").agg(F.array_sort(F.collect_list(static_name(F.concat(F.lit("S"), k)))).alias("served"))
+    told = own.join(served, "c_custkey", "left").withColumn("served", F.coalesce("served", F.array().cast("array<string>")))
+    sections = {"imports": listed(F.array(static_name(F.lit("Lib"), F.lit("Lib")))), "controllers": listed(F.array(static_name(F.lit("Ctl")))), "providers": listed("served"), "exports": F.lit(UNKNOWN)}
+    module = F.concat(F.lit('{"kind":"object","properties":['), F.concat_ws(",", *(F.concat(F.lit('{"key":"' + s + '","value":'), v, F.lit("}")) for s, v in sections.items())), F.lit("]}"))
+    mark = {"kind": F.lit("decorator"), "target_kind": F.lit("class")}
+    rows = evidence_rows(told, tag=F.lit("m"), id=F.lit(0), at=F.lit(0), reference=F.array(F.lit("Module")), target_name=F.lit("Mod"), arguments=F.array(module), **mark)
+    rows = rows.unionByName(evidence_rows(own, tag=F.lit("c"), id=F.lit(0), at=F.lit(1), reference=F.array(F.lit("Controller")), target_name=F.lit("Ctl"), arguments=F.array(static("string", value=F.col("path"))), **mark))
+    rows = rows.unionByName(evidence_rows(orders.where("o_orderstatus = 'F'"), tag=F.lit("i"), id=k, at=F.col("o_orderkey") + 2, reference=F.array(F.lit("N"), F.lit("Injectable")), target_name=F.concat(F.lit("S"), k), arguments=F.array().cast("array<string>"), **mark))
+    rows = rows.unionByName(evidence_rows(orders.where("o_orderstatus = 'O'"), tag=F.lit("p"), id=k, at=F.col("o_orderkey") + 2, kind=F.lit("constructor_parameter"), owner_name=F.lit("Ctl"), parameter_index=F.col("o_orderkey"), reference=F.array(F.concat(F.lit("S"), k))))
+    rows = rows.unionByName(evidence_rows(orders.where("o_orderstatus = 'P'"), tag=F.lit("r"), id=k, at=F.col("o_orderkey") + 2, kind=F.lit("decorator"), reference=F.array(F.lit("Get")), target_kind=F.lit("method"), owner_name=F.lit("Ctl"), target_name=F.concat(F.lit("h"), k), arguments=F.array(static("string", value=k))))
+    common = file_edges(own, "@nestjs/common", "e1", ("named", "Module", "Module"), ("named", "Controller", "Controller"), ("named", "Get", "Get"), ("namespace", None, "N"))
+    return named_links(facts.nest_facts(rows, common.unionByName(file_edges(own, None, "e2", ("named", "Shared", "Lib")))))
+
+
+@register(
+    "job7_express_facts",
+    f"""WITH {CUSTOMER_SQL}
+    SELECT project_id, path, 'mounts_router' AS relationship_kind, 'app' AS source_name, 'router' AS target_name, 'linked' AS certainty FROM own
+    UNION ALL SELECT project_id, path, 'handles_route', 'app', 'app.GET /o/' || k, 'linked' FROM o WHERE o_orderstatus = 'F'
+    UNION ALL SELECT project_id, path, 'handles_route', 'router', 'router.POST dynamic', 'unresolved' FROM o WHERE o_orderstatus = 'P'
+    UNION ALL SELECT project_id, path, 'uses_middleware', 'app', 'app.middleware.inline.0', 'linked' FROM o WHERE o_orderstatus = 'O'""",
+)
+def job7(spark, sf_dir):
+    own, orders = customer_files(spark, sf_dir)
+    k, at = F.col("o_orderkey").cast("string"), F.col("o_orderkey") + 9
+    call = lambda rows, name, at, *segments, **given: evidence_rows(rows, tag=F.lit(name), at=at, kind=F.lit("call_expression"), reference=F.array(*map(F.lit, segments)), **given)
+    rows = call(own, "a", F.lit(0), "express", id=F.lit(0), assigned_name=F.lit("app"))
+    rows = rows.unionByName(call(own, "b", F.lit(1), "express", "Router", id=F.lit(0), assigned_name=F.lit("router")))
+    rows = rows.unionByName(call(own, "c", F.lit(2), "app", "use", id=F.lit(0), arguments=F.array(static("string", value=F.lit("/api")), static_name(F.lit("router")))))
+    rows = rows.unionByName(call(orders.where("o_orderstatus = 'F'"), "f", at, "app", "get", id=k, arguments=F.array(static("string", value=F.concat(F.lit("o//"), k)), static_name(F.lit("one")))))
+    rows = rows.unionByName(call(orders.where("o_orderstatus = 'P'"), "p", at, "router", "post", id=k, arguments=F.array(F.lit(UNKNOWN), static_name(F.lit("two")))))
+    rows = rows.unionByName(call(orders.where("o_orderstatus = 'O'"), "o", at, "app", "use", id=k, arguments=F.array(F.lit(UNKNOWN)), parameter_counts=F.array(F.lit(4))))
+    return named_links(facts.express_facts(rows, file_edges(own, "express", "e1", ("default", None, "express"))))
+
+
+@register(
+    "job10_sequelize_facts",
+    f"""WITH {CUSTOMER_SQL}, n AS (SELECT *, lead(k) OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS next FROM o)
+    SELECT project_id, path, 'associates' AS relationship_kind, 'Order' || k AS source_name, coalesce('Order' || next, 'Missing') AS target_name, CASE WHEN next IS NULL THEN 'declared' ELSE 'linked' END AS certainty FROM n
+    UNION ALL SELECT project_id, path, 'defines_attribute', 'Order' || k, 'Order' || k || '.line' || CAST(l_linenumber AS VARCHAR), CASE WHEN l_returnflag = 'N' THEN 'unresolved' ELSE 'declared' END FROM o JOIN lineitem ON l_orderkey = o_orderkey""",
+)
+def job10(spark, sf_dir):
+    own, orders = customer_files(spark, sf_dir)
+    k = F.col("o_orderkey").cast("string")
+    later = F.lead("o_orderkey").over(Window.partitionBy("c_custkey").orderBy("o_orderkey")).cast("string")
+    orders = orders.withColumn("model", F.concat(F.lit("Order"), k)).withColumn("next", F.coalesce(F.concat(F.lit("Order"), later), F.lit("Missing")))
+    value = F.when(F.col("l_returnflag") == "N", F.lit(UNKNOWN)).otherwise(static_name(F.lit("DataTypes"), F.lit("STRING")))
+    line = F.concat(F.lit('{"key":"line'), F.col("l_linenumber").cast("string"), F.lit('","value":'), value, F.lit("}"))
+    fields = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    filled = F.concat(F.lit('{"kind":"object","properties":['), F.array_join("lines", ","), F.lit("]}"))
+    rows = evidence_rows(orders, tag=F.lit("c"), id=k, at=F.col("o_orderkey"), kind=F.lit("class_heritage"), target_name=F.col("model"), reference=F.array(F.lit("Model")))
+    rows = rows.unionByName(evidence_rows(orders.join(fields, "o_orderkey"), tag=F.lit("i"), id=k, at=F.col("o_orderkey"), kind=F.lit("call_expression"), owner_name=F.col("model"), reference=F.array(F.lit("this"), F.lit("init")), arguments=F.array(filled)))
+    rows = rows.unionByName(evidence_rows(orders, tag=F.lit("a"), id=k, at=F.col("o_orderkey"), kind=F.lit("call_expression"), reference=F.array(F.col("model"), F.lit("belongsTo")), arguments=F.array(static_name(F.col("next")))))
+    return named_links(facts.sequelize_facts(rows, file_edges(own, "sequelize", "e1", ("named", "Model", "Model"))))
