@@ -257,12 +257,28 @@ def ag6(spark, sf_dir):
     return conversations.session_summaries(sessions, messages, 50)
 
 
-@register("job17_build_prompts")
+SYSTEM = "You answer questions about a code base."
+
+
+@register(
+    "job17_build_prompts",
+    f"""WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text, {TOKENS.format("coalesce(text, '')")} AS t FROM conversations),
+    m AS (SELECT *, lag(role) OVER w AS last_role, lag(turn) OVER w AS last_turn, lag(text) OVER w AS last_text, lag(t) OVER w AS last_t FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    s AS (SELECT *, sum(last_t + t) OVER (PARTITION BY conv_id ORDER BY last_turn DESC ROWS UNBOUNDED PRECEDING) AS spent FROM m WHERE role = 'assistant' AND last_role = 'user'),
+    q AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS text, arg_max(t, turn) FILTER (role = 'user') + {TOKENS.format(f"'{SYSTEM}'")} AS required, arg_min(text, turn) AS context, arg_min(t, turn) AS ct FROM c GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0),
+    b AS (SELECT *, CASE WHEN required <= 6144 AND ct <= least(3072, 6144 - required) THEN ct ELSE 0 END AS used FROM q),
+    h AS (SELECT b.conv_id, string_agg(CAST(s.last_turn AS VARCHAR) || ':' || s.last_text || chr(30) || s.text, chr(29) ORDER BY s.last_turn) AS history, max(s.spent) AS spent
+      FROM b JOIN s ON s.conv_id = b.conv_id AND s.spent <= 2560 AND s.spent <= least(2560, 6144 - b.required - b.used) GROUP BY b.conv_id)
+    SELECT b.conv_id AS query_id, b.conv_id AS session_id, '{SYSTEM}' AS system, CASE WHEN used > 0 THEN context END AS context, CASE WHEN required <= 6144 THEN history END AS history, b.text,
+      CASE WHEN required <= 6144 THEN CAST(required + used + coalesce(h.spent, 0) AS BIGINT) END AS tokens, CASE WHEN required > 6144 THEN 'prompt_too_large' END AS error
+    FROM b LEFT JOIN h ON h.conv_id = b.conv_id""",
+)
 def job17(spark, sf_dir):
-    rows = message_table(spark, sf_dir)
-    asked = rows.where("role = 'user'").groupBy("session_id").agg(F.max_by("content", "ordinal").alias("text")).select(F.col("session_id").alias("query_id"), "session_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = message_table(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    asked = rows.where("role = 'user'").groupBy("session_id").agg(F.max_by("content", "ordinal").alias("text")).select(F.col("session_id").alias("query_id"), "session_id", "text")
     context_ = rows.groupBy(F.col("session_id").alias("query_id")).agg(F.min_by("content", "ordinal").alias("context"))
-    return context.build_prompts(asked, context_, rows, "You answer questions about a code base.")
+    turn = lambda h: F.concat(h["user_ordinal"].cast("string"), F.lit(":"), h["user_content"], F.lit("\x1e"), h["assistant_content"])
+    return context.build_prompts(asked, context_, rows, SYSTEM).withColumn("history", F.array_join(F.transform("history", turn), "\x1d"))
 
 
 def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +424,33 @@ def jn4(spark, sf_dir):
     return graph.resolve_imports(edges, rows).select("project_id", "doc_id", "resolution_kind", "target_path", "external_package", "unresolved_reason")
 
 
-@register("job12_chunk_sources")
+CHUNKS_SQL = f"""WITH RECURSIVE {FILES_SQL}, body AS (SELECT project_id, path, language, regexp_replace(text, '^\\x{{FEFF}}', '') AS text FROM files),
+lines AS (SELECT *, list_transform(string_split(text, chr(10)), lambda l: strlen(l)) AS sizes FROM body),
+ended AS (SELECT *, encode(text) AS data, CAST(strlen(text) AS BIGINT) AS size, list_transform(range(1, len(sizes)), lambda i: CAST(list_sum(sizes[1:i]) + i AS BIGINT)) AS ends FROM lines),
+cut AS (
+  SELECT project_id, path, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM ended
+  UNION ALL
+  SELECT e.project_id, e.path, c.b, CASE WHEN c.b + 8192 >= e.size THEN e.size ELSE coalesce(list_max(list_filter(e.ends, lambda x: x > c.b AND x <= c.b + 8192)),
+    CASE WHEN substr(hex(e.data), 2 * (c.b + 8192) + 1, 2) NOT BETWEEN '80' AND 'BF' THEN c.b + 8192 WHEN substr(hex(e.data), 2 * (c.b + 8191) + 1, 2) NOT BETWEEN '80' AND 'BF' THEN c.b + 8191
+         WHEN substr(hex(e.data), 2 * (c.b + 8190) + 1, 2) NOT BETWEEN '80' AND 'BF' THEN c.b + 8190 ELSE c.b + 8189 END) END
+  FROM cut c JOIN ended e ON e.project_id = c.project_id AND e.path = c.path WHERE c.b < e.size
+),
+pieces AS (
+  SELECT e.project_id, e.path, e.language, c.a, c.b, decode(e.data[c.a + 1:c.b]) AS content, e.ends, CAST(len(list_filter(e.ends, lambda x: x <= c.a)) AS BIGINT) AS start_line, CAST(len(list_filter(e.ends, lambda x: x <= c.b)) AS BIGINT) AS end_line
+  FROM cut c JOIN ended e ON e.project_id = c.project_id AND e.path = c.path WHERE c.a < c.b
+),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY a) - 1 AS ordinal, row_number() OVER (PARTITION BY project_id, path, content ORDER BY a) - 1 AS occurrence, count(*) OVER (PARTITION BY project_id, path) > 500 AS truncated
+  FROM pieces WHERE trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+)
+SELECT project_id, path, language, CAST(ordinal AS INTEGER) AS ordinal, a AS start_byte, b AS end_byte, start_line, end_line, a - CASE WHEN start_line > 0 THEN ends[start_line] ELSE 0 END AS start_col,
+  b - CASE WHEN end_line > 0 THEN ends[end_line] ELSE 0 END AS end_col, CAST(NULL AS VARCHAR) AS owner_key, CAST(occurrence AS INTEGER) AS occurrence, truncated, sha256(content) AS content_hash,
+  sha256('chunks-1' || chr(0) || path || chr(0) || sha256(content) || chr(0) || chr(0) || CAST(occurrence AS VARCHAR)) AS identity_key, CAST(NULL AS VARCHAR) AS symbol_name, CAST(NULL AS VARCHAR) AS symbol_kind,
+  sha256('file: ' || path || chr(10) || 'language: ' || language || chr(10) || '---' || chr(10) || content) AS input_hash
+FROM n WHERE ordinal < 500"""
+
+
+@register("job12_chunk_sources", CHUNKS_SQL)
 def job12(spark, sf_dir):
     rows = file_table(spark, sf_dir).select("project_id", "path", files.classify_language("path").alias("language"), "text")
     return chunks.chunk_sources(rows).drop("content")
