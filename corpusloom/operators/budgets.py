@@ -8,15 +8,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.tables import materialize
+
+
+def running_totals(rows: DataFrame, order: str, **counted: Column) -> DataFrame:
+    """Adds each project's running sum of ``counted`` by ``order``, in two levels, so that no task holds a whole project.
+
+    Rows are dealt into ranges of (project, order) and written once; sums of the ranges
+    before go onto the sums within a range.
+    """
+    ranged = rows.repartitionByRange("project_id", order).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged.withColumns(counted), "ranged")
+    before = Window.partitionBy("project_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("project_id", "range").agg(*(F.sum(c).alias(c) for c in counted))
+    sums = sums.select("project_id", "range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in counted))
+    within = Window.partitionBy("project_id", "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(sums, ["project_id", "range"])
+    return joined.withColumns({c: F.sum(c).over(within) + F.col(f"{c}_before") for c in counted}).drop("range", *(f"{c}_before" for c in counted))
+
 
 def byte_budget(files: DataFrame, max_total: int) -> DataFrame:
-    """Sticky: from the first ready file in path order that would pass ``max_total`` on, every file is ``run_limit``."""
-    order = Window.partitionBy("project_id").orderBy("path")
-    counted = F.when(F.col("status") == "ready", F.col("size_bytes")).otherwise(0)
-    total = F.sum(counted).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    over = F.max(((F.col("status") == "ready") & (F.col("total") > max_total)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    cut = files.withColumn("total", total).withColumn("over", over)
-    return cut.withColumn("skip_reason", F.when(F.col("over") == 1, "run_limit").otherwise(F.col("skip_reason"))).withColumn("status", F.when(F.col("over") == 1, "skipped").otherwise(F.col("status"))).drop("total", "over")
+    """Sticky: from the first ready file in path order that would pass ``max_total`` on, every file is ``run_limit``.
+
+    Sizes are never negative, so a total beyond the limit stays beyond it.
+    """
+    cut = running_totals(files, "path", total=F.when(F.col("status") == "ready", F.coalesce("size_bytes", F.lit(0))).otherwise(0)).withColumn("over", F.col("total") > max_total)
+    return cut.withColumn("skip_reason", F.when(F.col("over"), "run_limit").otherwise(F.col("skip_reason"))).withColumn("status", F.when(F.col("over"), "skipped").otherwise(F.col("status"))).select(files.columns)
 
 
 def depth_first_key(path: str = "path") -> Column:
@@ -28,14 +45,13 @@ def depth_first_key(path: str = "path") -> Column:
 def inventory_budget(files: DataFrame, max_files: int, max_bytes: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """The files that a depth-first walk takes before its limits, and the reasons met by project."""
     deep = F.size(F.split("path", "/")) - 1 > max_depth
-    order = Window.partitionBy("project_id").orderBy("walk")
     shallow = files.where(~deep).withColumn("walk", depth_first_key())
-    run = shallow.withColumn("n", F.row_number().over(order)).withColumn("bytes", F.sum("size_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("cut", F.max(F.when(F.col("n") > max_files, 2).when(F.col("bytes") > max_bytes, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = running_totals(shallow, "walk", n=F.lit(1), bytes=F.coalesce("size_bytes", F.lit(0)))
+    run = run.withColumn("cut", F.when(F.col("n") > max_files, 2).when(F.col("bytes") > max_bytes, 1).otherwise(0))
     met = run.where("cut > 0").select("project_id", F.when(F.col("n") > max_files, "file_limit").otherwise("byte_limit").alias("reason"), "n")
     first = met.groupBy("project_id").agg(F.min_by("reason", "n").alias("reason"))
     reasons = first.union(files.where(deep).select("project_id", F.lit("depth_limit").alias("reason"))).groupBy("project_id").agg(F.array_sort(F.collect_set("reason")).alias("limit_reasons"))
-    return run.where("cut = 0").drop("n", "bytes", "cut", "walk"), reasons
+    return run.where("cut = 0").select(files.columns), reasons
 
 
 def saturating_budget(df: DataFrame, order: list[str], max_total: int) -> DataFrame:

@@ -323,3 +323,15 @@ def test_framework_catalog_pages_and_orders(spark):
     assert {(r.project_id, r.root_path) for r in page["scopes"].collect()} == {("p", r[2]) for r in mine} | {("q", ".")}
     facts = entities.withColumnRenamed("id", "identity_key")
     assert [r.identity_key for r in frameworks.canonical_order(facts, "entities").collect()][:2] == ["e5", "e0"]
+
+
+def test_running_totals_cross_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 7).cast("string"))).alias("project_id"), F.format_string("%04d", "id").alias("path"), (F.col("id") * 37 % 11).alias("size"))
+    got = budgets.running_totals(rows, "path", n=F.lit(1), total=F.col("size")).collect()
+    want, seen = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r.path):
+        n, total = seen.get(r.project_id, (0, 0))
+        seen[r.project_id] = want[r.path] = (n + 1, total + r["size"])
+    assert {r.path: (r.n, r.total) for r in got} == want and len(got) == 400
