@@ -26,9 +26,7 @@ MARK = "\x01"
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's name inside a text is ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 _known: dict[str, list[dict[bytes, bytes]]] = {}
@@ -89,8 +87,9 @@ def word_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer never joins characters across ASCII white space, so each distinct
-    word goes through the tokenizers library once and its ids are then looked up. When
-    the memory is full, words that are still met move on and the others are forgotten.
+    word goes through the tokenizers library once and its ids are then looked up; the
+    name of a special token inside a text is that token, as by the library. When the
+    memory is full, words that are still met move on and the others are forgotten.
     """
     memory = _known.setdefault(path, [{}, {}])
     split = [text.encode("utf-8", "replace").split() for text in texts]
@@ -116,7 +115,8 @@ class Packer:
     smallest (h = 0: a new window), the fullest such level on a tie. Windows that are
     still open at the end are merged by cutting pieces of the emptiest into the fullest;
     the ids of the last one are laid out in sequences whose lengths are powers of two.
-    The same is done to all open windows whenever there are more than ``max_open``.
+    Whenever more than ``max_open`` are open, only the fullest is completed in that way;
+    all others keep their levels, so placement goes on as before.
     """
 
     def __init__(self, size: int, first_id: int, max_open: int):
@@ -134,8 +134,8 @@ class Packer:
             self._close([(doc_id, start, ids[4 * start : 4 * (start + self.size)], n)])
         if whole < n:
             self._place((doc_id, whole, ids[4 * whole :], n), n - whole)
-        if self.n_open > self.max_open:
-            self.finish()
+        while self.n_open > self.max_open:
+            self._complete_fullest()
 
     def _place(self, piece: tuple, s: int) -> None:
         n = self.levels
@@ -145,16 +145,12 @@ class Packer:
         if not len(gain) or gain[h - 1] > 2 * n[s] + 1:
             h, window = 0, []
         else:
-            window = self.open[h].pop()
-            n[h] -= 1
-            self.n_open -= 1
+            window = self._take(h)
         window.append(piece)
         if h + s == self.size:
             self._close(window)
         else:
-            self.open.setdefault(h + s, []).append(window)
-            n[h + s] += 1
-            self.n_open += 1
+            self._reopen(h + s, window)
 
     def _close(self, window: list[tuple]) -> None:
         offset = 0
@@ -163,6 +159,38 @@ class Packer:
             offset += len(ids) // 4
         self.next_id += 1
 
+    def _take(self, level: int) -> list[tuple]:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _complete_fullest(self) -> None:
+        """Fill the fullest open window with pieces cut from the emptiest; what is left of those stays open."""
+        held = np.nonzero(self.levels[: self.size] > 0)[0]
+        fill = int(held[-1])
+        target = self._take(fill)
+        while fill < self.size and self.n_open:
+            left = int(np.argmax(self.levels[: self.size] > 0))
+            source = self._take(left)
+            while source and fill < self.size:
+                doc_id, start, ids, n = source.pop()
+                take = min(self.size - fill, len(ids) // 4)
+                target.append((doc_id, start, ids[: 4 * take], n))
+                fill, left = fill + take, left - take
+                if 4 * take < len(ids):
+                    source.append((doc_id, start + take, ids[4 * take :], n))
+            if source:
+                self._reopen(left, source)
+        if fill == self.size:
+            self._close(target)
+        else:
+            self._reopen(fill, target)
+
+    def _reopen(self, level: int, window: list[tuple]) -> None:
+        self.open.setdefault(level, []).append(window)
+        self.levels[level] += 1
+        self.n_open += 1
+
     def finish(self) -> None:
         windows = [(h, w) for h in sorted(self.open, reverse=True) for w in self.open[h]]
         self.open, self.n_open = {}, 0
@@ -214,8 +242,8 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, max_open: int = 819
     doc_tokens, sequence_id, offset. Each task packs the rows that it reads, online and
     without a shuffle; sequence ids hold the task's number. No sequence needs padding:
     it is full, or its length is a power of two. A task holds at most ``max_open`` windows
-    open (4 * ``size`` bytes each); beyond that it merges them as at its end and goes on
-    with empty levels. Ids are those of the public word_bpe_49k vocabulary.
+    open (4 * ``size`` bytes each); beyond that it completes the fullest with ids of the
+    emptiest, and all other levels stay. Ids are those of the public word_bpe_49k vocabulary.
 
     A null or empty text is the one id ``end_id``. A null doc_id stays null. Repeated
     rows are packed as often as they occur. Texts of any length are cut into windows.

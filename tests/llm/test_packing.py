@@ -13,7 +13,6 @@ DOCS = "doc_id long, text string, start string"
 
 
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def plain(text):
@@ -79,3 +78,26 @@ def test_words_that_are_still_met_stay_in_memory(monkeypatch):
     monkeypatch.setattr("corpusloom.llm.packing.REMEMBERED", 40)
     texts = [" ".join(f"word{i + j} often É{i}." for j in range(12)) for i in range(0, 400, 7)]
     assert [np.frombuffer(word_ids([t], PATH)[0], "<u4").tolist() for t in texts] == [plain(t) for t in texts]
+
+
+def test_names_of_special_tokens_are_those_tokens():
+    texts = ["a<|endoftext|>b <|startoftext|><|endoftext|>.", "<|ENDOFTEXT|> <|end oftext|> <|endoftext|", "x <|endoftext|>, É<|startoftext|>́"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in word_ids(texts, PATH)]
+    assert got == [plain(t) for t in texts] and 49407 in got[0] and 49406 in got[0] and 49407 not in got[1]
+
+
+def test_completing_the_fullest_keeps_the_other_levels():
+    packer = Packer(16, 0, 6)
+    for doc_id in range(40):
+        packer.add(doc_id, bytes([doc_id, 0, 0, 0]) * 9)  # no two fit into one window
+        held = {h: len(w) for h, w in packer.open.items() if w}
+        assert packer.n_open == sum(held.values()) <= 6 and all(packer.levels[h] == n for h, n in held.items())
+        assert all(sum(len(ids) // 4 for _, _, ids, _ in w) == h for h, ws in packer.open.items() for w in ws)
+    packer.finish()
+    rows = sorted((doc_id, start, length) for doc_id, start, length, *_ in packer.rows)
+    for doc_id in range(40):
+        at = 0
+        for _, start, length in [r for r in rows if r[0] == doc_id]:
+            assert start == at
+            at += length
+        assert at == 9

@@ -10,7 +10,6 @@ from corpusloom.llm.pii import redacted, spans_of
 
 SF = "/root/testdata/sf0.001"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-LIBRARY.encode_special_tokens = True
 
 
 def rows(df):
