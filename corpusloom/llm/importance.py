@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def grams(texts: list[bytes], longest: int, buckets: int) -> Iterator[tuple[int,
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Row ranges of at most JOINED bytes of text in the last column, or of one row."""
     for batch in batches:
-        sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(batch.num_columns - 1).cast(pa.large_binary())), np.int64))
+        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(batch.num_columns - 1).cast(pa.large_binary())), np.int64))
         at = 0
         while at < batch.num_rows:
             before = int(sizes[at - 1]) if at else 0

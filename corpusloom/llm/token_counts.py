@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
                 part = batch.slice(at, 256)
                 counts = counter.count(part.column(1).to_pylist())
                 sizes = part.column(1).cast(pa.large_binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.compute.binary_length(sizes).cast(pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_length(sizes).cast(pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
