@@ -390,6 +390,7 @@ def index_frameworks(files: DataFrame, packages: DataFrame, edges: DataFrame, ev
     ``detect_scopes`` and ``build_symbols``. A file belongs to its nearest package; a
     framework is looked for only where that package is a scope of it.
     """
+    edges, evidence, symbols = materialize(edges, "edges"), materialize(evidence, "evidence"), materialize(symbols, "symbols")
     scopes = detect_scopes(packages, edges).withColumn("scope_key", scope_key("project_id", "root_path", "framework"))
     roots = nearest_package(files, scopes.select("project_id", F.col("root_path").alias("root")).distinct())
     tasks = roots.select("project_id", "path", F.col("root").alias("root_path")).join(scopes.drop("evidence"), ["project_id", "root_path"])

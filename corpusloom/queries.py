@@ -575,3 +575,6 @@ def job10(spark, sf_dir):
     rows = rows.unionByName(evidence_rows(orders.join(fields, "o_orderkey"), tag=F.lit("i"), id=k, at=F.col("o_orderkey"), kind=F.lit("call_expression"), owner_name=F.col("model"), reference=F.array(F.lit("this"), F.lit("init")), arguments=F.array(filled)))
     rows = rows.unionByName(evidence_rows(orders, tag=F.lit("a"), id=k, at=F.col("o_orderkey"), kind=F.lit("call_expression"), reference=F.array(F.col("model"), F.lit("belongsTo")), arguments=F.array(static_name(F.col("next")))))
     return named_links(facts.sequelize_facts(rows, file_edges(own, "sequelize", "e1", ("named", "Model", "Model"))))
+
+
+from corpusloom import code_queries  # noqa: E402, F401 registers the queries over source text
