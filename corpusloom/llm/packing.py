@@ -50,8 +50,6 @@ def _encoded(words: list[str], path: str) -> list[bytes]:
 
 def _latin(letters: bytes) -> str | None:
     """The word lower-cased, one character a byte as the model wants it, if all of it is Latin-1 letters; normal forms leave those alone."""
-    if letters.isalpha():
-        return letters.lower().decode()
     try:
         word = letters.decode()
         word.encode("latin-1")
@@ -67,19 +65,23 @@ def _plain(words: list[bytes], known: dict[bytes, bytes], path: str) -> list[byt
     mark, so its letters go straight to the library's model.
     """
     tokenizer, others = _tokenizer(path), []
-    model = tokenizer.model
-    ends = {c: array("I", tokenizer.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in b".,"}
+    tokenize = tokenizer.model.tokenize
+    ends = {chr(c).encode(): array("I", tokenizer.encode(chr(c), add_special_tokens=False).ids).tobytes() for c in b".,"}
     for word in words:
-        end = ends.get(word[-1], b"")
+        end = ends.get(word[-1:], b"")
         bare = word[:-1] if end else word
-        ids = known.get(bare.lower()) if bare.isalpha() else None
-        if ids is None:
-            letters = _latin(bare)
-            if not letters:
-                others.append(word)
-                continue
-            ids = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-        known[word] = ids + end
+        if bare.isalpha():
+            lower = bare.lower()
+            ids = known.get(lower)
+            letters = None if ids else lower.decode()
+        else:
+            ids, letters = None, _latin(bare)
+        if letters:
+            ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        if ids:
+            known[word] = ids + end
+        else:
+            others.append(word)
     return others
 
 
@@ -99,7 +101,7 @@ def word_ids(texts: list[str], path: str) -> list[bytes]:
         memory[:] = {}, memory[0]
         fresh = met
     known, old = memory
-    again = fresh.intersection(old)
+    again = old.keys() & fresh
     known.update((word, old[word]) for word in again)
     fresh = _plain(list(fresh - again), known, path)
     for at in range(0, len(fresh), 512):
