@@ -121,7 +121,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     A null or empty text, or one without words, has no shingles, is linked with nothing
     and kept. A null doc_id is kept alone with a null component. Rows that repeat a
-    doc_id count as that document once for each row. Texts of any length stay whole.
+    doc_id are one document with the links of each of its sets: all of them have the
+    component that any of them reaches, and each has its own n_shingles. Texts of any length stay whole.
     Other columns are not read. An empty table gives no rows.
     """
     profiles = materialize(_profiles(docs, shingle_words, bands, rows), "profiles")
@@ -145,13 +146,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pairs = materialize(_pairs(left.where(F.col("size") <= small_bucket), alike, 1 - percent / 100), "pairs")
     found = pairs.join(_compared(pairs.select("a", "b"), near, shingle_words).where(linked), ["a", "b"], "left_semi").select("label_a", "label_b")
     found = found.union(_block_links(left.where(F.col("size") > small_bucket), near, shingle_words, percent, block_rows))
-    merged = connected_components(found.toDF("a", "b"))
+    mine = materialize(known.select(F.col("doc_id").alias("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label")), "mine")
+    merged = connected_components(found.union(_repeated(profiles, known, classes, mine)).toDF("a", "b"))
     merged = merged.select(F.col("id").alias("label"), F.col("component").alias("new"))
-    mine = known.select(F.col("doc_id").alias("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
-    labels = mine.join(merged, "label", "left").select("id", F.coalesce("new", "label").alias("component"))
-    own = profiles.select("doc_id", "n_shingles", "mark").join(classes, "mark", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = own.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+    labels = mine.join(merged, "label", "left").select(F.col("id").alias("class_id"), F.coalesce("new", "label").alias("component"))
+    bare = profiles.where("doc_id IS NOT NULL AND mark IS NULL").withColumn("class_id", F.col("doc_id"))
+    own = known.join(classes, "mark").unionByName(bare).join(labels, "class_id", "left")
+    own = own.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    alone = profiles.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return own.unionByName(alone).select("*", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+
+
+def _repeated(profiles: DataFrame, known: DataFrame, classes: DataFrame, mine: DataFrame) -> DataFrame:
+    """Pairs of labels that one doc_id with different sets joins: its rows are one document, with the links of each."""
+    mark = F.coalesce("mark", F.lit(b""))
+    several = profiles.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("doc_id")
+    ties = known.join(several, "doc_id", "left_semi").select("doc_id", "mark").distinct().join(classes, "mark").where("doc_id <> class_id")
+    label = lambda of, end: mine.select(F.col("id").alias(of), F.col("label").alias(end))
+    return ties.join(label("doc_id", "label_a"), "doc_id").join(label("class_id", "label_b"), "class_id").where("label_a <> label_b").select("label_a", "label_b")
 
 
 def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:

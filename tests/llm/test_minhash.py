@@ -69,6 +69,32 @@ def test_empty_null_and_repeated_rows(spark):
     assert [r for r in out if r[0]] == [(3, 3, True), (3, 3, True), (5, 3, False)] and out[0][2]
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = a[:-1] + ["other"]
+    texts = {"A": a, "A'": near, "B": b, "C": c}
+    cases = [
+        [(3, "A"), (5, "A"), (5, "B"), (7, "B")],
+        [(3, "A'"), (5, "A"), (5, "B"), (7, "B")],
+        [(4, "B"), (9, "A"), (9, "B"), (10, "A'"), (12, "C")],
+        [(5, ""), (5, "A"), (3, "A'"), (6, ""), (6, "")],
+        [(1, "A"), (2, "B"), (3, "C"), (8, "A"), (8, "B"), (9, "B"), (9, "C")],
+    ]
+    for case in cases:
+        rows = [(i, " ".join(texts.get(t, []))) for i, t in case]
+        up = {i: i for i, _ in rows}
+        for i, s in rows:
+            for j, t in rows:
+                one, other = (set(zip(x.split(), x.split()[1:], strict=False)) for x in (s, t))
+                if one and other and 100 * len(one & other) >= 80 * len(one | other):
+                    low, high = sorted((up[i], up[j]))
+                    up = {k: low if v == high else v for k, v in up.items()}
+        rng.shuffle(rows)
+        out = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], DOCS), 2, 80).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == sorted((i, up[i], up[i] == i) for i, _ in rows), case
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(3000)]
