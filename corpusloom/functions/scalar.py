@@ -148,12 +148,13 @@ def file_route(path: str | Column) -> Column:
 
     ``(group)`` and ``@slot`` segments vanish, ``[x]`` becomes ``:x``, ``[...x]`` ``:x+``,
     ``[[...x]]`` ``:x*``. Interception segments give a null pattern; files below a
-    private ``_folder`` of an app router are no routes.
+    private ``_folder`` are no routes. Files of an app router that surround a page are
+    layouts with their ``role``.
     """
     p = as_column(path)
     parts = F.split(p, "/")
     n = F.size(parts)
-    name = F.regexp_extract(F.element_at(parts, -1), r"^(.*)\.(?:tsx|ts|jsx|js)$", 1)
+    name = F.regexp_extract(F.element_at(parts, -1), r"^(.*)\.[cm]?[jt]sx?$", 1)
     start = F.when(F.element_at(parts, 1) == "src", 2).otherwise(1)
     router = F.get(parts, start - 1)
     inner = F.slice(parts, start + 1, F.greatest(n - start - 1, F.lit(0)))
@@ -163,12 +164,14 @@ def file_route(path: str | Column) -> Column:
     caught = F.exists(inner, lambda s: s.rlike(r"^\(\.{1,3}\)"))
     private = F.exists(inner, lambda s: F.startswith(s, F.lit("_")))
     special = ["layout", "template", "loading", "error", "not-found", "default", "global-error"]
-    kind = F.when(name == "page", "page").when(name == "route", "route_handler").when(name == "layout", "layout").when(name.isin(special), "special_file")
+    kind = F.when(name == "page", "page").when(name == "route", "route_handler").when(name.isin(special), "layout")
     app = F.when(kind.isNotNull() & ~private, F.struct(kind.alias("kind"), F.lit("app").alias("router"), name.alias("role"), F.when(~caught, joined(shown)).alias("route_pattern")))
     inside = F.when(name == "index", inner).otherwise(F.concat(inner, F.array(name)))
     api = F.get(inside, F.lit(0)) == "api"
-    page_kind = F.when(F.coalesce(api, F.lit(False)), "route_handler").when(name.isin("_app", "_document", "_error"), "special_file").otherwise("page")
-    pages = F.when(name != "", F.struct(page_kind.alias("kind"), F.lit("pages").alias("router"), name.alias("role"), F.when(~name.isin("_app", "_document", "_error"), joined(inside)).alias("route_pattern")))
+    own = name.isin("_app", "_document", "_error") & (F.size(inner) == 0)
+    page_kind = F.when(F.coalesce(api, F.lit(False)) & (F.size(inner) > 0), "route_handler").when(own, "special_file").otherwise("page")
+    seen = F.filter(inside, lambda s: ~s.rlike(r"^\([^)]*\)$") & ~F.startswith(s, F.lit("@")))
+    pages = F.when((name != "") & ~private, F.struct(page_kind.alias("kind"), F.lit("pages").alias("router"), name.alias("role"), F.when(~own & ~caught, joined(seen)).alias("route_pattern")))
     return F.when((router == "app") & (n > start), app).when((router == "pages") & (n > start), pages)
 
 

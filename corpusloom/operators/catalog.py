@@ -58,8 +58,19 @@ def sweep_stale(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti")
 
 
-def inventory_summary(files: DataFrame) -> DataFrame:
-    return files.groupBy("project_id").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+def inventory_summary(files: DataFrame, skipped: DataFrame | None = None, reasons: DataFrame | None = None) -> DataFrame:
+    """Files and bytes by project; ``ignored_paths`` and ``skipped_links`` from ``skipped(project_id, path, kind)`` of kinds ignored and link, ``limit_reasons`` from ``reasons``.
+
+    A project of any of the three tables has a row.
+    """
+    own = files.groupBy("project_id").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    if skipped is not None:
+        left = skipped.groupBy("project_id").agg(F.count_if(F.col("kind") == "ignored").alias("ignored_paths"), F.count_if(F.col("kind") == "link").alias("skipped_links"))
+        own = own.join(left, "project_id", "full_outer")
+    else:
+        own = own.withColumn("ignored_paths", F.lit(0).cast("long")).withColumn("skipped_links", F.lit(0).cast("long"))
+    own = own.join(reasons, "project_id", "full_outer") if reasons is not None else own.withColumn("limit_reasons", F.array().cast("array<string>"))
+    return own.na.fill(0).withColumn("limit_reasons", F.coalesce("limit_reasons", F.array().cast("array<string>")))
 
 
 def source_summary(files: DataFrame) -> DataFrame:
@@ -79,10 +90,14 @@ def edge_summary(edges: DataFrame) -> DataFrame:
     return edges.groupBy("project_id").agg(F.count("*").alias("edges"), F.sum(F.size("bindings")).alias("bindings"), *(F.count_if(F.col("resolution_kind") == k).alias(k) for k in kinds))
 
 
-def framework_summary(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+def framework_summary(entities: DataFrame, relationships: DataFrame, omissions: DataFrame | None = None) -> DataFrame:
+    """Entities, relationships, those without a known target or certainty, and omissions by project."""
     a = entities.groupBy("project_id").agg(F.count("*").alias("entities"))
     b = relationships.groupBy("project_id").agg(F.count("*").alias("relationships"), F.count_if((F.col("certainty") == "unresolved") | F.col("target_key").isNull()).alias("unresolved"))
-    return a.join(b, "project_id", "full_outer").na.fill(0)
+    out = a.join(b, "project_id", "full_outer")
+    if omissions is None:
+        return out.withColumn("omissions", F.lit(0).cast("long")).na.fill(0)
+    return out.join(omissions.groupBy("project_id").agg(F.count("*").alias("omissions")), "project_id", "full_outer").na.fill(0)
 
 
 def embedding_summary(chunks: DataFrame) -> DataFrame:
@@ -101,19 +116,33 @@ def omission_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def context_hash(rows: DataFrame, parts: list[str]) -> DataFrame:
-    """By project, a hash over the sorted hashes of its rows: the same whatever their order."""
-    one = rows.select("project_id", F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts)), 256).alias("h"))
-    return one.groupBy("project_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("context_hash"))
+    """By project, a hash over its rows that is the same for any order and partitioning, and differs if a row or its number does.
+
+    A tree over the rows' hashes by their first hexadecimal digits: six, three, none. Each
+    node hashes its sorted children, so no array holds a project: a node of the lower level
+    has a 16-millionth of the rows, one of the others at most 4,096 children.
+    """
+    leaf = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts)), 256)
+    level = rows.select("project_id", leaf.alias("h")).groupBy("project_id", "h").agg(F.count("*").alias("n"))
+    level = level.select("project_id", F.substring("h", 1, 6).alias("prefix"), F.concat_ws(":", "h", "n").alias("h"))
+    for digits in (3, 0):
+        node = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
+        level = level.groupBy("project_id", "prefix").agg(node.alias("h")).select("project_id", F.substring("prefix", 1, digits).alias("prefix"), F.concat_ws(":", "prefix", "h").alias("h"))
+    return level.groupBy("project_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("context_hash"))
 
 
-def corpus_counts(symbols: DataFrame, edges: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row a project with the number of its symbols, edges, entities and chunks."""
+def corpus_counts(symbols: DataFrame, edges: DataFrame, entities: DataFrame, chunks: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row a project with the number of its symbols, edges, entities and chunks, and its limited stages in order from ``runs(project_id, stage, place, status)``."""
     named = {"symbols": symbols, "edges": edges, "entities": entities, "chunks": chunks}
     every = None
     for name, df in named.items():
         part = df.groupBy("project_id").agg(F.count("*").alias("n")).withColumn("what", F.lit(name))
         every = part if every is None else every.unionByName(part)
-    return every.groupBy("project_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == n, F.col("n"))), F.lit(0)).alias(n) for n in named))
+    out = every.groupBy("project_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == n, F.col("n"))), F.lit(0)).alias(n) for n in named))
+    if runs is None:
+        return out.withColumn("limited_stages", F.array().cast("array<string>"))
+    stages = F.transform(F.array_sort(F.collect_set(F.when(F.col("status") == "limited", F.struct("place", "stage")))), lambda x: x["stage"])
+    return out.join(runs.groupBy("project_id").agg(stages.alias("limited_stages")), "project_id", "full_outer").na.fill(0)
 
 
 def catalog_violations(df: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:

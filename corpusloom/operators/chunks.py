@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalar import chunk_key, embedding_input, sha256_hex
-from corpusloom.operators.budgets import cover_gaps, outermost_ranges
+from corpusloom.operators.budgets import cover_gaps, outermost_ranges, saturating_budget
 
 
 def split_range(data: bytes, start: int, end: int, most: int) -> list[tuple[int, int]]:
@@ -101,33 +101,44 @@ def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed(df: DataFrame, text: str, embed_fn: Callable[[list[str]], np.ndarray], dimensions: int, batch: int = 64) -> DataFrame:
-    """Adds ``embedding``: one vector of ``dimensions`` a row, or the job fails; texts are never cut."""
+def embed(df: DataFrame, text: str, embed_fn: Callable[[list[str]], np.ndarray], dimensions: int, batch: int = 64, strict: bool = True) -> DataFrame:
+    """Adds ``embedding``: one vector of ``dimensions`` a row; texts are never cut.
+
+    Where ``embed_fn`` raises or returns another shape the job fails; unless ``strict``,
+    the batch is then tried text by text, and those that fail alone get a null.
+    """
+
+    def vectors_of(texts: list[str]) -> list:
+        try:
+            found = np.asarray(embed_fn(texts), np.float32)
+            if found.shape != (len(texts), dimensions):
+                raise ValueError(f"the embedder returned {found.shape} for {len(texts)} texts of {dimensions} dimensions")
+            return list(found)
+        except Exception:
+            if strict:
+                raise
+            return [None] if len(texts) == 1 else [v for t in texts for v in vectors_of([t])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             column, vectors = rows.column(rows.schema.get_field_index(text)).to_pylist(), []
             for at in range(0, len(column), batch):
-                part = np.asarray(embed_fn([t or "" for t in column[at : at + batch]]), np.float32)
-                if part.shape != (len(column[at : at + batch]), dimensions):
-                    raise ValueError(f"the embedder returned {part.shape} for {len(column[at : at + batch])} texts of {dimensions} dimensions")
-                vectors += list(part)
+                vectors += vectors_of([t or "" for t in column[at : at + batch]])
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], [*rows.schema.names, "embedding"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, schema + ", embedding array<float>")
 
 
-def index_embeddings(chunks: DataFrame, prior: DataFrame, embed_fn: Callable, dimensions: int, identity: str, max_chunks: int = 50_000) -> DataFrame:
+def index_embeddings(chunks: DataFrame, prior: DataFrame, embed_fn: Callable, dimensions: int, identity: str, max_chunks: int = 50_000, strict: bool = True) -> DataFrame:
     """Chunks of each project up to a budget, with the prior vector where key, input and ``identity`` of the model are the same, else a new one.
 
     The match runs without vectors; they are fetched for the hits only.
     """
-    order = Window.partitionBy("project_id").orderBy("path", "ordinal")
-    chosen = chunks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_chunks).drop("n")
+    chosen, _ = saturating_budget(chunks, ["path", "ordinal"], max_chunks)
     keys = ["project_id", "identity_key", "input_hash"]
     usable = prior.where((F.col("identity") == identity) & (F.size("embedding") == dimensions))
     marked = chosen.join(usable.select(*keys).distinct().withColumn("reused", F.lit(True)), keys, "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
     old = marked.where("reused").join(usable.select(*keys, "embedding").dropDuplicates(keys), keys)
-    new = embed(marked.where("NOT reused").withColumn("input", embedding_input("path", "language", "content", "symbol_name", "symbol_kind")), "input", embed_fn, dimensions).drop("input")
+    new = embed(marked.where("NOT reused").withColumn("input", embedding_input("path", "language", "content", "symbol_name", "symbol_kind")), "input", embed_fn, dimensions, strict=strict).drop("input")
     return old.unionByName(new).withColumn("identity", F.lit(identity))

@@ -383,9 +383,9 @@ def scan_evidence(language: str, text: str, limits: dict | None = None) -> list[
     return out
 
 
-_ROW = EVIDENCE.replace("scope_key string, evidence_key string, ", "language string, ") + ", end_byte long, signature string, omitted int, reasons array<string>"
+ROW = EVIDENCE.replace("scope_key string, evidence_key string, ", "language string, ") + ", end_byte long, signature string, omitted int, reasons array<string>"
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
-_LOST = "project_id string, path string, language string, kind string, name string, exported boolean, start_byte long, end_byte long"
+DECLARATION = "project_id string, path string, language string, kind string, name string, exported boolean, start_byte long, end_byte long"
 
 
 def _scanned(files: DataFrame, schema: str, scan: Callable[[str, str], list[dict]]) -> DataFrame:
@@ -402,12 +402,29 @@ def _scanned(files: DataFrame, schema: str, scan: Callable[[str, str], list[dict
     return files.select("project_id", "path", "language", "text").mapInArrow(run, schema)
 
 
+def guarded(files: DataFrame, schema: str, scan: Callable[[str, str], list[dict]]) -> tuple[DataFrame, DataFrame]:
+    """As ``_scanned``, but a file for which ``scan`` raises becomes a row of (project_id, path, error) instead of a failed task.
+
+    ``schema`` may leave out project_id, path and language.
+    """
+    columns = schema if schema.startswith("project_id") else f"project_id string, path string, {schema}"
+
+    def careful(language: str, text: str) -> list[dict]:
+        try:
+            return scan(language, text)
+        except Exception as e:  # whatever an extractor raises is a row
+            return [{"error": f"{type(e).__name__}: {e}"[:500]}]
+
+    rows = materialize(_scanned(files, columns + ", error string", careful), "guarded")
+    return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("project_id", "path", "error")
+
+
 def extract_symbols(files: DataFrame, extractor: Callable[[str, str], list[dict]] = scan_symbols) -> DataFrame:
     """``files(project_id, path, language, text)`` -> the declarations that ``build_symbols`` takes.
 
     A null text counts as empty; other languages and broken text give no rows or what can be told.
     """
-    return _scanned(files, _LOST, extractor)
+    return _scanned(files, DECLARATION, extractor)
 
 
 def extract_evidence(files: DataFrame, extractor: Callable[[str, str], list[dict]] = scan_evidence, max_evidence: int = 5_000, max_name_bytes: int = 512) -> tuple[DataFrame, DataFrame]:
@@ -419,7 +436,11 @@ def extract_evidence(files: DataFrame, extractor: Callable[[str, str], list[dict
     Omissions: project_id, path, reasons (sorted), omitted_evidence, omitted_values. A null
     text counts as empty, other languages give no rows.
     """
-    found = materialize(_scanned(files, _ROW, extractor), "evidence")
+    return keyed(materialize(_scanned(files, ROW, extractor), "evidence"), max_evidence, max_name_bytes)
+
+
+def keyed(found: DataFrame, max_evidence: int = 5_000, max_name_bytes: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Keys and limits for rows of ``ROW``; see ``extract_evidence``."""
     names = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in (F.col("reference"), F.col("receiver_reference"))), F.array("assigned_name", "target_name", F.when(F.col("kind") == "call_expression", F.col("member_name")), F.when(F.col("kind") == "constructor_parameter", F.col("owner_name"))))
     named = found.withColumn("unfit", F.exists(names, lambda n: n.isNotNull() & ((n == "") | (F.octet_length(n) > max_name_bytes))))
     file, order = ["project_id", "path"], ["start_byte", F.desc("end_byte"), "kind", "signature"]

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalar import combine_routes, entity_key, normalize_route, relationship_key, scope_key
-from corpusloom.operators.frameworks import detect_scopes, framework_imports, next_facts, react_facts
+from corpusloom.operators.budgets import saturating_budget
+from corpusloom.operators.frameworks import detect_scopes, framework_imports
 from corpusloom.operators.paths import nearest_package
 from corpusloom.plans.tables import materialize
 
@@ -373,6 +374,24 @@ def limited(facts: Facts, max_entities: int = 2_000, max_relationships: int = 5_
     return Facts(kept, links.where(F.col("nth") <= max_relationships).drop("nth"), out.distinct())
 
 
+def within_project(facts: Facts, max_entities: int = 100_000, max_relationships: int = 200_000) -> tuple[Facts, DataFrame]:
+    """Facts within each project's totals, by path and each file's stable order; and per project the reasons met.
+
+    Relationships of entities that were cut go first, then those beyond the limit. Places
+    are sums in two levels; no task ranks a project.
+    """
+    start, gone = F.coalesce("start_byte", F.lit(-1)), ["project_id", "path", "scope_key"]
+    entities, entity_status = saturating_budget(facts.entities.withColumn("at", start), [*gone[1:], "at", "entity_kind", "identity_key"], max_entities)
+    entities = materialize(entities.drop("at"), "entities")
+    own = facts.relationships.join(entities.select(*FILE, F.col("identity_key").alias("source_key")), [*FILE, "source_key"], "left_semi")
+    own = own.withColumn("to", F.coalesce("target_key", "target_name", F.lit("")))
+    links, link_status = saturating_budget(materialize(own, "links"), [*gone[1:], "source_key", "relationship_kind", "to", "identity_key"], max_relationships)
+    counts = facts.relationships.groupBy("project_id").agg(F.count("*").alias("had"))
+    reasons = entity_status.select("project_id", (F.col("omitted") > 0).alias("cut")).join(counts.join(link_status.select("project_id", "kept"), "project_id", "left"), "project_id", "full_outer")
+    met = F.array_compact(F.array(F.when(F.col("cut"), F.lit("total_entities")), F.when(F.col("had") > F.coalesce("kept", F.lit(0)), F.lit("total_relationships"))))
+    return Facts(entities, materialize(links.drop("to"), "relationships"), facts.omissions), reasons.select("project_id", met.alias("limit_reasons"))
+
+
 def with_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """Facts with the ``symbol_key`` of the first symbol of their file that has their simple or qualified name, else null."""
     named = symbols.select("project_id", "path", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol_name"), "start_byte", "identity_key")
@@ -402,19 +421,12 @@ def index_frameworks(files: DataFrame, packages: DataFrame, edges: DataFrame, ev
         entities, links = entities.unionByName(part.entities), links.unionByName(part.relationships)
     omissions = parts[0].omissions.union(parts[1].omissions).union(parts[2].omissions)
 
-    pages = next_facts(files, scopes.where("framework = 'nextjs'"), symbols).withColumn("framework", F.lit("nextjs"))
-    pages = pages.join(scopes.drop("evidence"), ["project_id", "root_path", "framework"])
-    pages = pages.select(*FILE, "framework", "entity_kind", "name", "certainty", _none().alias("evidence_key"), F.lit(None).cast("long").alias("start_byte"), F.to_json(F.struct("router", "route_pattern")).alias("attributes"), F.col("name").alias("symbol_name"), "identity_key")
-    react = tasks.where("framework = 'react'").select(*FILE, "framework")
-    tags = evidence.where("kind = 'jsx'").select("project_id", "path", F.array_join("reference", ".").alias("name"), "start_byte", F.col("start_byte").alias("end_byte"))
-    wrapped = _with_local(evidence.where("kind = 'call_expression' AND assigned_name IS NOT NULL"), edges, "react", "react")
-    outer = F.when(F.size("reference") == 1, F.col("imported_name")).otherwise(F.get("reference", F.lit(1)))
-    wrapped = wrapped.where(outer.isin("memo", "forwardRef")).select("project_id", "path", "assigned_name")
-    parts_, renders = react_facts(symbols.join(react, ["project_id", "path"], "left_semi"), tags, wrapped)
-    starts = symbols.select("project_id", "path", "identity_key", "start_byte")
-    parts_ = parts_.join(starts, ["project_id", "path", "identity_key"]).join(react, ["project_id", "path"])
-    parts_ = parts_.select(*FILE, "framework", F.lit("component").alias("entity_kind"), "name", F.lit("declared").alias("certainty"), _none().alias("evidence_key"), "start_byte", _none().alias("attributes"), F.col("name").alias("symbol_name"), "identity_key")
-    renders = renders.join(react, ["project_id", "path"]).select(*FILE, "framework", F.lit("renders").alias("relationship_kind"), "source_key", "target_key", "target_name", "certainty", _none().alias("evidence_key"), F.lit(None).cast("long").alias("start_byte"), _none().alias("attributes"), F.col("target_name").alias("symbol_name"), _none().alias("edge_key"), "identity_key")
-    found = Facts(materialize(entities.unionByName(pages).unionByName(parts_), "entities"), materialize(links.unionByName(renders), "relationships"), materialize(omissions, "omissions"))
+    from corpusloom.operators import facts_ui  # it builds on this module
+
+    near = tasks.where("framework = 'nextjs'").select(*FILE, "root_path")
+    pages, components = facts_ui.next_facts(near, evidence, symbols), facts_ui.react_facts(of("react"), edges, symbols)
+    entities = entities.unionByName(pages.entities).unionByName(components.entities)
+    links = links.unionByName(pages.relationships).unionByName(components.relationships)
+    found = Facts(materialize(entities, "entities"), materialize(links, "relationships"), materialize(omissions, "omissions"))
     facts = limited(found, max_entities, max_relationships)
     return scopes, Facts(with_symbols(facts.entities, symbols), with_symbols(facts.relationships, symbols), facts.omissions)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scalar import entity_key, file_route, package_facts, relationship_key
+from corpusloom.functions.scalar import package_facts
 from corpusloom.operators.paths import nearest_package, parent
 
 # Frameworks by the package that brings them.
@@ -50,23 +50,6 @@ def bind_evidence(evidence: DataFrame, imports: DataFrame, framework: str) -> Da
     return hit.withColumn("bound_name", F.when(F.col("imported_name").isin("*", "default") & (F.size("reference") > 1), F.get("reference", F.lit(1))).otherwise(F.col("imported_name"))).drop("first")
 
 
-def next_facts(files: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Entities of file routes: pages, layouts, special files and route handlers, one per exported HTTP name.
-
-    ``scopes(project_id, root_path)`` are those of the framework; paths are read relative to them.
-    """
-    roots = nearest_package(files, scopes.select("project_id", F.col("root_path").alias("root")))
-    rows = files.join(roots, ["project_id", "path"]).join(scopes.select("project_id", F.col("root_path").alias("root")).distinct(), ["project_id", "root"])
-    inner = F.when(F.col("root") == ".", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
-    routes = rows.withColumn("r", file_route(inner)).where("r IS NOT NULL").select("project_id", "path", "root", "r.*")
-    names = symbols.where(F.col("exported") & F.col("name").isin(*HANDLERS)).groupBy("project_id", "path").agg(F.array_sort(F.collect_set("name")).alias("methods"))
-    out = routes.join(names, ["project_id", "path"], "left").withColumn("method", F.explode_outer(F.when((F.col("kind") == "route_handler") & (F.col("router") == "app"), F.col("methods"))))
-    out = out.where("NOT (kind = 'route_handler' AND router = 'app' AND method IS NULL)")
-    certainty = F.when(F.col("route_pattern").isNull() & F.col("kind").isin("page", "route_handler"), "unresolved").otherwise("convention")
-    key = entity_key(F.concat_ws(":", "project_id", "root", F.lit("nextjs")), "kind", "path", F.coalesce("method", "role"))
-    return out.select("project_id", "path", F.col("root").alias("root_path"), F.col("kind").alias("entity_kind"), F.coalesce("method", "role").alias("name"), "router", "route_pattern", certainty.alias("certainty"), key.alias("identity_key"))
-
-
 def link_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """Relationships with their entities' ids: a source must exist, a target may be missing."""
     ids = entities.select("project_id", "identity_key", "id")
@@ -75,27 +58,6 @@ def link_relationships(relationships: DataFrame, entities: DataFrame) -> DataFra
     return relationships.join(source, ["project_id", "source_key"]).join(target, ["project_id", "target_key"], "left")
 
 
-def react_facts(symbols: DataFrame, jsx: DataFrame, wrappers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components, and which of them render which.
-
-    ``symbols(project_id, path, identity_key, name, exported, start_byte, end_byte)``; a
-    component is exported, starts with an upper-case letter, and holds an element of
-    ``jsx(project_id, path, name, start_byte, end_byte)`` or is assigned from a row of
-    ``wrappers(project_id, path, assigned_name)``. A rendered name is linked to a
-    component of the same file, else declared.
-    """
-    named = symbols.where(F.col("exported") & F.col("name").rlike(r"^\p{Lu}"))
-    s = named.select("project_id", "path", "identity_key", F.col("name").alias("owner"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
-    inside = jsx.join(s, ["project_id", "path"]).where("a <= start_byte AND b >= end_byte")
-    keys = inside.select("project_id", "path", "identity_key").union(named.join(wrappers.withColumnRenamed("assigned_name", "name"), ["project_id", "path", "name"], "left_semi").select("project_id", "path", "identity_key")).distinct()
-    components = named.join(keys, ["project_id", "path", "identity_key"], "left_semi").select("project_id", "path", "identity_key", "name")
-    first = inside.join(keys, ["project_id", "path", "identity_key"], "left_semi").groupBy("project_id", "path", "name", "start_byte").agg(F.min_by("identity_key", F.struct("a", "identity_key")).alias("source_key"))
-    used = first.where(F.col("name").rlike(r"^\p{Lu}")).select("project_id", "path", "source_key", F.col("name").alias("target_name")).distinct()
-    known = components.select("project_id", "path", F.col("name").alias("target_name"), F.col("identity_key").alias("target_key"))
-    linked = used.join(known, ["project_id", "path", "target_name"], "left").withColumn("certainty", F.when(F.col("target_key").isNotNull(), "linked").otherwise("declared"))
-    return components, linked.withColumn("identity_key", relationship_key("project_id", F.lit("renders"), "source_key", "target_name", F.lit(0)))
-
-
 def framework_catalog(entities: DataFrame, relationships: DataFrame, scopes: DataFrame, framework: str | None = None, kind: str | None = None, path: str | None = None, root: str | None = None, max_entities: int = 100, max_relationships: int = 200) -> dict[str, DataFrame]:
     """One page of each project's facts: its first entities that pass the filters, their relationships, and the scopes they lie in.
 

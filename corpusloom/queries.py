@@ -110,7 +110,14 @@ def snk4(spark, sf_dir):
     return catalog.catalog_diff(rows.where("doc_id % 5 <> 0"), new, ["project_id", "path"], "h")
 
 
-@register("ag11_context_hash", f"WITH {FILES_SQL} SELECT project_id, sha256(array_to_string(list_sort(list(sha256(path || chr(0) || content_hash))), '')) AS context_hash FROM files GROUP BY project_id")
+@register(
+    "ag11_context_hash",
+    f"""WITH {FILES_SQL}, leaves AS (SELECT project_id, sha256(path || chr(0) || content_hash) AS h FROM files),
+    counted AS (SELECT project_id, h || ':' || CAST(count(*) AS VARCHAR) AS h FROM leaves GROUP BY project_id, leaves.h),
+    low AS (SELECT project_id, substr(h, 1, 6) AS prefix, sha256(string_agg(h, '' ORDER BY h)) AS h FROM counted GROUP BY ALL),
+    mid AS (SELECT project_id, substr(prefix, 1, 3) AS prefix, sha256(string_agg(prefix || ':' || h, '' ORDER BY prefix)) AS h FROM low GROUP BY project_id, substr(prefix, 1, 3))
+    SELECT project_id, sha256(string_agg(prefix || ':' || h, '' ORDER BY prefix)) AS context_hash FROM mid GROUP BY project_id""",
+)
 def ag11(spark, sf_dir):
     return catalog.context_hash(file_table(spark, sf_dir).withColumn("h", F.sha2("content", 256)), ["path", "h"])
 
@@ -374,7 +381,37 @@ pairs AS (
 def job5(spark, sf_dir):
     edges = part_edges(spark, sf_dir)
     starts = edges.select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
-    return graph.traverse(edges, starts, "outgoing", 2).select("start_id", "level", "edge_key")
+    return graph.traverse(edges, starts, "outgoing", 2).edges.select("start_id", "level", "edge_key")
+
+
+@register(
+    "job5_traverse_capped",
+    f"""WITH {EDGES_SQL}, e AS (SELECT *, CAST(source AS VARCHAR) || '>' || CAST(target AS VARCHAR) AS edge_key FROM pairs),
+    s AS (SELECT DISTINCT source AS start_id FROM pairs),
+    a AS (SELECT start_id, edge_key, target, row_number() OVER (PARTITION BY start_id ORDER BY edge_key) AS pos FROM s JOIN e ON source = start_id),
+    a_new AS (SELECT start_id, target, row_number() OVER (PARTITION BY start_id ORDER BY min(pos)) AS nth FROM a WHERE pos <= 12 AND target <> start_id GROUP BY start_id, target),
+    a_kept AS (SELECT a.* FROM a LEFT JOIN a_new n USING (start_id, target) WHERE pos <= 12 AND (a.target = start_id OR n.nth <= 8)),
+    a_nodes AS (SELECT start_id, start_id AS node, 0 AS nth FROM s UNION ALL SELECT start_id, target, nth FROM a_new WHERE nth <= 8),
+    had AS (SELECT s.start_id, count(k.edge_key) AS n, (SELECT count(*) FROM a_nodes x WHERE x.start_id = s.start_id) AS nodes FROM s LEFT JOIN a_kept k USING (start_id) GROUP BY 1),
+    b AS (SELECT n.start_id, e.edge_key, e.target, row_number() OVER (PARTITION BY n.start_id ORDER BY e.source, e.edge_key) AS pos, h.n, h.nodes, EXISTS (FROM a_nodes x WHERE x.start_id = n.start_id AND x.node = e.target) AS known
+          FROM a_nodes n JOIN had h ON n.start_id = h.start_id AND n.nth > 0 AND h.n < 12 JOIN e ON e.source = n.node),
+    b_new AS (SELECT start_id, target, row_number() OVER (PARTITION BY start_id ORDER BY min(pos)) AS nth FROM b WHERE pos + n <= 12 AND NOT known GROUP BY start_id, target),
+    b_kept AS (SELECT b.*, known OR coalesce(x.nth + nodes <= 9, FALSE) AS kept FROM b LEFT JOIN b_new x USING (start_id, target) WHERE pos + n <= 12),
+    flags AS (SELECT start_id, bool_or(edges) AS edges, bool_or(nodes) AS nodes FROM (
+      SELECT start_id, max(pos) > 12 AS edges, count(*) FILTER (pos <= 12) > (SELECT count(*) FROM a_kept k WHERE k.start_id = a.start_id) AS nodes FROM a GROUP BY start_id
+      UNION ALL SELECT start_id, max(pos + n) > 12, FALSE FROM b GROUP BY start_id UNION ALL SELECT start_id, FALSE, bool_or(NOT kept) FROM b_kept GROUP BY start_id
+      UNION ALL SELECT start_id, TRUE, FALSE FROM had WHERE n >= 12 AND nodes > 1
+      UNION ALL SELECT h.start_id, TRUE, FALSE FROM had h JOIN (SELECT start_id, count(*) AS m FROM b_kept WHERE kept GROUP BY 1) k USING (start_id) WHERE h.n + k.m >= 12 AND EXISTS (FROM b_kept y WHERE y.start_id = h.start_id AND y.kept AND NOT y.known)
+    ) GROUP BY start_id)
+    SELECT start_id, level, edge_key, f.edges AS edge_limit, f.nodes AS node_limit
+    FROM (SELECT start_id, 1 AS level, edge_key FROM a_kept UNION ALL SELECT start_id, 2, edge_key FROM b_kept WHERE kept) JOIN flags f USING (start_id)""",
+)
+def job5_capped(spark, sf_dir):
+    edges = part_edges(spark, sf_dir)
+    starts = edges.select(F.col("source").alias("start_id"), F.col("source").alias("node")).distinct()
+    found = graph.traverse(edges, starts, "outgoing", 2, max_nodes=9, max_edges=12, flags=True)
+    limits = found.limits.select("start_id", F.col("edges").alias("edge_limit"), F.col("nodes").alias("node_limit"))
+    return found.edges.join(limits, "start_id").select("start_id", "level", "edge_key", "edge_limit", "node_limit")
 
 
 @register(

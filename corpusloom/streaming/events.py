@@ -21,6 +21,35 @@ def read_model_records(lines: DataFrame) -> DataFrame:
     return rows.select(*[c for c in lines.columns if c != "value"], "r.*", failed.alias("failure")).drop("bad")
 
 
+def read_model_stream(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Model output from a folder of NDJSON files, one a request named ``<session>__<request>.ndjson``: session_id, request_id, seq (line from 0) and the record.
+
+    A file is read whole, as one answer, so that its lines keep their order; in a stream
+    each file is one that has been moved in complete.
+    """
+    reader = (spark.readStream.schema("value string") if streaming else spark.read).format("text").option("wholetext", True).option("pathGlobFilter", "*.ndjson")
+    name = F.split(F.regexp_extract("file", r"([^/]+)\.ndjson$", 1), "__")
+    files = reader.load(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = files.select(F.get(name, F.lit(0)).alias("session_id"), F.get(name, F.lit(1)).alias("request_id"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
+    return read_model_records(lines)
+
+
+def write_usage_stream(records: DataFrame, path: str, checkpoint: str):
+    """Starts the fold of a stream of ``read_model_stream`` into ``path``; each micro-batch has a folder of its own, written anew if it is replayed."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        stream_usage(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The usage of each request, from its latest batch."""
+    rows = spark.read.parquet(path)
+    nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("batch")))
+    return rows.withColumn("nth", nth).where("nth = 1").drop("nth", "batch")
+
+
 def stream_usage(records: DataFrame) -> DataFrame:
     """By request: text, whether it ended, and token counts; records after the first done one do not count."""
     done = records.where("done").groupBy(*KEYS).agg(F.min("seq").alias("last"))

@@ -233,3 +233,116 @@ def test_text_to_facts_of_every_framework(spark):
     assert {("nestjs", "registers_controller", "App", "Cats"), ("nestjs", "injects", "Cats", "CatService"), ("sequelize", "associates", "User", "Post")} <= links
     assert {k for f, k, *_ in links if f == "express"} >= {"mounts_router", "handles_route", "uses_middleware"}
     assert any(f == "nestjs" and k == "handles_route" for f, k, *_ in links)
+
+
+def ui_facts(spark, sources, package):
+    language = {"ts": "typescript", "tsx": "typescriptreact"}
+    files = spark.createDataFrame([("p", path, language[path.split(".")[-1]], text) for path, text in sources.items()], FILES)
+    packages = spark.createDataFrame([("p", "package.json", package)], "project_id string, path string, text string")
+    edges = resolve_imports(extract_dependencies(files), files.select("project_id", "path"))
+    evidence, _ = extract_evidence(files)
+    _, facts = FX.index_frameworks(files.select("project_id", "path"), packages, edges, evidence.drop("end_byte"), build_symbols(extract_symbols(files)))
+    entities, links = facts.entities.collect(), facts.relationships.collect()
+    names = {r.identity_key: r.name for r in entities}
+    return entities, [(r.relationship_kind, names[r.source_key], names.get(r.target_key), r.target_name, r.certainty, r.edge_key is not None) for r in links]
+
+
+def test_components_from_text(spark):
+    text = """"use client";
+import { memo } from "react";
+import * as R from "react";
+import { Card as ImportedCard } from "./card";
+export const Dashboard = () => <><LocalCard /><ImportedCard /><div /><LocalCard /><Dashboard /><Ns.Part /></>;
+export const LocalCard = () => <section />;
+export const MemoDashboard = memo(Dashboard);
+export const Ref = R.forwardRef((a, b) => <Late />);
+export const Early = memo(After);
+export const After = () => <p />;
+const Hidden = () => <Visible />;
+export const visible = () => <div />;
+export const NotReact = factory(Visible);
+"""
+    entities, links = ui_facts(spark, {"src/view.tsx": text}, '{"dependencies": {"react": "1"}}')
+    shown = {r.name: json.loads(r.attributes) for r in entities}
+    assert {n: a.get("wrapper") for n, a in shown.items()} == {"Dashboard": None, "LocalCard": None, "MemoDashboard": "memo", "Ref": "forwardRef", "Early": "memo", "After": None}
+    assert all(a["client_boundary"] for a in shown.values())
+    assert sorted(links, key=str) == sorted(
+        [
+            ("renders_component", "Dashboard", "LocalCard", "LocalCard", "linked", False), ("renders_component", "Dashboard", "LocalCard", "LocalCard", "linked", False),
+            ("renders_component", "Dashboard", None, "Card", "declared", True), ("renders_component", "Ref", None, "Late", "declared", False),
+            ("wraps", "MemoDashboard", "Dashboard", "Dashboard", "declared", False), ("wraps", "Early", None, "After", "declared", False),
+        ],
+        key=str,
+    )
+
+
+def test_file_routes_from_text(spark):
+    sources = {
+        "src/app/(marketing)/blog/[...slug]/page.tsx": '"use client"; export default function BlogPage() { return <Card />; }',
+        "app/api/[[...parts]]/route.ts": "export async function GET() {} export function POST() {} export const DELETE = 1;",
+        "app/feed/(.)photo/page.tsx": "export default function Photo() { return <Image />; }",
+        "app/_internal/page.tsx": "export default function Hidden() { return <main />; }",
+        "app/x/loading.tsx": "export default function Loading() { return <main />; }",
+        "pages/docs/[id]/index.tsx": "export default function Docs() { return <main />; }",
+        "src/pages/api/users/[id].ts": "export default function handler() {}",
+        "pages/_app.tsx": "export default function App() { return <main />; }",
+        "lib/page.tsx": "export default function Lib() { return <main />; }",
+    }
+    entities, links = ui_facts(spark, sources, '{"dependencies": {"next": "1"}}')
+    got = {r.name: (r.entity_kind, r.certainty, json.loads(r.attributes)) for r in entities if r.framework == "nextjs"}
+    assert got == {
+        "src/app/(marketing)/blog/[...slug]/page.tsx": ("page", "convention", {"kind": "next_page", "client_boundary": True, "router": "app", "route_pattern": "/blog/:slug+"}),
+        "app/api/[[...parts]]/route.ts:GET": ("route_handler", "convention", {"kind": "next_route_handler", "router": "app", "method": "GET", "route_pattern": "/api/:parts*"}),
+        "app/api/[[...parts]]/route.ts:POST": ("route_handler", "convention", {"kind": "next_route_handler", "router": "app", "method": "POST", "route_pattern": "/api/:parts*"}),
+        "app/feed/(.)photo/page.tsx": ("page", "unresolved", {"kind": "next_page", "client_boundary": False, "router": "app"}),
+        "app/x/loading.tsx": ("layout", "convention", {"kind": "next_layout", "client_boundary": False, "role": "loading", "route_pattern": "/x"}),
+        "pages/docs/[id]/index.tsx": ("page", "convention", {"kind": "next_page", "client_boundary": False, "router": "pages", "route_pattern": "/docs/:id"}),
+        "src/pages/api/users/[id].ts:default": ("route_handler", "convention", {"kind": "next_route_handler", "router": "pages", "route_pattern": "/api/users/:id"}),
+        "pages/_app.tsx": ("component", "convention", {"kind": "next_special_file", "role": "_app"}),
+    }
+    owned = {(x[1], x[3]) for x in links if x[0] == "contains"}
+    assert ("src/app/(marketing)/blog/[...slug]/page.tsx", "BlogPage") in owned and ("app/x/loading.tsx", "Loading") in owned and len(owned) == 4
+
+
+def test_a_second_run_reads_changed_files_only_and_equals_a_full_one(spark):
+    from corpusloom.plans.jobs import index_evidence, index_sources
+
+    def contents(sources):
+        df = spark.createDataFrame([("p", path, text.encode()) for path, text in sources.items()], "project_id string, path string, content binary")
+        return df.withColumn("size_bytes", FX.F.octet_length("content").cast("long"))
+
+    def facts_of(index, df):
+        sources = index_sources(df).where("status = 'ready'")
+        texts = df.select("project_id", "path", FX.F.col("content").cast("string").alias("text")).join(sources.select("project_id", "path", "language"), ["project_id", "path"])
+        edges = resolve_imports(extract_dependencies(texts), sources)
+        packages = spark.createDataFrame([("p", "package.json", '{"dependencies": {"@nestjs/common": "1", "express": "1"}}')], "project_id string, path string, text string")
+        _, facts = FX.index_frameworks(sources.select("project_id", "path"), packages, edges, index.evidence.drop("end_byte"), build_symbols(index.declarations))
+        return facts
+
+    shown = lambda f: (sorted(r.identity_key for r in f.entities.collect()), sorted(r.identity_key for r in f.relationships.collect()))
+    old = {p: SOURCES[p] for p in ("src/cats.ts", "src/server.js")} | {"src/gone.js": "const e = require('express'); const a = e();"}
+    new = {"src/cats.ts": old["src/cats.ts"], "src/server.js": old["src/server.js"].replace("/dogs", "/birds")}
+    before, after = contents(old), contents(new)
+    first = index_evidence(index_sources(before), before)
+
+    def only_server(language, text):
+        assert "/birds" in text
+        return scan_evidence(language, text)
+
+    second = index_evidence(index_sources(after), after, only_server, previous=first)
+    full = index_evidence(index_sources(after), after)
+    assert {r.path: (r.status, r.reused) for r in second.files.collect()} == {"src/cats.ts": ("parsed", True), "src/server.js": ("parsed", False)}
+    whole = facts_of(full, after)
+    assert shown(facts_of(second, after)) == shown(whole)
+    again = index_evidence(index_sources(after), after, lambda *_: 1 / 0, previous=index_evidence(index_sources(before), before, max_evidence=3))
+    assert {r.path: (r.status, (r.error or "")[:17]) for r in again.files.collect()} == {"src/cats.ts": ("failed", "ZeroDivisionError"), "src/server.js": ("failed", "ZeroDivisionError")}
+
+    entities, links = whole.entities.collect(), whole.relationships.collect()
+    cut, reasons = FX.within_project(whole, 4, 3)
+    order = sorted(entities, key=lambda r: (r.path, r.scope_key, -1 if r.start_byte is None else r.start_byte, r.entity_kind, r.identity_key))[:4]
+    kept = {r.identity_key for r in order}
+    assert {r.identity_key for r in cut.entities.collect()} == kept
+    left = sorted((r for r in links if r.source_key in kept), key=lambda r: (r.path, r.scope_key, r.source_key, r.relationship_kind, r.target_key or r.target_name or "", r.identity_key))[:3]
+    assert {r.identity_key for r in cut.relationships.collect()} == {r.identity_key for r in left}
+    assert [r.limit_reasons for r in reasons.collect()] == [["total_entities", "total_relationships"]]
+    assert [r.limit_reasons for r in FX.within_project(whole)[1].collect()] == [[]]

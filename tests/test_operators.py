@@ -1,12 +1,14 @@
 """Golden cases of the library's operators."""
 
 import hashlib
+import random
 from datetime import UTC, datetime
 
 import pytest
 from corpusloom import queries
 from corpusloom.functions import scalar as S
 from corpusloom.operators import budgets, catalog, chunks, context, conversations, files, frameworks, graph, paths, search
+from corpusloom.sources import sinks
 from corpusloom.streaming import events as ev
 from pyspark.sql import functions as F
 
@@ -71,15 +73,125 @@ def test_imports(spark):
     assert out == wanted
 
 
+def test_aliases_of_the_nearest_config(spark):
+    catalog_ = [("p", x) for x in ("src/main.ts", "src/value.ts", "src/internal-import.ts", "src/internal-require.ts", "src/feature.ts", "packages/f/src/main.ts", "packages/f/src/value.ts", "src/deep/value.ts", "src/deep/more/x.ts")]
+    files = spark.createDataFrame(catalog_, "project_id string, path string")
+    text = [
+        ("p", "tsconfig.json", '{ // comment\n "compilerOptions": {"baseUrl": ".", "paths": {"@root/*": ["none/*", "src/*"], "@root/more/*": ["src/deep/more/*"], "@one": ["src/value.ts"], "@/*": ["src/*"]}}}'),
+        ("p", "packages/f/tsconfig.json", '{"compilerOptions": {"baseUrl": "src", "paths": {"@local/*": ["*"], "@/*": ["*"]}}}'),
+        ("p", "broken/tsconfig.json", "{"),
+    ]
+    configs = spark.createDataFrame(text, "project_id string, path string, text string")
+    package = '{"name": "@own/root", "imports": {"#internal": {"import": "./src/internal-import.ts", "require": "./src/internal-require.ts"}}, "exports": {"./feature": "./src/feature.ts", "./deep/*": "./src/deep/*.ts"}}'
+    packages = spark.createDataFrame([("p", "package.json", package), ("p", "packages/f/package.json", '{"name": "f", "exports": "./src/main.ts"}')], configs.columns)
+    top = {
+        "@root/value": ("local", "src/value.ts", None), "@root/more/x": ("local", "src/deep/more/x.ts", None), "@one": ("local", "src/value.ts", None), "@one/more": ("external", None, None),
+        "@/value": ("local", "src/value.ts", None), "@local/value": ("external", None, None), "@root/none": ("unresolved", None, "not_found"), "#internal": ("local", "src/internal-import.ts", None), "#none": ("unresolved", None, "not_found"),
+        "@own/root/feature": ("local", "src/feature.ts", None), "@own/root/deep/value": ("local", "src/deep/value.ts", None), "@own/root/none": ("unresolved", None, "not_found"), "@own/rooted": ("external", None, None),
+        "f": ("external", None, None), "./data.json": ("unresolved", None, "not_in_source_catalog"), "react": ("external", None, None),
+    }
+    below = {"@local/value": ("local", "packages/f/src/value.ts", None), "@/value": ("local", "packages/f/src/value.ts", None), "@root/value": ("external", None, None), "#internal": ("unresolved", None, "not_found"), "f": ("local", "packages/f/src/main.ts", None), "@own/root/feature": ("external", None, None)}
+    rows = [("p", "src/main.ts", x, "import") for x in top] + [("p", "packages/f/src/main.ts", x, "import") for x in below] + [("p", "src/main.ts", "#internal", "require")]
+    edges = spark.createDataFrame(rows, "project_id string, source_path string, specifier string, kind string")
+    others = spark.createDataFrame([("p", "src/data.json")], "project_id string, path string")
+    out = graph.resolve_imports(edges, files, graph.config_aliases(configs), configs.select("project_id", "path"), packages, others).collect()
+    got = {(r.source_path, r.specifier, r.kind): (r.resolution_kind, r.target_path, r.unresolved_reason) for r in out}
+    want = {("src/main.ts", x, "import"): v for x, v in top.items()} | {("packages/f/src/main.ts", x, "import"): v for x, v in below.items()} | {("src/main.ts", "#internal", "require"): ("local", "src/internal-require.ts", None)}
+    assert got == want and len(out) == len(rows)
+
+
+def recovered(files, max_edges, max_bindings):
+    """The budget file by file, as lists of bindings a file."""
+    e, b, out = max_edges, max_bindings, []
+    for sizes in files:
+        k = used = 0
+        while e > 0 and b > 0 and k < min(len(sizes), e) and used + sizes[k] <= b:
+            used += sizes[k]
+            k += 1
+        e, b = e - k, b - used
+        out.append((k, used))
+    return out
+
+
+@pytest.mark.parametrize(("max_edges", "max_bindings"), [(10_000, 10_000), (90, 10_000), (10_000, 120), (150, 160), (10_000, 3), (1, 1), (0, 5), (60, 100)])
+def test_recovering_budget(spark, max_edges, max_bindings):
+    rng = random.Random(max_edges + max_bindings)
+    projects = {p: [[rng.choice([0, 0, 1, 2, 3, 9]) for _ in range(rng.randrange(1, 6))] for _ in range(80)] for p in ("p", "q")}
+    rows = [(p, f"f{i:03}", j * 10, f"k{j}", b) for p, files in projects.items() for i, sizes in enumerate(files) for j, b in enumerate(sizes)]
+    rng.shuffle(rows)
+    edges = spark.createDataFrame(rows, "project_id string, source_path string, start_byte int, edge_key string, n_bindings int").repartition(3)
+    kept, found = budgets.recovering_budget(edges, max_edges, max_bindings)
+    got = {(r.project_id, r.source_path): (r.kept_edges, r.kept_bindings) for r in found.collect()}
+    want = {(p, f"f{i:03}"): x for p, files in projects.items() for i, x in enumerate(recovered(files, max_edges, max_bindings))}
+    assert got == want and kept.count() == sum(k for k, _ in want.values())
+    assert all((r.reason is None) == (r.kept_edges == r.n_edges) for r in found.collect())
+
+
+def test_saturating_budget(spark):
+    df = spark.createDataFrame([("p", i % 7, i) for i in range(30)] + [("q", 1, 1)], "project_id string, a int, b int")
+    kept, status = budgets.saturating_budget(df, ["a", "b"], 9)
+    order = sorted((i % 7, i) for i in range(30))[:9]
+    assert sorted((r.a, r.b) for r in kept.where("project_id = 'p'").collect()) == order and kept.count() == 10
+    assert sorted(tuple(r) for r in status.collect()) == [("p", 9, 21, "limited"), ("q", 1, 0, "completed")]
+
+
+def test_publish_changes_over_at_once(spark, tmp_path):
+    path, keys = f"file://{tmp_path}", ["project_id", "path"]
+    rows = lambda *r: spark.createDataFrame(list(r), "project_id string, path string, size int")
+    projects = lambda *p: spark.createDataFrame([(x,) for x in p], "project_id string")
+    shown = lambda df: sorted((r.project_id, r.path, r.size, r.run_id) for r in df.collect())
+    assert sinks.current(spark, path, "t") is None and sinks.pointers(spark, path, "t").collect() == []
+    first = sinks.publish(rows(("p", "a", 1), ("p", "b", 1), ("q", "a", 1)), projects("p", "q"), "t", keys, "r1", path)
+    ids = {(r.project_id, r.path): r.id for r in first.collect()}
+    one = [("p", "a", 1, "r1"), ("p", "b", 1, "r1"), ("q", "a", 1, "r1")]
+    assert shown(first) == one
+    run = sinks.write_run(rows(("p", "b", 2), ("p", "c", 2)), "t", keys, "r2", path)  # breaks before the pointer
+    assert shown(sinks.current(spark, path, "t")) == one
+    half = tmp_path / "t" / "rows" / "run=broken"  # breaks while rows are written
+    half.mkdir()
+    (half / "_temporary").mkdir()
+    assert shown(sinks.current(spark, path, "t")) == one
+    sinks.point(spark, projects("p"), "t", run, "r2", path)
+    two = sinks.current(spark, path, "t")
+    assert shown(two) == [("p", "b", 2, "r2"), ("p", "c", 2, "r2"), ("q", "a", 1, "r1")]
+    assert {(r.project_id, r.path): r.id for r in two.collect()}["p", "b"] == ids["p", "b"]
+    again = sinks.publish(rows(("p", "b", 3)), projects("p", "q"), "t", keys, "r2", path)  # the same run id, and a project that has become empty
+    assert shown(again) == [("p", "b", 3, "r2")] and {(r.project_id, r.rows) for r in sinks.pointers(spark, path, "t").collect()} == {("p", 1), ("q", 0)}
+    empty = sinks.replace_inventory(rows(), projects("p"), "r1", path)
+    assert empty.collect() == []
+
+
 def test_traverse_caps_and_cycles(spark):
     edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "c", "a"), ("e4", "a", "c")], "edge_key string, source string, target string")
     starts = spark.createDataFrame([(1, "a")], "start_id int, node string")
     keys = lambda df: sorted((r.level, r.edge_key) for r in df.collect())
-    assert keys(graph.traverse(edges, starts, depth=5)) == [(1, "e1"), (1, "e4"), (2, "e2"), (2, "e3")]
-    assert keys(graph.traverse(edges, starts, "incoming", 1)) == [(1, "e3")]
-    capped = graph.traverse(edges, starts, depth=5, max_edges=1)
-    assert keys(capped) == [(1, "e1")] and capped.first().truncated
-    assert keys(graph.traverse(edges, starts, depth=5, max_nodes=2)) == [(1, "e1")]
+    assert keys(graph.traverse(edges, starts, depth=5).edges) == [(1, "e1"), (1, "e4"), (2, "e2"), (2, "e3")]
+    assert keys(graph.traverse(edges, starts, "incoming", 1).edges) == [(1, "e3")]
+    flags = lambda found: tuple(found.limits.first())[1:]
+    capped = graph.traverse(edges, starts, depth=5, max_edges=1, flags=True)
+    assert keys(capped.edges) == [(1, "e1")] and flags(capped) == (False, True, False)
+    capped = graph.traverse(edges, starts, depth=5, max_nodes=2, flags=True)
+    assert keys(capped.edges) == [(1, "e1")] and flags(capped) == (False, False, True)
+    capped = graph.traverse(edges, starts, depth=1, flags=True)
+    assert keys(capped.edges) == [(1, "e1"), (1, "e4")] and flags(capped) == (True, False, False)
+
+
+def test_traverse_admits_edges_in_order(spark):
+    rows = [("r1", "a", "file:b", 10), ("r2", "a", "external:react", 20), ("r3", "a", "builtin:node:fs", 30), ("r4", "a", None, 40), ("r5", "file:b", "a", 10), ("r6", "file:b", "file:c", 20)]
+    edges = spark.createDataFrame(rows, "edge_key string, source string, target string, start_byte long")
+    starts = spark.createDataFrame([(1, "a"), (2, "file:b")], "start_id int, node string")
+    keys = lambda found, start=1: sorted(r.edge_key for r in found.edges.collect() if r.start_id == start)
+    flags = lambda found, start=1: next(tuple(r)[1:] for r in found.limits.collect() if r.start_id == start)
+    whole = graph.traverse(edges, starts, flags=True)
+    assert keys(whole) == ["r1", "r2", "r3", "r4", "r5", "r6"] and flags(whole) == (False, False, False)
+    assert keys(graph.traverse(edges, starts, "incoming", 1), 2) == ["r1"]
+    both = graph.traverse(edges, starts, "both", 2)
+    assert keys(both, 2) == ["r1", "r2", "r3", "r4", "r5", "r6"] and both.edges.where("start_id = 2").count() == 6
+    one = graph.traverse(edges, starts, depth=1, max_nodes=1, flags=True)
+    assert keys(one) == ["r4"] and flags(one)[2]  # the edge without a target needs no node
+    late = spark.createDataFrame([("z1", "a", "Z", 1), ("z2", "a", "B", 2), ("z3", "a", "Z", 3)], "edge_key string, source string, target string, start_byte long")
+    assert keys(graph.traverse(late, starts, max_nodes=2)) == ["z1", "z3"]  # the first by its edge, not by its name; its later edge still enters
+    assert keys(graph.traverse(late, starts, max_edges=2, max_nodes=2)) == ["z1"]  # an edge that is left out has still used its place
 
 
 def test_chunks(spark):
@@ -195,7 +307,7 @@ def test_symbols(spark):
 
 
 def test_framework_scopes_and_facts(spark):
-    from corpusloom.operators.frameworks import bind_evidence, detect_scopes, framework_imports, next_facts, react_facts
+    from corpusloom.operators.frameworks import bind_evidence, detect_scopes, framework_imports
 
     packages = spark.createDataFrame([("p", "package.json", '{"dependencies":{"express":"1"}}'), ("p", "apps/web/package.json", '{"dependencies":{"next":"1"}}'), ("p", "packages/data/package.json", "{}"), ("p", "bad/package.json", "{")], "project_id string, path string, text string")
     edge = "project_id string, source_path string, edge_key string, external_package string, type_only boolean, bindings array<struct<kind:string,imported_name:string,local_name:string,exported_name:string,type_only:boolean>>"
@@ -206,16 +318,6 @@ def test_framework_scopes_and_facts(spark):
     assert sorted((r.local_name, r.imported_name) for r in imports.collect()) == [("M", "Model"), ("S", "*")]
     evidence = spark.createDataFrame([("p", "packages/data/a.ts", ["S", "Model"]), ("p", "packages/data/a.ts", ["M", "init"]), ("p", "packages/data/a.ts", ["Other"])], "project_id string, path string, reference array<string>")
     assert sorted(r.bound_name for r in bind_evidence(evidence, imports, "sequelize").collect()) == ["Model", "Model"]
-    listing = spark.createDataFrame([("p", "apps/web/app/blog/[id]/page.tsx"), ("p", "apps/web/app/api/route.ts"), ("p", "app/page.tsx")], "project_id string, path string")
-    symbol = "project_id string, path string, identity_key string, name string, exported boolean, start_byte long, end_byte long"
-    symbols = spark.createDataFrame([("p", "apps/web/app/api/route.ts", "k", "GET", True, 0, 9)], symbol)
-    facts = next_facts(listing, scopes.where("framework = 'nextjs'"), symbols).collect()
-    assert sorted((r.entity_kind, r.name, r.route_pattern) for r in facts) == [("page", "page", "/blog/:id"), ("route_handler", "GET", "/api")]
-    ui = spark.createDataFrame([("p", "u.tsx", "d", "Dashboard", True, 0, 50), ("p", "u.tsx", "l", "LocalCard", True, 60, 90), ("p", "u.tsx", "m", "Memo", True, 95, 99), ("p", "u.tsx", "h", "helper", True, 100, 120)], symbol)
-    jsx = spark.createDataFrame([("p", "u.tsx", "LocalCard", 10, 20), ("p", "u.tsx", "Card", 21, 30), ("p", "u.tsx", "div", 65, 70), ("p", "u.tsx", "div", 101, 110)], "project_id string, path string, name string, start_byte long, end_byte long")
-    components, renders = react_facts(ui, jsx, spark.createDataFrame([("p", "u.tsx", "Memo")], "project_id string, path string, assigned_name string"))
-    assert sorted(r.name for r in components.collect()) == ["Dashboard", "LocalCard", "Memo"]
-    assert sorted((r.target_name, r.certainty) for r in renders.collect()) == [("Card", "declared"), ("LocalCard", "linked")]
 
 
 def test_import_scanner(spark):
@@ -250,18 +352,86 @@ const lazy = () => import('./lazy');
     assert len(out) == 5 and {r.omitted for r in out} == {4} and len({r.edge_key for r in out}) == 5
 
 
-def test_pipeline_of_all_stages(spark):
-    from corpusloom.plans.jobs import index_dependencies, index_sources, run_pipeline
+def contents_of(spark, rows):
+    df = spark.createDataFrame(rows, "project_id string, path string, content binary")
+    return df.withColumn("size_bytes", F.octet_length("content").cast("long"))
+
 
-    rows = [("p", "src/a.ts", b"import { x } from './b.js';\nlet y = x;\n"), ("p", "src/b.ts", b"export const x = 1;\n"), ("p", "c.bin", b"\0"), ("q", "d.py", b"import os\n")]
-    df = spark.createDataFrame(rows, "project_id string, path string, content binary").withColumn("size_bytes", F.octet_length("content").cast("long"))
-    out = run_pipeline(df, chunks.hashing_embedder(8), 8, "m1")
+def test_pipeline_of_all_stages(spark):
+    from corpusloom.operators.imports import scan_imports
+    from corpusloom.plans.jobs import STAGES, run_pipeline
+
+    good = [("p", "src/a.ts", b"import { x } from './b.js';\nlet y = x;\n"), ("p", "src/b.ts", b"export const x = 1;\n"), ("p", "c.bin", b"\0"), ("p", "package.json", b'{"dependencies": {"react": "1"}}'), ("p", "v.tsx", b"export const V = () => <div />;\n"), ("q", "d.py", b"import os\n")]
+    df = contents_of(spark, [*good, ("bad", "x.ts", b"export const POISON = 1;\n"), ("worse", "x.ts", b"export const w = 'POISON TOO';\n"), ("last", "x.py", b"NO VECTOR\n")])
+
+    def imports_of(language, text):
+        if "POISON TOO" in text:
+            raise RuntimeError("no imports")
+        return scan_imports(language, text)
+
+    def symbols_of(language, text):
+        from corpusloom.operators.source_scan import scan_symbols
+
+        if "POISON =" in text:
+            raise ValueError("no symbols")
+        return scan_symbols(language, text)
+
+    plain = chunks.hashing_embedder(8)
+
+    def vectors(texts):
+        if any("NO VECTOR" in t for t in texts):
+            raise OSError("model")
+        return plain(texts)
+
+    out = run_pipeline(df, vectors, 8, "m1", extractors={"symbols": symbols_of, "dependencies": imports_of})
+    runs = {}
+    for r in out["runs"].collect():
+        runs.setdefault(r.project_id, {})[r.stage] = (r.status, r.rows)
+    assert runs["p"] == {"source": ("completed", 5), "symbols": ("completed", 3), "dependencies": ("completed", 1), "frameworks": ("completed", 1), "chunks": ("completed", 4), "embeddings": ("completed", 4)}
+    assert runs["q"] == {"source": ("completed", 1), "symbols": ("completed", 0), "dependencies": ("completed", 0), "frameworks": ("completed", 0), "chunks": ("completed", 1), "embeddings": ("completed", 1)}
+    assert runs["bad"] == {"source": ("completed", 1), "symbols": ("failed", 0)}
+    assert runs["worse"] == {"source": ("completed", 1), "symbols": ("completed", 1), "dependencies": ("failed", 0)}
+    assert set(runs["last"]) == set(STAGES) and runs["last"]["embeddings"] == ("failed", 0)
     assert [(r.source_path, r.target_path) for r in out["edges"].collect()] == [("src/a.ts", "src/b.ts")]
-    assert {(r.project_id, r.stage): r.rows for r in out["runs"].collect()} == {("p", "source"): 3, ("p", "dependencies"): 1, ("p", "chunks"): 2, ("p", "embeddings"): 2, ("q", "source"): 1, ("q", "dependencies"): 0, ("q", "chunks"): 1, ("q", "embeddings"): 1}
-    again = run_pipeline(df, chunks.hashing_embedder(8), 8, "m1", out["vectors"])
-    assert all(r.reused for r in again["vectors"].collect())
-    reused = index_dependencies(index_sources(df), df, lambda *_: [], out["edges"].drop("resolution_kind", "target_path", "external_package", "unresolved_reason"))
-    assert [(r.source_path, r.target_path) for r in reused.collect()] == [("src/a.ts", "src/b.ts")]
+    assert {r.project_id for r in out["vectors"].collect()} == {"p", "q"} and [r.name for r in out["entities"].collect()] == ["V"]
+
+
+def test_vectors_are_reused(spark):
+    given = spark.createDataFrame([("p", "a.ts", "typescript", "a b c\n")], "project_id string, path string, language string, text string")
+    cut = chunks.chunk_sources(given)
+    none = cut.limit(0).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("identity", F.lit(""))
+    first = chunks.index_embeddings(cut, none, chunks.hashing_embedder(8), 8, "m1")
+    again = chunks.index_embeddings(cut, first.drop("reused"), chunks.hashing_embedder(8), 8, "m1")
+    assert [r.reused for r in first.collect()] == [False] and [r.reused for r in again.collect()] == [True]
+    assert [r.reused for r in chunks.index_embeddings(cut, first.drop("reused"), chunks.hashing_embedder(8), 8, "m2").collect()] == [False]
+
+
+def test_dependencies_are_kept_while_content_stays(spark):
+    from corpusloom.operators.imports import scan_imports
+    from corpusloom.plans.jobs import index_dependencies, index_sources
+
+    rows = [("p", "a.ts", b"import { x, y } from './b';\nimport z from './c';\nimport './d';\n"), ("p", "b.ts", b"export const x = 1;\n"), ("p", "c.ts", b"import 'fs';\n"), ("p", "d.py", b"import os\n"), ("q", "a.js", b"require('x'); require('y'); require('z');\n")]
+    df = contents_of(spark, rows)
+    index = index_dependencies(index_sources(df), df, max_edges=4, max_bindings=3, per_file=2)
+    shown = {(r.project_id, r.path): (r.status, r.n_edges, r.omitted_edges, r.n_bindings, r.reasons, r.reused) for r in index.files.collect()}
+    assert shown == {
+        ("p", "a.ts"): ("limited", 2, 1, 3, ["file_edges"], False), ("p", "b.ts"): ("parsed", 0, 0, 0, [], False), ("p", "c.ts"): ("limited", 0, 1, 0, ["total_bindings"], False),
+        ("p", "d.py"): ("unsupported", 0, 0, 0, [], False), ("q", "a.js"): ("limited", 2, 1, 0, ["file_edges"], False),
+    }
+    runs = {r.project_id: r for r in index.runs.collect()}
+    assert (runs["p"].edges, runs["p"].bindings, runs["p"].local, runs["p"].unresolved, runs["p"].limit_reasons, runs["p"].status) == (2, 3, 2, 0, ["file_edges", "total_bindings"], "limited")
+    first = index_dependencies(index_sources(df), df)
+    changed = contents_of(spark, [("p", "a.ts", b"import './b';\n"), *rows[1:2], ("p", "c.ts", b"import 'fs';\n"), *rows[3:]])
+
+    def only_new(language, text):
+        assert text == "import './b';\n", text
+        return scan_imports(language, text)
+
+    second = index_dependencies(index_sources(changed), changed, only_new, first)
+    full = index_dependencies(index_sources(changed), changed)
+    edges = lambda i: sorted((r.project_id, r.source_path, r.specifier, r.resolution_kind, r.target_path or "", r.edge_key) for r in i.edges.collect())
+    assert edges(second) == edges(full) and len(edges(full)) == 5
+    assert {(r.project_id, r.path): r.reused for r in second.files.collect()} == {("p", "a.ts"): False, ("p", "b.ts"): True, ("p", "c.ts"): True, ("p", "d.py"): False, ("q", "a.js"): True}
 
 
 def test_job12_keeps_texts_that_fit_the_default_limits(spark, tmp_path):
