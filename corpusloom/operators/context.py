@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalar import byte_slice, estimate_tokens, message_tokens
@@ -48,15 +48,24 @@ def pack_snippets(results: DataFrame, files: DataFrame, max_snippet: int = 8192,
     return rows.groupBy("query_id").applyInPandas(pick, rows.schema)
 
 
+def format_snippet(rank: Column, path: Column, start: Column, end: Column, snippet: Column) -> Column:
+    """One block of a context: its number, where it comes from as JSON, and the text between its marks."""
+    meta = F.to_json(F.struct(path.alias("path"), start.alias("start_byte"), end.alias("end_byte")))
+    return F.concat_ws("\n", F.concat(F.lit("["), rank.cast("string"), F.lit("] "), meta), F.lit("BEGIN"), snippet, F.lit("END"))
+
+
+def format_context(blocks: Column, token_limit: int) -> Column:
+    """The header and, in order, those of an array of blocks with which it stays within the limit; null where none fits."""
+    grown = lambda text, b: F.concat_ws("\n\n", text, b)
+    text = F.aggregate(blocks, F.lit(HEADER), lambda text, b: F.when(estimate_tokens(grown(text, b)) <= token_limit, grown(text, b)).otherwise(text))
+    return F.when(text != HEADER, text)
+
+
 def build_context(snippets: DataFrame, token_limit: int = 3072) -> DataFrame:
     """One text a query: the header and those snippet blocks, by rank, with which it stays within the limit."""
-    meta = F.to_json(F.struct("path", "start_byte", "end_byte"))
-    block = F.concat_ws("\n", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), meta), F.lit("BEGIN"), F.col("snippet"), F.lit("END"))
-    kept = snippets.where("reason IS NULL").withColumn("block", block)
+    kept = snippets.where("reason IS NULL").withColumn("block", format_snippet(*(F.col(c) for c in ("rank", "path", "start_byte", "end_byte", "snippet"))))
     listed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("blocks"))
-    fits = lambda text, b: F.when(estimate_tokens(F.concat_ws("\n\n", text, b["block"])) <= token_limit, F.concat_ws("\n\n", text, b["block"])).otherwise(text)
-    text = F.aggregate("blocks", F.lit(HEADER), fits)
-    return listed.select("query_id", F.when(text != HEADER, text).alias("context"))
+    return listed.select("query_id", format_context(F.transform("blocks", lambda b: b["block"]), token_limit).alias("context"))
 
 
 def build_prompts(queries: DataFrame, contexts: DataFrame, messages: DataFrame, system: str, window: int = 8192, reserve: int = 2048, project: int = 3072, history: int = 2560) -> DataFrame:

@@ -257,9 +257,21 @@ def edges_with_source(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.drop("source_path").join(known, ["project_id", "source_file_id"], "left").withColumn("missing", F.col("source_path").isNull())
 
 
-def edge_filter(edges: DataFrame, kinds: list[str] | None = None, resolutions: list[str] | None = None) -> DataFrame:
+def edge_filter(edges: DataFrame, kinds: list[str] | None = None, resolutions: list[str] | None = None, frontier: DataFrame | None = None, direction: str = "outgoing") -> DataFrame:
+    """Edges of these kinds and resolutions, and of ``frontier(project_id, node)``: those that leave its nodes, enter them, or both."""
     out = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-    return out.where(F.col("resolution_kind").isin(*resolutions)) if resolutions else out
+    out = out.where(F.col("resolution_kind").isin(*resolutions)) if resolutions else out
+    if frontier is None:
+        return out
+    nodes = frontier.select("project_id", "node").distinct()
+    at = lambda end: nodes.select("project_id", F.col("node").alias(end))
+    leaving = out.join(at("source"), ["project_id", "source"], "left_semi")
+    if direction == "outgoing":
+        return leaving
+    entering = out.join(at("target"), ["project_id", "target"], "left_semi")
+    if direction == "incoming":
+        return entering
+    return leaving.unionByName(entering.join(at("source"), ["project_id", "source"], "left_anti"))
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def run_pipeline(contents: DataFrame, embed_fn: Callable, dimensions: int, ident
     log.append(_logged("frameworks", projects, out["entities"], None, errors))
     projects = alive
 
-    out["chunks"] = materialize(chunks.chunk_sources(own(texts)), "chunks")
+    out["chunks"] = materialize(chunks.chunk_sources(own(texts), own(out["symbols"])), "chunks")
     log.append(_logged("chunks", projects, out["chunks"], None, None))
     old = prior if prior is not None else out["chunks"].limit(0).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("identity", F.lit(""))
     vectors = materialize(chunks.index_embeddings(out["chunks"], old, embed_fn, dimensions, identity, strict=False), "vectors")

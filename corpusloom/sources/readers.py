@@ -27,19 +27,46 @@ def read_sources(spark: SparkSession, root: str, project_id: str, max_bytes: int
     return rows.select("project_id", "path", "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
 
 
-def read_package_metadata(files: DataFrame) -> DataFrame:
-    """package.json files as text."""
-    return files.where(F.element_at(F.split("path", "/"), -1) == "package.json").withColumn("text", F.col("content").cast("string"))
+def _metadata(files: DataFrame, names: str, sources: DataFrame | None, max_bytes: int) -> DataFrame:
+    found = files.where(F.element_at(F.split("path", "/"), -1).rlike(names)).where(F.octet_length("content") <= max_bytes)
+    if sources is not None:
+        known = sources.select("project_id", "path", F.col("content_hash").alias("known_hash"))
+        found = found.join(known, ["project_id", "path"]).where(F.sha2("content", 256) == F.col("known_hash")).drop("known_hash")
+    return found.withColumn("text", F.col("content").cast("string"))
 
 
-def read_resolver_metadata(files: DataFrame) -> DataFrame:
-    """tsconfig*.json and jsconfig*.json files as text."""
-    return files.where(F.element_at(F.split("path", "/"), -1).rlike(r"^[tj]sconfig[^/]*\.json$")).withColumn("text", F.col("content").cast("string"))
+def read_package_metadata(files: DataFrame, sources: DataFrame | None = None, max_bytes: int = 1 << 18) -> DataFrame:
+    """package.json files of ``files(project_id, path, content)`` as text, up to ``max_bytes``.
 
+    With ``sources(project_id, path, content_hash)`` only those whose content is still
+    the one that was indexed.
+    """
+    return _metadata(files, r"^package\.json$", sources, max_bytes)
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
 
+def read_resolver_metadata(files: DataFrame, sources: DataFrame | None = None, max_bytes: int = 1 << 18) -> DataFrame:
+    """The same with tsconfig*.json and jsconfig*.json files, too: all that import resolution reads."""
+    return _metadata(files, r"^(package|[tj]sconfig[^/]*)\.json$", sources, max_bytes)
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+MESSAGES = "session_id string, ordinal long, role string, content string, status string"
+SESSIONS = "session_id string, title string"
+
+
+def _checked(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that has at least the columns of ``schema``, in those types; other columns stay."""
+    rows = spark.read.parquet(path)
+    have = dict(rows.dtypes)
+    wrong = [c for c in schema.split(", ") if have.get(c.split()[0], "").replace("bigint", "long") != c.split()[1]]
+    if wrong:
+        raise ValueError(f"{path} lacks {', '.join(wrong)}")
+    return rows
+
+
+def read_messages(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
+    """Messages of chats; a table without the columns of ``schema`` is refused before any job runs."""
+    return _checked(spark, path, schema)
+
+
+def read_sessions(spark: SparkSession, path: str, schema: str = SESSIONS) -> DataFrame:
+    return _checked(spark, path, schema)

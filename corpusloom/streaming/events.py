@@ -156,9 +156,17 @@ def admit_one_active(requests: DataFrame) -> DataFrame:
     return requests.groupBy("session_id").applyInPandas(walk, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", decision string")
 
 
-def generation_metrics(usage: DataFrame) -> DataFrame:
-    """Requests, tokens and time by status."""
-    return usage.groupBy("status").agg(F.count("*").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.avg("total_ms").alias("mean_ms"))
+def generation_metrics(usage: DataFrame, *by: str) -> DataFrame:
+    """Requests, tokens in and out and times in milliseconds by status, and by any columns of ``by`` before it.
+
+    ``usage(status, prompt_tokens, completion_tokens, total_ns)`` has a row a request;
+    requests without a time count in ``requests`` only.
+    """
+    ms = F.col("total_ns") / 1e6
+    return usage.groupBy(*by, "status").agg(
+        F.count("*").alias("requests"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
+        F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"), F.percentile_approx(ms, 0.5).alias("median_ms"), F.percentile_approx(ms, 0.95).alias("p95_ms"),
+    )
 
 
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -159,7 +159,7 @@ def test_index_frameworks(spark):
     edges = spark.createDataFrame([("p", "db/a.ts", "e1", "sequelize", False, SEQUELIZE)], EDGE)
     packages = spark.createDataFrame([("p", "db/package.json", '{"dependencies":{"sequelize":"1"}}'), ("p", "web/package.json", '{"dependencies":{"next":"1"}}')], "project_id string, path string, text string")
     files = spark.createDataFrame([("p", "db/a.ts"), ("p", "web/app/page.tsx"), ("p", "web/ui.tsx")], "project_id string, path string")
-    symbols = spark.createDataFrame([("p", "db/a.ts", "k1", "User", "User", True, 0, 9), ("p", "web/ui.tsx", "k2", "Card", "Card", True, 0, 90)], "project_id string, path string, identity_key string, name string, qualified_name string, exported boolean, start_byte long, end_byte long")
+    symbols = spark.createDataFrame([("p", "db/a.ts", "k1", "User", "User", "class", True, 0, 9), ("p", "web/ui.tsx", "k2", "Card", "Card", "function", True, 0, 90)], "project_id string, path string, identity_key string, name string, qualified_name string, kind string, exported boolean, start_byte long, end_byte long")
     from pyspark.sql import functions as f
 
     evidence = model_rows(spark, scoped=False).withColumn("path", f.lit("db/a.ts"))
@@ -167,5 +167,5 @@ def test_index_frameworks(spark):
     scopes, facts = F.index_frameworks(files, packages, edges, evidence.unionByName(ui), symbols)
     assert sorted(r.framework for r in scopes.collect()) == ["nextjs", "react", "sequelize"]
     got = {(r.framework, r.entity_kind, r.name): r.symbol_key for r in facts.entities.collect()}
-    assert got["sequelize", "model", "User"] == "k1" and got["react", "component", "Card"] == "k2" and ("nextjs", "page", "page") in got and len(got) == 9
-    assert sorted({r.relationship_kind for r in facts.relationships.collect()}) == ["associates", "defines_attribute", "renders"]
+    assert got["sequelize", "model", "User"] == "k1" and got["react", "component", "Card"] == "k2" and ("nextjs", "page", "web/app/page.tsx") in got and len(got) == 9
+    assert sorted({r.relationship_kind for r in facts.relationships.collect()}) == ["associates", "defines_attribute", "renders_component"]

@@ -387,7 +387,7 @@ def test_pipeline_of_all_stages(spark):
     runs = {}
     for r in out["runs"].collect():
         runs.setdefault(r.project_id, {})[r.stage] = (r.status, r.rows)
-    assert runs["p"] == {"source": ("completed", 5), "symbols": ("completed", 3), "dependencies": ("completed", 1), "frameworks": ("completed", 1), "chunks": ("completed", 4), "embeddings": ("completed", 4)}
+    assert runs["p"] == {"source": ("completed", 5), "symbols": ("completed", 3), "dependencies": ("completed", 1), "frameworks": ("completed", 1), "chunks": ("completed", 10), "embeddings": ("completed", 10)}
     assert runs["q"] == {"source": ("completed", 1), "symbols": ("completed", 0), "dependencies": ("completed", 0), "frameworks": ("completed", 0), "chunks": ("completed", 1), "embeddings": ("completed", 1)}
     assert runs["bad"] == {"source": ("completed", 1), "symbols": ("failed", 0)}
     assert runs["worse"] == {"source": ("completed", 1), "symbols": ("completed", 1), "dependencies": ("failed", 0)}
@@ -505,3 +505,72 @@ def test_running_totals_cross_ranges(spark):
         n, total = seen.get(r.project_id, (0, 0))
         seen[r.project_id] = want[r.path] = (n + 1, total + r["size"])
     assert {r.path: (r.n, r.total) for r in got} == want and len(got) == 400
+
+
+def test_metadata_that_is_still_the_indexed_one(spark):
+    from corpusloom.sources import readers
+
+    df = contents_of(spark, [("p", "package.json", b"{}"), ("p", "a/tsconfig.base.json", b"{}"), ("p", "b/package.json", b'{"a": 1}'), ("p", "c/package.json", b"x" * 100), ("p", "xpackage.json", b"{}")])
+    known = spark.createDataFrame([("p", p, hashlib.sha256(b"{}").hexdigest()) for p in ("package.json", "a/tsconfig.base.json", "b/package.json")], "project_id string, path string, content_hash string")
+    paths_ = lambda rows: sorted(r.path for r in rows.collect())
+    assert paths_(readers.read_package_metadata(df, max_bytes=50)) == ["b/package.json", "package.json"]
+    assert paths_(readers.read_package_metadata(df, known)) == ["package.json"]
+    assert paths_(readers.read_resolver_metadata(df, known)) == ["a/tsconfig.base.json", "package.json"]
+
+
+def test_edge_filter_by_frontier(spark):
+    edges = spark.createDataFrame([("p", "a", "b", "import", "local"), ("p", "b", "c", "require", "local"), ("p", "c", "a", "import", "external"), ("q", "a", "b", "import", "local")], "project_id string, source string, target string, kind string, resolution_kind string")
+    at = spark.createDataFrame([("p", "b"), ("p", "c")], "project_id string, node string")
+    ends = lambda df: sorted((r.project_id, r.source, r.target) for r in df.collect())
+    assert ends(graph.edge_filter(edges, frontier=at)) == [("p", "b", "c"), ("p", "c", "a")]
+    assert ends(graph.edge_filter(edges, frontier=at, direction="incoming")) == [("p", "a", "b"), ("p", "b", "c")]
+    assert ends(graph.edge_filter(edges, ["import"], ["local"], at, "both")) == [("p", "a", "b")]
+
+
+def test_pages_join_up_to_the_whole(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(rng.randrange(9), i) for i in range(50)]
+    spark.createDataFrame(rows, "a int, b int").write.parquet(str(tmp_path / "t"))
+    df, seen, after = spark.read.parquet(str(tmp_path / "t")), [], None
+    while True:
+        page = budgets.paged(df, ["a", "b"], 7, after).orderBy("a", "b").collect()
+        seen += [(r.a, r.b) for r in page]
+        assert len({r.has_more for r in page}) == 1
+        if not page[-1].has_more:
+            break
+        after = (page[-1].a, page[-1].b)
+    assert seen == sorted(rows)
+    plan = budgets.paged(df, ["a", "b"], 7, (4, 20))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(a,4)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_model_files_are_read_in_order_and_merged_once(spark, tmp_path):
+    lines = ['{"message": {"role": "assistant", "content": "Hel"}, "done": false}', "", '{"message": {"role": "assistant", "content": "lo"}, "done": false}', '{"message": {"role": "assistant", "content": ""}, "done": true, "prompt_eval_count": 3, "eval_count": 2, "total_duration": 5000000}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "s1__r1.ndjson").write_text("\n".join(lines))
+    (tmp_path / "in" / "s1__r2.ndjson").write_text(lines[0] + "\n{broken\n")
+    records = ev.read_model_stream(spark, str(tmp_path / "in"))
+    assert sorted((r.request_id, r.seq, r.failure) for r in records.collect()) == [("r1", 0, None), ("r1", 2, None), ("r1", 3, None), ("r2", 0, None), ("r2", 1, "malformed_record")]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for _ in range(2):  # the second start finds nothing new
+        query = ev.write_usage_stream(ev.read_model_stream(spark, str(tmp_path / "in"), streaming=True), out, state)
+        query.awaitTermination()
+    rows = lambda: sorted((r.request_id, r.content, r.failure, r.usage and r.usage.eval_count) for r in ev.read_usage(spark, out).collect())
+    once = rows()
+    assert once == [("r1", "Hello", None, 2), ("r2", "Hel", "missing_done", None)]
+    ev.write_usage_stream(ev.read_model_stream(spark, str(tmp_path / "in"), streaming=True), out, state + "-lost").awaitTermination()  # replayed from the start
+    assert rows() == once
+
+
+def test_summaries(spark):
+    files_ = spark.createDataFrame([("p", "a", 3), ("p", "b", 4)], "project_id string, path string, size_bytes long")
+    skipped = spark.createDataFrame([("p", "x", "ignored"), ("p", "y", "link"), ("q", "z", "ignored")], "project_id string, path string, kind string")
+    reasons = spark.createDataFrame([("p", ["depth_limit"])], "project_id string, limit_reasons array<string>")
+    assert sorted(tuple(r) for r in catalog.inventory_summary(files_, skipped, reasons).collect()) == [("p", 2, 7, 1, 1, ["depth_limit"]), ("q", 0, 0, 1, 0, [])]
+    usage = spark.createDataFrame([("a", "completed", 5, 7, 2_000_000), ("a", "completed", 1, 1, 4_000_000), ("b", "failed", None, None, None)], "model string, status string, prompt_tokens long, completion_tokens long, total_ns long")
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in ev.generation_metrics(usage, "model").collect()}
+    assert got == {("a", "completed"): (2, 6, 8, 3.0, 4.0, 2.0, 4.0), ("b", "failed"): (1, 0, 0, None, None, None, None)}
+    none = spark.createDataFrame([], "project_id string")
+    some = spark.createDataFrame([("p",), ("p",)], "project_id string")
+    runs = spark.createDataFrame([("p", "chunks", 5, "limited"), ("p", "source", 1, "limited"), ("p", "symbols", 2, "completed"), ("q", "source", 1, "completed")], "project_id string, stage string, place int, status string")
+    assert sorted(tuple(r) for r in catalog.corpus_counts(some, none, some, none, runs).collect()) == [("p", 2, 0, 2, 0, ["source", "chunks"]), ("q", 0, 0, 0, 0, [])]
