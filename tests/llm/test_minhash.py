@@ -81,18 +81,19 @@ def test_rows_of_one_id_are_one_document(spark):
         [(5, ""), (5, "A"), (3, "A'"), (6, ""), (6, "")],
         [(1, "A"), (2, "B"), (3, "C"), (8, "A"), (8, "B"), (9, "B"), (9, "C")],
     ]
-    for case in cases:
-        rows = [(i, " ".join(texts.get(t, []))) for i, t in case]
-        up = {i: i for i, _ in rows}
-        for i, s in rows:
-            for j, t in rows:
-                one, other = (set(zip(x.split(), x.split()[1:], strict=False)) for x in (s, t))
-                if one and other and 100 * len(one & other) >= 80 * len(one | other):
-                    low, high = sorted((up[i], up[j]))
-                    up = {k: low if v == high else v for k, v in up.items()}
-        rng.shuffle(rows)
-        out = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], DOCS), 2, 80).collect()
-        assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == sorted((i, up[i], up[i] == i) for i, _ in rows), case
+    rows = []
+    for n, case in enumerate(cases):  # each with words and ids of its own
+        rows += [(100 * n + i, " ".join(f"{n}{w}" for w in texts.get(t, []))) for i, t in case]
+    up = {i: i for i, _ in rows}
+    for i, s in rows:
+        for j, t in rows:
+            one, other = (set(zip(x.split(), x.split()[1:], strict=False)) for x in (s, t))
+            if one and other and 100 * len(one & other) >= 80 * len(one | other):
+                low, high = sorted((up[i], up[j]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    rng.shuffle(rows)
+    out = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], DOCS), 2, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == sorted((i, up[i], up[i] == i) for i, _ in rows)
 
 
 def test_signatures_estimate_similarity():
