@@ -11,6 +11,7 @@ one file are maps in its rows. Rows that several facts start from are written on
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -415,18 +416,18 @@ def index_frameworks(files: DataFrame, packages: DataFrame, edges: DataFrame, ev
     tasks = roots.select("project_id", "path", F.col("root").alias("root_path")).join(scopes.drop("evidence"), ["project_id", "root_path"])
     scopes, tasks = materialize(scopes, "scopes"), materialize(tasks, "tasks")
     of = lambda framework: evidence.join(tasks.where(F.col("framework") == framework).select(*FILE), ["project_id", "path"])
-    parts = [nest_facts(of("nestjs"), edges), express_facts(of("express"), edges), sequelize_facts(of("sequelize"), edges)]
-    entities, links = parts[0].entities, parts[0].relationships
-    for part in parts[1:]:
-        entities, links = entities.unionByName(part.entities), links.unionByName(part.relationships)
-    omissions = parts[0].omissions.union(parts[1].omissions).union(parts[2].omissions)
-
     from corpusloom.operators import facts_ui  # it builds on this module
 
-    near = tasks.where("framework = 'nextjs'").select(*FILE, "root_path")
-    pages, components = facts_ui.next_facts(near, evidence, symbols), facts_ui.react_facts(of("react"), edges, symbols)
-    entities = entities.unionByName(pages.entities).unionByName(components.entities)
-    links = links.unionByName(pages.relationships).unionByName(components.relationships)
+    builders = {
+        "nestjs": lambda: nest_facts(of("nestjs"), edges),
+        "express": lambda: express_facts(of("express"), edges),
+        "sequelize": lambda: sequelize_facts(of("sequelize"), edges),
+        "nextjs": lambda: facts_ui.next_facts(tasks.where("framework = 'nextjs'").select(*FILE, "root_path"), evidence, symbols),
+        "react": lambda: facts_ui.react_facts(of("react"), edges, symbols),
+    }
+    present = {r.framework for r in scopes.select("framework").distinct().collect()}  # at most the five above
+    parts = [build() for framework, build in builders.items() if framework in present] or [builders["react"]()]
+    entities, links, omissions = (reduce(DataFrame.unionByName, rows) for rows in zip(*parts, strict=True))
     found = Facts(materialize(entities, "entities"), materialize(links, "relationships"), materialize(omissions, "omissions"))
     facts = limited(found, max_entities, max_relationships)
     return scopes, Facts(with_symbols(facts.entities, symbols), with_symbols(facts.relationships, symbols), facts.omissions)
