@@ -96,7 +96,8 @@ def recovering_budget(edges: DataFrame, max_edges: int, max_bindings: int, order
     sums = F.transform(F.array_sort(F.collect_list(F.struct("place", "sum"))), lambda x: x["sum"].cast("long"))
     files = placed.groupBy(*file).agg(F.count("*").alias("n"), F.max("sum").alias("b"), sums.alias("sums"))
     total = materialize(running_totals(files, "source_path", all_n=F.col("n"), all_b=F.col("b")), "totals")
-    over = (F.col("all_n") > max_edges) | (F.col("all_b") > max_bindings)
+    spent = (F.col("all_n") - F.col("n") >= max_edges) | (F.col("all_b") - F.col("b") >= max_bindings)  # nothing is left for the file
+    over = spent | (F.col("all_n") > max_edges) | (F.col("all_b") > max_bindings)
     first = total.where(over).groupBy("project_id").agg(F.min_by(F.struct("source_path", "n", "b", "all_n", "all_b", "sums"), "source_path").alias("f"))
     left_e, left_b = F.lit(max_edges) - (F.col("f.all_n") - F.col("f.n")), F.lit(max_bindings) - (F.col("f.all_b") - F.col("f.b"))
     fits = F.size(F.filter("f.sums", lambda x: x <= left_b))

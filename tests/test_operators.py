@@ -127,6 +127,12 @@ def test_recovering_budget(spark, max_edges, max_bindings):
     assert all((r.reason is None) == (r.kept_edges == r.n_edges) for r in found.collect())
 
 
+def test_a_budget_that_is_met_exactly_leaves_nothing(spark):
+    edges = spark.createDataFrame([("p", "a", 0, "k", 3), ("p", "b", 0, "k", 0), ("q", "a", 0, "k", 1), ("q", "b", 0, "k", 0), ("q", "c", 0, "k", 2), ("q", "d", 0, "k", 0)], "project_id string, source_path string, start_byte int, edge_key string, n_bindings int")
+    found = {(r.project_id, r.source_path): (r.kept_edges, r.reason) for r in budgets.recovering_budget(edges, 9, 3)[1].collect()}
+    assert found == {("p", "a"): (1, None), ("p", "b"): (0, "total_bindings"), ("q", "a"): (1, None), ("q", "b"): (1, None), ("q", "c"): (1, None), ("q", "d"): (0, "total_bindings")}
+
+
 def test_saturating_budget(spark):
     df = spark.createDataFrame([("p", i % 7, i) for i in range(30)] + [("q", 1, 1)], "project_id string, a int, b int")
     kept, status = budgets.saturating_budget(df, ["a", "b"], 9)
