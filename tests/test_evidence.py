@@ -90,7 +90,7 @@ type = 4; interface
 
 def test_elements_and_broken_text():
     assert nested("typescriptreact", "export function App(p: P): JSX.Element {\n  return <main data-a='x'>don't {p.name}</main>;\n}\n") == ["App:function:exported"]
-    assert nested("typescript", "export class Arc {\n  run(): void {\n    const value = ;\n  }\n}\n") == ["Arc:class:exported", "Arc.run:method:local"]
+    assert nested("typescript", "export class Half {\n  run(): void {\n    const value = ;\n  }\n}\n") == ["Half:class:exported", "Half.run:method:local"]
     assert nested("typescript", "class A {\n  b() { `${ {") == ["A:class:local", "A.b:method:local"]
     assert nested("javascript", 'import v from "x";\nexport default class {};\nvoid (() => v);\n') == [] and scan_symbols("python", "class A: pass") == []
 
