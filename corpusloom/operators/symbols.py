@@ -3,45 +3,61 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+CATALOG = "project_id string, path string, language string, kind string, name string, exported boolean, start_byte long, end_byte long, identity_key string, parent_key string, qualified_name string, occurrence int"
+
+
 def build_symbols(declarations: DataFrame, max_per_file: int = 5_000, max_name_bytes: int = 1_024) -> DataFrame:
     """``declarations(project_id, path, language, kind, name, exported, start_byte, end_byte)`` -> a catalog.
 
     In order of start, longest first, kind and name; repeated declarations count once.
     The parent is the nearest declaration that strictly encloses, of equal ones the last;
     qualified names and keys follow the parents. Names over the limit are left out with
-    all that they enclose; so is what exceeds ``max_per_file``. Files are independent and
-    bounded by what an extractor returns for one of them.
+    all that they enclose; so is what exceeds ``max_per_file``. Rows are dealt by file and
+    sorted, then every task reads its files one after another and holds what is open only.
     """
     columns = ["project_id", "path", "language", "kind", "name", "exported", "start_byte", "end_byte"]
+    names = [c.split()[0] for c in CATALOG.split(", ")]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = last = None
+        stack, seen, kept = [], {}, 0
+        for batch in batches:
+            rows = []
+            for n, r in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                project, path, language, kind, name, _, start, end = r
+                if (project, path) != file:
+                    file, last, stack, seen, kept = (project, path), None, [], {}, 0
+                here = (start, end)
+                if last == (here, kind, name):
+                    continue
+                last = (here, kind, name)
+                while stack and stack[-1][0] != here and not (stack[-1][0][0] <= start and end <= stack[-1][0][1]):
+                    stack.pop()
+                above = next((s for s in reversed(stack) if s[0] != here), None)
+                if (above is not None and above[1] is None) or len(name.encode()) > max_name_bytes or kept >= max_per_file:
+                    stack.append((here, None, None))
+                    continue
+                parent, full = (above[1], f"{above[2]}.{name}") if above else (None, name)
+                nth = seen[parent, kind, name] = seen.get((parent, kind, name), -1) + 1
+                key = hashlib.sha256("\0".join([language, parent or "", kind, name, str(nth)]).encode()).hexdigest()
+                stack.append((here, key, full))
+                kept += 1
+                rows.append((n, key, parent, full, nth))
+            if rows:
+                at, *own = zip(*rows, strict=True)
+                given = batch.take(pa.array(at, pa.int32()))
+                own = [pa.array(c, t) for c, t in zip(own, (pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*given.columns, *own], names)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["kind", "name", "start_byte", "end_byte"]).sort_values(["start_byte", "end_byte", "kind", "name"], ascending=[True, False, True, True])
-        stack, seen, out = [], {}, []
-        for r in pdf.itertuples(index=False):
-            while stack and not (stack[-1][0] <= r.start_byte and r.end_byte <= stack[-1][1] and (stack[-1][0], stack[-1][1]) != (r.start_byte, r.end_byte)):
-                if stack[-1][0] == r.start_byte and stack[-1][1] == r.end_byte:
-                    break
-                stack.pop()
-            above = next((s for s in reversed(stack) if (s[0], s[1]) != (r.start_byte, r.end_byte)), None)
-            lost = (above is not None and above[2] is None) or len(r.name.encode()) > max_name_bytes or len(out) >= max_per_file
-            if lost:
-                stack.append((r.start_byte, r.end_byte, None, None))
-                continue
-            parent, prefix = (above[2], above[3] + ".") if above else (None, "")
-            n = seen[parent, r.kind, r.name] = seen.get((parent, r.kind, r.name), -1) + 1
-            key = hashlib.sha256("\0".join([r.language, parent or "", r.kind, r.name, str(n)]).encode()).hexdigest()
-            stack.append((r.start_byte, r.end_byte, key, prefix + r.name))
-            out.append((*r, key, parent, prefix + r.name, n))
-        return pd.DataFrame(out, columns=[*columns, "identity_key", "parent_key", "qualified_name", "occurrence"])
-
-    schema = "project_id string, path string, language string, kind string, name string, exported boolean, start_byte long, end_byte long, identity_key string, parent_key string, qualified_name string, occurrence int"
-    return declarations.select(*columns).groupBy("project_id", "path").applyInPandas(build, schema)
+    dealt = declarations.select(*columns).repartition("project_id", "path")
+    return dealt.sortWithinPartitions("project_id", "path", "start_byte", F.desc("end_byte"), "kind", "name").mapInArrow(build, CATALOG)
 
 
 def range_contains_join(outer: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:

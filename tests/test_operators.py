@@ -312,6 +312,20 @@ def test_symbols(spark):
     assert [(r.start_byte, keys[r.owner_key]) for r in joined] == [(13, "A")]
 
 
+def test_symbols_of_many_files_and_of_one_longer_than_a_batch(spark):
+    from corpusloom.operators.symbols import build_symbols
+
+    columns = "project_id string, path string, language string, kind string, name string, exported boolean, start_byte long, end_byte long"
+    long_file = [("p", "long.ts", "typescript", "class", "C", True, 0, 10**6)] + [("p", "long.ts", "typescript", "method", "m", False, 10 * i + 1, 10 * i + 9) for i in range(12_000)]
+    short = [("p", f"{i}.ts", "typescript", "class", "C", True, 0, 9) for i in range(500)]
+    out = build_symbols(spark.createDataFrame(long_file + short, columns).repartition(3), max_per_file=11_500)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()  # a call and a frame a file took milliseconds each
+    rows = out.collect()
+    methods = sorted(r.occurrence for r in rows if r.kind == "method")
+    assert methods == list(range(11_499)) and {r.qualified_name for r in rows if r.kind == "method"} == {"C.m"}
+    assert sorted(r.path for r in rows if r.kind == "class") == sorted(["long.ts", *(f"{i}.ts" for i in range(500))])
+
+
 def test_framework_scopes_and_facts(spark):
     from corpusloom.operators.frameworks import bind_evidence, detect_scopes, framework_imports
 
