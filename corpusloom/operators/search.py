@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalar import candidate_limit, lexical_terms, rrf
+from corpusloom.plans.tables import materialize
 
 ORDER = ("path", "start_byte", "chunk_id")
 
@@ -20,9 +21,13 @@ def allowed(prefix: str = "path_prefix", languages: str = "languages") -> Column
     return path & (F.col(languages).isNull() | (F.size(languages) == 0) | F.array_contains(F.col(languages), F.col("language")))
 
 
-def _ranked(df: DataFrame, score: str, name: str, limit: Column) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), *ORDER)
-    return df.withColumn(name, F.row_number().over(order)).where(F.col(name) <= limit)
+#: The most candidates that ``candidate_limit`` gives, and one more to tell whether there are others.
+MOST = 201
+
+
+def _ranked(df: DataFrame, score: Column, name: str, limit: Column, key: str = "query_id") -> DataFrame:
+    order = Window.partitionBy(key).orderBy(score.desc(), *ORDER)
+    return df.withColumn(name, F.row_number().over(order)).where((F.col(name) <= MOST) & (F.col(name) <= limit))
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 512, part_chunks: int = 4096) -> DataFrame:
@@ -66,29 +71,57 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 512,
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "chunk_id", "path", "start_byte", "score", "want"])
 
     best = packed.join(blocks, ["project_id", "part"]).select("qs", "cs").mapInArrow(run, "query_id long, chunk_id string, path string, start_byte long, score double, want long")
-    return _ranked(best, "score", "dense_rank", F.col("want") + 1).drop("want")
+    return _ranked(best, F.col("score"), "dense_rank", F.col("want") + 1).drop("want")
+
+
+def _class(*columns: str) -> Column:
+    """One text for equal rows."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
 def lexical_topk(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Rows of ``documents(project_id, chunk_id, source, path, start_byte, language, terms)`` that hold all terms of a query.
 
     ``terms`` are (term, weight) structs; a document's score is the sum over the query's
-    terms of the best weight, a chunk's score that of its best document. A query meets
-    only the documents that hold the rarest of its terms, by one equi-join on project
-    and term, and the others are then looked up in the row.
+    terms of the best weight, a chunk's score that of its best document.
+
+    Queries that ask alike are one, and so are documents of one language with the same
+    terms and weights below the same asked path prefix: of such documents the first
+    ``MOST`` chunks are all that any query can need. A query meets only the kinds of
+    documents that hold the rarest of its terms, by one equi-join on project, prefix and
+    term; the others are looked up in the row. No side is broadcast, as either may grow.
     """
     asked = queries.select("project_id", "query_id", "path_prefix", "languages", candidate_limit("k").alias("want"), F.array_distinct(lexical_terms("text")).alias("asked")).where(F.size("asked") > 0)
-    held = documents.select("project_id", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
-    often = held.groupBy("project_id", "term").agg(F.count("*").alias("often"))
-    rarest = asked.select("project_id", "query_id", F.explode("asked").alias("term")).join(often, ["project_id", "term"])
-    rarest = rarest.groupBy("project_id", "query_id").agg(F.min(F.struct("often", "term")).alias("r")).select("project_id", "query_id", F.col("r.term").alias("term"))
-    asked = asked.join(rarest, ["project_id", "query_id"])
-    postings = documents.select("project_id", "chunk_id", "source", "path", "start_byte", "language", "terms", F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
-    hits = postings.join(asked, ["project_id", "term"]).where(allowed() & (F.size(F.array_except("asked", F.col("terms.term"))) == 0))
+    asked = asked.withColumn("scope", F.coalesce("path_prefix", F.lit("")))
+    asked = materialize(asked.withColumn("ask", _class("project_id", "scope", "languages", "want", "asked")), "asked")
+    asks = asked.select("ask", "project_id", "scope", "languages", "want", "asked").dropDuplicates(["ask"])
+    scopes = asked.select("project_id", "scope").distinct()
+
+    held = F.array_sort(F.array_distinct(F.col("terms.term")))
     weight = lambda a: F.array_max(F.transform(F.filter("terms", lambda t: t["term"] == a), lambda t: t["weight"].cast("double")))
-    whole = hits.select("query_id", "chunk_id", "path", "start_byte", "want", F.aggregate("asked", F.lit(0.0), lambda sum_, a: sum_ + weight(a)).alias("score"))
-    best = whole.groupBy("query_id", "chunk_id", "path", "start_byte", "want").agg(F.max("score").alias("score"))
-    return _ranked(best, "score", "lexical_rank", F.col("want") + 1).drop("want")
+    bags = documents.where("terms IS NOT NULL").select("project_id", "chunk_id", "path", "start_byte", "language", F.transform(held, lambda a: F.struct(a.alias("term"), weight(a).alias("weight"))).alias("bag"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    below = F.explode(F.array_distinct(F.filter(above, lambda p: p != "")))
+    under = bags.withColumn("scope", below).join(scopes, ["project_id", "scope"], "left_semi")
+    rows = bags.withColumn("scope", F.lit("")).unionByName(under).withColumn("kind", _class("project_id", "scope", "language", "bag"))
+    rows = materialize(rows.dropDuplicates(["kind", "chunk_id", "path", "start_byte"]), "bags")
+    kinds = rows.select("kind", "project_id", "scope", "language", "bag").dropDuplicates(["kind"])
+    members = _ranked(rows.select("kind", *ORDER), F.lit(0), "place", F.lit(MOST), "kind")
+
+    place = ["project_id", "scope", "term"]
+    postings = kinds.select("kind", "language", "bag", "project_id", "scope", F.explode("bag.term").alias("term"))
+    often = postings.groupBy(*place).agg(F.count("*").alias("often"))
+    rarest = asks.select("ask", "project_id", "scope", F.explode("asked").alias("term")).join(often.hint("merge"), place)
+    rarest = rarest.groupBy("ask").agg(F.min_by("term", F.struct("often", "term")).alias("term"))
+    spoken = F.col("languages").isNull() | (F.size("languages") == 0) | F.array_contains("languages", F.col("language"))
+    hits = postings.join(asks.join(rarest.hint("merge"), "ask").hint("merge"), place).where(spoken & (F.size(F.array_except("asked", F.col("bag.term"))) == 0))
+    best_of = lambda a: F.get(F.filter("bag", lambda t: t["term"] == a), F.lit(0))["weight"]
+    hits = hits.select("ask", "kind", "want", F.aggregate("asked", F.lit(0.0), lambda sum_, a: sum_ + best_of(a)).alias("score"))
+    whole = members.join(hits.hint("merge"), "kind").where(F.col("place") <= F.col("want") + 1)
+    best = whole.groupBy("ask", "chunk_id", "path", "start_byte", "want").agg(F.max("score").alias("score"))
+    ranked = _ranked(best, F.col("score"), "lexical_rank", F.col("want") + 1, "ask").drop("want")
+    return asked.select("query_id", "ask").join(ranked.hint("merge"), "ask").select("query_id", "chunk_id", "path", "start_byte", "score", "lexical_rank")
 
 
 def chunk_documents(chunks: DataFrame, entities: DataFrame | None = None) -> DataFrame:

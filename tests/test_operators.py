@@ -493,6 +493,30 @@ def test_dense_search_in_parts_equals_the_whole(spark):
     assert found(block_queries=4, part_chunks=8) == found() and len(found()) > 30
 
 
+def test_lexical_search_of_copies_equals_brute_force(spark):
+    rnd, words = random.Random(5), ["red", "hot", "bolt", "ring", "plate"]
+    docs = []
+    for i in range(400):
+        terms = [(w, rnd.choice([1.0, 0.4])) for w in rnd.sample(words, 3)] + [("red", 0.4)]
+        docs.append((rnd.choice("pq"), str(i // 2), f"c{i % 3}", f"{rnd.choice(['a', 'a/b', 'ab', 'a//b'])}/{i // 2}", i // 2, rnd.choice(["x", "y", None]), terms))
+    docs += [docs[0], docs[7]]
+    documents = spark.createDataFrame(docs, "project_id string, chunk_id string, source string, path string, start_byte long, language string, terms array<struct<term:string,weight:double>>")
+    asks = [(i, rnd.choice("pq"), " ".join(rnd.sample(words, rnd.choice([1, 2]))), rnd.choice([None, "", "a", "a/b", "a/", "none"]), rnd.choice([None, [], ["x"]]), rnd.choice([3, 60])) for i in range(60)] + [(99, "p", "absent", None, None, 5)]
+    queries_ = spark.createDataFrame(asks, "query_id long, project_id string, text string, path_prefix string, languages array<string>, k int")
+    found = search.lexical_topk(queries_, documents)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()  # a side of terms went to the driver whole
+    want = []
+    for q, project, text, prefix, languages, k in asks:
+        best = {}
+        for p, chunk, _, path, start, language, terms in docs:
+            weight = [max((w for t, w in terms if t == a), default=None) for a in text.split()]
+            if p == project and None not in weight and (not prefix or path == prefix or path.startswith(prefix + "/")) and (not languages or language in languages):
+                best[path, start, chunk] = max(best.get((path, start, chunk), 0.0), sum(weight))
+        ranked = sorted(best, key=lambda c: (-best[c], c))[: min(max(k * 4, 20), 200) + 1]
+        want += [(q, n + 1, c[2], best[c]) for n, c in enumerate(ranked)]
+    assert sorted((r.query_id, r.lexical_rank, r.chunk_id, r.score) for r in found.collect()) == sorted(want) and len(want) > 500
+
+
 def test_lines_and_columns_count_bytes(spark):
     rows = spark.createDataFrame([("aé\nb\n", i) for i in (0, 1, 3, 4, 5, 6)], "text string, at int")
     assert [tuple(r.p) for r in rows.select(S.line_col("text", F.col("at")).alias("p")).collect()] == [(0, 0), (0, 1), (0, 3), (1, 0), (1, 1), (2, 0)]
