@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,48 +30,76 @@ def _ranked(df: DataFrame, score: Column, name: str, limit: Column, key: str = "
     return df.withColumn(name, F.row_number().over(order)).where((F.col(name) <= MOST) & (F.col(name) <= limit))
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 512, part_chunks: int = 4096) -> DataFrame:
+def dense_topk(queries: DataFrame, chunks: DataFrame, block_queries: int = 8192, part_chunks: int = 4096) -> DataFrame:
     """Exact cosine top list of each ``queries(query_id, project_id, vector, path_prefix, languages, k)``.
 
-    Queries are packed into blocks of about ``block_queries``, chunks into parts of about
-    ``part_chunks`` of one project; each block meets each part of its project, dealt by
-    project and part, in one matrix product that passes on only its own best rows of
-    each query. Null and zero vectors match nothing.
+    Queries are dealt into blocks of about ``block_queries``, chunks into parts of about
+    ``part_chunks`` of one project; each block meets each part of its project in a task
+    that holds these two only and passes on its own best rows of each query. Rows travel
+    one by one, so no record grows with a block. Cosines that are equal to nine digits
+    tie. Null and zero vectors, and vectors of another size, match nothing.
     """
-    dealt = lambda key, most: F.pmod(F.xxhash64(key), F.ceil(F.col("all") / most))
-    sized = lambda rows: rows.join(rows.groupBy("project_id").agg(F.count("*").alias("all")), "project_id")
-    wanted = queries.where("vector IS NOT NULL").select("project_id", "query_id", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "path_prefix", "languages", candidate_limit("k").alias("want"))
-    wanted = sized(wanted).withColumn("block", dealt("query_id", block_queries))
-    blocks = wanted.groupBy("project_id", "block").agg(F.collect_list(F.struct("query_id", "vector", "path_prefix", "languages", "want")).alias("qs"))
-    packed = chunks.where("embedding IS NOT NULL").select("project_id", "chunk_id", "path", "start_byte", "language", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
-    packed = sized(packed).withColumn("part", dealt("chunk_id", part_chunks))
-    packed = packed.groupBy("project_id", "part").agg(F.collect_list(F.struct("chunk_id", "path", "start_byte", "language", "embedding")).alias("cs"))
-    parts = packed.select("project_id", "part")
-    blocks = parts.join(blocks, "project_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qs, cs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = (np.array([r[c] for r in rows], np.float64) for rows, c in ((qs, "vector"), (cs, "embedding")))
-                a, b = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.clip((x @ y.T) / a[:, None] / b[None, :], -1, 1)
-                out = []
-                for i, q in enumerate(qs):
-                    fine = np.isfinite(s[i])
-                    if q["path_prefix"]:
-                        fine &= np.array([c["path"] == q["path_prefix"] or c["path"].startswith(q["path_prefix"] + "/") for c in cs])
-                    if q["languages"]:
-                        fine &= np.array([c["language"] in q["languages"] for c in cs])
-                    rows = np.nonzero(fine)[0]
-                    rows = sorted(rows.tolist(), key=lambda j: (-s[i, j], cs[j]["path"], cs[j]["start_byte"], cs[j]["chunk_id"]))[: q["want"] + 1]
-                    out += [(q["query_id"], cs[j]["chunk_id"], cs[j]["path"], cs[j]["start_byte"], float(s[i, j]), q["want"]) for j in rows]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
-                columns = list(zip(*out, strict=True)) if out else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "chunk_id", "path", "start_byte", "score", "want"])
-
-    best = packed.join(blocks, ["project_id", "part"]).select("qs", "cs").mapInArrow(run, "query_id long, chunk_id string, path string, start_byte long, score double, want long")
-    return _ranked(best, F.col("score"), "dense_rank", F.col("want") + 1).drop("want")
+    wanted = queries.where("vector IS NOT NULL").select("project_id", "query_id", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "path_prefix", "languages", candidate_limit("k").alias("want"), F.size("vector").alias("size"))
+    given = chunks.where("embedding IS NOT NULL").select(F.col("project_id").alias("project_id"), "chunk_id", "path", "start_byte", "language", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), F.size("embedding").alias("size"))
+    shares = lambda rows, name, most: rows.groupBy("project_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    counts = shares(wanted, "blocks", block_queries).join(shares(given, "parts", part_chunks), "project_id")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wanted.join(counts, "project_id").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("part", copies("parts")).drop("blocks", "parts")
+    right = given.join(counts, "project_id").withColumn("part", F.pmod(F.xxhash64("chunk_id"), "parts").cast("int")).withColumn("block", copies("blocks")).drop("blocks", "parts")
+    key = ["project_id", "size", "part", "block"]
+    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best_of_part, "query_id long, chunk_id string, path string, start_byte long, score double, want int")
+    return _ranked(best, F.round("score", 9), "dense_rank", F.col("want") + 1).drop("want")
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Equally long lists of doubles as rows; nulls are NaN."""
+    flat = pa.concat_arrays([c.flatten() for c in vectors.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _best_of_part(asked: pa.Table, given: pa.Table) -> pa.Table:
+    """The first ``want`` + 1 chunks of each query, 256 queries at a time."""
+    found: list[list] = [[], [], []]
+    wants = asked["want"].to_numpy()
+    if len(asked) and len(given):
+        given = given.sort_by([(c, "ascending") for c in ORDER])  # so that places among the chunks break ties
+        paths, languages = given["path"].to_pylist(), np.array(given["language"].to_pylist(), object)
+        prefixes, allowed_languages = asked["path_prefix"].to_pylist(), asked["languages"].to_pylist()
+        x, y = _matrix(asked["vector"]), _matrix(given["embedding"])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x, y = x / np.linalg.norm(x, axis=1)[:, None], (y / np.linalg.norm(y, axis=1)[:, None]).T
+        for at in range(0, len(x), 256):
+            with np.errstate(invalid="ignore"):
+                s = np.round(np.clip(x[at : at + 256] @ y, -1, 1), 9)
+            s[~np.isfinite(s)] = -np.inf
+            most = min(int(wants[at : at + 256].max()) + 1, s.shape[1])
+            least = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+            for i, row in enumerate(s):
+                n, own = int(wants[at + i]) + 1, slice(None)
+                prefix, tongues = prefixes[at + i], allowed_languages[at + i]
+                places = None
+                if prefix or tongues:
+                    fine = np.ones(len(row), bool)
+                    if prefix:
+                        fine[:] = False
+                        for low, high in ((prefix, prefix + "\0"), (prefix + "/", prefix + "0")):  # the character after / is 0
+                            fine[bisect_left(paths, low) : bisect_left(paths, high)] = True
+                    if tongues:
+                        fine &= np.isin(languages, [t for t in tongues if t is not None])
+                    places = np.nonzero(fine & (row > -np.inf))[0]
+                    if len(places) > n:
+                        bound = np.partition(row[places], len(places) - n)[len(places) - n]
+                        places = places[row[places] >= bound]
+                else:
+                    places = np.nonzero((row >= least[i]) & (row > -np.inf))[0]
+                places = places[np.argsort(-row[places], kind="stable")][:n]
+                found[0].append(np.full(len(places), at + i))
+                found[1].append(places)
+                found[2].append(row[places])
+    query, chunk, score = (np.concatenate(c) if c else np.array([], t) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True))
+    query, chunk = pa.array(query.astype(np.int64)), pa.array(chunk.astype(np.int64))
+    columns = {"query_id": asked["query_id"].take(query), **{c: given[c].take(chunk) for c in ("chunk_id", "path", "start_byte")}, "score": pa.array(score), "want": asked["want"].take(query)}
+    return pa.table(columns).cast(pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("path", pa.string()), ("start_byte", pa.int64()), ("score", pa.float64()), ("want", pa.int32())]))
 
 
 def _class(*columns: str) -> Column:

@@ -517,6 +517,27 @@ def test_lexical_search_of_copies_equals_brute_force(spark):
     assert sorted((r.query_id, r.lexical_rank, r.chunk_id, r.score) for r in found.collect()) == sorted(want) and len(want) > 500
 
 
+def test_dense_search_of_copies_equals_brute_force(spark):
+    rnd = random.Random(3)
+    base = [[rnd.uniform(-1, 1) for _ in range(7)] for _ in range(40)] + [[0.0] * 7, [None] + [1.0] * 6]
+    rows = [("p", str(i), f"{rnd.choice(['a', 'a/b', 'ab'])}/{i}", i, rnd.choice(["x", "y", None]), rnd.choice(base)) for i in range(500)] + [("p", "short", "a/s", 500, "x", [1.0, 2.0]), ("p", "none", "a/n", 501, "x", None)]
+    chunks_ = spark.createDataFrame(rows, "project_id string, chunk_id string, path string, start_byte long, language string, embedding array<double>")
+    asks = [(i, "p", rnd.choice(base), rnd.choice([None, "", "a", "a/b", "none"]), rnd.choice([None, [], ["x"]]), rnd.choice([3, 30])) for i in range(40)]
+    asked = spark.createDataFrame(asks, "query_id long, project_id string, vector array<double>, path_prefix string, languages array<string>, k int")
+    want = []
+    for q, _, v, prefix, languages, k in asks:
+        found = []
+        for _, chunk, path, start, language, e in rows:
+            fine = e and len(e) == len(v) and None not in e + v and any(e) and any(v)
+            if fine and (not prefix or path == prefix or path.startswith(prefix + "/")) and (not languages or language in languages):
+                found.append((-round(sum(a * b for a, b in zip(v, e)) / sum(a * a for a in v) ** 0.5 / sum(b * b for b in e) ** 0.5, 9) + 0.0, path, start, chunk))
+        want += [(q, n + 1, c[3]) for n, c in enumerate(sorted(found)[: min(max(k * 4, 20), 200) + 1])]
+    for sizes in ({}, {"block_queries": 7, "part_chunks": 60}):
+        out = search.dense_topk(asked, chunks_, **sizes)
+        assert "collect_list" not in out._jdf.queryExecution().toString()  # a block and a part were one record, thousands of them a batch
+        assert sorted((r.query_id, r.dense_rank, r.chunk_id) for r in out.collect()) == sorted(want) and len(want) > 500
+
+
 def test_lines_and_columns_count_bytes(spark):
     rows = spark.createDataFrame([("aé\nb\n", i) for i in (0, 1, 3, 4, 5, 6)], "text string, at int")
     assert [tuple(r.p) for r in rows.select(S.line_col("text", F.col("at")).alias("p")).collect()] == [(0, 0), (0, 1), (0, 3), (1, 0), (1, 1), (2, 0)]
