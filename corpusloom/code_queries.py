@@ -25,6 +25,8 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece = F.concat(*(own.get(part, F.lit(part)) for part in PIECE))
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", piece.alias("piece")).alias("one"))
     text = F.concat(F.lit(HEAD), F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["piece"]), ""))
+    # Reading a text costs far more than its bytes tell, so its partitions are not merged by their size.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
     files = rows.groupBy("o_custkey").agg(text.alias("text"))
     path = F.concat(F.lit("src/c"), F.col("o_custkey").cast("string"), F.lit(".ts"))
     return files.select((F.col("o_custkey") % 25).cast("string").alias("project_id"), path.alias("path"), F.lit("typescript").alias("language"), "text")

@@ -346,3 +346,12 @@ def test_a_second_run_reads_changed_files_only_and_equals_a_full_one(spark):
     assert {r.identity_key for r in cut.relationships.collect()} == {r.identity_key for r in left}
     assert [r.limit_reasons for r in reasons.collect()] == [["total_entities", "total_relationships"]]
     assert [r.limit_reasons for r in FX.within_project(whole)[1].collect()] == [[]]
+
+
+def test_evidence_is_dealt_by_file_once(spark):
+    files = spark.createDataFrame([("p", f"{i}.ts", "typescript", 'const a = f("x"); f("x"); f("x");') for i in range(3)], FILES)
+    found, _ = extract_evidence(files, max_evidence=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # places and occurrences took one each
+    rows = found.collect()
+    assert sorted(r.path for r in rows) == ["0.ts", "0.ts", "1.ts", "1.ts", "2.ts", "2.ts"] and len({r.evidence_key for r in rows}) == 2
