@@ -180,21 +180,30 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", d
     last level reached nodes with edges that were not seen.
     """
     place = F.col("start_byte") if "start_byte" in edges.columns else F.lit(0)
-    rows = edges.select("edge_key", "source", "target", place.alias("at"))
+    rows = materialize(edges.select("edge_key", "source", "target", place.alias("at")), "edges")  # every level reads them
     out, back = rows.select("*", F.col("source").alias("node"), F.col("target").alias("next")), rows.select("*", F.col("target").alias("node"), F.col("source").alias("next"))
     ways = {"outgoing": out, "incoming": back, "both": out.union(back)}[direction]
     capped = max_nodes is not None or max_edges is not None
-    frontier = starts.select("start_id", "node").distinct()
+    firsts, degrees = ways, None
+    if max_edges is not None and direction != "both":
+        # A start takes no more than these of a node, and by source no node after those that fill its cap.
+        own = Window.partitionBy("node").orderBy("source", "at", "edge_key")
+        firsts = ways.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= max_edges + 1).drop("nth")
+        firsts = materialize(firsts, "first-edges")
+        degrees = materialize(firsts.groupBy("node").agg(F.count("*").alias("n")), "degrees") if direction == "outgoing" else None
+    frontier = first = materialize(starts.select("start_id", "node").distinct(), "starts")
     seen, found, paged, notes = frontier, None, None, []
     for level in range(1, depth + 1):
-        step = _unseen(frontier.join(ways, "node"), paged, direction).withColumn("level", F.lit(level))
+        near = _fitting(frontier, degrees, max_edges) if degrees is not None else frontier
+        step = _unseen(near.join(firsts, "node"), paged, direction).withColumn("level", F.lit(level))
         if capped:
             step = materialize(_admitted(step, seen, found, max_nodes, max_edges), "page")
             notes.append(step.groupBy("start_id").agg(F.max("more").alias("edges"), F.max(~F.col("kept")).alias("nodes")))
             paged = step if paged is None else paged.unionByName(step)
             step = step.where("kept").drop("kept", "more")
         else:
-            step = materialize(step, "level")
+            if level < depth or flags:  # the last one, by far the largest, goes straight to whoever asks
+                step = materialize(step, "level")
             paged = step if paged is None else paged.unionByName(step)
         found = step if found is None else found.unionByName(step)
         if level == depth and not flags:
@@ -211,13 +220,20 @@ def traverse(edges: DataFrame, starts: DataFrame, direction: str = "outgoing", d
     kept = found.select("start_id", "level", "edge_key", "source", "target")
     if not flags:
         return Neighbourhoods(kept, None)
-    beyond = _unseen(frontier.join(ways, "node"), paged, direction).select("start_id", F.lit(True).alias("depth")).distinct()
-    every = starts.select("start_id").distinct().join(beyond, "start_id", "left")
+    far = _unseen(frontier.join(ways, "node"), paged, direction) if direction == "both" else frontier.join(ways.select("node").distinct(), "node", "left_semi")
+    beyond = far.select("start_id", F.lit(True).alias("depth")).distinct()
+    every = first.select("start_id").distinct().join(beyond, "start_id", "left")
     met = reduce(DataFrame.unionByName, notes).groupBy("start_id").agg(F.max("edges").alias("edges"), F.max("nodes").alias("nodes")) if notes else None
     every = every.join(met, "start_id", "left") if met is not None else every.select("*", F.lit(False).alias("edges"), F.lit(False).alias("nodes"))
     return Neighbourhoods(kept, every.select("start_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("depth", "edges", "nodes"))))
 
 
+def _fitting(frontier: DataFrame, degrees: DataFrame, max_edges: int) -> DataFrame:
+    """The nodes of each start that can have one of its first ``max_edges`` + 1 edges by source; ``degrees`` are numbers of edges up to that."""
+    before = Window.partitionBy("start_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    return frontier.join(degrees, "node").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= max_edges).select("start_id", "node")
+
+
 def _unseen(step: DataFrame, paged: DataFrame | None, direction: str) -> DataFrame:
     """One row a start and edge. Only when edges are followed both ways can one be met again; then ``next`` is null if both ends are known."""
     if direction != "both":

@@ -538,6 +538,25 @@ def test_dense_search_of_copies_equals_brute_force(spark):
         assert sorted((r.query_id, r.dense_rank, r.chunk_id) for r in out.collect()) == sorted(want) and len(want) > 500
 
 
+def test_caps_look_at_few_edges_of_a_hub(spark):
+    from corpusloom.operators import graph as g
+
+    pairs = [(a, b) for a in range(6) for b in range(40)]
+    edges = spark.createDataFrame([(f"{a:02}>{b:02}", a, b) for a, b in pairs], "edge_key string, source long, target long")
+    starts = spark.createDataFrame([(s, s) for s in range(6)], "start_id long, node long")
+    found = g.traverse(edges, starts, "outgoing", 2, max_nodes=4, max_edges=9, flags=True)
+    # A level takes nine edges by source; three new nodes fit, so level one keeps those to the first four nodes or to the start.
+    one = {s: sorted(r.edge_key for r in found.edges.where(f"level = 1 AND start_id = {s}").collect()) for s in (0, 5)}
+    assert one == {0: [f"00>{b:02}" for b in range(4)], 5: ["05>00", "05>01", "05>02", "05>05"]}
+    two = sorted(r.edge_key for r in found.edges.where("level = 2 AND start_id = 0").collect())
+    assert two == [f"01>{b:02}" for b in range(4)]  # five edges are left: 01>00 to 01>04, of which 04 is one node too many
+    assert all(r.edges and r.nodes for r in found.limits.collect())
+    near = g._fitting(spark.createDataFrame([(0, n) for n in range(6)], "start_id long, node long"), spark.createDataFrame([(n, 6) for n in range(6)], "node long, n long"), 9)
+    assert sorted(r.node for r in near.collect()) == [0, 1]
+    whole = g.traverse(edges, starts, "outgoing", 2)
+    assert len({f.split("/")[-2] for f in whole.edges.inputFiles() if "/level-" in f}) == 1  # the last level is not written first
+
+
 def test_lines_and_columns_count_bytes(spark):
     rows = spark.createDataFrame([("aé\nb\n", i) for i in (0, 1, 3, 4, 5, 6)], "text string, at int")
     assert [tuple(r.p) for r in rows.select(S.line_col("text", F.col("at")).alias("p")).collect()] == [(0, 0), (0, 1), (0, 3), (1, 0), (1, 1), (2, 0)]
