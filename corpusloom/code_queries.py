@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import budgets, evidence, facts, graph, imports, symbols
-from corpusloom.plans.tables import shared_dir
+from corpusloom.plans.tables import materialize, shared_dir
 from corpusloom.queries import register, table
 from corpusloom.sources import sinks
 
@@ -70,12 +70,12 @@ def fn4(spark, sf_dir):
 
 
 def order_project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Files, packages, resolved edges, evidence and symbols of those files."""
-    files = order_files(spark, sf_dir)
+    """Files, packages, resolved edges, evidence and symbols of those files; texts and symbols are written once, as several facts read them."""
+    files = materialize(order_files(spark, sf_dir), "files")
     packages = files.select("project_id").distinct().select("project_id", F.lit("package.json").alias("path"), F.lit('{"dependencies": {"@nestjs/common": "11"}}').alias("text"))
     found, _ = evidence.extract_evidence(files)
     edges = graph.resolve_imports(imports.extract_dependencies(files), files.select("project_id", "path"))
-    return {"files": files.select("project_id", "path"), "packages": packages, "edges": edges, "evidence": found.drop("end_byte"), "symbols": symbols.build_symbols(evidence.extract_symbols(files))}
+    return {"files": files.select("project_id", "path"), "packages": packages, "edges": edges, "evidence": found.drop("end_byte"), "symbols": materialize(symbols.build_symbols(evidence.extract_symbols(files)), "symbols")}
 
 
 @register(
