@@ -82,19 +82,21 @@ def recovering_budget(edges: DataFrame, max_edges: int, max_bindings: int, order
     n_bindings, kept_bindings and reason: null, ``total_edges`` or ``total_bindings``.
 
     Sums in two levels give the first file of each project that does not fit; all before
-    it are whole. What is left after its cut is less than the bindings of one edge, so
-    each later range of paths becomes a small table, from the bindings left before it to
-    those after it and the edges that it takes. The tables are chained per project, then
-    every range is gone through from its true start. A project is many tasks, and a task
-    holds the files of a range, or one array of that small size a range.
+    it are whole. What is left after its cut is less than the bindings of one edge and
+    never grows, so a later file whose first edge has more keeps nothing and is not gone
+    through. Each range of paths of the others becomes a small table, from the bindings
+    left before it to those after it and the edges that it takes. The tables are chained
+    per project, then every range is gone through from its true start until nothing is
+    left. A project is many tasks, and a task holds the files of a range, or one array of
+    that small size a range. Edges that are alike in ``order`` go by their bindings.
     """
     by = order or ["start_byte", "edge_key"]
     file = ["project_id", "source_path"]
-    placed = edges.withColumn("place", F.row_number().over(Window.partitionBy(*file).orderBy(*by)))
-    within = Window.partitionBy(*file).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    placed = materialize(placed.withColumn("sum", F.sum("n_bindings").over(within)), "placed")
+    within = Window.partitionBy(*file).orderBy(*by, "n_bindings")
+    placed = edges.withColumn("place", F.row_number().over(within)).withColumn("sum", F.sum("n_bindings").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     sums = F.transform(F.array_sort(F.collect_list(F.struct("place", "sum"))), lambda x: x["sum"].cast("long"))
     files = placed.groupBy(*file).agg(F.count("*").alias("n"), F.max("sum").alias("b"), sums.alias("sums"))
+    files = materialize(files, "files")
     total = materialize(running_totals(files, "source_path", all_n=F.col("n"), all_b=F.col("b")), "totals")
     spent = (F.col("all_n") - F.col("n") >= max_edges) | (F.col("all_b") - F.col("b") >= max_bindings)  # nothing is left for the file
     over = spent | (F.col("all_n") > max_edges) | (F.col("all_b") > max_bindings)
@@ -102,18 +104,21 @@ def recovering_budget(edges: DataFrame, max_edges: int, max_bindings: int, order
     left_e, left_b = F.lit(max_edges) - (F.col("f.all_n") - F.col("f.n")), F.lit(max_bindings) - (F.col("f.all_b") - F.col("f.b"))
     fits = F.size(F.filter("f.sums", lambda x: x <= left_b))
     took = F.when((left_e > 0) & (left_b > 0), F.least(left_e, fits)).otherwise(0)
-    cut = first.select("project_id", F.col("f.source_path").alias("cut_path"), took.cast("long").alias("cut_k"), (left_e - took).alias("e"), (left_b - F.when(took > 0, F.element_at("f.sums", took.cast("int"))).otherwise(0)).alias("r"), left_e.alias("e_in"), left_b.alias("r_in"))
+    cut = first.select("project_id", F.col("f.source_path").alias("cut_path"), took.cast("long").alias("cut_k"), (left_e - took).alias("e"), (left_b - F.when(took > 0, F.element_at("f.sums", took.cast("int"))).otherwise(0)).alias("r"), left_e.alias("e_in"))
     cut = materialize(cut, "cuts")
-    tail = total.join(cut, "project_id").where("source_path > cut_path").select("project_id", "source_path", "sums", "e", "r")
+    open_ = cut.where("e > 0 AND r > 0")
+    tail = total.join(open_, "project_id").where("source_path > cut_path AND sums[0] <= r").select("project_id", "source_path", "sums", "e", "r")
     tail = materialize(tail.repartitionByRange("project_id", "source_path").withColumn("part", F.spark_partition_id()), "tail")
 
     def table(rows: pa.Table) -> pa.Table:
-        most = max(0, rows["r"][0].as_py())
+        most, most_edges = rows["r"][0].as_py(), rows["e"][0].as_py()
         left, count = np.arange(most + 1), np.zeros(most + 1, np.int64)
         for sums in (np.array(x.as_py()) for x in rows.sort_by("source_path")["sums"]):
             k = np.where(left > 0, np.searchsorted(sums, left, "right"), 0)
             count += k
             left = left - np.concatenate([[0], sums])[k]
+            if ((left <= 0) | (count >= most_edges)).all():  # nothing is left, whatever was before
+                break
         return pa.table({"project_id": rows["project_id"][:1], "part": rows["part"][:1].cast(pa.int32()), "left": pa.array([left]), "count": pa.array([count]), "e": rows["e"][:1].cast(pa.int64()), "r": rows["r"][:1].cast(pa.int64())})
 
     def chain(rows: pa.Table) -> pa.Table:
@@ -128,17 +133,25 @@ def recovering_budget(edges: DataFrame, max_edges: int, max_bindings: int, order
     def walk(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("source_path")
         e, r, out = rows["e"][0].as_py(), rows["r"][0].as_py(), []
-        for sums in (np.array(x.as_py()) for x in rows["sums"]):
+        for x in rows["sums"]:
+            if e <= 0 or r <= 0:
+                break
+            sums = np.array(x.as_py())
             k = _taken(sums, e, r)
-            out.append((k, e, r))
+            out.append((k, e))
             e, r = e - k, r - (int(sums[k - 1]) if k else 0)
-        return pa.table({"project_id": rows["project_id"], "source_path": rows["source_path"], **{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("k", "e_in", "r_in"))}})
+        gone = rows.slice(0, len(out))
+        return pa.table({"project_id": gone["project_id"], "source_path": gone["source_path"], **{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("k", "e_in"))}})
 
     ranges = tail.groupBy("project_id", "part").applyInArrow(table, "project_id string, part int, left array<long>, count array<long>, e long, r long")
     starts = ranges.groupBy("project_id").applyInArrow(chain, "project_id string, part int, e long, r long")
-    later = tail.drop("e", "r").join(starts, ["project_id", "part"]).groupBy("project_id", "part").applyInArrow(walk, "project_id string, source_path string, k long, e_in long, r_in long")
-    later = later.unionByName(cut.select("project_id", F.col("cut_path").alias("source_path"), F.col("cut_k").alias("k"), F.col("e_in").cast("long"), F.col("r_in").cast("long")))
-    found = total.drop("all_n", "all_b").join(later, file, "left").withColumn("kept_edges", F.coalesce("k", "n"))
+    later = tail.drop("e", "r").join(starts, ["project_id", "part"]).groupBy("project_id", "part").applyInArrow(walk, "project_id string, source_path string, k long, e_in long")
+    later = materialize(later.unionByName(cut.select("project_id", F.col("cut_path").alias("source_path"), F.col("cut_k").alias("k"), F.col("e_in").cast("long"))), "later")
+    spent = later.where("e_in <= k").groupBy("project_id").agg(F.min("source_path").alias("spent_path"))  # no edge is left for the files after it
+    ends = cut.select("project_id", "cut_path").join(spent, "project_id", "left")
+    found = total.drop("all_n", "all_b").join(ends, "project_id", "left").join(later, file, "left")
+    found = found.withColumn("kept_edges", F.coalesce("k", F.when(F.col("source_path") > F.col("cut_path"), 0).otherwise(F.col("n"))))
+    found = found.withColumn("e_in", F.coalesce("e_in", F.when(F.col("source_path") > F.col("spent_path"), 0).otherwise(1)))  # only whether any is left counts
     kept_b = F.when(F.col("kept_edges") > 0, F.element_at("sums", F.col("kept_edges").cast("int"))).otherwise(0)
     reason = F.when(F.col("kept_edges") < F.col("n"), F.when(F.col("kept_edges") >= F.col("e_in"), "total_edges").otherwise("total_bindings"))
     found = materialize(found.select(*file, F.col("n").alias("n_edges"), "kept_edges", F.col("b").alias("n_bindings"), kept_b.alias("kept_bindings"), reason.alias("reason")), "budget")

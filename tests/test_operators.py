@@ -127,6 +127,26 @@ def test_recovering_budget(spark, max_edges, max_bindings):
     assert all((r.reason is None) == (r.kept_edges == r.n_edges) for r in found.collect())
 
 
+@pytest.mark.parametrize(("max_edges", "max_bindings"), [(10_000, 120), (20, 31), (7, 12), (0, 5)])
+def test_recovering_budget_goes_through_files_that_can_fit_only(spark, monkeypatch, max_edges, max_bindings):
+    rng = random.Random(max_bindings)
+    files = [[rng.choice([0, 1, 2, 3, 9]) for _ in range(rng.randrange(1, 6))] for _ in range(120)]
+    rows = [("p", f"f{i:03}", 0, "k", b) for i, sizes in enumerate(files) for b in sizes]  # alike in their order: they go by bindings
+    files, written = [sorted(sizes) for sizes in files], {}
+    write = budgets.materialize
+    monkeypatch.setattr(budgets, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    edges = spark.createDataFrame(rows, "project_id string, source_path string, start_byte int, edge_key string, n_bindings int").repartition(3)
+    kept, found = budgets.recovering_budget(edges, max_edges, max_bindings)
+    left, want = max_edges, {}
+    for i, (k, used) in enumerate(recovered(files, max_edges, max_bindings)):
+        want[f"f{i:03}"] = (k, used, None if k == len(files[i]) else "total_edges" if k >= left else "total_bindings")
+        left -= k
+    assert {r.source_path: (r.kept_edges, r.kept_bindings, r.reason) for r in found.collect()} == want
+    assert sorted((r.source_path, r.n_bindings) for r in kept.collect()) == sorted((f, b) for i, (f, w) in enumerate(want.items()) for b in files[i][: w[0]])
+    tail = written["tail"].collect()
+    assert all(r.sums[0] <= r.r and r.e > 0 for r in tail)
+
+
 def test_a_budget_that_is_met_exactly_leaves_nothing(spark):
     edges = spark.createDataFrame([("p", "a", 0, "k", 3), ("p", "b", 0, "k", 0), ("q", "a", 0, "k", 1), ("q", "b", 0, "k", 0), ("q", "c", 0, "k", 2), ("q", "d", 0, "k", 0)], "project_id string, source_path string, start_byte int, edge_key string, n_bindings int")
     found = {(r.project_id, r.source_path): (r.kept_edges, r.reason) for r in budgets.recovering_budget(edges, 9, 3)[1].collect()}
