@@ -1,14 +1,14 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
 A 64-bit code is cut into segments, each with an index from its value to the codes that
-hold it. Rounds probe one more bit of difference in one or more segments: with radius
+hold it, as one row. Rounds probe one more bit of difference in one or more segments: with radius
 r[s] probed in segment s, no code within ``sum(r[s] + 1) - 1`` bits is unseen. A query is
 done once its k-th verified distance is within that reach.
 """
 
 from __future__ import annotations
 
-from math import comb, log2
+from math import ceil, comb, log2
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,8 +79,10 @@ def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: i
     The k codes of smallest Hamming distance, smaller ids first on ties, without the rows
     of the query's own id. Equal codes are one entry with its k + 1 smallest ids and how
     often each is there, so a large group of copies costs one probe. ``segments`` (3 to
-    8) is 64 / log2(number of codes), rounded, unless given: a segment value then holds a
-    few codes. Values that hold more than ``bucket`` codes are dealt out over several keys.
+    8) is 64 / log2(number of codes), rounded up, unless given: a segment value then holds
+    one code or several, and a probe meets them as one row. Values that hold more than
+    ``bucket`` codes are dealt out over several rows. Of the codes that a probe meets
+    only those can count that come first: k + 1, times the most codes that one id has.
 
     Null ids and codes are left out on both sides. Rows that repeat an id in the index
     count each; repeated queries give repeated results. With fewer than k other rows
@@ -92,9 +94,10 @@ def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: i
     entries = copies.withColumn("place", rank).where(F.col("place") <= k + 1)
     entries = materialize(entries.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids")), "codes")
     n = entries.count()
-    segments = segments or min(8, max(3, round(BITS / log2(max(2, n)))))
+    segments = segments or min(8, max(3, ceil(BITS / log2(max(2, n)))))
     asked = queries.select(F.col("code").alias("q")).distinct().where(F.lit(n > 0))
-    done = _probed(asked, entries, k, segments, bucket)
+    spread = entries.select(F.explode("ids.id").alias("id")).groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    done = _probed(asked, entries, k, segments, bucket, (k + 1) * spread)
     others = F.filter("best", lambda b: b["id"] != F.col("query_id"))
     others = F.slice(F.flatten(F.transform(others, lambda b: F.array_repeat(F.struct(b["distance"].alias("distance"), b["id"].alias("id")), b["n"]))), 1, k)
     found = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(done.hint("merge"), "q").select("query_id", F.posexplode(others).alias("at", "b"))
@@ -102,14 +105,15 @@ def nearest_codes(queries: DataFrame, index: DataFrame, k: int = 10, segments: i
 
 
 def _keyed(entries: DataFrame, spans: list[tuple[int, int]], bucket: int) -> tuple[DataFrame, DataFrame | None]:
-    """The index: key (segment and value), sub, code, ids; and the keys of more than ``bucket`` codes with their number of subs, if there are any."""
+    """The index: key (segment and value), sub, and its codes with their ids as ``held``; and the keys of more than ``bucket`` codes with their number of subs, if there are any."""
     keyed = entries.select("code", "ids", F.explode(F.array(*(_value("code", s, span) for s, span in enumerate(spans)))).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(F.col("count") / bucket).cast("int").alias("subs"))
     hot = materialize(hot, "hot-values")
+    grouped = lambda rows: materialize(rows.groupBy("key", "sub").agg(F.collect_list(F.struct("code", "ids")).alias("held")), "segments")
     if hot.isEmpty():
-        return materialize(keyed.withColumn("sub", F.lit(0)), "segments"), None
+        return grouped(keyed.withColumn("sub", F.lit(0))), None
     keyed = keyed.join(hot, "key", "left").withColumn("sub", F.pmod(F.xxhash64("code"), F.coalesce("subs", F.lit(1))).cast("int"))
-    return materialize(keyed.drop("subs"), "segments"), hot
+    return grouped(keyed), hot
 
 
 def _value(code: str, s: int, span: tuple[int, int]):
@@ -118,8 +122,8 @@ def _value(code: str, s: int, span: tuple[int, int]):
     return F.shiftrightunsigned(F.col(code), at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56))
 
 
-def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, bucket: int) -> DataFrame:
-    """The rounds of multi-index hashing: q, best. Of an index of k ids or fewer every code is seen. The masks of a radius are a table of bounded size, the index is never broadcast."""
+def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, bucket: int, most: int) -> DataFrame:
+    """The rounds of multi-index hashing: q, best; a probe, and a round of a query, brings ``most`` codes at most. Of an index of k ids or fewer every code is seen. The masks of a radius are a table of bounded size, the index is never broadcast."""
     spark, spans, need = asked.sparkSession, _spans(segments), k + 1
     keyed, hot = _keyed(entries, spans, bucket)
     none = F.array().cast("array<struct<distance:int,id:bigint,code:bigint,n:int>>")
@@ -136,8 +140,12 @@ def _probed(asked: DataFrame, entries: DataFrame, k: int, segments: int, bucket:
         else:
             probes = probes.join(hot, "key", "left").withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("subs", F.lit(1)) - 1)))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        seen = probes.join(keyed.hint("merge"), ["key", "sub"]).where(distance <= F.col("bound"))
-        seen = seen.groupBy("q", "code").agg(F.first("ids").alias("ids"))
+        seen = probes.join(keyed.hint("merge"), ["key", "sub"]).withColumn("near", F.filter("held", lambda c: F.bit_count(F.col("q").bitwiseXOR(c["code"])) <= F.col("bound"))).where("size(near) > 0")
+        ranked = F.transform("near", lambda c: F.struct(F.bit_count(F.col("q").bitwiseXOR(c["code"])).alias("distance"), c["ids"][0]["id"].alias("id"), c["code"].alias("code"), c["ids"].alias("ids")))
+        seen = seen.select("q", ranked.alias("near")).withColumn("near", F.when(F.size("near") > most, F.slice(F.sort_array("near"), 1, most)).otherwise(F.col("near")))
+        seen = seen.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+        once = F.filter("near", lambda x, at: (at == 0) | (F.get("near", at - 1)["code"] != x["code"]))  # several segments may bring a code
+        seen = seen.select("q", F.inline(F.slice(once, 1, most))).select("q", "code", "ids")
         fresh = seen.select("q", distance.alias("distance"), "code", F.explode("ids").alias("e")).select("q", "distance", "e.id", "code", "e.n")
         old = state.select("q", F.explode("best").alias("b")).select("q", "b.distance", "b.id", "b.code", "b.n")
         best = _nearest(fresh.union(old) if radius > 1 else fresh, k).toDF("q", "new", "new_ids", "new_far")

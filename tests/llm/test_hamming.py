@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from corpusloom.llm import hamming
 from corpusloom.llm.hamming import OP1_SQL, nearest_codes, op1_multi_index_hamming, sign_codes
 
 CODES = "id long, code long, n string"
@@ -53,3 +54,17 @@ def test_repeated_ids_count_each(spark):
     assert got(nearest_codes(df(queries), df(many), 5)) == brute(queries, many, 5)
     few = [(1, 5)] * 4 + [(1, 6), (2, 5), (2, -1)] + [(2, 7)] * 3
     assert got(nearest_codes(df(queries), df(few), 10)) == brute(queries, few, 10)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_a_probe_meets_a_value_as_one_row(spark, monkeypatch, twice):
+    rng, seen = random.Random(7), {}
+    codes = [(i, rng.getrandbits(50)) for i in range(400)] + [(1000 + i, (5 << 40) + i) for i in range(400)]
+    codes += [(i, rng.getrandbits(50)) for i in range(100)] if twice else []
+    write = hamming.materialize
+    monkeypatch.setattr(hamming, "materialize", lambda df, name: seen.setdefault(name, write(df, name)) if name == "segments" else write(df, name))
+    df = lambda rows: spark.createDataFrame([(i, c, "x") for i, c in rows], CODES)
+    queries = codes[::40]
+    assert got(nearest_codes(df(queries), df(codes), 3, 4)) == brute(queries, codes, 3)
+    rows = seen["segments"].select("key").collect()
+    assert len(rows) == len({r.key for r in rows})
