@@ -44,42 +44,48 @@ class Facts(NamedTuple):
     omissions: DataFrame
 
 
-def value_kind(v: Column) -> Column:
-    return F.get_json_object(v, "$.kind")
+VALUE = "kind string, value string, reference struct<segments:array<string>>, items array<string>, properties array<struct<key:string,value:string>>"
 
 
-def value_text(v: Column) -> Column:
-    return F.when(value_kind(v) == "string", F.get_json_object(v, "$.value"))
+def parsed(v: Column) -> Column:
+    """A static value's JSON text as a struct, by one pass; values inside it stay text. Keep it as a column where it is read more than once."""
+    return F.from_json(v, VALUE)
 
 
-def value_flag(v: Column) -> Column:
-    return F.when(value_kind(v) == "boolean", F.get_json_object(v, "$.value").cast("boolean"))
+def value_kind(p: Column) -> Column:
+    return p["kind"]
 
 
-def value_segments(v: Column) -> Column:
-    return F.when(value_kind(v) == "identifier", F.from_json(F.get_json_object(v, "$.reference.segments"), "array<string>"))
+def value_text(p: Column) -> Column:
+    return F.when(value_kind(p) == "string", p["value"])
 
 
-def value_name(v: Column) -> Column:
-    return F.array_join(value_segments(v), ".")
+def value_flag(p: Column) -> Column:
+    return F.when(value_kind(p) == "boolean", p["value"].cast("boolean"))
 
 
-def value_items(v: Column) -> Column:
-    return F.when(value_kind(v) == "array", F.from_json(F.get_json_object(v, "$.items"), "array<string>"))
+def value_segments(p: Column) -> Column:
+    return F.when(value_kind(p) == "identifier", p["reference"]["segments"])
 
 
-def value_properties(v: Column) -> Column:
-    return F.when(value_kind(v) == "object", F.from_json(F.get_json_object(v, "$.properties"), "array<struct<key:string,value:string>>"))
+def value_name(p: Column) -> Column:
+    return F.array_join(value_segments(p), ".")
 
 
-def value_property(v: Column, key: str) -> Column:
-    return F.get(F.filter(value_properties(v), lambda p: p["key"] == key), F.lit(0))["value"]
+def value_items(p: Column) -> Column:
+    return F.when(value_kind(p) == "array", p["items"])
 
 
-def _strings(v: Column) -> Column:
+def value_property(p: Column, key: str) -> Column:
+    """The text of a property of a parsed object."""
+    properties = F.when(value_kind(p) == "object", p["properties"])
+    return F.get(F.filter(properties, lambda x: x["key"] == key), F.lit(0))["value"]
+
+
+def _strings(p: Column) -> Column:
     """The text of a string or of an array of strings; null for all else."""
-    items = value_items(v)
-    return F.when(value_kind(v) == "string", F.array(value_text(v))).when(~F.exists(items, lambda x: value_kind(x) != "string"), F.transform(items, value_text))
+    items = F.transform(value_items(p), parsed)
+    return F.when(value_kind(p) == "string", F.array(value_text(p))).when(~F.exists(items, lambda x: value_kind(x) != "string"), F.transform(items, value_text))
 
 
 def _with_local(evidence: DataFrame, edges: DataFrame, framework: str, package: str) -> DataFrame:
@@ -108,8 +114,8 @@ def _target(text: Column, segments: Column) -> Column:
     return F.when(text.isNotNull(), said).when(F.size(segments) > 0, named)
 
 
-def _value_target(v: Column) -> Column:
-    return _target(value_text(v), value_segments(v))
+def _value_target(p: Column) -> Column:
+    return _target(value_text(p), value_segments(p))
 
 
 def _last(entities: DataFrame, by: str = "name") -> DataFrame:
@@ -166,8 +172,8 @@ def nest_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     """
     bound = F.when(F.size("reference") == 1, F.col("imported_name")).when((F.size("reference") == 2) & (F.col("imported_name") == "*"), F.get("reference", F.lit(1)))
     marks = _with_local(evidence.where("kind = 'decorator'"), edges, "nestjs", "@nestjs/common").withColumn("bound", bound)
-    marks = marks.withColumn("given", F.get("arguments", F.lit(0)))
-    written = F.when(F.col("given").isNull(), F.array(F.lit(""))).otherwise(_strings(F.col("given")))
+    marks = marks.withColumn("given", parsed(F.get("arguments", F.lit(0))))
+    written = F.when(F.get("arguments", F.lit(0)).isNull(), F.array(F.lit(""))).otherwise(_strings(F.col("given")))
     marks = materialize(marks.withColumn("routes", F.transform(written, normalize_route)), "marks")
     imports = materialize(_file_imports(edges), "imports")
     kinds = F.create_map(*(F.lit(x) for x in ("Module", "module", "Controller", "controller", "Injectable", "provider")))
@@ -188,13 +194,15 @@ def nest_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
 
     modules = _last(own).where("entity_kind = 'module'").withColumnRenamed("identity_key", "source_key").select(*FILE, "source_key", "evidence_key", "start_byte", "given")
     is_object = F.coalesce(value_kind(F.col("given")) == "object", F.lit(False))
-    listed = lambda s: F.when(is_object & value_property(F.col("given"), s).isNull(), no_routes).when(is_object, value_items(value_property(F.col("given"), s)))
-    sections = modules.withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(s).alias("section"), F.lit(k).alias("kind"), listed(s).alias("items")) for i, (s, k) in enumerate(NEST_SECTIONS.items())))))
-    items = sections.where("s.items IS NULL OR size(s.items) > 0").select(*FILE, "source_key", "evidence_key", "start_byte", "s.nth", "s.section", "s.kind", F.posexplode_outer("s.items").alias("at", "v"))
-    items = items.join(imports, ["project_id", "path"], "left").withColumn("place", F.coalesce("at", F.lit(0)))
-    v, provides = F.col("v"), (F.col("section") == "providers") & (value_kind(F.col("v")) == "object")
-    given = F.when(provides, value_property(v, "provide")).otherwise(v)
-    items = items.withColumn("t", _value_target(given)).withColumn("use_class", F.when(provides, _value_target(value_property(v, "useClass"))["name"])).drop("imports")
+    stated = F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(s).alias("section"), F.lit(k).alias("kind"), value_property(F.col("given"), s).alias("text")) for i, (s, k) in enumerate(NEST_SECTIONS.items())))
+    sections = modules.withColumn("is_object", is_object).withColumn("s", F.explode(stated)).withColumn("p", parsed(F.col("s.text")))
+    listed = F.when(F.col("is_object") & F.col("s.text").isNull(), no_routes).when(F.col("is_object"), value_items(F.col("p")))
+    sections = sections.withColumn("items", listed).where("items IS NULL OR size(items) > 0")
+    items = sections.select(*FILE, "source_key", "evidence_key", "start_byte", "s.nth", "s.section", "s.kind", F.posexplode_outer("items").alias("at", "v"))
+    items = items.join(imports, ["project_id", "path"], "left").withColumn("place", F.coalesce("at", F.lit(0))).withColumn("p", parsed(F.col("v")))
+    p, provides = F.col("p"), (F.col("section") == "providers") & (value_kind(F.col("p")) == "object")
+    items = items.withColumn("given", F.when(provides, parsed(value_property(p, "provide"))).otherwise(p)).withColumn("used", F.when(provides, parsed(value_property(p, "useClass"))))
+    items = items.withColumn("t", _value_target(F.col("given"))).withColumn("use_class", _value_target(F.col("used"))["name"]).drop("imports", "p", "given", "used", "v")
     items = materialize(items, "items")
 
     told = items.where("section = 'providers' AND t IS NOT NULL").join(_known(own), FILE, "left").where(_key_of(["provider"], [F.col("t.local"), F.col("t.name")]).isNull())
@@ -255,11 +263,11 @@ def express_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     by_name = Window.partitionBy(*FILE, "name").orderBy(F.desc("start_byte"), "evidence_key")
     current = owners.withColumn("nth", F.row_number().over(by_name)).where("nth = 1").select(*FILE, F.col("name").alias("owner"), F.col("identity_key").alias("source_key"), F.col("entity_kind").alias("owner_kind"))
 
-    direct = calls.where("size(reference) = 2").withColumn("owner", F.get("reference", F.lit(0))).withColumn("method", second).join(current, [*FILE, "owner"])
+    direct = calls.where("size(reference) = 2").withColumn("owner", F.get("reference", F.lit(0))).withColumn("method", second).join(current, [*FILE, "owner"]).withColumn("first", parsed(F.get("arguments", F.lit(0))))
     direct = materialize(direct, "direct")
-    plain = direct.where(F.col("method").isin(*EXPRESS_HTTP)).withColumn("paths", _paths(F.get("arguments", F.lit(0)))).withColumn("rest", F.slice("arguments", 2, F.greatest(F.size("arguments"), F.lit(1)))).withColumn("skipped", F.lit(1))
+    plain = direct.where(F.col("method").isin(*EXPRESS_HTTP)).withColumn("paths", _paths(F.col("first"))).withColumn("rest", F.slice("arguments", 2, F.greatest(F.size("arguments"), F.lit(1)))).withColumn("skipped", F.lit(1))
     chained = calls.where(F.col("member_name").isin(*EXPRESS_HTTP)).where("size(receiver_reference) = 2 AND receiver_reference[1] = 'route'").withColumn("owner", F.get("receiver_reference", F.lit(0))).withColumn("method", F.col("member_name")).join(current, [*FILE, "owner"])
-    chained = chained.join(plain.select(*FILE, "evidence_key"), [*FILE, "evidence_key"], "left_anti").withColumn("paths", _paths(F.get("receiver_arguments", F.lit(0)))).withColumn("rest", F.col("arguments")).withColumn("skipped", F.lit(0))
+    chained = chained.join(plain.select(*FILE, "evidence_key"), [*FILE, "evidence_key"], "left_anti").withColumn("first", parsed(F.get("receiver_arguments", F.lit(0)))).withColumn("paths", _paths(F.col("first"))).withColumn("rest", F.col("arguments")).withColumn("skipped", F.lit(0))
     handled = plain.unionByName(chained).withColumn("handlers", _handlers()).withColumn("verb", F.upper("method"))
     no_paths, dynamic = F.array().cast("array<string>"), F.col("paths").isNull()
     label = F.concat(F.col("owner"), F.lit("."), F.col("verb"), F.lit(" "), F.coalesce(F.array_join("paths", "|"), F.lit("dynamic")))
@@ -271,13 +279,13 @@ def express_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     routes = materialize(routes, "routes")
     owned = _relationships(routes.withColumn("place", F.lit(0)), "express", F.lit("handles_route"), F.col("identity_key"), F.col("name"), F.when(F.col("certainty") == "unresolved", "unresolved").otherwise("linked"), F.to_json(F.struct(F.col("verb").alias("method"))), F.col("symbol_name"), _none())
 
-    first = F.get("arguments", F.lit(0))
+    first = F.col("first")
     stated = F.coalesce(value_kind(first).isin("string", "array"), F.lit(False))
     bare = ~stated & (F.coalesce(value_kind(first) == "identifier", F.lit(False)) | F.get("parameter_counts", F.lit(0)).isNotNull())
     uses = direct.where("method = 'use'").withColumn("paths", F.when(stated, _paths(first)).when(bare, F.array(F.lit("/"))))
     uses = uses.withColumn("rest", F.when(bare, F.col("arguments")).otherwise(F.slice("arguments", 2, F.greatest(F.size("arguments"), F.lit(1))))).withColumn("skipped", F.when(bare, 0).otherwise(1))
-    one = value_segments(F.get("rest", F.lit(0)))
-    uses = uses.withColumn("router", F.when(F.size(one) == 1, F.get(one, F.lit(0)))).withColumn("handlers", _handlers())
+    one = value_segments(F.col("one"))
+    uses = uses.withColumn("one", parsed(F.get("rest", F.lit(0)))).withColumn("router", F.when(F.size(one) == 1, F.get(one, F.lit(0)))).withColumn("handlers", _handlers()).drop("first", "one")
     routers = current.where("owner_kind = 'router'").select(*FILE, F.col("owner").alias("router"), F.col("source_key").alias("router_key"))
     uses = uses.join(routers, [*FILE, "router"], "left").join(_file_imports(edges), ["project_id", "path"], "left").withColumn("to", F.try_element_at("imports", F.col("router")))
     local = F.col("to").isNotNull() & F.col("to.external_package").isNull()
@@ -302,15 +310,15 @@ def express_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     return Facts(entities, owned.unionByName(mounted).unionByName(wired), _omitted(open_).distinct())
 
 
-def _paths(v: Column) -> Column:
+def _paths(p: Column) -> Column:
     """Sorted distinct routes of a string or an array of strings; null for all else."""
-    return F.array_sort(F.array_distinct(F.transform(_strings(v), normalize_route)))
+    return F.array_sort(F.array_distinct(F.transform(_strings(p), normalize_route)))
 
 
 def _handlers() -> Column:
     """Structs (name, error) of the arguments in ``rest``, which follow ``skipped`` others; values that are no handlers vanish."""
     read = lambda x, i: F.struct(value_name(x).alias("name"), F.get("parameter_counts", i + F.col("skipped")).alias("n"))
-    found = F.filter(F.transform("rest", read), lambda h: h["name"].isNotNull() | h["n"].isNotNull())
+    found = F.filter(F.transform(F.transform("rest", parsed), read), lambda h: h["name"].isNotNull() | h["n"].isNotNull())
     return F.coalesce(F.transform(found, lambda h: F.struct(h["name"].alias("name"), (h["name"].isNull() & (h["n"] == 4)).alias("error"))), F.array().cast("array<struct<name:string,error:boolean>>"))
 
 
@@ -326,8 +334,8 @@ def sequelize_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     heads = heads.where("(imported_name = 'Model' AND size(reference) = 1) OR (imported_name IN ('*', 'default') AND reference[1] = 'Model')")
     own = F.col("target_name")
     classes = _entities(heads, "sequelize", F.lit("model"), own, F.lit("declared"), F.concat(F.lit("model:class:"), own), F.to_json(F.struct(F.lit("class_init").alias("origin"))), own).withColumn("local", F.col("name"))
-    defined = calls.where("size(reference) = 2 AND b = 'define' AND assigned_name IS NOT NULL").withColumn("model", F.coalesce(value_text(F.get("arguments", F.lit(0))), "assigned_name")).withColumn("options", F.get("arguments", F.lit(2)))
-    option = lambda key, read=value_text: read(value_property(F.col("options"), key))
+    defined = calls.where("size(reference) = 2 AND b = 'define' AND assigned_name IS NOT NULL").withColumn("model", F.coalesce(value_text(parsed(F.get("arguments", F.lit(0)))), "assigned_name")).withColumn("options", parsed(F.get("arguments", F.lit(2))))
+    option = lambda key, read=value_text: read(parsed(value_property(F.col("options"), key)))
     shown = F.to_json(F.struct(F.lit("define").alias("origin"), option("tableName").alias("table_name"), option("timestamps", value_flag).alias("timestamps")))
     defines = _entities(defined, "sequelize", F.lit("model"), F.col("model"), F.lit("declared"), F.concat(F.lit("model:define:"), F.col("model")), shown, F.col("assigned_name"), "assigned_name").withColumnRenamed("assigned_name", "local")
     every = classes.withColumn("nth", F.lit(0)).unionByName(defines.withColumn("nth", F.lit(1)))
@@ -336,20 +344,22 @@ def sequelize_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     models = every.withColumn("place", F.row_number().over(latest)).where("place = 1").select(*FILE, "local", F.col("name").alias("model"), F.col("identity_key").alias("source_key"))
 
     local = F.when((F.col("b") == "init") & (F.col("a") == "this") & F.col("owner_name").isNotNull(), F.col("owner_name")).when(F.col("b") == "init", F.col("a")).when(F.col("b") == "define", F.col("assigned_name"))
-    filled = calls.withColumn("local", local).join(models, [*FILE, "local"]).withColumn("fields", value_properties(F.get("arguments", F.when(F.col("b") == "define", 1).otherwise(0))))
-    filled = materialize(filled, "filled")
+    filled = calls.withColumn("local", local).join(models, [*FILE, "local"]).withColumn("first", parsed(F.get("arguments", F.when(F.col("b") == "define", 1).otherwise(0))))
+    fields = F.when(value_kind(F.col("first")) == "object", F.col("first.properties"))
+    filled = materialize(filled.select(*FILE, "model", "source_key", "evidence_key", "start_byte", fields.alias("fields")), "filled")
     fields = filled.select(*FILE, "model", "source_key", "evidence_key", "start_byte", F.posexplode("fields").alias("place", "p"))
-    value = F.col("p.value")
-    inner = F.when(value_kind(value) == "object", value)
-    kind = F.element_at(value_segments(F.when(inner.isNull(), value).otherwise(value_property(inner, "type"))), -1)
-    flag = lambda key: value_flag(value_property(inner, key))
-    shown = F.to_json(F.struct("model", flag("allowNull").alias("allow_null"), value_text(value_property(inner, "field")).alias("field"), flag("primaryKey").alias("primary_key"), kind.alias("type_name"), flag("unique").alias("unique")))
+    fields = fields.withColumn("value", parsed(F.col("p.value")))
+    value, is_object = F.col("value"), F.coalesce(value_kind(F.col("value")) == "object", F.lit(False))
+    fields = fields.withColumn("type", F.when(is_object, parsed(value_property(value, "type"))).otherwise(value))
+    kind = F.element_at(value_segments(F.col("type")), -1)
+    of = lambda key: parsed(value_property(value, key))
+    flag = lambda key: value_flag(of(key))
+    shown = F.to_json(F.struct("model", flag("allowNull").alias("allow_null"), value_text(of("field")).alias("field"), flag("primaryKey").alias("primary_key"), kind.alias("type_name"), flag("unique").alias("unique")))
     attributes = _entities(fields, "sequelize", F.lit("model_attribute"), F.concat_ws(".", "model", "p.key"), F.when(value_kind(value) == "unknown", "unresolved").otherwise("declared"), F.concat(F.lit("attribute:"), F.concat_ws(":", "model", "p.key")), shown, _none(), "source_key", "place")
-    attributes = materialize(attributes, "attributes")
     defines_ = _relationships(attributes, "sequelize", F.lit("defines_attribute"), F.col("identity_key"), F.col("name"), F.col("certainty"), _none(), _none(), _none())
 
-    linked = calls.where(F.col("b").isin(*ASSOCIATIONS)).withColumn("local", F.col("a")).join(models, [*FILE, "local"]).withColumn("target", value_name(F.get("arguments", F.lit(0)))).where("target IS NOT NULL")
-    linked = linked.join(models.select(*FILE, F.col("local").alias("target"), F.col("source_key").alias("there")), [*FILE, "target"], "left").withColumn("options", F.get("arguments", F.lit(1))).withColumn("place", F.lit(0))
+    linked = calls.where(F.col("b").isin(*ASSOCIATIONS)).withColumn("local", F.col("a")).join(models, [*FILE, "local"]).withColumn("target", value_name(parsed(F.get("arguments", F.lit(0))))).where("target IS NOT NULL")
+    linked = linked.join(models.select(*FILE, F.col("local").alias("target"), F.col("source_key").alias("there")), [*FILE, "target"], "left").withColumn("options", parsed(F.get("arguments", F.lit(1)))).withColumn("place", F.lit(0))
     through = F.coalesce(option("through", value_name), option("through"))
     shown = F.to_json(F.struct(F.col("b").alias("association"), option("foreignKey").alias("foreign_key"), option("targetKey").alias("target_key"), through.alias("through")))
     associates = _relationships(linked, "sequelize", F.lit("associates"), F.col("there"), F.col("target"), F.when(F.col("there").isNull(), "declared").otherwise("linked"), shown, F.col("target"), _none())

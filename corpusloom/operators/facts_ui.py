@@ -101,7 +101,7 @@ def react_facts(evidence: DataFrame, edges: DataFrame, symbols: DataFrame) -> Fa
     calls = base._with_local(evidence.where("kind = 'call_expression' AND assigned_name IS NOT NULL AND size(reference) > 0"), edges, "react", "react")
     wrapper = F.when(F.col("imported_name") == "*", F.get("reference", F.lit(1))).otherwise(F.col("imported_name"))
     calls = calls.withColumn("wrapper", wrapper).where(F.col("wrapper").isin("memo", "forwardRef"))
-    wraps = base.value_name(F.get("arguments", F.lit(0)))
+    wraps = base.value_name(base.parsed(F.get("arguments", F.lit(0))))
     calls = calls.groupBy(*keys, F.col("assigned_name").alias("name")).agg(F.min_by(F.struct("evidence_key", "start_byte", "wrapper", wraps.alias("wraps")), F.struct("start_byte", "evidence_key")).alias("call"))
     inside = materialize(_elements_in(named.select(*keys, "identity_key", "name", "kind", "start_byte", "end_byte"), evidence), "elements")
     direct = inside.groupBy(*keys, F.col("s.identity_key").alias("identity_key")).agg(F.min_by(F.struct("evidence_key", "start_byte"), F.struct("start_byte", "evidence_key")).alias("element"))

@@ -535,8 +535,11 @@ def file_edges(own: DataFrame, package: str | None, key: str, *bindings: tuple[s
     return own.select("project_id", F.col("path").alias("source_path"), F.lit(key).alias("edge_key"), F.lit(package).cast("string").alias("external_package"), F.lit(False).alias("type_only"), names.alias("bindings"))
 
 
+OWNERS = ["module", "controller", "provider", "application", "router", "model"]  # the kinds that relationships start from
+
+
 def named_links(found: facts.Facts) -> DataFrame:
-    names = found.entities.select("project_id", "path", F.col("identity_key").alias("source_key"), F.col("name").alias("source_name"))
+    names = found.entities.where(F.col("entity_kind").isin(*OWNERS)).select("project_id", "path", F.col("identity_key").alias("source_key"), F.col("name").alias("source_name"))
     return found.relationships.join(names, ["project_id", "path", "source_key"]).select("project_id", "path", "relationship_kind", "source_name", "target_name", "certainty")
 
 

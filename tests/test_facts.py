@@ -169,3 +169,24 @@ def test_index_frameworks(spark):
     got = {(r.framework, r.entity_kind, r.name): r.symbol_key for r in facts.entities.collect()}
     assert got["sequelize", "model", "User"] == "k1" and got["react", "component", "Card"] == "k2" and ("nextjs", "page", "web/app/page.tsx") in got and len(got) == 9
     assert sorted({r.relationship_kind for r in facts.relationships.collect()}) == ["associates", "defines_attribute", "renders_component"]
+
+
+def test_sequelize_fields_are_written_parsed_and_attributes_not_at_all(spark, monkeypatch):
+    written, write = {}, F.materialize
+    monkeypatch.setattr(F, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    fields = obj(a=ident("DataTypes", "STRING"), b=obj(type=ident("DataTypes", "DATE"), allowNull={"kind": "boolean", "value": False}), c=UNKNOWN)
+    evidence = rows(
+        spark,
+        {"kind": "class_heritage", "target_name": "User", "reference": ["Model"]},
+        {"kind": "call_expression", "owner_name": "User", "reference": ["this", "init"], "arguments": [fields]},
+    )
+    edges = spark.createDataFrame([("p", "a.ts", "e1", "sequelize", False, [("named", "Model", "Model", None, False)])], EDGE)
+    found = F.sequelize_facts(evidence, edges)
+    shown = {r.name: (r.certainty, json.loads(r.attributes)) for r in found.entities.where("entity_kind = 'model_attribute'").collect()}
+    assert shown == {
+        "User.a": ("declared", {"model": "User", "type_name": "STRING"}),
+        "User.b": ("declared", {"model": "User", "allow_null": False, "type_name": "DATE"}),
+        "User.c": ("unresolved", {"model": "User"}),
+    }
+    assert found.relationships.where("relationship_kind = 'defines_attribute'").count() == 3
+    assert "attributes" not in written and "arguments" not in written["filled"].columns
