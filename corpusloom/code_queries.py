@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import budgets, evidence, facts, graph, imports, symbols
-from corpusloom.plans.tables import materialize, shared_dir
+from corpusloom.plans.tables import materialize_by, parts, shared_dir
 from corpusloom.queries import register, table
 from corpusloom.sources import sinks
 
+FILE = ["project_id", "path"]
 HEAD = 'import { Controller, Get } from "@nestjs/common";\n'
 #: A class with one route for each order; the SQL below builds the same text.
 PIECE = [
@@ -23,13 +24,12 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_id, path, language and text of a file for each customer."""
     own = {"key": F.col("o_orderkey").cast("string"), "status": F.col("o_orderstatus"), "small": (F.col("o_orderkey") % 100).cast("string")}
     piece = F.concat(*(own.get(part, F.lit(part)) for part in PIECE))
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", piece.alias("piece")).alias("one"))
+    path = F.concat(F.lit("src/c"), F.col("o_custkey").cast("string"), F.lit(".ts"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).cast("string").alias("project_id"), path.alias("path"), F.struct("o_orderkey", piece.alias("piece")).alias("one"))
     text = F.concat(F.lit(HEAD), F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["piece"]), ""))
     # Reading a text costs far more than its bytes tell, so its partitions are not merged by their size.
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
-    files = rows.groupBy("o_custkey").agg(text.alias("text"))
-    path = F.concat(F.lit("src/c"), F.col("o_custkey").cast("string"), F.lit(".ts"))
-    return files.select((F.col("o_custkey") % 25).cast("string").alias("project_id"), path.alias("path"), F.lit("typescript").alias("language"), "text")
+    files = rows.repartition(parts(spark), *FILE).groupBy(*FILE).agg(text.alias("text"))
+    return files.select(*FILE, F.lit("typescript").alias("language"), "text")
 
 
 def _text(part: str) -> str:
@@ -70,12 +70,13 @@ def fn4(spark, sf_dir):
 
 
 def order_project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Files, packages, resolved edges, evidence and symbols of those files; texts and symbols are written once, as several facts read them."""
-    files = materialize(order_files(spark, sf_dir), "files")
+    """Files, packages, resolved edges, evidence and symbols of those files; texts and symbols are written once and by file, as several facts read them."""
+    files = materialize_by(order_files(spark, sf_dir), "files", FILE)
     packages = files.select("project_id").distinct().select("project_id", F.lit("package.json").alias("path"), F.lit('{"dependencies": {"@nestjs/common": "11"}}').alias("text"))
-    found, _ = evidence.extract_evidence(files)
+    found, _ = evidence.extract_evidence(files, dealt=True)
+    named = symbols.build_symbols(evidence.extract_symbols(files)).drop("language", "parent_key", "occurrence")
     edges = graph.resolve_imports(imports.extract_dependencies(files), files.select("project_id", "path"))
-    return {"files": files.select("project_id", "path"), "packages": packages, "edges": edges, "evidence": found.drop("end_byte"), "symbols": materialize(symbols.build_symbols(evidence.extract_symbols(files)), "symbols")}
+    return {"files": files.select("project_id", "path"), "packages": packages, "edges": edges, "evidence": found.drop("end_byte"), "symbols": materialize_by(named, "symbols", FILE, dealt=True)}
 
 
 @register(
@@ -89,14 +90,10 @@ UNION ALL SELECT project_id, path, 'entity', 'route', class || '.' || handler ||
 UNION ALL SELECT project_id, path, 'relationship', 'handles_route', class || '.' || handler || ' GET', class, 'linked', class || '.' || handler, '{{"method":"GET"}}', got FROM f""",
 )
 def job11(spark, sf_dir):
-    given = order_project(spark, sf_dir)
-    _, found = facts.index_frameworks(**given)
-    named = given["symbols"].select("project_id", "path", F.col("identity_key").alias("symbol_key"), F.col("qualified_name").alias("symbol"))
-    rows = found.entities.select("project_id", "path", F.lit("entity").alias("fact"), F.col("entity_kind").alias("kind"), "name", F.lit(None).cast("string").alias("source_name"), "certainty", "symbol_key", "attributes", "start_byte")
-    sources = found.entities.select("project_id", "path", F.col("identity_key").alias("source_key"), F.col("name").alias("source_name"))
-    links = found.relationships.join(sources, ["project_id", "path", "source_key"], "left")
-    rows = rows.unionByName(links.select("project_id", "path", F.lit("relationship").alias("fact"), F.col("relationship_kind").alias("kind"), F.col("target_name").alias("name"), "source_name", "certainty", "symbol_key", "attributes", "start_byte"))
-    return rows.join(named, ["project_id", "path", "symbol_key"], "left").drop("symbol_key")
+    _, found = facts.index_frameworks(**order_project(spark, sf_dir))
+    shown = ["certainty", "symbol", "attributes", "start_byte"]
+    rows = found.entities.select(*FILE, F.lit("entity").alias("fact"), F.col("entity_kind").alias("kind"), "name", F.lit(None).cast("string").alias("source_name"), *shown)
+    return rows.unionByName(found.relationships.select(*FILE, F.lit("relationship").alias("fact"), F.col("relationship_kind").alias("kind"), F.col("target_name").alias("name"), "source_name", *shown))
 
 
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ constructor parameter. Arguments are static values as JSON text: ``{"kind": "str
 "value": "x"}``, ``{"kind": "identifier", "reference": {"segments": ["a", "b"]}}``,
 ``{"kind": "array", "items": [...]}``, ``{"kind": "object", "properties": [{"key": "k",
 "value": {...}}]}``, or kind boolean, number, null or unknown. ``edges`` are those of
-``framework_imports``. What a file holds is bounded by its extractor, so lookups within
-one file are maps in its rows. Rows that several facts start from are written once.
+``framework_imports``. What a file holds is bounded by its extractor, so small lookups
+within one file are maps in its rows, and larger ones windows. Rows that several facts
+start from are written once; those of many rows by file, so that all that goes by file
+reads them without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from corpusloom.functions.scalar import combine_routes, entity_key, normalize_ro
 from corpusloom.operators.budgets import saturating_budget
 from corpusloom.operators.frameworks import detect_scopes, framework_imports
 from corpusloom.operators.paths import nearest_package
-from corpusloom.plans.tables import materialize
+from corpusloom.plans.tables import materialize, materialize_by, parts
 
 EVIDENCE = (
     "project_id string, path string, scope_key string, evidence_key string, kind string, reference array<string>, arguments array<string>, "
@@ -29,11 +31,14 @@ EVIDENCE = (
     "parameter_counts array<int>, receiver_reference array<string>, receiver_arguments array<string>, start_byte long"
 )
 FILE = ["project_id", "path", "scope_key"]
+BY_FILE = FILE[:2]
 # Names that the frameworks give.
 NEST_HTTP = ["All", "Delete", "Get", "Head", "Options", "Patch", "Post", "Put"]
 NEST_SECTIONS = {"imports": "imports_module", "controllers": "registers_controller", "providers": "registers_provider", "exports": "exports_provider"}
 EXPRESS_HTTP = ["all", "delete", "get", "head", "options", "patch", "post", "put"]
 ASSOCIATIONS = ["hasOne", "belongsTo", "hasMany", "belongsToMany"]
+#: The kinds of evidence that each framework's facts are made of.
+READS = {"nestjs": ["decorator", "constructor_parameter"], "express": ["call_expression"], "sequelize": ["call_expression", "class_heritage"], "nextjs": ["directive", "jsx"], "react": ["call_expression", "directive", "jsx"]}
 
 
 class Facts(NamedTuple):
@@ -91,8 +96,11 @@ def _strings(p: Column) -> Column:
 def _with_local(evidence: DataFrame, edges: DataFrame, framework: str, package: str) -> DataFrame:
     """Evidence that starts with a local name bound to the package in its file, with its ``imported_name``."""
     own = framework_imports(edges).where((F.col("framework") == framework) & (F.col("external_package") == package))
-    own = own.groupBy("project_id", F.col("source_path").alias("path"), F.col("local_name").alias("first")).agg(F.min_by("imported_name", "edge_key").alias("imported_name"))
-    return evidence.withColumn("first", F.get("reference", F.lit(0))).join(own, ["project_id", "path", "first"]).drop("first")
+    own = own.withColumnRenamed("source_path", "path").repartition(*BY_FILE)
+    own = own.groupBy(*BY_FILE, "local_name").agg(F.min_by("imported_name", "edge_key").alias("imported_name"))
+    own = own.groupBy(*BY_FILE).agg(F.map_from_entries(F.collect_list(F.struct("local_name", "imported_name"))).alias("locals"))
+    hit = evidence.join(own, BY_FILE).withColumn("imported_name", F.try_element_at("locals", F.get("reference", F.lit(0))))
+    return hit.where("imported_name IS NOT NULL").drop("locals")
 
 
 def _file_imports(edges: DataFrame) -> DataFrame:
@@ -125,18 +133,20 @@ def _last(entities: DataFrame, by: str = "name") -> DataFrame:
 
 
 def _known(entities: DataFrame) -> DataFrame:
-    """Per file a map from ``kind:name`` to the entity's key."""
-    pairs = _last(entities).select(*FILE, F.concat_ws(":", "entity_kind", "name").alias("k"), "identity_key")
-    return pairs.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("k", "identity_key"))).alias("known"))
+    """Per file a map from each scope to a map from ``kind:name`` to the entity's key."""
+    pairs = _last(entities.where("scope_key IS NOT NULL")).select(*FILE, F.concat_ws(":", "entity_kind", "name").alias("k"), "identity_key")
+    scopes = pairs.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("k", "identity_key"))).alias("keys"))
+    return scopes.groupBy(*BY_FILE).agg(F.map_from_entries(F.collect_list(F.struct("scope_key", "keys"))).alias("known"))
 
 
 def _key_of(kinds: list[str], names: list[Column]) -> Column:
     """The first known entity of these kinds, under any of these names."""
-    return F.coalesce(*(F.try_element_at("known", F.concat(F.lit(f"{k}:"), n)) for k in kinds for n in names))
+    keys = F.try_element_at("known", F.col("scope_key"))
+    return F.coalesce(*(F.try_element_at(keys, F.concat(F.lit(f"{k}:"), n)) for k in kinds for n in names))
 
 
-def _entities(rows: DataFrame, framework: str, kind: Column, name: Column, certainty: Column, role: Column, attributes: Column, symbol: Column, *extra: str) -> DataFrame:
-    key = entity_key("scope_key", kind, "path", role, F.col("evidence_key"))
+def _entities(rows: DataFrame, framework: str, kind: Column, name: Column, certainty: Column, role: Column, attributes: Column, symbol: Column, *extra: str, key: Column | None = None) -> DataFrame:
+    key = entity_key("scope_key", kind, "path", role, F.col("evidence_key")) if key is None else key
     return rows.select(
         *FILE, F.lit(framework).alias("framework"), kind.alias("entity_kind"), name.alias("name"), certainty.alias("certainty"), "evidence_key", "start_byte",
         attributes.alias("attributes"), symbol.alias("symbol_name"), key.alias("identity_key"), *extra,
@@ -172,25 +182,40 @@ def nest_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     """
     bound = F.when(F.size("reference") == 1, F.col("imported_name")).when((F.size("reference") == 2) & (F.col("imported_name") == "*"), F.get("reference", F.lit(1)))
     marks = _with_local(evidence.where("kind = 'decorator'"), edges, "nestjs", "@nestjs/common").withColumn("bound", bound)
+    marks = marks.where(F.col("bound").isin("Module", "Controller", "Injectable", "Inject", *NEST_HTTP))
     marks = marks.withColumn("given", parsed(F.get("arguments", F.lit(0))))
     written = F.when(F.get("arguments", F.lit(0)).isNull(), F.array(F.lit(""))).otherwise(_strings(F.col("given")))
-    marks = materialize(marks.withColumn("routes", F.transform(written, normalize_route)), "marks")
-    imports = materialize(_file_imports(edges), "imports")
+    marks = marks.withColumn("routes", F.transform(written, normalize_route))
     kinds = F.create_map(*(F.lit(x) for x in ("Module", "module", "Controller", "controller", "Injectable", "provider")))
-
-    classes = marks.where("target_kind = 'class' AND target_name IS NOT NULL AND bound IN ('Module', 'Controller', 'Injectable')")
+    is_class = F.coalesce((F.col("target_kind") == "class") & F.col("target_name").isNotNull() & F.col("bound").isin("Module", "Controller", "Injectable"), F.lit(False))
+    is_handler = F.coalesce((F.col("target_kind") == "method") & F.col("target_name").isNotNull() & F.col("bound").isin(*NEST_HTTP), F.lit(False))
     is_module, is_controller, name = F.col("bound") == "Module", F.col("bound") == "Controller", F.col("target_name")
-    dynamic = F.when(is_module, ~F.coalesce(value_kind(F.col("given")) == "object", F.lit(False))).when(is_controller, F.col("routes").isNull()).otherwise(F.lit(False))
     no_routes = F.array().cast("array<string>")
     joined = F.array_join(F.coalesce("routes", no_routes), "|")
     role = F.when(is_controller, F.concat(F.lit("controller:"), name, F.lit(":"), F.when(joined == "", "dynamic").otherwise(joined))).otherwise(F.concat(kinds[F.col("bound")], F.lit(":"), name))
+    own_key = F.when(is_class, entity_key("scope_key", kinds[F.col("bound")], "path", role, F.col("evidence_key")))
+    # A route's controller is the last one of its class's name, which lies with it in a window; ``key`` is that of the class or of that controller.
+    heads = is_class & is_controller
+    marks = marks.withColumns({"is_class": is_class, "heads": heads, "class": F.when(heads, name).when(is_handler, F.col("owner_name")), "key": own_key})
+    latest = Window.partitionBy(*FILE, "class").orderBy(F.desc("heads"), F.desc("start_byte"), "evidence_key")
+    above = F.first(F.when(F.col("heads"), F.struct("key", "routes"))).over(latest.rowsBetween(Window.unboundedPreceding, 0))
+    marks = marks.repartition(parts(marks.sparkSession), *BY_FILE).withColumn("above", above).withColumn("full", F.when(is_handler, combine_routes(F.col("above.routes"), "routes")))
+    marks = materialize_by(
+        marks.select(
+            *FILE, "evidence_key", "start_byte", "bound", "is_class", "target_kind", "target_name", "owner_name", "member_name", "parameter_index",
+            F.when(F.col("bound").isin("Module", "Inject"), F.col("given")).alias("given"), F.when(F.col("is_class"), F.col("routes")).alias("routes"),
+            (is_handler & F.col("above").isNotNull()).alias("is_route"), "full", F.when(is_handler, F.col("above.key")).otherwise(F.col("key")).alias("key"),
+        ), "marks", BY_FILE,
+    )
+    imports = materialize_by(_file_imports(edges), "imports", BY_FILE)
+
+    dynamic = F.when(is_module, ~F.coalesce(value_kind(F.col("given")) == "object", F.lit(False))).when(is_controller, F.col("routes").isNull()).otherwise(F.lit(False))
     attributes = (
         F.when(is_module, F.to_json(F.struct(dynamic.alias("dynamic_metadata"))))
         .when(is_controller, F.to_json(F.struct(dynamic.alias("dynamic_path"), F.coalesce("routes", no_routes).alias("paths"))))
         .otherwise(F.to_json(F.struct(F.lit("injectable").alias("origin"), name.alias("token"), name.alias("use_class"))))
     )
-    own = _entities(classes, "nestjs", kinds[F.col("bound")], name, F.when(dynamic, "unresolved").otherwise("declared"), role, attributes, name, "given", "routes")
-    own = materialize(own, "classes")
+    own = _entities(marks.where("is_class"), "nestjs", kinds[F.col("bound")], name, F.when(dynamic, "unresolved").otherwise("declared"), role, attributes, name, "given", key=F.col("key"))
 
     modules = _last(own).where("entity_kind = 'module'").withColumnRenamed("identity_key", "source_key").select(*FILE, "source_key", "evidence_key", "start_byte", "given")
     is_object = F.coalesce(value_kind(F.col("given")) == "object", F.lit(False))
@@ -203,17 +228,17 @@ def nest_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     p, provides = F.col("p"), (F.col("section") == "providers") & (value_kind(F.col("p")) == "object")
     items = items.withColumn("given", F.when(provides, parsed(value_property(p, "provide"))).otherwise(p)).withColumn("used", F.when(provides, parsed(value_property(p, "useClass"))))
     items = items.withColumn("t", _value_target(F.col("given"))).withColumn("use_class", _value_target(F.col("used"))["name"]).drop("imports", "p", "given", "used", "v")
-    items = materialize(items, "items")
+    items = materialize_by(items, "items", BY_FILE)
 
-    told = items.where("section = 'providers' AND t IS NOT NULL").join(_known(own), FILE, "left").where(_key_of(["provider"], [F.col("t.local"), F.col("t.name")]).isNull())
+    told = items.where("section = 'providers' AND t IS NOT NULL").join(_known(own), BY_FILE, "left").where(_key_of(["provider"], [F.col("t.local"), F.col("t.name")]).isNull())
     first = Window.partitionBy(*FILE, "t.name").orderBy("start_byte", "evidence_key", "place")
     told = told.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     shown = F.to_json(F.struct(F.lit("module_registration").alias("origin"), F.col("t.name").alias("token"), "use_class"))
     extra = _entities(told, "nestjs", F.lit("provider"), F.col("t.name"), F.lit("declared"), F.concat(F.lit("registered-provider:"), F.col("t.name"), F.lit(":"), F.coalesce("use_class", F.lit(""))), shown, F.col("t.local"))
 
-    controllers = _last(own).where("entity_kind = 'controller'").select(*FILE, F.col("name").alias("owner_name"), F.col("identity_key").alias("source_key"), F.col("routes").alias("above"))
-    handlers = marks.where(F.col("bound").isin(*NEST_HTTP)).where("target_kind = 'method' AND target_name IS NOT NULL").join(controllers, [*FILE, "owner_name"])
-    handlers = handlers.withColumn("full", combine_routes("above", "routes")).withColumn("method", F.upper("bound"))
+    extra = materialize_by(extra, "registered", BY_FILE)
+
+    handlers = marks.where("is_route").withColumn("method", F.upper("bound")).withColumnRenamed("key", "source_key")
     handlers = handlers.withColumn("label", F.concat(F.col("owner_name"), F.lit("."), F.col("target_name"), F.lit(" "), F.col("method")))
     full = F.coalesce("full", no_routes)
     shown = F.to_json(F.struct("method", F.col("full").isNull().alias("dynamic_path"), full.alias("full_paths"), F.col("owner_name").alias("controller"), F.col("target_name").alias("handler")))
@@ -221,10 +246,9 @@ def nest_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     method_name = F.concat_ws(".", "owner_name", "target_name")
     routes = _entities(handlers, "nestjs", F.lit("route"), F.col("label"), F.when(F.col("full").isNull(), "unresolved").otherwise("declared"), role, shown, method_name, "source_key", "method")
 
-    entities = materialize(own.drop("given", "routes").unionByName(extra), "entities")
-    routes = materialize(routes, "routes")
+    entities = own.drop("given").unionByName(extra)
     known = _known(entities)
-    found = items.join(known, FILE, "left")
+    found = items.join(known, BY_FILE, "left")
     names = [F.col("t.local"), F.col("t.name")]
     key = F.when(F.col("section") == "imports", _key_of(["module"], names)).when(F.col("section") == "controllers", _key_of(["controller"], names)).when(F.col("section") == "providers", _key_of(["provider"], names)).otherwise(_key_of(["provider", "module"], names))
     sure = lambda key: F.when(F.col("t").isNull(), "unresolved").when(key.isNull(), "declared").otherwise("linked")
@@ -236,9 +260,9 @@ def nest_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     typed = evidence.where("kind = 'constructor_parameter'").withColumn("nth", F.coalesce("parameter_index", F.lit(-1)))
     typed = typed.join(stated.select(*FILE, "owner_name", F.coalesce("parameter_index", F.lit(-1)).alias("nth")), [*FILE, "owner_name", "nth"], "left_anti")
     wants = stated.unionByName(typed.select(*FILE, "evidence_key", "start_byte", "owner_name", "parameter_index", "target_name", _none().alias("text"), F.col("reference").alias("segments")))
-    wants = wants.join(known, FILE).withColumn("source_key", _key_of(["provider", "controller"], [F.col("owner_name")])).where("source_key IS NOT NULL")
+    wants = wants.join(known, BY_FILE).withColumn("source_key", _key_of(["provider", "controller"], [F.col("owner_name")])).where("source_key IS NOT NULL")
     wants = wants.join(imports, ["project_id", "path"], "left").withColumn("t", _target(F.col("text"), F.col("segments"))).withColumn("place", F.lit(0))
-    wants = materialize(wants.drop("imports"), "wants")
+    wants = materialize_by(wants.drop("imports"), "wants", BY_FILE)
     key = _key_of(["provider", "controller"], names)
     shown = F.to_json(F.struct("parameter_index", F.col("target_name").alias("parameter_name"), F.coalesce("t.token", F.lit("unknown")).alias("token_kind")))
     injected = _relationships(wants, "nestjs", F.lit("injects"), key, F.col("t.name"), sure(key), shown, F.col("t.local"), F.col("t.edge_key"))
@@ -367,22 +391,50 @@ def sequelize_facts(evidence: DataFrame, edges: DataFrame) -> Facts:
     return Facts(entities, defines_.unionByName(associates), _omitted(filled.where("fields IS NULL")).distinct())
 
 
+def _judged(facts: Facts, max_entities: int, max_relationships: int, max_name_bytes: int) -> DataFrame:
+    """Entities and relationships as rows of one table, with the ``state`` kept, the reason why a row is left out, or null where it goes with its entities.
+
+    Keys meet in windows within their file, so rows that are dealt by file stay where they are.
+    """
+    none = _none()
+    shared = ["certainty", "evidence_key", "start_byte", "attributes", "symbol_name", "identity_key"]
+    entities = facts.entities.select(*FILE, "framework", F.lit(False).alias("link"), F.col("entity_kind").alias("kind"), "name", *shared, none.alias("source_key"), none.alias("target_key"), none.alias("edge_key"))
+    links = facts.relationships.select(*FILE, "framework", F.lit(True).alias("link"), F.col("relationship_kind").alias("kind"), F.col("target_name").alias("name"), *shared, "source_key", "target_key", "edge_key")
+    rows = entities.unionByName(links).withColumn("bad", (F.octet_length("name") == 0) | (F.octet_length("name") > max_name_bytes))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*FILE, "framework", "link", *by).orderBy("start_byte", "kind", "identity_key"))
+    with_entity = lambda key: Window.partitionBy(*FILE, F.when(F.col("link"), F.col(key)).otherwise(F.col("identity_key")))
+    rows = rows.withColumn("nth", place("bad")).withColumn("stays", F.coalesce(~F.col("link") & ~F.col("bad") & (F.col("nth") <= max_entities), F.lit(False)))
+    rows = rows.withColumn("source_name", F.max(F.when(F.col("stays"), F.col("name"))).over(with_entity("source_key"))).withColumn("there", F.max("stays").over(with_entity("target_key")))
+    rows = rows.withColumn("alive", F.col("link") & F.col("source_name").isNotNull() & (F.col("target_key").isNull() | F.col("there")))
+    far = F.coalesce(F.col("bad"), F.lit(False))
+    rows = rows.withColumn("stays", F.col("stays") | (F.col("alive") & ~far)).withColumn("nth", F.when(F.col("link"), place("stays")).otherwise(F.col("nth")))
+    state = (
+        F.when(F.col("stays") & (F.col("nth") <= F.when(F.col("link"), max_relationships).otherwise(max_entities)), "kept")
+        .when(F.col("bad") & (~F.col("link") | F.col("alive")), "name_text_limit")
+        .when(~F.col("link") & ~F.col("bad"), "entity_limit")
+        .when(F.col("stays"), "relationship_limit")
+    )
+    return rows.withColumn("state", state).withColumn("source_name", F.when(F.col("link"), F.col("source_name"))).drop("bad", "nth", "stays", "there", "alive")
+
+
+def _told_apart(rows: DataFrame, omissions: DataFrame, *symbol: str) -> Facts:
+    """Facts of a written table of ``_judged``."""
+    shared = ["certainty", "evidence_key", "start_byte", "attributes", "symbol_name", "identity_key"]
+    kept = rows.where("state = 'kept'")
+    entities = kept.where("NOT link").select(*FILE, "framework", F.col("kind").alias("entity_kind"), "name", *shared, *symbol)
+    links = kept.where("link").select(*FILE, "framework", F.col("kind").alias("relationship_kind"), "source_key", "target_key", F.col("name").alias("target_name"), "source_name", *shared, "edge_key", *symbol)
+    left_out = rows.where("state <> 'kept'").select(*FILE, "evidence_key", F.col("state").alias("reason"))
+    return Facts(entities, links, omissions.union(left_out).distinct())
+
+
 def limited(facts: Facts, max_entities: int = 2_000, max_relationships: int = 5_000, max_name_bytes: int = 1_024) -> Facts:
     """Facts within each file's limits, by start, kind and key; what is left out is an omission.
 
-    Empty or too long names count as ``name_text_limit``. Relationships of entities that were left out go with them.
+    Empty or too long names count as ``name_text_limit``. Relationships of entities that were left out go with them;
+    the others tell their source's name.
     """
-    bad = lambda c: (F.octet_length(c) == 0) | (F.octet_length(c) > max_name_bytes)
-    long_, rest = facts.entities.where(bad("name")), facts.entities.where(~bad("name"))
-    nth = rest.withColumn("nth", F.row_number().over(Window.partitionBy(*FILE, "framework").orderBy("start_byte", "entity_kind", "identity_key")))
-    kept = nth.where(F.col("nth") <= max_entities).drop("nth")
-    keys = kept.select(*FILE, "identity_key")
-    links = facts.relationships.join(keys.withColumnRenamed("identity_key", "source_key"), [*FILE, "source_key"], "left_semi")
-    links = links.join(keys.select(*FILE, F.col("identity_key").alias("target_key"), F.lit(True).alias("there")), [*FILE, "target_key"], "left").where("target_key IS NULL OR there").drop("there")
-    far = links.where(F.coalesce(bad("target_name"), F.lit(False)))
-    links = links.where(~F.coalesce(bad("target_name"), F.lit(False))).withColumn("nth", F.row_number().over(Window.partitionBy(*FILE, "framework").orderBy("start_byte", "relationship_kind", "identity_key")))
-    out = facts.omissions.union(_omitted(long_.unionByName(far, allowMissingColumns=True), "name_text_limit")).union(_omitted(nth.where(F.col("nth") > max_entities), "entity_limit")).union(_omitted(links.where(F.col("nth") > max_relationships), "relationship_limit"))
-    return Facts(kept, links.where(F.col("nth") <= max_relationships).drop("nth"), out.distinct())
+    rows = _judged(facts, max_entities, max_relationships, max_name_bytes)
+    return _told_apart(materialize_by(rows.where("state IS NOT NULL"), "facts", BY_FILE), facts.omissions)
 
 
 def within_project(facts: Facts, max_entities: int = 100_000, max_relationships: int = 200_000) -> tuple[Facts, DataFrame]:
@@ -403,14 +455,19 @@ def within_project(facts: Facts, max_entities: int = 100_000, max_relationships:
     return Facts(entities, materialize(links.drop("to"), "relationships"), facts.omissions), reasons.select("project_id", met.alias("limit_reasons"))
 
 
-def with_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Facts with the ``symbol_key`` of the first symbol of their file that has their simple or qualified name, else null."""
-    named = symbols.select("project_id", "path", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol_name"), "start_byte", "identity_key")
-    first = named.groupBy("project_id", "path", "symbol_name").agg(F.min_by("identity_key", F.struct("start_byte", "identity_key")).alias("symbol_key"))
-    whole = rows.join(first, ["project_id", "path", "symbol_name"], "left")
-    last = first.select("project_id", "path", F.col("symbol_name").alias("simple"), F.col("symbol_key").alias("simple_key"))
-    simple = whole.withColumn("simple", F.when(F.col("entity_kind" if "entity_kind" in rows.columns else "relationship_kind").isin("route", "handles_route"), F.col("symbol_name")).otherwise(F.substring_index("symbol_name", ".", -1)))
-    return simple.join(last, ["project_id", "path", "simple"], "left").withColumn("symbol_key", F.coalesce("symbol_key", "simple_key")).drop("simple", "simple_key")
+def with_symbols(rows: DataFrame, symbols: DataFrame, kind: str = "kind") -> DataFrame:
+    """Facts with the ``symbol_key`` of the first symbol of their file that has their simple or qualified name, and its qualified name as ``symbol``; else nulls.
+
+    Names meet in windows within their file, as in ``_judged``.
+    """
+    said = F.struct("start_byte", "identity_key", "qualified_name").alias("said")
+    named = symbols.select(*BY_FILE, F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol_name"), said).where("symbol_name IS NOT NULL")
+    simple = F.when(F.col("said").isNotNull() | F.col(kind).isin("route", "handles_route"), F.col("symbol_name")).otherwise(F.substring_index("symbol_name", ".", -1))
+    every = rows.withColumn("fact", F.lit(True)).unionByName(named, allowMissingColumns=True).withColumn("simple", simple)
+    for name, found in (("symbol_name", "whole"), ("simple", "part")):
+        every = every.withColumn(found, F.min("said").over(Window.partitionBy(*BY_FILE, name)))
+    hit = F.when(F.col("symbol_name").isNotNull(), F.coalesce("whole", "part"))
+    return every.where("fact").withColumn("symbol_key", hit["identity_key"]).withColumn("symbol", hit["qualified_name"]).select(*rows.columns, "symbol_key", "symbol")
 
 
 def index_frameworks(files: DataFrame, packages: DataFrame, edges: DataFrame, evidence: DataFrame, symbols: DataFrame, max_entities: int = 2_000, max_relationships: int = 5_000) -> tuple[DataFrame, Facts]:
@@ -420,12 +477,15 @@ def index_frameworks(files: DataFrame, packages: DataFrame, edges: DataFrame, ev
     ``detect_scopes`` and ``build_symbols``. A file belongs to its nearest package; a
     framework is looked for only where that package is a scope of it.
     """
-    edges, evidence, symbols = materialize(edges, "edges"), materialize(evidence, "evidence"), materialize(symbols, "symbols")
+    edges = materialize(edges, "edges")
     scopes = detect_scopes(packages, edges).withColumn("scope_key", scope_key("project_id", "root_path", "framework"))
     roots = nearest_package(files, scopes.select("project_id", F.col("root_path").alias("root")).distinct())
     tasks = roots.select("project_id", "path", F.col("root").alias("root_path")).join(scopes.drop("evidence"), ["project_id", "root_path"])
-    scopes, tasks = materialize(scopes, "scopes"), materialize(tasks, "tasks")
-    of = lambda framework: evidence.join(tasks.where(F.col("framework") == framework).select(*FILE), ["project_id", "path"])
+    scopes, tasks = materialize(scopes, "scopes"), materialize_by(tasks, "tasks", BY_FILE)
+    present = {r.framework for r in scopes.select("framework").distinct().collect()} or {"react"}  # at most the five below; without any, no rows of one
+    kinds = sorted({kind for framework in present for kind in READS[framework]})
+    evidence, symbols = materialize_by(evidence.where(F.col("kind").isin(kinds)), "evidence", BY_FILE), materialize_by(symbols, "symbols", BY_FILE)
+    of = lambda framework: evidence.join(tasks.where(F.col("framework") == framework).select(*FILE), BY_FILE)
     from corpusloom.operators import facts_ui  # it builds on this module
 
     builders = {
@@ -435,9 +495,8 @@ def index_frameworks(files: DataFrame, packages: DataFrame, edges: DataFrame, ev
         "nextjs": lambda: facts_ui.next_facts(tasks.where("framework = 'nextjs'").select(*FILE, "root_path"), evidence, symbols),
         "react": lambda: facts_ui.react_facts(of("react"), edges, symbols),
     }
-    present = {r.framework for r in scopes.select("framework").distinct().collect()}  # at most the five above
-    parts = [build() for framework, build in builders.items() if framework in present] or [builders["react"]()]
-    entities, links, omissions = (reduce(DataFrame.unionByName, rows) for rows in zip(*parts, strict=True))
-    found = Facts(materialize(entities, "entities"), materialize(links, "relationships"), materialize(omissions, "omissions"))
-    facts = limited(found, max_entities, max_relationships)
-    return scopes, Facts(with_symbols(facts.entities, symbols), with_symbols(facts.relationships, symbols), facts.omissions)
+    built = [build() for framework, build in builders.items() if framework in present]
+    entities, links, omissions = (reduce(DataFrame.unionByName, rows) for rows in zip(*built, strict=True))
+    judged = _judged(Facts(entities, links, omissions), max_entities, max_relationships, 1_024)
+    rows = materialize_by(with_symbols(judged.where("state IS NOT NULL"), symbols), "facts", BY_FILE)
+    return scopes, _told_apart(rows, materialize(omissions, "omissions"), "symbol_key", "symbol")

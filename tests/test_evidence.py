@@ -355,3 +355,13 @@ def test_evidence_is_dealt_by_file_once(spark):
     assert plan.count("Exchange") == 1  # places and occurrences took one each
     rows = found.collect()
     assert sorted(r.path for r in rows) == ["0.ts", "0.ts", "1.ts", "1.ts", "2.ts", "2.ts"] and len({r.evidence_key for r in rows}) == 2
+
+
+def test_evidence_of_texts_dealt_by_file_is_the_same_without_a_shuffle_of_its_rows(spark):
+    text = '@A("x") class C { m() { return f("x", 1); } }\nf("x"); f("x");'
+    rows = [("p", f"{i}.ts", "typescript", text) for i in range(5)] + [("p", "0.ts", "typescript", 'f("x"); g();'), (None, None, "typescript", "h()")]
+    files = spark.createDataFrame(rows, FILES)
+    (one, left), (two, right) = (extract_evidence(files, max_evidence=6, max_name_bytes=1, dealt=dealt) for dealt in (False, True))
+    assert "Exchange" not in two._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 27
+    assert sorted(map(str, left.collect())) == sorted(map(str, right.collect())) and left.count() == 1
