@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import budgets, evidence, facts, graph, imports, symbols
-from corpusloom.plans.tables import materialize_by, parts, shared_dir
+from corpusloom.plans.tables import materialize, materialize_by, parts, shared_dir
 from corpusloom.queries import register, table
 from corpusloom.sources import sinks
 
@@ -70,8 +70,9 @@ def fn4(spark, sf_dir):
 
 
 def order_project(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Files, packages, resolved edges, evidence and symbols of those files; texts and symbols are written once and by file, as several facts read them."""
-    files = materialize_by(order_files(spark, sf_dir), "files", FILE)
+    """Files, packages, resolved edges, evidence and symbols of those files; texts and symbols are written once, as several facts read them."""
+    # Not bucketed: Spark would take the deal below for done, but read small buckets in few tasks, of which each sorts what it finds for all its buckets.
+    files = materialize(order_files(spark, sf_dir), "files", "zstd")
     packages = files.select("project_id").distinct().select("project_id", F.lit("package.json").alias("path"), F.lit('{"dependencies": {"@nestjs/common": "11"}}').alias("text"))
     found, _ = evidence.extract_evidence(files, dealt=True)
     named = symbols.build_symbols(evidence.extract_symbols(files)).drop("language", "parent_key", "occurrence")

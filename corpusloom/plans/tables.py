@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends there and survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")  # keys are hex digits, which faster codecs leave as long as they are
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +47,7 @@ def materialize_by(df: DataFrame, name: str, keys: list[str], dealt: bool = Fals
     spark = df.sparkSession
     table, n = f"{name}_{uuid.uuid4().hex}", parts(spark)
     rows = df if dealt else df.repartition(n, *keys)
+    # zstd, as the keys of rows are hex digits, which the default leaves as long as they are.
     rows.write.option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").bucketBy(n, *keys).saveAsTable(table, format="parquet")
     found = spark.table(table).toDF(*df.columns)  # columns without the table's name: with it, Spark does not see that tables of a union are dealt alike
     spark.sql(f"DROP TABLE {table}")  # the name only, the files stay
